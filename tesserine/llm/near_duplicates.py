@@ -235,3 +235,42 @@ def near_duplicate_pairs(records: DataFrame, words: int = 5, threshold: str | Fr
     within = a.withColumnRenamed("set_a", "set_b").join(b, "set_b").where("id_1 < id_2").select(
         F.col("id_1").alias("id_a"), F.col("id_2").alias("id_b"), F.lit(1.0).alias("jaccard"))
     return across.unionByName(within).groupBy("id_a", "id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def _components(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """(set_key, class_key) of all linked sets: the smallest key of the connected component.
+
+    Alternating large-star and small-star steps; each is one shuffle by node with map-side minima, no adjacency list is
+    ever collected, and the number of rounds grows with the logarithm of the component's size. Every round is written
+    to the shared folder, so lineage stays short and a lost executor costs one round."""
+    edges = keep(links.select(F.greatest("set_a", "set_b").alias("u"), F.least("set_a", "set_b").alias("v")), "edges")
+    for _ in range(rounds):
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = keep(small, "edges")
+        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
+        edges = small
+        if not changed:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.groupBy("u").agg(F.min("v").alias("class_key")).withColumnRenamed("u", "set_key")
+
+
+def near_duplicate_classes(records: DataFrame, words: int = 5, threshold: str | Fraction = "0.8", min_words: int = 1) -> DataFrame:
+    """(id, class_id, links, copies), one row per record and text that takes part: the class is the smallest id of all
+    records connected by links between alike texts; links: the alike other texts; copies: the records of the same text.
+
+    Groups of copies are never expanded. See similar_sets for the rules."""
+    links, members = similar_sets(records, words, threshold, min_words)
+    links = keep(links, "links")
+    component = _components(links)
+    ends = links.select(F.col("set_a").alias("set_key")).union(links.select("set_b"))
+    degree = ends.groupBy("set_key").agg(F.count("*").alias("links"))
+    sets = members.groupBy("set_key").agg(F.count("*").alias("copies"), F.min("id").alias("_first"))
+    sets = sets.join(component, "set_key", "left").join(degree, "set_key", "left").withColumn("class_key", F.coalesce("class_key", "set_key"))
+    named = sets.groupBy("class_key").agg(F.min("_first").alias("class_id"))
+    return members.join(sets.join(named, "class_key"), "set_key").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies")
