@@ -13,13 +13,16 @@ tau(x) = floor((1-t)/(1+t) |x|), and the bits of y missing in x by floor((1-t) |
 * Estimates come from a count sketch of fixed size over all texts. They steer cost only; the result is exact.
   The cost of a bit is the same for every text and ties are broken by the bit's hash, so the cheapest allocation of
   every text is a prefix of one global order. That is why the indexed side may be cut to its own allocation too.
-* Candidates that share an indexed bit are verified on their whole sets.
+* Candidates that share an indexed bit are first held against a 256-bit parity code of their sets, whose Hamming
+  distance never exceeds that of the sets, then verified on the whole sets.
 
 Hashes have 64 bits. Copies (equal sets) are joined as one and expanded only where a result asks for pairs.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 from tesserine.llm.words import hash_words, mix, signed, text_batches
 from tesserine.sources.durable import keep
 
-SKETCH_BITS = 18
+#: The count sketch has about a quarter as many cells as there are shingles, within these bounds (32 MB at most).
+SKETCH_BITS = (12, 24)
 _SLICES = 16
-LEVELS = 24
+_MOST = 65_535
+CODE_WORDS = 4
 
 
 def distinct_runs(words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,49 +102,73 @@ def _sets(batch, texts, words: int, min_words: int):
     return runs, starts, size, set_keys(runs, starts), (w.counts >= min_words) & (size > 0)
 
 
-def count_sketch(texts: DataFrame, words: int, min_words: int) -> np.ndarray:
-    """How many texts hold the shingles of each of 2**SKETCH_BITS hash classes, over all texts: 1 MB at any size."""
-    cells = 1 << SKETCH_BITS
+def sketch_bits(texts: DataFrame) -> int:
+    """The size of the count sketch for these texts, from their length."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max(math.ceil(math.log2(chars / 28 + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])  # some 7 characters a shingle
+
+
+def count_sketch(texts: DataFrame, words: int, min_words: int, bits: int) -> np.ndarray:
+    """How many texts hold the shingles of each of 2**bits hash classes, over all texts, up to _MOST."""
+    cells = 1 << bits
+    pack = lambda x: zlib.compress(np.minimum(x, _MOST).astype("<u2").tobytes(), 1)
+    unpack = lambda x: np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64)
+
+    def rows(parts):
+        for i, part in parts:
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([pack(part)], pa.binary())})
 
     def count(batches):
         total = np.zeros(cells, np.int64)
         for batch, part in text_batches(batches):
             runs, starts, size, _, use = _sets(batch, part, words, min_words)
-            total += np.bincount(runs[np.repeat(use, size)] >> np.uint64(64 - SKETCH_BITS), minlength=cells)
-        for i, s in enumerate(np.split(total, _SLICES)):
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([s.astype("<i8").tobytes()], pa.binary())})
+            np.add.at(total, (runs[np.repeat(use, size)] >> np.uint64(64 - bits)).astype(np.int64), 1)
+        yield from rows(enumerate(np.split(total, _SLICES)))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(s, "<i8")
-        for i, s in sums.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([s.tobytes()], pa.binary())})
+                sums[i] = sums.get(i, 0) + unpack(s)
+        yield from rows(sums.items())
 
     kind = "slice int, counts binary"
     slices = texts.select("text").mapInArrow(count, kind).repartition(_SLICES, "slice").mapInArrow(add, kind).collect()
     out = np.zeros((_SLICES, cells // _SLICES), np.int64)
     for r in slices:
-        out[r["slice"]] += np.frombuffer(r["counts"], "<i8")
+        out[r["slice"]] += unpack(r["counts"])
     return out.reshape(-1)
 
 
+def parity_codes(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per set CODE_WORDS numbers of 64 bits: bit b is the parity of the shingles of hash class b. Every shingle that
+    two sets do not share flips one bit, so the codes differ in no more bits than the sets do."""
+    n, width = len(starts) - 1, 64 * CODE_WORDS
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    odd = np.bincount(owner * width + (runs % np.uint64(width)).astype(np.int64), minlength=n * width).reshape(n, width) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<i8").reshape(n, CODE_WORDS)
+
+
 def memberships(records: DataFrame, words: int, min_words: int) -> DataFrame:
-    """(id, set_key, size) of every record that is long enough; records: (id, text)."""
+    """(id, set_key, size, code0, ...) of every record that is long enough; records: (id, text)."""
+    names = [f"code{i}" for i in range(CODE_WORDS)]
 
     def keys(batches):
         for batch, part in text_batches(batches):
-            _, _, size, key, use = _sets(batch, part, words, min_words)
+            runs, starts, size, key, use = _sets(batch, part, words, min_words)
             at = np.flatnonzero(use)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(signed(key)[at]), pa.array(size[at].astype(np.int32))], ["id", "set_key", "size"])
+            codes = parity_codes(runs, starts)[at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), pa.array(signed(key)[at]), pa.array(size[at].astype(np.int32)), *(pa.array(c.copy()) for c in codes.T)],
+                ["id", "set_key", "size", *names])
 
-    return records.select("id", "text").mapInArrow(keys, "id bigint, set_key bigint, size int")
+    return records.select("id", "text").mapInArrow(keys, "id bigint, set_key bigint, size int, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def candidate_pairs(records: DataFrame, words: int, threshold: Fraction, min_words: int) -> DataFrame:
     """(set_a, set_b) of unequal sets that share a probed bit; a superset of the alike pairs."""
-    levels = np.minimum(np.log2(count_sketch(records, words, min_words) + 1.0).astype(np.int8), LEVELS)
+    cell_bits = sketch_bits(records)
+    levels = np.floor(2 * np.log2(count_sketch(records, words, min_words, cell_bits) + 1.0)).astype(np.int8)
     spark = records.sparkSession
     shared = spark.sparkContext.broadcast(levels)
     of_probe, of_index = (1 - threshold) / (1 + threshold), 1 - threshold
@@ -152,7 +181,7 @@ def candidate_pairs(records: DataFrame, words: int, threshold: Fraction, min_wor
                 if (k := int(key[i])) in seen:
                     use[i] = False
                 seen.add(k)
-            level = shared.value[runs >> np.uint64(64 - SKETCH_BITS)]
+            level = shared.value[runs >> np.uint64(64 - cell_bits)]
             probe = probes(level, starts, size * of_probe.numerator // of_probe.denominator + 1)
             index = probes(level, starts, size * of_index.numerator // of_index.denominator + 1) & np.repeat(use, size)
             yield pa.RecordBatch.from_arrays(
@@ -192,15 +221,20 @@ def similar_sets(
         raise ValueError(f"threshold must lie in (0, 1]: {threshold}")
     records = records.select("id", "text").where("id is not null and text is not null")
     members = keep(memberships(records, words, min_words).distinct(), "set-members")
-    pairs = keep(candidate_pairs(records, words, t, min_words), "set-pairs")
-    involved = pairs.select(F.col("set_a").alias("set_key")).union(pairs.select("set_b")).distinct()
-    chosen = members.join(involved, "set_key").groupBy("set_key").agg(F.min("id").alias("id"))
-    wanted = records.join(chosen.select("id").distinct(), "id", "left_semi")
+    codes = [f"code{i}" for i in range(CODE_WORDS)]
+    once = members.groupBy("set_key").agg(F.min("id").alias("id"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in codes))
+    a, b = (once.select(*(F.col(c).alias(f"{c}_{s}") for c in once.columns)).withColumnRenamed(f"set_key_{s}", f"set_{s}") for s in "ab")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in codes), F.lit(0))
+    allowed = (F.col("size_a") + F.col("size_b")) * (t.denominator - t.numerator)
+    pairs = candidate_pairs(records, words, t, min_words).join(a, "set_a").join(b, "set_b").where(apart * (t.denominator + t.numerator) <= allowed)
+    pairs = keep(pairs.select("set_a", "set_b", "id_a", "id_b"), "set-pairs")
+    wanted = records.join(pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct(), "id", "left_semi")
 
     def whole(batches):
         for batch, part in text_batches(batches):
             runs, starts, size, key, use = _sets(batch, part, words, min_words)
-            rows = [(int(signed(key)[i]), runs[starts[i] : starts[i + 1]].tobytes()) for i in np.flatnonzero(use)]
+            own = signed(key)
+            rows = [(int(own[i]), runs[starts[i] : starts[i + 1]].tobytes()) for i in np.flatnonzero(use)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_key", "bits"])
 
     sets = keep(wanted.mapInArrow(whole, "set_key bigint, bits binary").dropDuplicates(["set_key"]), "sets")
@@ -219,7 +253,7 @@ def similar_sets(
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(value, pa.float64())], ["set_a", "set_b", "jaccard"])
 
     a, b = (sets.select(F.col("set_key").alias(f"set_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
-    both = pairs.join(a, "set_a").join(b, "set_b").select("set_a", "set_b", "bits_a", "bits_b")
+    both = pairs.select("set_a", "set_b").join(a, "set_a").join(b, "set_b").select("set_a", "set_b", "bits_a", "bits_b")
     return both.mapInArrow(verify, "set_a bigint, set_b bigint, jaccard double"), members
 
 
