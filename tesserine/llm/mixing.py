@@ -104,7 +104,8 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     clock = spark.createDataFrame([(r["source"], r["total"]) for r in sums], "source string, source_total bigint")
     start = F.col("cumulative") / F.col("weight")
     lap = F.col("source_total") / F.col("weight")
-    laps = F.least(F.col("max_repeats").cast("double"), F.floor((F.lit(until) * (1 + 1e-9) - start) / lap) + 1).cast("int")
+    # In doubles, where a horizon without end stays one; as a number of uses it is at most max_repeats.
+    laps = F.least(F.col("max_repeats").cast("double"), (F.lit(until) * (1 + 1e-9) - start) / lap + 1.0).cast("int")
     used = (
         queued.join(F.broadcast(clock), "source").withColumn("_laps", laps).where("_laps > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_laps"))))

@@ -2,14 +2,11 @@
 
 import pathlib
 import re
-import sys
 
 import pytest
 
-sys.path.insert(0, str(pathlib.Path(__file__).parent.parent))
-from oracle import rows_of, rows_of_sql  # noqa: E402
-
-from tesserine.llm import queries  # noqa: E402
+from tesserine.llm import queries
+from tests.oracle import rows_of, rows_of_sql
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -220,9 +220,6 @@ def test_mix(spark, tokenizer):
     budget = 600
     rows, report = M.mix(df, targets, budget, tokenizer=tokenizer)
     got = sorted(tuple(r) for r in rows.collect())
-    # The queue, step by step: who finishes first is served first.
-    import heapq
-
     total, uses = 0, defaultdict(int)
     for pos, doc, copy, source, tokens, finish in got:
         assert tokens == n[doc]
@@ -230,7 +227,7 @@ def test_mix(spark, tokenizer):
         assert pos == total <= budget
         uses[doc] += 1
         assert copy <= {"big": 1, "small": 3}[source] and uses[doc] <= {"big": 1, "small": 3}[source]
-    assert [r[5] for r in got] == sorted(r[5] for r in got) and heapq is not None
+    assert [r[5] for r in got] == sorted(r[5] for r in got)
     assert budget - total < max(n.values())
     shares = {r["source"]: r for r in report.collect()}
     assert shares["absent"]["used_tokens"] == 0 and shares["free"]["used_tokens"] == 0 and "none" not in shares
