@@ -450,7 +450,7 @@ _DECLARATIONS: dict[str, list[tuple[str, re.Pattern, bool]]] = {
 }
 _DECLARATIONS["typescript"] = _DECLARATIONS["javascript"]
 _TOKEN = re.compile(rb"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`|[{};]", re.S)
-_CONTROL = re.compile(rb"\b(?:if|for|foreach|while|switch|catch|using|lock|match|loop|else|do|try|return|new)\b[^\w]|=>?\s*$")
+_CONTROL = re.compile(rb"(?:if|for|foreach|while|switch|catch|using|lock|match|loop|else|do|try|return|new)\b")
 
 
 def brace_items(src: bytes, language: str) -> list[Item] | None:
@@ -491,7 +491,7 @@ def _declared(src: bytes, since: int, brace: int, rules) -> Item | None:
     # Comments and attributes in front belong to the declaration, unless an empty line parts them.
     head = re.sub(rb"//[^\n]*|/\*.*?\*/", lambda m: b" " * len(m[0]), src[start:brace], flags=re.S)
     head = re.sub(rb"^\s*(?:(?:#!?\[[^\n]*\]|\[[^\n]*\]|@\w+(?:\([^)]*\))?)\s*)*", b"", head).strip()
-    if not head or _CONTROL.search(head[:200]) and not re.search(rb"=>\s*$", head):
+    if not head or _CONTROL.match(head):
         return None
     for kind, pattern, _ in rules:
         if m := pattern.match(head):
