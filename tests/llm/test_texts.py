@@ -94,7 +94,7 @@ def test_leaks(spark):
         w = words(t)
         for k in range(len(w) - 11):
             windows[tuple(w[k : k + 12])].add(i)
-    literal = {(d, i) for d, t in DOCS for k in range(len(words(t)) - 11) for i in windows.get(tuple(words(t)[k : k + 12]), ())}
+    literal = {(d, i) for d, w in ((d, words(t)) for d, t in DOCS) for k in range(len(w) - 11) for i in windows.get(tuple(w[k : k + 12]), ())}
     assert {k for k, r in got.items() if r["literal_windows"]} == literal and (10, 1) in literal and (15, 2) in literal
     assert got[11, 1]["changed_windows"] > 0 and got[11, 1]["literal_windows"] == 0  # other names, numbers and units
     shuffled = {(r["doc_id"], r["item_id"]): r for r in L.find_leaks(docs, items, 12, broadcast_windows=0).collect()}
