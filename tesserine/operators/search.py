@@ -7,11 +7,13 @@ a cluster adds numbers up; ties go to the smaller id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import Term, clamp_limit, excerpt, query_terms, tokens, truncated
-from tesserine.functions.vectors import dot, normalise, usable
+from tesserine.functions.vectors import MIN_NORM
 from tesserine.operators.filters import SearchFilter, filter_chunks
 
 #: Okapi BM25 as published, with the weight of an occurrence by the column it stands in.
@@ -107,12 +109,25 @@ def vector(chunks: DataFrame, vectors: DataFrame, query: list[float], f: SearchF
 
     vectors: (chunk_rowid, vector); unusable ones, and those of another length than the query's, take no part. An
     unusable query gives no rows. The filter is applied before anything is scored."""
-    spark = chunks.sparkSession
-    given = spark.createDataFrame([(query,)], "q array<double>").where(usable(F.col("q"))).select(normalise(F.col("q")).alias("q"))
-    rows = filter_chunks(chunks, f, projects).select("id").distinct()
-    stored = vectors.select(F.col("chunk_rowid").alias("id"), "vector").where(F.size("vector") == len(query)).where(usable(F.col("vector")))
-    wanted = stored.join(rows, "id", "left_semi").crossJoin(F.broadcast(given))  # the query is one row
-    scored = wanted.select("id", F.round(dot(normalise(F.col("vector")), F.col("q")), DIGITS).alias("score"))
+    q = np.array(query, float)
+    if not len(q) or not np.isfinite(q).all() or np.linalg.norm(q) <= MIN_NORM:
+        return chunks.sparkSession.createDataFrame([], "id long, score double, rank int")
+    q = q / np.linalg.norm(q)
+
+    def score(batches):
+        # Higher-order functions are interpreted element by element; a batch of vectors is one matrix product here.
+        for b in batches:
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            with np.errstate(all="ignore"):
+                length = np.sqrt(np.einsum("ij,ij->i", m, m))
+                good = np.isfinite(m).all(axis=1) & (length > MIN_NORM)
+            at = np.flatnonzero(good)
+            cosine = np.round(m[at] @ q / length[at], DIGITS)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(cosine)], ["id", "score"])
+
+    rows = filter_chunks(chunks, f, projects).select("id")
+    stored = vectors.select(F.col("chunk_rowid").alias("id"), "vector").where(F.col("vector").isNotNull() & (F.size("vector") == len(query)))
+    scored = stored.join(rows, "id", "left_semi").mapInArrow(score, "id long, score double")
     return _ranked(scored.groupBy("id").agg(F.max("score").alias("score")), depth)
 
 
