@@ -178,21 +178,22 @@ class ChunkStore:
 
     # -- indexing
 
-    def index(self, project_id: int, observed: DataFrame, now: int = 0, override: bool = False, scope: DataFrame | None = None, unreadable: DataFrame | None = None, epoch: tuple[str, int] | None = None, profiled: bool = False) -> dict[str, int]:
+    def index(self, project_id: int, observed: DataFrame, now: int = 0, override: bool = False, scope: DataFrame | None = None, unreadable: DataFrame | None = None, epoch: tuple[str, int] | None = None, profiled: bool = False, unchanged: DataFrame | None = None) -> dict[str, int]:
         """One pass over a project: observed (path, content binary) against what is stored, published as one generation.
 
         Files whose stamp is unchanged are not read again; chunks whose content is unchanged keep their row and vector.
         Raises RuntimeError, and changes nothing, if the mass-delete guard trips and is not overridden."""
         from tesserine.operators.chunking import chunk_files
         from tesserine.operators.indexing import classify, guard, remove_files, replace_chunks
+        from tesserine.operators.ordered import ordered, with_rank
+        from tesserine.sources.durable import keep
 
         c = self.current()
         files, chunks = self.table("files", c), self.table("chunks", c)
         mine = files.where(F.col("project_id") == project_id)
         seen = observed.select(F.lit(project_id).cast("long").alias("project_id"), "path", "content", F.concat(F.lit("s1-"), F.sha2("content", 256)).alias("content_hash"))
-        state = classify(seen, mine, scope, unreadable)
-        from tesserine.sources.durable import keep
-
+        listed = seen.select("project_id", "path", "content_hash")
+        state = classify(listed if unchanged is None else listed.unionByName(unchanged), mine, scope, unreadable)
         state = keep(state, "index-pass")
         refused = guard(state, mine).where("refused").first()
         if refused is not None and not override:
@@ -204,9 +205,9 @@ class ChunkStore:
             return counts
         made = chunk_files(seen.join(touched, ["project_id", "path"], "left_semi"), (project_id,) if profiled else ())
         made = keep(made, "made-chunks")
-        order = Window.orderBy("project_id", "chunk_id")
         fresh = made.join(chunks.select("project_id", "chunk_id"), ["project_id", "chunk_id"], "left_anti")
-        numbered = fresh.withColumn("id", F.row_number().over(order) + (c.next_chunk - 1)).withColumn("effective_tier", F.col("authority_tier")).withColumn("demotion", F.lit(None).cast("string"))
+        ranked = with_rank(ordered(fresh.select("project_id", "chunk_id", "authority_tier"), [], [F.col("project_id"), F.col("chunk_id")], "new-chunks"), [])
+        numbered = ranked.withColumn("id", F.col("rank") + (c.next_chunk - 1)).withColumn("effective_tier", F.col("authority_tier")).withColumn("demotion", F.lit(None).cast("string"))
         written = replace_chunks(chunks, made.join(numbered.select("project_id", "chunk_id", "id", "effective_tier", "demotion"), ["project_id", "chunk_id"], "left"), touched)
         table = remove_files(written.table, gone)
         table = keep(table, "chunk-table")
@@ -217,6 +218,12 @@ class ChunkStore:
         self.publish(c, {"files": others.unionByName(stamped), "chunks": table, "chunk_vectors": vectors}, epoch, next_chunk=c.next_chunk + made.count())
         return counts
 
+    def index_listing(self, project_id: int, sent: DataFrame, same: DataFrame, now: int, override: bool, epoch: tuple[str, int]) -> dict[str, int]:
+        """As index, for a pushed listing: `sent` (path, content) came with it, `same` (path) are unchanged and did not."""
+        stored = self.table("files").where(F.col("project_id") == project_id)
+        kept = stored.join(same.select("path").distinct(), "path", "left_semi").select("project_id", "path", "content_hash")
+        return self.index(project_id, sent, now, override, epoch=epoch, unchanged=kept)
+
     # -- embeddings
 
     def reconcile_fingerprint(self, fingerprint: dict) -> str:
