@@ -35,7 +35,8 @@ from tesserine.sources.durable import keep
 
 #: The count sketch has about a quarter as many cells as there are shingles, within these bounds (32 MB at most).
 SKETCH_BITS = (12, 24)
-_SLICES = 16
+#: The sketch is summed up in so many slices, each by itself, so that no task sees more than its share of all sketches.
+_SLICES = 256
 _MOST = 65_535
 CODE_WORDS = 4
 
@@ -133,7 +134,7 @@ def count_sketch(texts: DataFrame, words: int, min_words: int, bits: int) -> np.
         yield from rows(sums.items())
 
     kind = "slice int, counts binary"
-    slices = texts.select("text").mapInArrow(count, kind).repartition(_SLICES, "slice").mapInArrow(add, kind).collect()
+    slices = texts.select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
     out = np.zeros((_SLICES, cells // _SLICES), np.int64)
     for r in slices:
         out[r["slice"]] += unpack(r["counts"])
