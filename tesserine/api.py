@@ -19,6 +19,7 @@ from tesserine.functions.text import expand_lines
 from tesserine.operators import authority, indexing, search, status
 from tesserine.operators.chunking import Plugin
 from tesserine.operators.filters import nearest_root, request_filter, resolve_project
+from tesserine.session import ship_package
 from tesserine.sources.embedding import Embedder, due, embed, poison
 from tesserine.sources.store import ChunkStore, StaleWriter
 from tesserine.sources.walk import observe
@@ -68,6 +69,17 @@ def _only(table: dict, *known: str) -> None:
         raise ValueError(f"unknown key: {unknown[0]}")
 
 
+def _decision_files(rows: DataFrame) -> DataFrame:
+    return rows.where(authority.is_ledger(F.col("path")) | authority.record_id(F.col("path")).isNotNull())
+
+
+def _under(rows: DataFrame, paths: list[str]) -> DataFrame:
+    hit = F.lit(False)
+    for p in paths:
+        hit = hit | indexing.covers(F.lit(p.rstrip("/")), F.col("path"))
+    return rows.where(hit)
+
+
 @dataclass
 class PushSession:
     """A lease on a project: who may push, under which epoch, and what still has to be sent."""
@@ -83,6 +95,7 @@ class PushSession:
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, plugins: tuple[Plugin, ...] = (), clock=time.time):
+        ship_package(spark)
         self.spark, self.store, self.plugins, self.clock = spark, ChunkStore(spark, folder), plugins, clock
         self.sessions: dict[str, PushSession] = {}
 
@@ -115,11 +128,23 @@ class Engine:
             seen, unreadable = seen.unionByName(placed(more)), unreadable.unionByName(placed(bad))
         scope = None if paths is None else self.spark.createDataFrame([(row["id"], p) for p in paths], "project_id long, scope string")
         bad = unreadable.select(F.lit(row["id"]).cast("long").alias("project_id"), "path")
+        before = self.store.table("files").where(F.col("project_id") == row["id"]).select("path")
         counts = self.store.index(
             row["id"], seen.select("path", "content"), int(self.clock()), override, scope, bad, profiled=settings.profile is not None and settings.behavior != "off")
-        self.refresh_authority(row["id"], seen)
+        if paths is None:
+            self.refresh_authority(row["id"], seen, unreadable)
+        elif not _decision_files(_under(before, paths).union(seen.select("path"))).isEmpty():
+            self.refresh_authority(row["id"], *observe(self.spark, row["root"]))  # decisions are judged together
         return counts
 
+    def handle_changes(self, spark: SparkSession, work: DataFrame, number: int) -> None:
+        """The handler for streaming.changes.run_stream: a pass per project that the batch names. The work has one row per
+        project and at most MAX_PATHS paths a row; a batch that comes again finds nothing changed."""
+        known = self.store.table("projects").select(F.col("id").alias("project_id"))
+        for r in work.join(known, "project_id", "left_semi").orderBy("project_id").collect():
+            name = self.store.table("projects").where(F.col("id") == r["project_id"]).first()["project_key"]
+            self.index(name, r["paths"], bool(r["override"]))
+
     def _settings(self, root: str) -> Settings:
         try:
             with open(os.path.join(root, SETTINGS_FILE), encoding="utf-8") as f:
@@ -127,13 +152,17 @@ class Engine:
         except (OSError, UnicodeDecodeError):
             return Settings()
 
-    def refresh_authority(self, project_id: int, seen: DataFrame) -> bool:
-        """Resolve the project's decisions from the observed ledgers and records and recompute tiers; whether any changed."""
+    def refresh_authority(self, project_id: int, seen: DataFrame, unreadable: DataFrame) -> bool:
+        """Resolve the project's decisions from all its ledgers and records and recompute tiers; whether any changed.
+
+        While one of them cannot be read, what was active stays active beside what the others say."""
         c = self.store.current()
         sources = seen.select(F.lit(project_id).cast("long").alias("project_id"), "path", F.col("content").cast("string").alias("text"))
         decided = authority.active_decisions(authority.resolve(authority.decision_entries(sources)))
         known = self.store.table("decisions", c)
         mine = known.where(F.col("project_id") == project_id)
+        if not _decision_files(unreadable).isEmpty():
+            decided = decided.union(mine).distinct()
         chunks = self.store.table("chunks", c)
         tiers = authority.recompute(chunks.where(F.col("project_id") == project_id), self.store.table("projects", c), decided)
         changed = tiers.where("changed").select("id", F.col("tier").alias("_tier"), F.col("demotion").alias("_demotion"), F.lit(True).alias("_hit"))

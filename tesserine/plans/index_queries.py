@@ -220,7 +220,7 @@ SQL = {
     "mass_delete_guard": _LISTINGS + "select *, deletes > 100 and deletes * 2 > stored as refused from guarded",
     "pass_summary": _LISTINGS + """select count(*) filter (where state <> 'deleted') as seen, count(*) filter (where state = 'new') as n_new,
 count(*) filter (where state = 'changed') as n_changed, count(*) filter (where state = 'unchanged') as n_unchanged,
-count(*) filter (where state = 'deleted') as n_deleted, 0 as n_unreadable from diff""",
+count(*) filter (where state = 'deleted') as n_deleted, 0::bigint as n_unreadable from diff""",
     "manifest_needs": _LISTINGS + "select project_id, path from diff where state in ('new', 'changed')",
     "malformed_paths": r"""with p as (select distinct project_id, path from file_snapshots),
 r as (select case when path is null or path = '' then 'empty' when contains(path, chr(92)) then 'backslash' when starts_with(path, '/') then 'absolute'
@@ -232,7 +232,7 @@ from projects p left join (select project_id, count(distinct path) as n from fil
 left join (select project_id, count(distinct id) as n, count(distinct case when demotion = 'uncited_decided' then path end) as bad from chunks group by 1) c on c.project_id = p.id
 left join (select project_id, count(distinct chunk_rowid) as n from chunk_vectors group by 1) v on v.project_id = p.id""",
     "top_offenders": """with p as (select distinct project_id, path from chunks where demotion = 'uncited_decided')
-select project_id, path, row_number() over (partition by project_id order by path) as place from p qualify place <= 5""",
+select project_id, path, (row_number() over (partition by project_id order by path))::int as place from p qualify place <= 5""",
     "fleet_totals": """with t as (select (select count(distinct id) from chunks where project_id in (select id from projects)) as chunks,
 (select count(distinct chunk_rowid) from chunk_vectors where project_id in (select id from projects)) as embedded)
 select chunks, embedded, case when chunks > 0 then round(embedded * 100.0 / chunks)::int else 0 end as coverage from t""",
@@ -257,8 +257,8 @@ select id, case when not is_on then 1 when regexp_matches(path, '(^|/)0_Canon/DE
   when regexp_matches(path, '(^|/)0_Canon/DECISIONS\.md$') or regexp_matches(path, '(^|/)0_Canon/decisions/D-[0-9]{4}-[^/]*\.(md|MD)$') then null
   when design_status = 'decided' and not cited then 'uncited_decided' when scratch and start > 0 then 'scratch_path' when research and start > 1 then 'research_path'
   when pkind = 'session' and start > 1 then 'session_source' end as demotion from s""",
-    "ledger_active": "select * from (values (1, 'D-0002'), (1, 'D-0004'), (2, 'D-0002')) t(project_id, id)",
-    "ledger_violations": """select * from (values (1, 'design/0_Canon/decisions/D-0005-five.md', 'heading names D-0006, file name claims D-0005'),
+    "ledger_active": "select project_id::bigint as project_id, id from (values (1, 'D-0002'), (1, 'D-0004'), (2, 'D-0002')) t(project_id, id)",
+    "ledger_violations": """select project_id::bigint as project_id, path, violation from (values (1, 'design/0_Canon/decisions/D-0005-five.md', 'heading names D-0006, file name claims D-0005'),
 (1, 'design/0_Canon/decisions/D-0003-three.md', 'duplicate id: a ledger holds it'), (2, '0_Canon/decisions/D-0009-a.md', 'duplicate id across records'),
 (2, '0_Canon/decisions/D-0009-b.md', 'duplicate id across records')) t(project_id, path, violation)""",
     "repaired_names": """with r as (select root, case when id % 2 = 0 then 'shared' else name end as name, id from projects),
@@ -268,5 +268,5 @@ select root, case when p > 1 then name || ' (' || p || ')' else name end as name
     "precision_judged": _RUNS + "select model, count(*) as queries, round(avg(p5), 9) as p5, round(avg(p10), 9) as p10, round(avg(strict_p5), 9) as strict_p5, round(avg(coverage), 9) as coverage, round(avg(graded_ndcg), 9) as graded_ndcg from judged group by model",
     "hit_by_kind": _RUNS + "select model, round(avg(case when kind = 'semantic' then hit10 end), 9) as semantic, round(avg(case when kind = 'symbol' then hit10 end), 9) as symbol from per_query group by model",
     "judge_calibration": _RUNS + "select count(*) as judged, count(*) filter (where label >= 1) as relevant, count(*) filter (where label = 2) as \"full\" from keys join labels using (query_id, path)",
-    "worst_offenders": _RUNS + "select q.model, q.query_id, q.first_rank, j.p5 from per_query q left join judged j using (model, query_id) where first_rank is null or first_rank > 5 or p5 < 0.4",
+    "worst_offenders": _RUNS + "select q.model, q.query_id, q.first_rank::int as first_rank, j.p5 from per_query q left join judged j using (model, query_id) where first_rank is null or first_rank > 5 or p5 < 0.4",
 }

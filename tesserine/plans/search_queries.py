@@ -208,18 +208,19 @@ def _select(where: str) -> str:
     return f"with {_C} select id, project_id, path from c where {where}"
 
 
+_LEX, _VEC = (f"select id, score, rank::int as rank from {x}" for x in ("lex", "vec"))
 _STATUS_WHERE = "(design_status = 'decided' or design_status is null)"
 
 SQL = {
-    "lexical_and": f"with {_C}, {_lexical_sql(BOTH)} select * from lex",
-    "lexical_or_fallback": f"with {_C}, {_lexical_sql(EITHER)} select * from lex",
-    "lexical_prefix": f"with {_C}, {_lexical_sql(PREFIXED)} select * from lex",
-    "bm25_filtered": f"with {_C}, {_lexical_sql(BOTH, "language = 'rust' and starts_with(path, 'c')")} select * from lex",
+    "lexical_and": f"with {_C}, {_lexical_sql(BOTH)} {_LEX}",
+    "lexical_or_fallback": f"with {_C}, {_lexical_sql(EITHER)} {_LEX}",
+    "lexical_prefix": f"with {_C}, {_lexical_sql(PREFIXED)} {_LEX}",
+    "bm25_filtered": f"with {_C}, {_lexical_sql(BOTH, "language = 'rust' and starts_with(path, 'c')")} {_LEX}",
     "term_statistics": f"""with {_C}, t as (select id, project_id, unnest({_tokens("text")}) as term, 1.0 as w from c
   union all select id, project_id, unnest({_tokens("path")}), 0.5 from c union all select id, project_id, unnest({_tokens("anchor")}), 2.0 from c)
 select term, count(distinct id) as n_chunks, sum(w)::double as weight from t group by term""",
-    "vector_topk": f"with {_C}, {_vector_sql(depth=100)} select * from vec",
-    "vector_filtered": f"with {_C}, {_vector_sql(_STATUS_WHERE + ' and effective_tier >= 1', 100)} select * from vec",
+    "vector_topk": f"with {_C}, {_vector_sql(depth=100)} {_VEC}",
+    "vector_filtered": f"with {_C}, {_vector_sql(_STATUS_WHERE + ' and effective_tier >= 1', 100)} {_VEC}",
     "hybrid_rrf": f"""with {_C}, {_lexical_sql(HYBRID)}, {_vector_sql()}
 select id, round(sum(1.0 / (60 + rank)), 12) as rrf from (select id, rank from lex union all select id, rank from vec) group by id""",
     "hybrid_search": f"""with {_C}, {_lexical_sql(HYBRID)}, {_vector_sql()},
@@ -229,7 +230,7 @@ scored as (select c.*, p.authority_behavior as behavior, round(f.rrf * case when
   from fused f join c on c.id = f.id left join projects p on p.id = c.project_id),
 once as (select * from scored qualify json_extract_string(kind, '$.window.family') is null
   or row_number() over (partition by project_id, path, json_extract_string(kind, '$.window.family') order by score desc, chunk_id) = 1)
-select row_number() over (order by score desc, chunk_id) as rank, project_id, chunk_id, path, score, left(text, {T.EXCERPT_CHARS}) as excerpt,
+select (row_number() over (order by score desc, chunk_id))::int as rank, project_id, chunk_id, path, score, left(text, {T.EXCERPT_CHARS}) as excerpt,
   length(text) > {T.EXCERPT_CHARS} as truncated, case when behavior in ('annotate', 'rank') then effective_tier end as authority
 from once qualify rank <= 50""",
     "lexical_only": "select true as lexical_only",

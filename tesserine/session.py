@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: AQE re-plans joins and splits skewed ones at run time; UTC keeps timestamp text stable.
@@ -25,3 +31,24 @@ def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int = 8
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, wherever they run and whatever their path is.
+
+    The package is a few dozen source files; they are zipped once per application and sent by Spark itself."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tesserine-package-")  # read by the driver's own file server only
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

@@ -6,6 +6,7 @@ import pytest
 
 from tesserine.api import Engine, parse_settings
 from tesserine.sources.store import StaleWriter
+from tesserine.streaming import changes as C
 
 PROFILE = '[authority]\nprofile = "lore-v1"\nbehavior = "rank"\n'
 
@@ -43,9 +44,11 @@ def test_index_search_expand(spark, tmp_path):
     got = {r["path"]: r for r in rows.collect()}
     assert got["design/a.md"]["authority"] == 3 and got["design/b.md"]["authority"] == 1 and got["design/b.md"]["authority_note"] == "uncited_decided" and flag.first()[0]
     assert "n.txt" not in got and {r["path"] for r in e.search("another")[0].collect()} == {"n.txt"}
+    write(root, {"src/x.py": "def lease():\n    return 'writer'\n"})
+    assert e.index("one", ["src/x.py"]) == {"changed": 1} and e.store.table("decisions").count() == 1  # a partial pass keeps the decisions
     # The decision falls: tiers follow without re-indexing the documents that cite it.
     write(root, {"design/0_Canon/DECISIONS.md": "## D-0001 — Use leases\n- **Status:** Rejected\n"})
-    assert e.index("one") == {"changed": 1, "unchanged": 4}
+    assert e.index("one", ["design/0_Canon"]) == {"changed": 1} and e.store.table("decisions").count() == 0
     assert {r["path"]: r["authority"] for r in e.search("leases fence", "one").__getitem__(0).collect()}["design/a.md"] == 1
     key = got["design/a.md"]["chunk_id"]
     assert e.expand("one", key[:12], 1) == ("found", ["---\n# Leases\nleases fence stale writers here\n"])
@@ -60,7 +63,9 @@ def test_index_search_expand(spark, tmp_path):
     counts = {r["project_id"]: r for r in e.status().collect()}
     assert counts[one]["files"] == 5 and counts[one]["embedded"] == counts[one]["chunks"] and counts[two]["files"] == 1
     (root / "src/x.py").unlink()
-    assert e.index("one", ["src"]) == {"deleted": 1}
+    events = spark.createDataFrame([(one, "src/x.py", "remove", None), (99, "y", "modify", None)], C.EVENT_FIELDS)
+    e.handle_changes(spark, C.coalesce(C.route(events)), 0)
+    assert e.store.table("files").where(f"project_id = {one}").count() == 4 and e.index("one", ["src"]) == {}
     e.remove("two")
     assert e.search("another")[0].count() == 0
 
