@@ -302,6 +302,16 @@ class Engine:
         except (OSError, UnicodeDecodeError):
             return kind, [r["text"]]
 
+    def files(self, project: str) -> DataFrame:
+        """A project's files in path order."""
+        ident = resolve_project(self.store.table("projects"), project)
+        return self.store.table("files").where(F.col("project_id") == ident).orderBy("path")
+
+    def chunks(self, project: str, path: str) -> DataFrame:
+        """The chunks of one file in the order in which they stand in it."""
+        ident = resolve_project(self.store.table("projects"), project)
+        return self.store.table("chunks").where((F.col("project_id") == ident) & (F.col("path") == path)).orderBy("byte_start", "id")
+
     def status(self) -> DataFrame:
         c = self.store.current()
         return status.status_counts(*(self.store.table(t, c) for t in ("projects", "files", "chunks", "chunk_vectors")))

@@ -42,6 +42,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return flat.groupBy("id", "project_id", "term").agg(F.sum("w").alias("weight"), F.max("length").alias("length"))
 
 
+def maintain_postings(index: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The index after a pass: entries of deleted chunks (id) go, those of inserted chunks come; all others are not
+    computed again."""
+    return index.join(deleted.select("id").distinct(), "id", "left_anti").unionByName(postings(inserted))
+
+
 def _term_hits(chunks: DataFrame, terms: list[Term]) -> DataFrame:
     """(id, project_id, length, hits): per chunk an array of (q, weight), the weight of the occurrences of query term
     number q, for the terms it holds.

@@ -43,6 +43,8 @@ def test_index_search_expand(spark, tmp_path):
     rows, flag = e.search("leases fence", "one")
     got = {r["path"]: r for r in rows.collect()}
     assert got["design/a.md"]["authority"] == 3 and got["design/b.md"]["authority"] == 1 and got["design/b.md"]["authority_note"] == "uncited_decided" and flag.first()[0]
+    assert [r["path"] for r in e.files("one").collect()] == sorted([".index.toml", "design/0_Canon/DECISIONS.md", "design/a.md", "design/b.md", "src/x.py"])
+    assert [r["anchor"] for r in e.chunks("one", "design/a.md").collect()] == ["md:Leases"]
     assert "n.txt" not in got and {r["path"] for r in e.search("another")[0].collect()} == {"n.txt"}
     write(root, {"src/x.py": "def lease():\n    return 'writer'\n"})
     assert e.index("one", ["src/x.py"]) == {"changed": 1} and e.store.table("decisions").count() == 1  # a partial pass keeps the decisions

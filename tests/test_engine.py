@@ -113,6 +113,13 @@ def test_bm25_and_fallback(spark):
     assert [r["rank"] for r in ranked] == [1, 2] and ranked[0]["score"] >= ranked[1]["score"]
 
 
+def test_index_maintenance(spark):
+    rows = [chunk(i, f"alpha w{i} w{i}") for i in range(4)]
+    index = S.postings(chunks_of(spark, rows[:3]))
+    after = S.maintain_postings(index, chunks_of(spark, rows[3:]), chunks_of(spark, rows[:1]))
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, S.postings(chunks_of(spark, rows[1:])).collect()))
+
+
 def test_statistics_ignore_the_filter(spark):
     rows = [chunk(i, "wombat " * (i % 3 + 1), language="rust" if i % 2 else "csharp") for i in range(1, 9)]
     df = chunks_of(spark, rows)
