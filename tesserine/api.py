@@ -130,7 +130,8 @@ class Engine:
         bad = unreadable.select(F.lit(row["id"]).cast("long").alias("project_id"), "path")
         before = self.store.table("files").where(F.col("project_id") == row["id"]).select("path")
         counts = self.store.index(
-            row["id"], seen.select("path", "content"), int(self.clock()), override, scope, bad, profiled=settings.profile is not None and settings.behavior != "off")
+            row["id"], seen.select("path", "content"), int(self.clock()), override, scope, bad, profiled=settings.profile is not None and settings.behavior != "off",
+            plugins=tuple(p for p in self.plugins if p.name in settings.plugins))
         if paths is None:
             self.refresh_authority(row["id"], seen, unreadable)
         elif not _decision_files(_under(before, paths).union(seen.select("path"))).isEmpty():

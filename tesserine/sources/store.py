@@ -178,7 +178,7 @@ class ChunkStore:
 
     # -- indexing
 
-    def index(self, project_id: int, observed: DataFrame, now: int = 0, override: bool = False, scope: DataFrame | None = None, unreadable: DataFrame | None = None, epoch: tuple[str, int] | None = None, profiled: bool = False, unchanged: DataFrame | None = None) -> dict[str, int]:
+    def index(self, project_id: int, observed: DataFrame, now: int = 0, override: bool = False, scope: DataFrame | None = None, unreadable: DataFrame | None = None, epoch: tuple[str, int] | None = None, profiled: bool = False, unchanged: DataFrame | None = None, plugins: tuple = ()) -> dict[str, int]:
         """One pass over a project: observed (path, content binary) against what is stored, published as one generation.
 
         Files whose stamp is unchanged are not read again; chunks whose content is unchanged keep their row and vector.
@@ -203,7 +203,7 @@ class ChunkStore:
         gone = state.where("state = 'deleted'").select("project_id", "path")
         if not sum(counts.get(s, 0) for s in ("new", "changed", "deleted")):
             return counts
-        made = chunk_files(seen.join(touched, ["project_id", "path"], "left_semi"), (project_id,) if profiled else ())
+        made = chunk_files(seen.join(touched, ["project_id", "path"], "left_semi"), (project_id,) if profiled else (), plugins)
         made = keep(made, "made-chunks")
         fresh = made.join(chunks.select("project_id", "chunk_id"), ["project_id", "chunk_id"], "left_anti")
         ranked = with_rank(ordered(fresh.select("project_id", "chunk_id", "authority_tier"), [], [F.col("project_id"), F.col("chunk_id")], "new-chunks"), [])

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from tesserine.api import Engine, parse_settings
+from tesserine.operators.chunking import Plugin
 from tesserine.sources.store import StaleWriter
 from tesserine.streaming import changes as C
 
@@ -72,6 +73,18 @@ def test_index_search_expand(spark, tmp_path):
     assert e.search("another")[0].count() == 0
 
 
+def test_plugins_are_opted_into(spark, tmp_path):
+    root = tmp_path / "p"
+    write(root, {"a.log": "line\n" * 60, ".index.toml": ""})
+    e = Engine(spark, f"file://{tmp_path}/store", plugins=(Plugin("logs", ("log",), lines=20),))
+    e.add(str(root), "P")
+    e.index("p")
+    assert [r["line_end"] for r in e.chunks("p", "a.log").collect()] == [60]
+    write(root, {".index.toml": '[plugins]\nenable = ["logs"]\n', "a.log": "line\n" * 61})
+    e.index("p")
+    assert [r["line_end"] for r in e.chunks("p", "a.log").collect()][0] == 20
+
+
 def test_push(spark, tmp_path):
     now = [1000.0]
     e = Engine(spark, f"file://{tmp_path}/store", clock=lambda: now[0])
