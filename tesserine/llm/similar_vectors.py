@@ -102,7 +102,7 @@ def _copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return first.select("id"), rest.select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank: int = 64, max_pivots: int = MAX_PIVOTS, cell: int = CELL, seed: int = 7) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank: int = 128, max_pivots: int = MAX_PIVOTS, cell: int = CELL, seed: int = 7) -> DataFrame:
     """(id, other, cosine, rank): for every usable vector its k most similar usable vectors of the same dims.
 
     vectors: (id, dims, vector); see usable_vectors. Approximate: the true neighbours are found with a recall above
