@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,14 +94,15 @@ def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def effective_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every chunk's tier, where the decisions with even numbers that a project's documents cite are its active ones: the
-    test tables have no decision ledgers."""
+    """Every chunk's tier, where the decisions with even numbers that a project's chunks cite stand in for its active ones;
+    document_tiers takes those of the project's own ledgers."""
     chunks = stored_chunks(spark, sf)
     refs = F.from_json(F.get_json_object("vault", "$.decision_refs"), "array<string>")
     active = chunks.select("project_id", F.explode(refs).alias("id")).where("cast(substr(id, 3) as int) % 2 = 0").distinct()
     return A.recompute(chunks, table(spark, sf, "projects"), active).select("id", "tier", "demotion")
 
 
+#: Hand-written ledgers and records for ledger_active and ledger_violations; document_decisions reads real texts.
 LEDGERS = [
     (1, "design/0_Canon/DECISIONS.md", "# Decisions\n\n## D-0001 — One\n- **Status:** Accepted\n\n## D-0002 — Two\n- **Status:** Accepted\n- **Supersedes:** D-0001.\n\n## D-0003 — Three\n- **Status:** Proposed\n- **Supersedes:** D-0002\n\n## Notes\n- **Status:** Accepted\n"),
     (1, "design/0_Canon/decisions/D-0004-four.md", "# D-0004 — Four\n\n* **Status**: accepted.\n* **Supersedes:** D-0002's second clause only\n"),
@@ -121,6 +124,27 @@ def ledger_violations(spark: SparkSession, sf: str) -> DataFrame:
     return A.resolve(A.decision_entries(sources)).where("violation is not null").select("project_id", "path", "violation")
 
 
+def _document_ledgers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document of a project as a ledger of it. Only texts with the heading of a decision can hold an entry, so the
+    others are left out before lines are told apart."""
+    docs = table(spark, sf, "documents").where("project_id is not null").where(F.col("text").rlike(r"##\s*D-[0-9]{4}"))
+    return docs.select("project_id", F.concat(F.lit("d/"), F.col("doc_id"), F.lit("/0_Canon/DECISIONS.md")).alias("path"), "text")
+
+
+def document_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every decision in the documents as it resolves."""
+    return A.resolve(A.decision_entries(_document_ledgers(spark, sf))).select("project_id", "path", "id", "accepted", "excluded", "violation")
+
+
+def document_active(spark: SparkSession, sf: str) -> DataFrame:
+    return A.active_decisions(A.resolve(A.decision_entries(_document_ledgers(spark, sf))))
+
+
+def document_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk's tier under the active decisions of its project's documents."""
+    return A.recompute(stored_chunks(spark, sf), table(spark, sf, "projects"), document_active(spark, sf)).select("id", "tier", "demotion")
+
+
 def repaired_names(spark: SparkSession, sf: str) -> DataFrame:
     """The registry with every second name cut to its first word, so that names clash."""
     p = table(spark, sf, "projects")
@@ -176,7 +200,7 @@ QUERIES = {
     for f in (
         manifest_diff, scoped_diff, mass_delete_guard, pass_summary, manifest_needs, malformed_paths, status_counts, top_offenders, fleet_totals,
         latency_percentiles, client_percentiles, skip_reasons, window_chunks, markdown_chunks, effective_tiers, ledger_active, ledger_violations,
-        repaired_names, ir_metrics, precision_judged, hit_by_kind, judge_calibration, worst_offenders,
+        document_decisions, document_active, document_tiers, repaired_names, ir_metrics, precision_judged, hit_by_kind, judge_calibration, worst_offenders,
     )
 }
 
@@ -270,3 +294,24 @@ select root, case when p > 1 then name || ' (' || p || ')' else name end as name
     "judge_calibration": _RUNS + "select count(*) as judged, count(*) filter (where label >= 1) as relevant, count(*) filter (where label = 2) as \"full\" from keys join labels using (query_id, path)",
     "worst_offenders": _RUNS + "select q.model, q.query_id, q.first_rank::int as first_rank, j.p5 from per_query q left join judged j using (model, query_id) where first_rank is null or first_rank > 5 or p5 < 0.4",
 }
+
+_DECISIONS = r"""
+with lines as (select project_id, doc_id, generate_subscripts(l, 1) as n, ltrim(unnest(l), ' ') as line
+               from (select project_id, doc_id, string_split(replace(ltrim(text, chr(65279)), chr(13) || chr(10), chr(10)), chr(10)) as l from documents where project_id is not null and text is not null)),
+blocks as (select *, starts_with(line, '##') as heading, sum(starts_with(line, '##')::int) over (partition by project_id, doc_id order by n) as block,
+           '^(?:[-*+][ \t]+)?\*{0,2}[ \t]*(?i:STATUS)\*{0,2}:\*{0,2}(.*)$' as st, '^(?:[-*+][ \t]+)?\*{0,2}[ \t]*(?i:SUPERSEDES)\*{0,2}:\*{0,2}(.*)$' as su from lines),
+marked as (select *, case when heading then nullif(regexp_extract(line, '^#+\s*(D-[0-9]{4})(?:[^A-Za-z0-9_]|$)', 1), '') end as named,
+           case when not heading and regexp_matches(line, st) then lower(regexp_replace(trim(regexp_extract(line, st, 1), ' '), '[*. ]+$', '')) end as status,
+           case when not heading and regexp_matches(line, su) then list_filter(list_transform(regexp_split_to_array(trim(regexp_extract(line, su, 1)), '\s+'),
+             lambda w: regexp_replace(w, '^[\[\]*().,;]+|[\[\]*().,;]+$', '', 'g')), lambda w: w <> '' and lower(w) <> 'and' and w <> '&') end as words from blocks),
+entries as (select project_id, doc_id, block, max(named) as id, coalesce(arg_max(status, n) filter (where status is not null), '') = 'accepted' as accepted,
+            flatten(list(words) filter (where len(list_filter(words, lambda w: not regexp_full_match(w, 'D-[0-9]{4}'))) = 0)) as supersedes
+            from marked group by 1, 2, 3 having max(named) is not null),
+active as (select distinct project_id, id from entries where accepted except select project_id, unnest(supersedes) from entries where accepted)
+"""
+
+SQL |= {
+    "document_decisions": _DECISIONS + "select project_id, 'd/' || doc_id || '/0_Canon/DECISIONS.md' as path, id, accepted, false as excluded, null::varchar as violation from entries",
+    "document_active": _DECISIONS + "select project_id, id from active",
+    "document_tiers": re.sub(r"(?m)^active as .*\n", "", SQL["effective_tiers"]).replace("with c as", _DECISIONS + ", c as", 1),
+}
