@@ -22,7 +22,7 @@ def covers(scope: Column, path: Column) -> Column:
     return (path == scope) | F.startswith(path, F.concat(scope, F.lit("/")))
 
 
-def in_scope(files: DataFrame, scope: DataFrame | None) -> DataFrame:
+def in_scope(files: DataFrame, scope: DataFrame | None, keys: list[str] = KEYS) -> DataFrame:
     """The rows that some entry of scope (project_id, scope) covers; all of them if there is no scope.
 
     Every folder above a path is generated and looked up, so this is a hash join."""
@@ -30,34 +30,35 @@ def in_scope(files: DataFrame, scope: DataFrame | None) -> DataFrame:
         return files
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    hit = files.select(*KEYS, F.explode(above).alias("scope")).join(scope.select("project_id", "scope").distinct(), ["project_id", "scope"], "left_semi")
-    return files.join(hit.select(*KEYS).distinct(), KEYS, "left_semi")
+    hit = files.select(*keys, F.explode(above).alias("scope")).join(scope.select("project_id", "scope").distinct(), ["project_id", "scope"], "left_semi")
+    return files.join(hit.select(*keys).distinct(), keys, "left_semi")
 
 
-def classify(observed: DataFrame, stored: DataFrame, scope: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+def classify(observed: DataFrame, stored: DataFrame, scope: DataFrame | None = None, unreadable: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
     """(project_id, path, stamp, state): `new`, `changed`, `unchanged`, `deleted` or `unreadable` per file.
 
     observed and stored: (project_id, path, content_hash), one row per file. Absence from what was observed is the only
-    sign of deletion; files outside the scope, and files that could not be read, are never deleted."""
-    a = observed.select(*KEYS, F.col("content_hash").alias("_new"), F.lit(True).alias("_a"))
-    b = in_scope(stored, scope).select(*KEYS, F.col("content_hash").alias("_old"), F.lit(True).alias("_b"))
-    both = a.join(b, KEYS, "full")
+    sign of deletion; files outside the scope, and files that could not be read, are never deleted. Many listings of a
+    project are told apart by a further column in keys, which comes out as well."""
+    a = observed.select(*keys, F.col("content_hash").alias("_new"), F.lit(True).alias("_a"))
+    b = in_scope(stored, scope, keys).select(*keys, F.col("content_hash").alias("_old"), F.lit(True).alias("_b"))
+    both = a.join(b, keys, "full")
     if unreadable is not None:
-        both = both.join(unreadable.select(*KEYS).distinct().withColumn("_u", F.lit(True)), KEYS, "left")
+        both = both.join(unreadable.select(*keys).distinct().withColumn("_u", F.lit(True)), keys, "left")
     else:
         both = both.withColumn("_u", F.lit(None).cast("boolean"))
     state = (
         F.when(F.col("_u"), "unreadable").when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "deleted")
         .when(F.col("_new").eqNullSafe(F.col("_old")), "unchanged").otherwise("changed")
     )
-    return both.select(*KEYS, F.coalesce("_new", "_old").alias("stamp"), state.alias("state"))
+    return both.select(*keys, F.coalesce("_new", "_old").alias("stamp"), state.alias("state"))
 
 
-def guard(classified: DataFrame, stored: DataFrame) -> DataFrame:
-    """(project_id, deletes, stored, refused) per project with stored files or deletions."""
-    gone = classified.where("state = 'deleted'").groupBy("project_id").agg(F.count("*").alias("deletes"))
-    have = stored.select(*KEYS).distinct().groupBy("project_id").agg(F.count("*").alias("stored"))
-    rows = have.join(gone, "project_id", "full").select("project_id", F.coalesce("deletes", F.lit(0)).alias("deletes"), F.coalesce("stored", F.lit(0)).alias("stored"))
+def guard(classified: DataFrame, stored: DataFrame, by: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """(project_id, deletes, stored, refused) per project, or what else `by` says, with stored files or deletions."""
+    gone = classified.where("state = 'deleted'").groupBy(*by).agg(F.count("*").alias("deletes"))
+    have = stored.select(*by, "path").distinct().groupBy(*by).agg(F.count("*").alias("stored"))
+    rows = have.join(gone, list(by), "full").select(*by, F.coalesce("deletes", F.lit(0)).alias("deletes"), F.coalesce("stored", F.lit(0)).alias("stored"))
     return rows.withColumn("refused", (F.col("deletes") > GUARD_FILES) & (F.col("deletes") * 2 > F.col("stored")))
 
 
@@ -113,11 +114,11 @@ def store_vectors(stored: DataFrame, incoming: DataFrame, chunks: DataFrame) ->
     return stored.join(live.select("chunk_rowid"), "chunk_rowid", "left_anti").unionByName(live)
 
 
-def pass_summary(classified: DataFrame) -> DataFrame:
-    """One row of counts: seen, new, changed, unchanged, deleted, unreadable."""
+def pass_summary(classified: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of counts, or one for each value of `by`: seen, new, changed, unchanged, deleted, unreadable."""
     states = ("new", "changed", "unchanged", "deleted", "unreadable")
     seen = F.count_if(F.col("state") != "deleted").alias("seen")
-    return classified.agg(seen, *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states))
+    return classified.groupBy(*by).agg(seen, *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in states))
 
 
 def observed(classified: DataFrame) -> tuple[DataFrame, Observation]:
@@ -139,17 +140,19 @@ def manifest_checksum(manifest: DataFrame) -> DataFrame:
     return lines.select("project_id", F.sha2(F.array_join(F.transform("_l", lambda s: s["line"]), "\n"), 256).alias("checksum"))
 
 
-def malformed(manifest: DataFrame) -> DataFrame:
+def malformed(manifest: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(project_id, path, reason) of paths that refuse their whole listing."""
-    return manifest.select("project_id", "path", malformed_path(F.col("path")).alias("reason")).where("reason is not null")
+    return manifest.select(*keys, malformed_path(F.col("path")).alias("reason")).where("reason is not null")
 
 
-def negotiate(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+def negotiate(manifest: DataFrame, stored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(project_id, path, content_hash, need): files of well-formed manifests whose content must be sent."""
-    bad = malformed(manifest).select("project_id").distinct()
-    good = manifest.join(bad, "project_id", "left_anti").select(*KEYS, "content_hash")
-    old = stored.select(*KEYS, F.col("content_hash").alias("_old"))
-    return good.join(old, KEYS, "left").select(*KEYS, "content_hash", (~F.col("content_hash").eqNullSafe(F.col("_old"))).alias("need"))
+    one = [k for k in keys if k != "path"]
+    bad = malformed(manifest, keys).select(*one).distinct()
+    good = manifest.join(bad, one, "left_anti").select(*keys, "content_hash")
+    old = stored.select(*keys, F.col("content_hash").alias("_old"), F.lit(True).alias("_b"))
+    need = F.col("_b").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_old"))
+    return good.join(old, keys, "left").select(*keys, "content_hash", need.alias("need"))
 
 
 def declared_mounts(entries: list[tuple[str, str]]) -> list[tuple[str, str]]:

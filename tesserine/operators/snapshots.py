@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.sources.durable import keep
+
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
 
@@ -87,6 +89,20 @@ def snapshot_changes(
     )
 
 
+def consecutive_listings(listing: DataFrame, sequence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is stored and what is observed, (project_id, snapshot_no, path, content_hash), in every complete snapshot but
+    a project's first: the rows of the preceding complete one under the number of the one compared, and its own rows.
+
+    A null content has the content of the preceding complete snapshots as far as they hold the key without a gap."""
+    rows = listing.join(sequence, ["project_id", "snapshot_no"])
+    key = Window.partitionBy("project_id", "path").orderBy("_seq")
+    runs = rows.withColumn("_run", F.col("_seq") - F.row_number().over(key))
+    run = Window.partitionBy("project_id", "path", "_run").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    whole = keep(runs.withColumn("content_hash", F.last("content_hash", ignorenulls=True).over(run)), "listings")
+    stored = whole.where("_next is not null").select("project_id", F.col("_next").alias("snapshot_no"), "path", "content_hash")
+    return stored, whole.where("_seq > 1").select("project_id", "snapshot_no", "path", "content_hash")
+
+
 def file_listing(snapshots: DataFrame) -> DataFrame:
     """file_snapshots with `/` for the other path separator and hashes in lower case, one row per key."""
     rows = snapshots.select(

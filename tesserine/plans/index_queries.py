@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tesserine.functions import text as T
 from tesserine.operators import authority as A
 from tesserine.operators import chunking, evaluation, indexing, status
-from tesserine.operators.snapshots import file_listing
+from tesserine.operators.snapshots import complete_sequence, consecutive_listings, file_listing
 from tesserine.plans.search_queries import stored_chunks
 from tesserine.sources.store import repair_names
 from tesserine.sources.tables import table
 
 OLD_SNAPSHOT, NEW_SNAPSHOT = 4, 5
+PAIR = ("project_id", "snapshot_no")
+PAIR_KEYS = [*PAIR, "path"]
 
 
 def _listings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +53,38 @@ def manifest_needs(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.negotiate(observed, stored).where("need").select("project_id", "path")
 
 
+def _all_listings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What is stored and observed in every pair of consecutive complete listings of each project."""
+    sequence = complete_sequence(table(spark, sf, "manifests"), "project_id", "snapshot_no", "is_complete")
+    return consecutive_listings(file_listing(table(spark, sf, "file_snapshots")), sequence)
+
+
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    stored, observed = _all_listings(spark, sf)
+    return indexing.classify(observed, stored, keys=PAIR_KEYS).select(*PAIR_KEYS, "state")
+
+
+def snapshot_scoped_diff(spark: SparkSession, sf: str) -> DataFrame:
+    stored, observed = _all_listings(spark, sf)
+    scope = table(spark, sf, "projects").select(F.col("id").alias("project_id"), F.lit("src").alias("scope"))
+    return indexing.classify(indexing.in_scope(observed, scope, PAIR_KEYS), stored, scope, keys=PAIR_KEYS).select(*PAIR_KEYS, "state")
+
+
+def snapshot_delete_guard(spark: SparkSession, sf: str) -> DataFrame:
+    stored, observed = _all_listings(spark, sf)
+    return indexing.guard(indexing.classify(observed, stored, keys=PAIR_KEYS), stored, PAIR)
+
+
+def snapshot_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    stored, observed = _all_listings(spark, sf)
+    return indexing.pass_summary(indexing.classify(observed, stored, keys=PAIR_KEYS), PAIR)
+
+
+def snapshot_needs(spark: SparkSession, sf: str) -> DataFrame:
+    stored, observed = _all_listings(spark, sf)
+    return indexing.negotiate(observed, stored, PAIR_KEYS).where("need").select(*PAIR_KEYS)
+
+
 def malformed_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The paths of the raw listings, whose senders did not all use forward slashes."""
     raw = table(spark, sf, "file_snapshots").select("project_id", "path").distinct()
@@ -198,7 +232,8 @@ def worst_offenders(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_diff, scoped_diff, mass_delete_guard, pass_summary, manifest_needs, malformed_paths, status_counts, top_offenders, fleet_totals,
+        manifest_diff, scoped_diff, mass_delete_guard, pass_summary, manifest_needs, snapshot_diff, snapshot_scoped_diff,
+        snapshot_delete_guard, snapshot_summaries, snapshot_needs, malformed_paths, status_counts, top_offenders, fleet_totals,
         latency_percentiles, client_percentiles, skip_reasons, window_chunks, markdown_chunks, effective_tiers, ledger_active, ledger_violations,
         document_decisions, document_active, document_tiers, repaired_names, ir_metrics, precision_judged, hit_by_kind, judge_calibration, worst_offenders,
     )
@@ -315,3 +350,30 @@ SQL |= {
     "document_active": _DECISIONS + "select project_id, id from active",
     "document_tiers": re.sub(r"(?m)^active as .*\n", "", SQL["effective_tiers"]).replace("with c as", _DECISIONS + ", c as", 1),
 }
+
+_ALL_LISTINGS = """
+with listing as (select project_id, snapshot_no, replace(path, chr(92), '/') as path, nullif(arg_max(coalesce(lower(content_hash), ''), (received_at, coalesce(lower(content_hash), ''))), '') as h
+                 from file_snapshots where project_id is not null and snapshot_no is not null and path is not null group by 1, 2, 3),
+sequence as (select project_id, snapshot_no, row_number() over (partition by project_id order by snapshot_no) as seq, lead(snapshot_no) over (partition by project_id order by snapshot_no) as nxt
+             from (select distinct project_id, snapshot_no from manifests where is_complete and project_id is not null and snapshot_no is not null)),
+runs as (select *, seq - row_number() over (partition by project_id, path order by seq) as run from listing join sequence using (project_id, snapshot_no)),
+whole as (select project_id, snapshot_no, path, seq, nxt, last_value(h ignore nulls) over (partition by project_id, path, run order by seq rows between unbounded preceding and current row) as h from runs),
+a as (select project_id, nxt as snapshot_no, path, h from whole where nxt is not null),
+b as (select project_id, snapshot_no, path, h from whole where seq > 1),
+diff as (select project_id, snapshot_no, path, case when a.path is null then 'new' when b.path is null then 'deleted' when a.h is not distinct from b.h then 'unchanged' else 'changed' end as state
+         from a full join b using (project_id, snapshot_no, path)),
+guarded as (select project_id, snapshot_no, coalesce(deletes, 0) as deletes, coalesce(stored, 0) as stored
+            from (select project_id, snapshot_no, count(*) as stored from a group by 1, 2) full join (select project_id, snapshot_no, count(*) as deletes from diff where state = 'deleted' group by 1, 2) using (project_id, snapshot_no)),
+bad as (select distinct project_id, snapshot_no from b where path = '' or starts_with(path, '/') or regexp_matches(path, '^[A-Za-z]:') or contains('/' || path || '/', '//')
+        or contains('/' || path || '/', '/../') or contains('/' || lower(path) || '/', '/.git/'))
+"""
+
+SQL |= {
+    "snapshot_diff": _ALL_LISTINGS + "select project_id, snapshot_no, path, state from diff",
+    "snapshot_scoped_diff": _ALL_LISTINGS + "select project_id, snapshot_no, path, state from diff where (path = 'src' or starts_with(path, 'src/')) and project_id in (select id from projects)",
+    "snapshot_delete_guard": _ALL_LISTINGS + "select *, deletes > 100 and deletes * 2 > stored as refused from guarded",
+    "snapshot_summaries": _ALL_LISTINGS + """select project_id, snapshot_no, count(*) filter (where state <> 'deleted') as seen, count(*) filter (where state = 'new') as n_new,
+count(*) filter (where state = 'changed') as n_changed, count(*) filter (where state = 'unchanged') as n_unchanged,
+count(*) filter (where state = 'deleted') as n_deleted, 0::bigint as n_unreadable from diff group by 1, 2""",
+    "snapshot_needs": _ALL_LISTINGS + "select project_id, snapshot_no, path from diff anti join bad using (project_id, snapshot_no) where state in ('new', 'changed')",
+}

@@ -41,3 +41,20 @@ def test_document_decisions(spark, folder):
 
     for name in ("document_active", "document_decisions", "document_tiers"):
         assert rows_of(Q.QUERIES[name](spark, sf)) == rows_of_sql(con, Q.SQL[name])
+
+
+def test_snapshot_pairs(spark, folder):
+    """Snapshot 3 is cut short: 4 is compared with 2, and nothing of 3 counts as gone."""
+    listings = {1: "a:1 b:1 src/c:1", 2: "a:2 b: src/c:1", 3: "a:2", 4: "a:2 b:1 src/d:", 6: "a:2 b:3 src/d:9"}
+    rows = [(5, n, p, h or None, f"2026-01-0{n} 00:00:00") for n, x in listings.items() for p, h in (f.split(":") for f in x.split())]
+    sf = folder(
+        file_snapshots=(rows, "project_id long, snapshot_no int, path string, content_hash string, received_at string"),
+        manifests=([(5, n, n != 3) for n in (1, 2, 3, 4, 6)] + [(5, 7, True)], "project_id long, snapshot_no int, is_complete boolean"),
+        projects=([(5,)], "id long"))
+    got = {(r.snapshot_no, r.path): r.state for r in Q.snapshot_diff(spark, sf).collect()}
+    assert {k for k, s in got.items() if s == "deleted"} == {(4, "src/c"), (7, "a"), (7, "b"), (7, "src/d")}
+    assert {k for k, s in got.items() if s == "changed"} == {(2, "a"), (6, "b"), (6, "src/d")} and {k for k, s in got.items() if s == "new"} == {(4, "src/d")}
+    assert {(r.snapshot_no, r.path) for r in Q.snapshot_scoped_diff(spark, sf).collect()} == {k for k in got if k[1].startswith("src/")}
+    assert {(r.snapshot_no, r.path) for r in Q.snapshot_needs(spark, sf).collect()} == {k for k, s in got.items() if s in ("new", "changed")}
+    assert {(r.snapshot_no, r.deletes, r.stored, r.refused) for r in Q.snapshot_delete_guard(spark, sf).collect()} == {(2, 0, 3, False), (4, 1, 3, False), (6, 0, 3, False), (7, 3, 3, False)}
+    assert {(r.snapshot_no, r.seen, r.n_new, r.n_changed, r.n_deleted) for r in Q.snapshot_summaries(spark, sf).collect()} == {(2, 3, 0, 1, 0), (4, 3, 1, 0, 1), (6, 3, 0, 2, 0), (7, 0, 0, 0, 3)}
