@@ -70,7 +70,8 @@ VENDOR_FOLDER = (
 _DATA = re.compile(
     r"""(?:(?:0x[0-9a-f]+|-?\d+(?:\.\d+)?)(?:[uUlLfF]{0,2})\s*,\s*){4,}(?:0x[0-9a-f]+|-?\d+(?:\.\d+)?)?|(?:\{\s*\\?"{1,2}\w+\\?"{1,2}\s*:[^{}\n]*\}\s*,?\s*){2,}|["'][A-Za-z0-9+/=\\]{40,}["']""",
     re.IGNORECASE | re.ASCII)
-_DATA_HINT = re.compile(rb"""\d\s*,\s*-?\d[\w.]*\s*,\s*-?\d|\}\s*,\s*\{|[A-Za-z0-9+/=]{40}""")
+#: What every match of _DATA holds: the ends of two of its numbers and the start of a third, two objects, or a long string.
+_DATA_HINT = re.compile(rb"""[0-9A-Fa-f][uUlLfF]{0,2}\s*,\s*-?\d[\w.]*\s*,\s*-?\d|\}\s*(?:,\s*)?\{|[A-Za-z0-9+/=\\]{40}""")
 
 FEATURES = "lines long, chars long, data_chars long, long_chars long, bits double, names long, banner int, licence int, shapes array<struct<shape:long,n:int>>"
 

@@ -1,5 +1,6 @@
 """Queries that must take in their whole tables, over small hand-made ones."""
 
+import numpy as np
 import pytest
 
 from tesserine.plans import index_queries as Q
@@ -58,3 +59,18 @@ def test_snapshot_pairs(spark, folder):
     assert {(r.snapshot_no, r.path) for r in Q.snapshot_needs(spark, sf).collect()} == {k for k, s in got.items() if s in ("new", "changed")}
     assert {(r.snapshot_no, r.deletes, r.stored, r.refused) for r in Q.snapshot_delete_guard(spark, sf).collect()} == {(2, 0, 3, False), (4, 1, 3, False), (6, 0, 3, False), (7, 3, 3, False)}
     assert {(r.snapshot_no, r.seen, r.n_new, r.n_changed, r.n_deleted) for r in Q.snapshot_summaries(spark, sf).collect()} == {(2, 3, 0, 1, 0), (4, 3, 1, 0, 1), (6, 3, 0, 2, 0), (7, 0, 0, 0, 3)}
+
+
+DATA = [
+    "{1.0f, 2.5f, 3.5f, 4.0f, 5.5f}", "{10u, 20u, 30u, 40u, 50u}", "0xaf, 0xbe, 0xcd, 0xff, 0xaa,", "0XAFuL ,-1.5 , 2F,\n-3l,4",
+    '{"a": 1}\n{"a": 2}\n{"a": 3}', '"' + r"\x1f\x8b" * 8 + '"', "1,2,3,4,5", '[{"a": 1}, {"b": 2}]', "'" + "Ab9+" * 10 + "'",
+]
+
+
+@pytest.mark.parametrize("text", DATA)
+def test_data_measure_has_no_gap(text):
+    from tesserine.llm import generated_files as G
+
+    m = G._DATA.search(text)
+    measured = G.measure([text, "no data"], ["c", "c"], [1, 1], {G.OTHER: G._bits(np.ones(G.CELLS, np.int64))})
+    assert m and measured["data_chars"] == [sum(len(x[0]) for x in G._DATA.finditer(text)), 0]
