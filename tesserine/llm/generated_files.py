@@ -111,7 +111,8 @@ def language_key(language: Column, path: Column) -> Column:
 def train(chunks: DataFrame) -> dict[str, np.ndarray]:
     """Per language the bits of each name character, and of the end of a name, given the two characters before it, over
     the language's own mean: trigram counts over all chunks, with absolute smoothing. 1 is what a name of the language
-    costs on average. chunks: (lang, text). Languages beyond the MAX_LANGUAGES most frequent ones share a model."""
+    costs on average. chunks: (lang, text). Languages beyond the MAX_LANGUAGES most frequent ones, and texts without a
+    language, share the model OTHER, made of their own counts."""
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -135,12 +136,13 @@ def train(chunks: DataFrame) -> dict[str, np.ndarray]:
         yield from rows(sums.items())
 
     kind = "lang string, slice int, counts binary"
-    summed = chunks.select("lang", "text").mapInArrow(count, kind).repartition("lang", "slice").mapInArrow(add, kind)
-    frequent = chunks.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    own = {r["lang"]: np.zeros((_CLASSES, CELLS // _CLASSES), np.int64) for r in frequent.collect()}
-    for r in summed.where(F.col("lang").isin(list(own))).collect():
+    frequent = chunks.where(F.col("lang") != OTHER).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    own = {lang: np.zeros((_CLASSES, CELLS // _CLASSES), np.int64) for lang in [*(r["lang"] for r in frequent.collect()), OTHER]}
+    lang = F.when(F.col("lang").isin(list(own)), F.col("lang")).otherwise(OTHER).alias("lang")
+    summed = chunks.select(lang, "text").mapInArrow(count, kind).repartition("lang", "slice").mapInArrow(add, kind)
+    for r in summed.collect():
         own[r["lang"]][r["slice"]] = np.frombuffer(r["counts"], "<i8")
-    return {lang: _bits(c.reshape(-1)) for lang, c in [*own.items(), (OTHER, sum(own.values(), np.zeros((_CLASSES, CELLS // _CLASSES), np.int64)))]}
+    return {lang: _bits(c.reshape(-1)) for lang, c in own.items()}
 
 
 def _bits(counts: np.ndarray) -> np.ndarray:

@@ -74,3 +74,14 @@ def test_data_measure_has_no_gap(text):
     m = G._DATA.search(text)
     measured = G.measure([text, "no data"], ["c", "c"], [1, 1], {G.OTHER: G._bits(np.ones(G.CELLS, np.int64))})
     assert m and measured["data_chars"] == [sum(len(x[0]) for x in G._DATA.finditer(text)), 0]
+
+
+def test_rare_languages_share_their_own_model(spark, monkeypatch):
+    from tesserine.llm import generated_files as G
+
+    monkeypatch.setattr(G, "MAX_LANGUAGES", 1)
+    rows = [("a", "abc abd"), ("a", "abc"), ("b", "qzx qzx"), ("c", "qzy"), (G.OTHER, "qzz")]
+    models = G.train(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    assert set(models) == {"a", G.OTHER}
+    same = G.train(spark.createDataFrame([("x", "qzx qzx"), ("x", "qzy"), ("x", "qzz")], "lang string, text string").coalesce(1))["x"]
+    assert np.array_equal(models[G.OTHER], same)
