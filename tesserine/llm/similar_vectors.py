@@ -5,7 +5,7 @@ entries carry the vector's permutation; vectors that share a pivot meet in its f
 the footrule distance of their permutations, the best ones are reranked by their exact cosine, and per vector the best
 k over its files are kept. Pivots are a bounded sample of the vectors, 8 * sqrt(n) of them, so that files hold
 about prefix * sqrt(n) / 8 vectors where the data is dense or thin alike. Every vector is indexed and every vector is
-a query. A file beyond `cell` vectors is divided by the next pivots of the permutations, again and again.
+a query. A file beyond `cell` vectors is worked off by pairs of blocks, so that all its members still meet.
 """
 
 from __future__ import annotations
@@ -138,19 +138,16 @@ def similar_vectors(vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank
 
     posts = rows.join(indexed, "id", "left_semi").select("id", "dims", "vector").mapInArrow(permute, "id bigint, dims int, unit binary, perm array<int>")
     posts = keep(posts, "permutations")
-    filed = posts.select("id", "dims", F.explode("perm").alias("pivot")).select("id", "dims", F.array("pivot").alias("file"))
-    placed = None
-    for _ in range(prefix - 1):  # divide the files that are too large
-        sizes = filed.groupBy("dims", "file").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > cell).select("dims", "file")
-        if large.isEmpty():
-            break
-        fits = filed.join(large, ["dims", "file"], "left_anti")
-        placed = fits if placed is None else placed.unionByName(fits)
-        wide = filed.join(large, ["dims", "file"], "left_semi").join(posts.select("id", "perm"), "id")
-        longer = F.transform(F.filter("perm", lambda p: ~F.array_contains("file", p)), lambda p: F.array_sort(F.array_append("file", p)))
-        filed = keep(wide.select("id", "dims", F.explode(longer).alias("file")).distinct(), "divided-files")
-    placed = filed if placed is None else placed.unionByName(filed)
+    filed = posts.select("id", "dims", F.explode("perm").alias("pivot"))
+    large = keep(filed.groupBy("dims", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > cell), "large-files")
+    # A row goes to every pair of blocks with its own block in it; large files are no more than pivots.
+    blocks = F.coalesce(F.ceil(F.col("n") / max(1, cell // 2)), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("_b")).cast("int")
+    pairs = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("_b") - 1), lambda x: (x != F.col("_own")) | (F.col("_b") == 1)),
+        lambda x: F.array(F.col("pivot"), F.least(x, "_own"), F.greatest(x, "_own")))
+    parted = filed.join(F.broadcast(large), ["dims", "pivot"], "left").withColumn("_b", blocks).withColumn("_own", own)
+    placed = parted.select("id", "dims", F.explode(pairs).alias("file"))
 
     def link(batches):
         def close(cell_rows):

@@ -85,3 +85,12 @@ def test_rare_languages_share_their_own_model(spark, monkeypatch):
     assert set(models) == {"a", G.OTHER}
     same = G.train(spark.createDataFrame([("x", "qzx qzx"), ("x", "qzy"), ("x", "qzz")], "lang string, text string").coalesce(1))["x"]
     assert np.array_equal(models[G.OTHER], same)
+
+
+def test_large_files_lose_no_link(spark):
+    from tesserine.llm import similar_vectors as V
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, 6, rng.normal(size=6).tolist()) for i in range(400)], "id long, dims int, vector array<float>")
+    whole, parted = ({(r.id, r.other, r["rank"]) for r in V.similar_vectors(df, cell=c, max_pivots=12, rerank=400).collect()} for c in (1000, 40))
+    assert whole == parted
