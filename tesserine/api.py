@@ -315,4 +315,4 @@ class Engine:
 
     def status(self) -> DataFrame:
         c = self.store.current()
-        return status.status_counts(*(self.store.table(t, c) for t in ("projects", "files", "chunks", "chunk_vectors")))
+        return status.status_counts(*(self.store.table(t, c) for t in ("projects", "files", "chunks", "chunk_vectors", "decisions")))

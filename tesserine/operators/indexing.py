@@ -34,6 +34,16 @@ def in_scope(files: DataFrame, scope: DataFrame | None, keys: list[str] = KEYS)
     return files.join(hit.select(*keys).distinct(), keys, "left_semi")
 
 
+def containing_projects(paths: DataFrame, projects: DataFrame) -> DataFrame:
+    """(path, project_id) of every project (id, root) whose root is the path or a folder above it, by a hash join as in
+    in_scope; a path may lie in several projects or in none."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    # The root of the file system is the folder above every absolute path; `above` has it as an empty string.
+    roots = projects.select(F.col("id").alias("project_id"), F.regexp_replace("root", "/+$", "").alias("_root"))
+    return paths.select("path").distinct().withColumn("_root", F.explode(above)).join(roots, "_root").select("path", "project_id").distinct()
+
+
 def classify(observed: DataFrame, stored: DataFrame, scope: DataFrame | None = None, unreadable: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
     """(project_id, path, stamp, state): `new`, `changed`, `unchanged`, `deleted` or `unreadable` per file.
 

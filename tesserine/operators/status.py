@@ -12,8 +12,9 @@ LATENCY_WINDOW = 4096
 OFFENDERS = 5
 
 
-def status_counts(projects: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(project_id, files, chunks, embedded, violating_files) of every project.
+def status_counts(projects: DataFrame, files: DataFrame, chunks: DataFrame, vectors: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """(project_id, files, chunks, embedded, violating_files) of every project, and where decisions (project_id, id), the
+    active ones, are given, active_decisions.
 
     Each table is reduced to one row per project first, so the joins carry a row per project only. Repeated rows count
     once; a file counts by its path, a chunk by its id."""
@@ -22,7 +23,11 @@ def status_counts(projects: DataFrame, files: DataFrame, chunks: DataFrame, vect
     c = chunks.groupBy(id_).agg(F.count_distinct("id").alias("chunks"), F.count_distinct(F.when(F.col("demotion") == UNCITED, F.col("path"))).alias("violating_files"))
     v = vectors.groupBy(id_).agg(F.count_distinct("chunk_rowid").alias("embedded"))
     rows = projects.select(F.col("id").alias("project_id")).join(f, "project_id", "left").join(c, "project_id", "left").join(v, "project_id", "left")
-    return rows.select("project_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("files", "chunks", "embedded", "violating_files")))
+    names = ["files", "chunks", "embedded", "violating_files"]
+    if decisions is not None:
+        rows = rows.join(decisions.groupBy(id_).agg(F.count_distinct("id").alias("active_decisions")), "project_id", "left")
+        names.append("active_decisions")
+    return rows.select("project_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
 def top_offenders(chunks: DataFrame, per_project: int = OFFENDERS) -> DataFrame:

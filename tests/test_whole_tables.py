@@ -94,3 +94,21 @@ def test_large_files_lose_no_link(spark):
     df = spark.createDataFrame([(i, 6, rng.normal(size=6).tolist()) for i in range(400)], "id long, dims int, vector array<float>")
     whole, parted = ({(r.id, r.other, r["rank"]) for r in V.similar_vectors(df, cell=c, max_pivots=12, rerank=400).collect()} for c in (1000, 40))
     assert whole == parted
+
+
+def test_active_decisions_are_counted(spark):
+    from tesserine.operators import status
+
+    none = spark.createDataFrame([], "project_id long, path string, id long, demotion string, chunk_rowid long")
+    decisions = spark.createDataFrame([(1, "D-0001"), (1, "D-0002"), (1, "D-0002"), (3, "D-0009")], "project_id long, id string")
+    got = status.status_counts(spark.createDataFrame([(1,), (2,)], "id long"), none, none, none, decisions)
+    assert sorted((r.project_id, r.active_decisions) for r in got.collect()) == [(1, 2), (2, 0)]
+
+
+def test_containing_projects(spark):
+    from tesserine.operators.indexing import containing_projects
+
+    projects = spark.createDataFrame([(1, "/a"), (2, "/a/b/"), (3, "/ab"), (4, "/")], "id long, root string")
+    paths = spark.createDataFrame([("/a/b/x.md",), ("/a/b",), ("/ab/y",), ("/c",)], "path string")
+    assert sorted(map(tuple, containing_projects(paths, projects).collect())) == [
+        ("/a/b", 1), ("/a/b", 2), ("/a/b", 4), ("/a/b/x.md", 1), ("/a/b/x.md", 2), ("/a/b/x.md", 4), ("/ab/y", 3), ("/ab/y", 4), ("/c", 4)]
