@@ -4,40 +4,45 @@ A text is a bit vector over all runs of `words` consecutive words ("shingles");
 similarity of their sets reaches `threshold`. For |x| <= |y| that bounds the bits of x missing in y by
 tau(x) = floor((1-t)/(1+t) |x|), and the bits of y missing in x by floor((1-t) |y|).
 
-* Partitions: bits that occur and vanish together (all shingles around one word do) are grouped by how common they
-  are estimated to be, so that a partition's bits cost about the same to probe.
-* Unequal thresholds: by the generalised pigeonhole principle thresholds t_g >= -1 with sum(t_g + 1) = tau + 1 lose
-  nothing: in some partition y lacks at most t_g bits of x, so it holds one of any t_g + 1 of them, and those are the
-  probes. `allocate` chooses the thresholds by dynamic programming over the partitions, minimising the estimated
-  number of candidates.
-* Estimates come from a count sketch of fixed size over all texts. They steer cost only; the result is exact.
-  The cost of a bit is the same for every text and ties are broken by the bit's hash, so the cheapest allocation of
-  every text is a prefix of one global order. That is why the indexed side may be cut to its own allocation too.
-* Candidates that share an indexed bit are first held against a 256-bit parity code of their sets, whose Hamming
-  distance never exceeds that of the sets, then verified on the whole sets.
-
-Hashes have 64 bits. Copies (equal sets) are joined as one and expanded only where a result asks for pairs.
+* Correlated bits: bits that the very same texts hold (all shingles of a sentence that was copied around, say) form one
+  partition. Every bit travels to the task of its hash range, where all its holders meet; they are counted exactly, and
+  the sum of their hashes signs the bit, so that equal signatures mean equal holders. A text then gets back, for each of
+  its bits that another text holds as well, the number and the signature of the holders.
+* Unequal thresholds: by the generalised pigeonhole principle thresholds t_g >= -1 with sum(t_g + 1) >= tau + 1 lose
+  nothing: in some partition y lacks at most t_g bits of x. As y has all bits of a partition or none, t_g is either -1
+  (not probed) or the partition's size less 1, and one probe stands for the whole partition. `allocate` chooses by
+  dynamic programming the partitions that bring the least number of candidates. Bits that no other text holds come
+  first and cost nothing: a text with more than tau of them has no partner, and probes nothing.
+* Only the indexed side needs a bound: with `_SLACK` bits more than tau + 1 to choose from, in one global order of
+  partitions, a probed partition of x begins within the first |y|-o+tau+slack+1 bits of a y that is alike; partitions
+  behind that are not indexed.
+* Candidates that share a partition are first held against a 256-bit parity code of their sets, whose Hamming distance
+  never exceeds that of the sets, then verified on the whole sets.
+
+Nothing of this has a size of its own that the data could outgrow: counts are exact, blocks of texts and ranges of bits
+are of bounded size, and there are more of them where there are more texts. In the counts a text that is copied into
+several blocks counts once for each of them; that moves costs only. Set hashes have 64 bits, those of bits have 48 while
+candidates are sought (a clash adds a candidate) and 64 when they are verified. Copies (equal sets) are joined as one
+and expanded only where a result asks for pairs.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.words import hash_words, mix, signed, text_batches
 from tesserine.sources.durable import keep
 
-#: The count sketch has about a quarter as many cells as there are shingles, within these bounds (32 MB at most).
-SKETCH_BITS = (12, 24)
-#: The sketch is summed up in so many slices, each by itself, so that no task sees more than its share of all sketches.
-_SLICES = 256
-_MOST = 65_535
+#: Bits that one range should hold, and how many bits beyond tau + 1 a text may choose its probes from: tau / _SLACK.
+_RANGE_BITS = 1 << 21
+_SLACK = 2
 CODE_WORDS = 4
 
 
@@ -58,42 +63,60 @@ def set_keys(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64))
 
 
-def allocate(costs: list[np.ndarray], units: int) -> list[int]:
-    """Thresholds of the partitions that give `units` probes at the least total cost, by dynamic programming.
-
-    costs[g][k]: the estimated candidates of the k-th cheapest bit of partition g. Partition g with threshold t probes
-    its t + 1 cheapest bits. Returns t_g per partition, -1 for one that is not probed; of equally cheap allocations
-    the one that takes most from the first partitions. Needs sum(len(c)) >= units."""
-    best = np.full(units + 1, np.inf)
-    best[0] = 0
-    taken = []
-    for c in costs:
-        total = np.concatenate([[0.0], np.cumsum(c[:units])])
-        now, choice = np.full(units + 1, np.inf), np.zeros(units + 1, int)
-        for k in range(len(total)):
-            offer = np.concatenate([np.full(k, np.inf), best[: units + 1 - k] + total[k]])
-            better = offer <= now
-            now[better], choice[better] = offer[better], k
-        best = now
-        taken.append(choice)
-    left, out = units, []
-    for choice in reversed(taken):
-        out.append(int(choice[left]) - 1)
-        left -= choice[left]
-    return out[::-1]
-
-
-def probes(levels: np.ndarray, starts: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """Which bits each set probes, for all sets of a batch: allocate() with the partitions of equal cost level.
-
-    Where all bits of a partition cost the same, the dynamic programme has a closed solution: fill the partitions from
-    the cheapest one until the units are spent, so bit number k of the set in (level, hash) order is probed if
-    k < units. Bits come sorted by hash within a set; the sort by level is stable."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((levels, owner))
-    rank = np.empty(len(levels), np.int64)
-    rank[order] = np.arange(len(levels)) - np.repeat(starts[:-1], np.diff(starts))
-    return rank < np.repeat(units, np.diff(starts))
+#: The dynamic programme counts in so many steps at most; sizes are rounded down and the need up, which loses nothing.
+_STEPS = 256
+
+
+def allocate(sizes: np.ndarray, costs: np.ndarray, units: int) -> np.ndarray:
+    """Which partitions to probe so that they hold `units` bits at least, at the least sum of costs: the thresholds are
+    size - 1 for a chosen partition and -1 for the others. Dynamic programming over the partitions, of equal cost in the
+    given order. All of them if they hold less than `units`."""
+    if units <= 0:
+        return np.zeros(len(sizes), bool)
+    if sizes.sum() <= units:
+        return np.ones(len(sizes), bool)
+    scale = -(-units // _STEPS)
+    part, need = sizes // scale, -(-units // scale)
+    if scale > 1:  # rounding may cost more than taking the cheapest bits does
+        order = np.argsort(costs / sizes, kind="stable")
+        cheap = np.zeros(len(sizes), bool)
+        cheap[order[: np.searchsorted(np.cumsum(sizes[order]), units) + 1]] = True
+        if part.sum() < need:
+            return cheap
+    best = np.full(need + 1, np.inf)
+    best[0] = 0.0
+    taken = np.zeros((len(part), need + 1), bool)
+    for g, (n, c) in enumerate(zip(part.tolist(), costs.tolist())):
+        if n:
+            offer = np.concatenate([np.full(min(n, need + 1), best[0]), best[: max(need + 1 - n, 0)]]) + c
+            offer[0] = best[0]
+            np.less(offer, best, out=taken[g])
+            best = np.minimum(offer, best)
+    left, out = need, np.zeros(len(part), bool)
+    for g in range(len(part) - 1, -1, -1):
+        if left and taken[g, left]:
+            out[g] = True
+            left = max(0, left - int(part[g]))
+    return cheap if scale > 1 and costs[cheap].sum() < costs[out].sum() else out
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of numbers, byte by byte, so that those which are mostly zero compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    return zlib.compress(b"".join(_planes(x, width) for x, width in columns), 1)
+
+
+def _unpack(raw: bytes, n: int, *widths: int) -> list[np.ndarray]:
+    data, out, at = np.frombuffer(zlib.decompress(raw), np.uint8), [], 0
+    for width in widths:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = data[at : at + n * width].reshape(width, n).T
+        out.append(full.view("<u8").reshape(-1))
+        at += n * width
+    return out
 
 
 def _sets(batch, texts, words: int, min_words: int):
@@ -103,44 +126,6 @@ def _sets(batch, texts, words: int, min_words: int):
     return runs, starts, size, set_keys(runs, starts), (w.counts >= min_words) & (size > 0)
 
 
-def sketch_bits(texts: DataFrame) -> int:
-    """The size of the count sketch for these texts, from their length."""
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    return min(max(math.ceil(math.log2(chars / 28 + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])  # some 7 characters a shingle
-
-
-def count_sketch(texts: DataFrame, words: int, min_words: int, bits: int) -> np.ndarray:
-    """How many texts hold the shingles of each of 2**bits hash classes, over all texts, up to _MOST."""
-    cells = 1 << bits
-    pack = lambda x: zlib.compress(np.minimum(x, _MOST).astype("<u2").tobytes(), 1)
-    unpack = lambda x: np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64)
-
-    def rows(parts):
-        for i, part in parts:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([pack(part)], pa.binary())})
-
-    def count(batches):
-        total = np.zeros(cells, np.int64)
-        for batch, part in text_batches(batches):
-            runs, starts, size, _, use = _sets(batch, part, words, min_words)
-            np.add.at(total, (runs[np.repeat(use, size)] >> np.uint64(64 - bits)).astype(np.int64), 1)
-        yield from rows(enumerate(np.split(total, _SLICES)))
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + unpack(s)
-        yield from rows(sums.items())
-
-    kind = "slice int, counts binary"
-    slices = texts.select("text").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
-    out = np.zeros((_SLICES, cells // _SLICES), np.int64)
-    for r in slices:
-        out[r["slice"]] += unpack(r["counts"])
-    return out.reshape(-1)
-
-
 def parity_codes(runs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Per set CODE_WORDS numbers of 64 bits: bit b is the parity of the shingles of hash class b. Every shingle that
     two sets do not share flips one bit, so the codes differ in no more bits than the sets do."""
@@ -166,46 +151,176 @@ def memberships(records: DataFrame, words: int, min_words: int) -> DataFrame:
     return records.select("id", "text").mapInArrow(keys, "id bigint, set_key bigint, size int, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def candidate_pairs(records: DataFrame, words: int, threshold: Fraction, min_words: int) -> DataFrame:
-    """(set_a, set_b) of unequal sets that share a probed bit; a superset of the alike pairs."""
-    cell_bits = sketch_bits(records)
-    levels = np.floor(2 * np.log2(count_sketch(records, words, min_words, cell_bits) + 1.0)).astype(np.int8)
+def _expected_bits(texts: DataFrame) -> int:
+    """About how many bits there are, from the length of the texts: some 7 characters a shingle."""
+    return (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 7
+
+
+def _posted(records: DataFrame, words: int, min_words: int, ranges: int) -> DataFrame:
+    """(range, block, n, payload) of blocks of texts. n > 0: so many (bit, number of the set in its block) of one range
+    of bits. n < 0: the table of the block's sets, (set_key, size, distinct bits); it rides along with some range."""
+
+    def post(batches):
+        task = TaskContext.get().partitionId()
+        for number, (batch, texts) in enumerate(text_batches(batches)):
+            runs, _, size, key, use = _sets(batch, texts, words, min_words)
+            at = np.flatnonzero(use)
+            at = np.sort(at[np.unique(key[at], return_index=True)[1]])  # of equal sets of a block the first
+            if not len(at):
+                continue
+            use = np.zeros(len(size), bool)
+            use[at] = True
+            held = np.repeat(use, size)
+            codes, owner = runs[held] >> np.uint64(16), np.repeat(np.arange(len(at)), size[at])
+            order = np.argsort(codes, kind="stable")
+            codes, owner = codes[order], owner[order]
+            fresh = np.ones(len(codes), bool)
+            fresh[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
+            codes, owner = codes[fresh], owner[fresh]
+            where = ((codes >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
+            block = (task << 32) | number
+            rows = [(int(where[a]), block, int(z - a), _pack((np.diff(codes[a:z], prepend=np.uint64(0)), 6), (owner[a:z], 4))) for a, z in zip(edges, edges[1:])]
+            distinct = np.bincount(owner, minlength=len(at))
+            rows.append((block % ranges, block, -len(at), _pack((key[at], 8), (size[at], 4), (distinct, 4))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["range", "block", "n", "payload"])
+
+    return records.select("text").mapInArrow(post, "range int, block bigint, n int, payload binary")
+
+
+def _held_by_others(batches):
+    """For the rows of _posted of one range: (block, n, payload) with the bits that several sets hold, as (set number,
+    level and signature of the holders, number of such bits). The tables of sets pass through."""
+    blocks, codes, owners = [], [], []
+
+    def row(block, n, payload):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([payload], pa.binary())], ["block", "n", "payload"])
+
+    for b in batches:
+        for block, n, payload in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            if n < 0:
+                yield row(block, n, payload)
+            else:
+                deltas, owner = _unpack(payload, n, 6, 4)
+                blocks.append(block)
+                codes.append(np.cumsum(deltas, dtype=np.uint64))
+                owners.append(owner)
+    if not blocks:
+        return
+    sizes = np.array([len(c) for c in codes])
+    code, owner, block = np.concatenate(codes), np.concatenate(owners), np.repeat(np.array(blocks, np.uint64), sizes)
+    order = np.argsort(code, kind="stable")
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = code[order][1:] != code[order][:-1]
+    heads = np.flatnonzero(fresh)
+    count = np.diff(np.append(heads, len(code)))
+    holder = mix(mix(block + np.uint64(1)) + owner)[order]
+    sign, level = np.empty(len(code), np.uint64), np.empty(len(code), np.int64)
+    sign[order] = np.repeat(np.add.reduceat(holder, heads), count)
+    level[order] = np.repeat(np.floor(4 * np.log2(count)).astype(np.int64), count)
+    for block, lo, hi in zip(blocks, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+        at = lo + np.flatnonzero(level[lo:hi])
+        if len(at):
+            o, v, s, n = _collapsed(owner[at].astype(np.int64), level[at], sign[at], np.ones(len(at), np.int64))
+            yield row(block, len(o), _pack((o, 4), (v, 1), (s, 8), (n, 4)))
+
+
+def _collapsed(owner, level, sign, n):
+    """Rows of equal (owner, level, sign) as one with the sum of n, sorted by them."""
+    order = np.lexsort((sign, level, owner))
+    owner, level, sign, n = owner[order], level[order], sign[order], n[order]
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (owner[1:] != owner[:-1]) | (level[1:] != level[:-1]) | (sign[1:] != sign[:-1])
+    heads = np.flatnonzero(fresh)
+    return owner[heads], level[heads], sign[heads], np.add.reduceat(n, heads) if len(heads) else n
+
+
+def size_bounds(t: Fraction, largest: int) -> np.ndarray:
+    """Lower ends of classes of sizes, such that a size up to 1/t times another lies in the same class or the next."""
+    bounds = [1]
+    while bounds[-1] <= largest:
+        bounds.append(bounds[-1] * t.denominator // t.numerator + 1)
+    return np.array(bounds)
+
+
+def choose_probes(owner, level, sign, n, size, distinct, t: Fraction):
+    """Per partition of each set whether it is indexed and whether it is probed. owner .. n: as from _collapsed; size,
+    distinct: bits of each set, before and after cutting their hashes."""
+    starts = np.searchsorted(owner, np.arange(len(size) + 1))
+    of_probe = (1 - t) / (1 + t)
+    tau = size * of_probe.numerator // of_probe.denominator
+    alone = distinct - np.bincount(owner, n, len(size)).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(n)])
+    before = total[:-1] - total[starts[owner]] + alone[owner]
+    share = float(t / (1 + t))
+    reach = lambda x: size - share * (x + size) + (1 + 1 / _SLACK) * float(of_probe) * x + 1
+    bound = np.floor(np.maximum(reach(size * float(t)), reach(size)) + 1e-6).astype(np.int64)
+    lost = size * (1 - t).numerator // (1 - t).denominator
+    indexed = (before < bound[owner]) & (alone <= lost)[owner]
+    window = before < (tau + 1 + tau // _SLACK)[owner]
+    probed = np.zeros(len(owner), bool)
+    need = tau + 1 - alone
+    for i in np.flatnonzero((need > 0) & (np.diff(starts) > 0)).tolist():
+        a, z = starts[i], starts[i + 1]
+        if n[a] >= need[i]:  # the cheapest partition alone will do
+            probed[a] = True
+            continue
+        z = a + int(np.count_nonzero(window[a:z]))
+        probed[a:z] = allocate(n[a:z], 2.0 ** (level[a:z] / 4), int(need[i]))
+    return indexed | probed, probed
+
+
+def probes(records: DataFrame, words: int, threshold: Fraction, min_words: int) -> DataFrame:
+    """(sign, class, set_key, size, probe): the partitions under which each set is indexed, and which of them it probes.
+    class: the class of its size."""
     spark = records.sparkSession
-    shared = spark.sparkContext.broadcast(levels)
-    of_probe, of_index = (1 - threshold) / (1 + threshold), 1 - threshold
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_expected_bits(records) // _RANGE_BITS))
+    posted = _posted(records, words, min_words, ranges).repartitionById(ranges, F.col("range"))
+    shared = posted.mapInArrow(_held_by_others, "block bigint, n int, payload binary")
+
+    def decide(block):
+        key, size, distinct = _unpack(next(p for n, p in block if n < 0), -next(n for n, p in block if n < 0), 8, 4, 4)
+        size, distinct = size.astype(np.int64), distinct.astype(np.int64)
+        parts = [_unpack(p, n, 4, 1, 8, 4) for n, p in block if n > 0]
+        if not parts:
+            return
+        o, v, s, n = (np.concatenate(x) for x in zip(*parts))
+        o, v, s, n = _collapsed(o.astype(np.int64), v.astype(np.int64), s, n.astype(np.int64))
+        indexed, probed = choose_probes(o, v, s, n, size, distinct, threshold)
+        at = np.flatnonzero(indexed)
+        owner = o[at]
+        classes = np.searchsorted(size_bounds(threshold, int(size.max())), size, "right").astype(np.int32) if threshold < 1 else size.astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(signed(s)[at]), pa.array(classes[owner]), pa.array(signed(key)[owner]), pa.array(size[owner].astype(np.int32)), pa.array(probed[at])],
+            ["sign", "class", "set_key", "size", "probe"])
+
+    def choose(batches):
+        held, key = [], None
+        for b in batches:
+            for block, n, payload in zip(*(c.to_pylist() for c in b.columns)):
+                if block != key:
+                    if held:
+                        yield from decide(held)
+                    held, key = [], block
+                held.append((n, payload))
+        if held:
+            yield from decide(held)
 
-    def bits(batches):
-        seen: set[int] = set()  # of one input partition: many copies of a text become one set before the shuffle
-        for batch, part in text_batches(batches):
-            runs, starts, size, key, use = _sets(batch, part, words, min_words)
-            for i in np.flatnonzero(use).tolist():
-                if (k := int(key[i])) in seen:
-                    use[i] = False
-                seen.add(k)
-            level = shared.value[runs >> np.uint64(64 - cell_bits)]
-            probe = probes(level, starts, size * of_probe.numerator // of_probe.denominator + 1)
-            index = probes(level, starts, size * of_index.numerator // of_index.denominator + 1) & np.repeat(use, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(runs)[index]), pa.array(signed(np.repeat(key, size))[index]), pa.array((np.repeat(size, size) * 2 + probe)[index].astype(np.int32))],
-                ["bit", "set_key", "size_probe"])
-
-    postings = records.select("text").mapInArrow(bits, "bit bigint, set_key bigint, size_probe int")
-    # One shuffle by bit; bits of a single set end here, after looking at their neighbours in the sorted partition.
-    from pyspark.sql import Window
-
-    by_bit = Window.partitionBy("bit").orderBy("bit")
-    met = postings.select(
-        "*", F.lag("bit").over(by_bit).alias("_p"), F.lead("bit").over(by_bit).alias("_n")
-    ).where("_p is not null or _n is not null").select(
-        "bit", "set_key", F.expr("size_probe div 2").cast("int").alias("size"), F.expr("size_probe % 2 = 1").alias("probe")
-    )
-    met = keep(met, "shared-bits").distinct()
-    x = met.where("probe").select("bit", F.col("set_key").alias("set_a"), F.col("size").alias("size_a"))
-    y = met.select("bit", F.col("set_key").alias("set_b"), F.col("size").alias("size_b"))
+    kind = "sign bigint, class int, set_key bigint, size int, probe boolean"
+    return shared.repartition("block").sortWithinPartitions("block").mapInArrow(choose, kind)
+
+
+def candidate_pairs(records: DataFrame, words: int, threshold: Fraction, min_words: int) -> DataFrame:
+    """(set_a, set_b) of unequal sets that share a probed partition; a superset of the alike pairs. Sets meet by
+    partition and class of size, so that a partition that very many sets hold is split."""
+    met = keep(probes(records, words, threshold, min_words), "probes").distinct()
+    both = F.explode(F.array(F.col("class"), F.col("class") + 1) if threshold < 1 else F.array("class")).alias("class")
+    x = met.where("probe").select("sign", both, F.col("set_key").alias("set_a"), F.col("size").alias("size_a"))
+    y = met.select("sign", "class", F.col("set_key").alias("set_b"), F.col("size").alias("size_b"))
     near = (
         (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("set_a") < F.col("set_b")))
     ) & (F.col("size_b") * threshold.numerator <= F.col("size_a") * threshold.denominator)
-    return x.join(y, "bit").where(near).select("set_a", "set_b").distinct()
+    return x.join(y, ["sign", "class"]).where(near).select("set_a", "set_b").distinct()
 
 
 def similar_sets(

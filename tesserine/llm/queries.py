@@ -124,18 +124,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
+#: CTEs from sets (id, s) to pairs (a, b, sizes n and m, both_have) of those that share an element and are near in size.
+_ALIKE = """bits as (select id, len(s) as n, unnest(s) as b from sets),
+shared as (select b from bits group by b having count(*) > 1),
+pairs as (select x.id as a, y.id as b, x.n as n, y.n as m, count(*) as both_have
+          from (select * from bits semi join shared using (b)) x join (select * from bits semi join shared using (b)) y
+          on x.b = y.b and x.id < y.id and x.n * 10 >= y.n * 6 and y.n * 10 >= x.n * 6 group by all)"""
+
 #: Queries without an entry cannot be said in SQL, or not fast enough on whole tables; tests/llm hold them against
 #: brute force.
 SQL: dict[str, str] = {
     "p2_found": rf"""
 with texts as (select id, {_WORDS} as w from (select distinct id, text from chunks)),
 sets as (select id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from texts where len(w) >= 20),
-bits as (select id, len(s) as n, unnest(s) as b from sets),
-shared as (select b from bits group by b having count(*) > 1),
-pairs as (select x.id as a, y.id as b, x.n as n, y.n as m, count(*) as both_have
-          from (select * from bits semi join shared using (b)) x join (select * from bits semi join shared using (b)) y
-          on x.b = y.b and x.id < y.id and x.n * 10 >= y.n * 6 and y.n * 10 >= x.n * 6 group by all)
+{_ALIKE}
 select distinct a as chunk_a, b as chunk_b from pairs where both_have * 10 >= (n + m - both_have) * 6""",
+    "p2_classes": rf"""
+with recursive texts as (select id as chunk, {_WORDS} as w from (select distinct id, text from chunks)),
+members as (select chunk, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s from texts where len(w) >= 20),
+keyed as (select distinct chunk, md5(array_to_string(s, '|')) as id from members),
+sets as (select distinct md5(array_to_string(s, '|')) as id, s from members),
+{_ALIKE},
+links as (select a, b from pairs where both_have * 10 >= (n + m - both_have) * 6 union select b, a from pairs where both_have * 10 >= (n + m - both_have) * 6),
+reached(id, other) as (select id, id from sets union select r.id, l.b from reached r join links l on l.a = r.other),
+classes as (select r.id, min(k.chunk) as class_id from reached r join keyed k on k.id = r.other group by 1),
+degrees as (select a as id, count(*) as links from links group by 1),
+copies as (select id, count(*) as copies from keyed group by 1)
+select chunk as chunk_id, class_id, coalesce(links, 0) as links, copies from keyed join classes using (id) join copies using (id) left join degrees using (id)""",
     "p6_found": """
 with latest as (select query_id, chunk_rowid, arm, max_by(coalesce(score, 'nan'::double), scored_at) as s, max(tier) as tier from scored group by 1, 2, 3),
 wide as (select query_id, chunk_rowid,

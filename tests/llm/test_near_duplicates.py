@@ -1,5 +1,6 @@
 """Near duplicates against all pairs."""
 
+import itertools
 import random
 import re
 from fractions import Fraction
@@ -93,20 +94,74 @@ def test_empty(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=6), min_size=1, max_size=5), st.integers(1, 10))
-def test_allocation_is_optimal_and_probes_agree(costs, units):
-    groups = [np.sort(np.array(c, float)) for c in costs]
-    units = min(units, sum(map(len, groups)))
-    t = N.allocate(groups, units)
-    assert sum(x + 1 for x in t) == units
-    cost = sum(g[: x + 1].sum() for g, x in zip(groups, t))
-    assert cost == np.sort(np.concatenate(groups))[:units].sum()  # no allocation is cheaper
-    # The closed form for partitions of equal cost takes as many bits of each level as the dynamic programme.
-    levels = np.array(sorted(int(x) for g in groups for x in g))
-    order = np.random.default_rng(0).permutation(len(levels))
-    chosen = N.probes(levels[order], np.array([0, len(levels)]), np.array([units]))
-    by_level = [np.full((levels == v).sum(), float(v)) for v in np.unique(levels)]
-    assert [int(chosen[levels[order] == v].sum()) for v in np.unique(levels)] == [x + 1 for x in N.allocate(by_level, units)]
+@given(st.lists(st.tuples(st.integers(1, 6), st.integers(1, 40)), min_size=1, max_size=8), st.integers(1, 30))
+def test_allocation_is_optimal(parts, units):
+    sizes, costs = np.array([p[0] for p in parts]), np.array([float(p[1]) for p in parts])
+    chosen = N.allocate(sizes, costs, units)
+    covers = [m for m in itertools.product([False, True], repeat=len(parts)) if sizes[list(m)].sum() >= units]
+    if covers:
+        assert sizes[chosen].sum() >= units and costs[chosen].sum() == min(costs[list(m)].sum() for m in covers)
+    else:
+        assert chosen.all()
+
+
+def test_allocation_of_many_units_covers_them():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes, costs = rng.integers(1, 200, 500), rng.random(500)
+        for units in (300, 5_000, int(sizes.sum()) - 1):
+            chosen = N.allocate(sizes, costs, units)
+            assert sizes[chosen].sum() >= units
+            greedy = np.argsort(costs / sizes)
+            greedy = greedy[: np.searchsorted(np.cumsum(sizes[greedy]), units) + 1]
+            assert costs[chosen].sum() <= costs[greedy].sum() + 1e-9
+
+
+def test_size_classes():
+    for t in (Fraction(3, 5), Fraction(4, 5), Fraction(1, 2)):
+        bounds = N.size_bounds(t, 5000)
+        for x in range(1, 3000):
+            last = x * t.denominator // t.numerator
+            assert np.searchsorted(bounds, last, "right") - np.searchsorted(bounds, x, "right") <= 1
+
+
+def shared_phrases(n=400):
+    """Texts of which each has most of its words from phrases that hundreds of others hold too."""
+    rng = random.Random(4)
+    phrases = [[f"p{i}w{j}" for j in range(12)] for i in range(12)]
+    rows = [(i, " ".join(w for p in rng.sample(phrases, 5) for w in p) + f" own{i} tail{i} end{i} last{i} stop{i}") for i in range(n)]
+    return rows + [(n + i, rows[i][1].replace("w3", "x3", 1)) for i in range(20)]
+
+
+def test_candidates_stay_few_whatever_the_blocks_and_ranges(spark, monkeypatch):
+    rows = shared_phrases()
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    t = Fraction(9, 10)
+    truth = brute(rows, 3, t, 1)
+    plain = N.candidate_pairs(df, 3, t, 1).count()
+    assert found(N.near_duplicate_pairs(df, 3, t, 1)) == truth and len(truth) >= 20
+    monkeypatch.setattr(N, "_RANGE_BITS", 1 << 9)  # far more bits than a range should hold
+    assert N.candidate_pairs(df, 3, t, 1).count() == plain <= 4 * len(truth)
+    # Without the allocation, every shared partition would be probed.
+    monkeypatch.setattr(N, "choose_probes", lambda o, v, s, n, *_: (np.ones(len(o), bool), np.ones(len(o), bool)))
+    assert N.candidate_pairs(df, 3, t, 1).count() > 10 * plain
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 14), min_size=1, max_size=14), min_size=2, max_size=14), st.sampled_from(["0.5", "0.6", "0.8", "1"]))
+def test_probes_lose_no_pair(lists, threshold):
+    t = Fraction(threshold)
+    sets = sorted({frozenset(x) for x in lists}, key=sorted)
+    bits = sorted(set().union(*sets))
+    holders = {b: frozenset(i for i, x in enumerate(sets) if b in x) for b in bits}
+    rows = [(i, int(4 * np.log2(len(holders[b]))), hash(holders[b]) & (2**63 - 1), 1) for i, x in enumerate(sets) for b in x if len(holders[b]) > 1]
+    o, v, s, n = N._collapsed(*(np.array(c, np.int64) for c in zip(*rows))) if rows else (np.zeros(0, np.int64),) * 4
+    size = np.array([len(x) for x in sets])
+    indexed, probed = N.choose_probes(o, v, s, n, size, size, t) if rows else (np.zeros(0, bool),) * 2
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            if a != b and (len(x), a) < (len(y), b) and len(x & y) >= t * len(x | y):
+                assert set(s[probed & (o == a)]) & set(s[indexed & (o == b)])
 
 
 @settings(max_examples=60, deadline=None)
