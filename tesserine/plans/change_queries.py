@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tesserine.operators.incremental import pending_files
 from tesserine.operators.snapshots import file_changes
@@ -15,7 +16,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_pending(spark: SparkSession, sf: str) -> DataFrame:
     names = ("files", "index_runs", "run_files", "chunks", "chunk_vectors")
-    return pending_files(*(table(spark, sf, n) for n in names)).select("project_id", "path", "stamp", "offset", "reason")
+    return pending_files(*(table(spark, sf, n) for n in names)).select("project_id", "path", "stamp", F.col("time").alias("indexed_at"), "reason")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,11 +26,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_pending)}
 
 _PENDING = """
-with newest as (select project_id, path, max_by(content_hash, indexed_at) as stamp, max(indexed_at) as "offset" from files group by 1, 2),
+with newest as (select project_id, path, max_by(content_hash, indexed_at) as stamp, max(indexed_at) as indexed_at from files group by 1, 2),
 done as (select r.project_id, r.path, max_by(r.content_hash, i.finished_at) as done_stamp
          from run_files r join index_runs i using (run_id) where i.state = 'ok' group by 1, 2),
 bare as (select distinct project_id, path, true as missing from chunks where id not in (select chunk_rowid from chunk_vectors)),
-judged as (select n.project_id, n.path, n.stamp, n."offset",
+judged as (select n.project_id, n.path, n.stamp, n.indexed_at,
            case when d.done_stamp is null then 'new' when d.done_stamp <> n.stamp then 'changed' when b.missing then 'incomplete' end as reason
            from newest n left join done d using (project_id, path) left join bare b using (project_id, path))
 """

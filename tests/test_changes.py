@@ -74,55 +74,115 @@ def test_one_range_shuffle(spark):
     assert "Exchange" not in above and above.count("+- Sort") == 1 and "rangepartitioning" not in below
 
 
-LOG = "k long, stamp string, offset long, log_partition int"
+ROWS = "k long, h string, at long, extra string"
 
 
-def log_of(spark, rows):
-    return I.change_log(spark.createDataFrame(rows, "k long, h string, at long, extra string"), ["k"], "h", "at")
+class Work:
+    """A log of (k, h, at), its batches and its sink."""
 
+    def __init__(self, spark, folder, partitions=4):
+        self.spark, self.log = spark, I.ChangeLog(spark, f"file://{folder}/log", "k bigint", partitions)
+        self.batches, self.sink = I.BatchLog(spark, f"file://{folder}/batches", self.log), I.DedupSink(spark, f"file://{folder}/sink", ["k"])
 
-def test_change_log_newest_wins(spark):
-    rows = [(1, "old", 1, ""), (1, "new", 5, ""), (1, "new", 5, ""), (2, None, None, ""), (None, "x", 9, ""), (3, "a", 4, ""), (3, "b", 4, "")]
-    got = {r["k"]: (r["stamp"], r["offset"]) for r in log_of(spark, rows).collect()}
-    assert got == {1: ("new", 5), 2: (None, None), 3: ("b", 4)}
+    def arrive(self, *rows):
+        self.log.capture(self.spark.createDataFrame([(*r, "x") for r in rows], ROWS), "h", "at")
 
+    def run(self, process=None, bare=None):
+        incomplete = None if bare is None else self.spark.createDataFrame([(b,) for b in bare], "k long")
+        name = I.run_batch(self.batches, self.sink, process or (lambda e: e), incomplete)
+        return None if name is None else sorted((r["k"], r["stamp"], r["reason"]) for r in self.batches.read_plan(name).collect())
 
-def test_batches_survive_failures(spark, tmp_path):
-    from pyspark.sql import functions as F
+    def held(self):
+        return sorted((r["k"], r["stamp"]) for r in self.sink.read().collect())
 
-    batches = I.BatchLog(spark, f"file://{tmp_path}/log")
-    sink = I.DedupSink(spark, f"file://{tmp_path}/sink", ["k"])
-    keep = lambda df: df.select("k", "offset", F.upper("stamp").alias("out"))
-    first = [(1, "a", 1, ""), (2, "b", 2, "")]
-    with pytest.raises(RuntimeError):
 
-        def broken(df):
-            sink.write(keep(df.where("k = 1")))  # half of the work is done when it fails
-            raise RuntimeError
-
-        I.run_batch(log_of(spark, first), ["k"], batches, sink, broken)
-    assert batches.open_plan() is not None
-    # Meanwhile a late row and a change arrive; the open plan is replayed as it stands, then they are handled.
-    second = [*first, (1, "a2", 7, ""), (3, "late", 0, "")]
-    I.run_batch(log_of(spark, second), ["k"], batches, sink, keep)
-    assert sorted(tuple(r) for r in sink.read().collect()) == [(1, 1, "A"), (2, 2, "B")]
-    name = I.run_batch(log_of(spark, second), ["k"], batches, sink, keep)
-    assert sorted(tuple(r) for r in sink.read().collect()) == [(1, 1, "A"), (1, 7, "A2"), (2, 2, "B"), (3, 0, "LATE")]
-    assert {r["entries"] for r in batches.offsets(name).collect()} == {1}
-    assert I.run_batch(log_of(spark, second), ["k"], batches, sink, keep) is None
-    assert sink.read().count() == 4
-
-
-def test_pending_reasons(spark):
-    log = log_of(spark, [(1, "a", 1, ""), (2, "b", 1, ""), (3, "c", 1, ""), (4, None, 1, "")])
+def test_capture_gives_rising_offsets(spark, tmp_path):
+    w = Work(spark, tmp_path)
+    w.arrive((1, "a", 5), (1, "b", 5), (1, "b", 5), (2, None, None), (None, "x", 9), (3, "c", 1))
+    w.arrive((1, "b", 5), (1, "late", 0), (2, None, None), (4, "d", 2))
+    rows = w.log.entries().collect()
+    assert sorted((r["k"], r["stamp"] or "", -1 if r["time"] is None else r["time"]) for r in rows) == [(1, "a", 5), (1, "b", 5), (1, "late", 0), (2, "", -1), (3, "c", 1), (4, "d", 2)]
+    by_part = {}
+    for r in rows:
+        by_part.setdefault(r["log_partition"], []).append(r["offset"])
+    assert all(sorted(v) == list(range(len(v))) for v in by_part.values())
+    at = {r["stamp"]: r["offset"] for r in rows if r["k"] == 1}
+    assert at["a"] < at["b"] < at["late"]
+
+
+def test_change_with_an_equal_time_is_not_lost(spark, tmp_path):
+    w = Work(spark, tmp_path)
+    w.arrive((1, "A", 100))
+    assert w.run() == [(1, "A", "new")] and w.run() is None
+    w.arrive((1, "A", 100), (1, "0", 100))  # neither a later time nor a larger stamp
+    assert w.run() == [(1, "0", "changed")] and w.run() is None
+    assert w.held() == [(1, "0"), (1, "A")]
+
+
+def test_late_and_settled_versions(spark, tmp_path):
+    w = Work(spark, tmp_path)
+    w.batches.adopt(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, done_stamp string"))
+    w.arrive((1, "a", 10), (2, "b2", 10), (3, None, 10), (4, "d", 10))
+    assert w.run() == [(2, "b2", "changed"), (4, "d", "new")]
+    w.arrive((1, "old", 3), (2, "old", 9), (5, "late", 1), (4, "d", 11))  # old versions, a new key with an old time, a touch
+    assert w.run() == [(5, "late", "new")]
+    assert w.run(bare=[1, 1, 99]) == [(1, "a", "incomplete")]
+    assert w.run(bare=[]) is None
+
+
+def test_crashes_repeat_and_skip_nothing(spark, tmp_path):
+    w = Work(spark, tmp_path)
+    w.arrive((1, "a", 1), (2, "b", 2))
+
+    def half(e):
+        w.sink.write(e.where("k = 1"), "unfinished")  # noise that no plan stands for
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        w.run(half)
+    name = w.batches.open_plan()
+    w.sink.write(w.batches.read_plan(name), name)  # a crash between sink and commit
+    w.arrive((1, "a2", 7), (3, "late", 0))
+    assert w.batches.open_plan() == name and w.batches.offsets() == {}
+    assert w.run() == [(1, "a", "new"), (2, "b", "new")]  # as it stands
+    assert w.run() == [(1, "a2", "changed"), (3, "late", "new")]
+    assert w.run() is None and w.held() == [(1, "a"), (1, "a2"), (2, "b"), (3, "late")]
+
+
+def test_state_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "COMPACT", 2)
+    w = Work(spark, tmp_path)
+    for i in range(5):
+        w.arrive((i % 2, f"v{i}", i))
+        assert [r[1] for r in w.run()] == [f"v{i}"]
+    assert len(w.batches.names("states")) == 2
+    assert {r["k"]: r["done_stamp"] for r in w.batches.state().collect()} == {0: "v4", 1: "v3"} and w.run() is None
+
+
+def test_committed_state(spark):
     runs = spark.createDataFrame([(1, "ok", 10), (2, "failed", 20), (3, "ok", 5), (4, "running", None)], "run_id long, state string, finished_at long")
     handled = spark.createDataFrame([(1, 1, "a"), (3, 1, "stale"), (2, 2, "b"), (1, 3, "old"), (1, 4, None)], "run_id long, k long, h string")
-    state = I.committed_state(handled, runs, ["k"], "h")
-    bare = spark.createDataFrame([(1,), (1,), (99,)], "k long")
-    assert {r["k"]: r["reason"] for r in I.pending(log, state, ["k"], bare).collect()} == {1: "incomplete", 2: "new", 3: "changed"}
+    assert {r["k"]: r["done_stamp"] for r in I.committed_state(handled, runs, ["k"], "h").collect()} == {1: "a", 3: "old", 4: None}
+
+
+FILES, RUNS, HANDLED = "project_id long, path string, content_hash string, indexed_at long, path_2 string", "run_id long, state string, finished_at long", "run_id long, project_id long, path string, content_hash string"
 
 
 def test_pending_files_empty(spark):
     e = lambda s: spark.createDataFrame([], s)
-    out = I.pending_files(e("project_id long, path string, content_hash string, indexed_at long"), e("run_id long, state string, finished_at long"), e("run_id long, project_id long, path string, content_hash string"), e("id long, project_id long, path string"), e("chunk_rowid long"))
-    assert out.count() == 0
+    assert I.pending_files(e(FILES), e(RUNS), e(HANDLED), e("id long, project_id long, path string"), e("chunk_rowid long")).count() == 0
+
+
+def test_index_runs_after_a_failed_one(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a", "h1", 5, "x"), (1, "b", "h2", 5, "x"), (1, "c", "h3", 5, "x"), (1, "d", "h4", 5, "x")], FILES)
+    runs, handled = spark.createDataFrame([(1, "ok", 10)], RUNS), spark.createDataFrame([(1, 1, "a", "h1"), (1, 1, "b", "old"), (1, 1, "d", "h4")], HANDLED)
+    chunks, vectors = spark.createDataFrame([(7, 1, "d"), (8, 1, "a")], "id long, project_id long, path string"), spark.createDataFrame([(8,)], "chunk_rowid long")
+    expect = [("b", "changed"), ("c", "new"), ("d", "incomplete")]
+    pick = lambda df: sorted((r["path"], r["reason"]) for r in df.collect())
+    assert pick(I.pending_files(files, runs, handled, chunks, vectors)) == expect
+    work = I.IndexRuns(spark, f"file://{tmp_path}")
+    work.adopt(runs, handled)
+    with pytest.raises(ZeroDivisionError):
+        work.run(files, chunks, vectors, lambda e: 1 / 0)
+    assert pick(work.run(files, chunks, vectors)) == expect
+    assert work.run(files, chunks, spark.createDataFrame([(7,), (8,)], "chunk_rowid long")) is None
