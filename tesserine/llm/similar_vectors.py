@@ -3,9 +3,16 @@
 Every vector is represented by its `prefix` nearest pivots in order. Each of them is a key of an inverted file whose
 entries carry the vector's permutation; vectors that share a pivot meet in its file. There candidates are ranked by
 the footrule distance of their permutations, the best ones are reranked by their exact cosine, and per vector the best
-k over its files are kept. Pivots are a bounded sample of the vectors, 8 * sqrt(n) of them, so that files hold
-about prefix * sqrt(n) / 8 vectors where the data is dense or thin alike. Every vector is indexed and every vector is
-a query. A file beyond `cell` vectors is worked off by pairs of blocks, so that all its members still meet.
+k over its files are kept. Every vector is indexed and every vector is a query.
+
+* Pivots are a sample of the vectors, max(8 sqrt(n), n / 64) of them, so that the files of a large collection hold a
+  constant number of vectors. Pivots stand on shelves of similar ones; a vector is compared with the pivots of its
+  nearest shelves alone, so finding its permutation costs about the square root of the number of pivots.
+* What travels is the vector, once for every shelf that holds one of its pivots (its nearest pivots are mostly
+  neighbours of each other), not once for every pivot. A shelf's task opens the files of all its pivots.
+* Pivots are sent to every task, so their bytes are bounded (`pivot_bytes`). Beyond that bound files grow; a file of more
+  than `cell` vectors is worked off by pairs of blocks, so that all its members still meet. Shelves are cut by the number
+  of vectors in their files.
 """
 
 from __future__ import annotations
@@ -17,12 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.llm.words import mix
 from tesserine.sources.durable import keep
 
-#: At most so many vectors are sampled as pivots per dimension count (a bound on what is broadcast).
-MAX_PIVOTS = 32_768
+#: The pivots of all widths together take so many bytes at most where they are sent to every task.
+PIVOT_BYTES = 64 << 20
 PREFIX = 6
+#: Files of more vectors are parted, shelves of more vectors are cut.
 CELL = 8_192
+SHELF = 16_384
+#: Of the shelves nearest to a vector so many are searched for its pivots.
+NEAR_SHELVES = 12
 _BLOCK = 1_024
 
 
@@ -52,46 +64,93 @@ def _footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Closeness of all pairs of permutation prefixes: the footrule distance is a constant minus twice this. A pivot at
     place i weighs prefix - i, and pairs gain the smaller weight of every pivot they share."""
     n = a.shape[1]
-    out = np.zeros((len(a), len(b)), np.int16)
+    out = np.zeros((len(a), len(b)), np.uint8 if n < 22 else np.uint16)
     for i in range(n):
         for j in range(n):
-            out += (a[:, i, None] == b[None, :, j]) * np.int16(n - max(i, j))
+            out += (a[:, i, None] == b[None, :, j]).view(np.uint8) * out.dtype.type(n - max(i, j))
     return out
 
 
 def _best(ids: np.ndarray, unit: np.ndarray, perm: np.ndarray, k: int, rerank: int):
-    """Per row of a cell its k most similar others: (row, other, cosine), in blocks."""
+    """Per row of a file its k most similar others: (row, other, cosine), in blocks. The cosine counts for the `rerank`
+    others of the least footrule distance, and for all that tie with the last of them."""
     n = len(ids)
+    local = np.unique(perm, return_inverse=True)[1].reshape(perm.shape)
+    local = local.astype(np.uint8 if local.max(initial=0) < 256 else np.uint16 if local.max() < 65536 else np.int32)
     for lo in range(0, n, _BLOCK):
         hi = min(n, lo + _BLOCK)
-        keep_n = min(rerank, n - 1)
-        if not keep_n:
-            return
-        parts_c, parts_s = [], []
+        rows, others, values = [], [], []
+        close = _footrule(local[lo:hi], local)
+        close[np.arange(hi - lo), np.arange(lo, hi)] = 0
+        cut = np.partition(close, n - rerank, axis=1)[:, n - rerank] if rerank < n - 1 else np.zeros(hi - lo, close.dtype)
         for a in range(0, n, _BLOCK * 4):
             b = min(n, a + _BLOCK * 4)
-            close = _footrule(perm[lo:hi], perm[a:b])
+            cosine = unit[lo:hi] @ unit[a:b].T
+            cosine[close[:, a:b] < cut[:, None]] = -np.inf
             same = np.arange(max(lo, a), min(hi, b))
-            close[same - lo, same - a] = -1
-            take = min(keep_n, b - a)
-            top = np.argpartition(-close, take - 1, axis=1)[:, :take]
-            parts_c.append(top + a)
-            parts_s.append(np.take_along_axis(close, top, 1))
-        cand, close = np.concatenate(parts_c, 1), np.concatenate(parts_s, 1)
-        if cand.shape[1] > keep_n:
-            top = np.argpartition(-close, keep_n - 1, axis=1)[:, :keep_n]
-            cand, close = np.take_along_axis(cand, top, 1), np.take_along_axis(close, top, 1)
-        cosine = np.einsum("rd,rcd->rc", unit[lo:hi], unit[cand])
-        cosine[close < 0] = -np.inf
-        order = np.lexsort((ids[cand], -cosine), axis=1)[:, : min(k, keep_n)]
-        rows = np.repeat(np.arange(lo, hi), order.shape[1])
-        other, value = np.take_along_axis(cand, order, 1).ravel(), np.take_along_axis(cosine, order, 1).ravel()
+            cosine[same - lo, same - a] = -np.inf
+            take = min(k, b - a)
+            top = np.argpartition(-cosine, take - 1, axis=1)[:, :take]
+            rows.append(np.repeat(np.arange(lo, hi), take))
+            others.append((top + a).ravel())
+            values.append(np.take_along_axis(cosine, top, 1).ravel())
+        row, other, value = np.concatenate(rows), np.concatenate(others), np.concatenate(values)
         fine = value > -np.inf
-        yield ids[rows[fine]], ids[other[fine]], value[fine]
+        yield row[fine], other[fine], value[fine]
+
+
+def _kept(ids: np.ndarray, row: np.ndarray, other: np.ndarray, value: np.ndarray, k: int):
+    """Of links between rows the best k of each row, each other row once: ids, ids of the others, cosines."""
+    order = np.lexsort((ids[other], -value, row))
+    row, other, value = row[order], other[order], value[order]
+    pair = row.astype(np.int64) * len(ids) + other
+    first = np.zeros(len(pair), bool)
+    first[np.unique(pair, return_index=True)[1]] = True
+    row, other, value = row[first], other[first], value[first]
+    starts = np.searchsorted(row, row)
+    best = np.arange(len(row)) - starts < k
+    return ids[row[best]], ids[other[best]], value[best].astype(np.float32)
+
+
+class Pivots:
+    """The pivots of one width, in the order of their shelves."""
+
+    def __init__(self, vectors: np.ndarray, seed: int):
+        want = max(1, round(math.sqrt(len(vectors))))
+        heads = vectors[np.random.default_rng(seed).permutation(len(vectors))[:want]]
+        shelf = np.concatenate([(vectors[a : a + 4096] @ heads.T).argmax(axis=1) for a in range(0, len(vectors), 4096)]) if len(vectors) else np.zeros(0, np.int64)
+        order = np.argsort(shelf, kind="stable")
+        self.vectors, self.heads = np.ascontiguousarray(vectors[order]), heads
+        self.starts = np.searchsorted(shelf[order], np.arange(want + 1))
+
+    def permutations(self, unit: np.ndarray, prefix: int) -> np.ndarray:
+        """The `prefix` nearest pivots of each row, nearest first: those of its NEAR_SHELVES nearest shelves, and of as
+        many further ones as it takes to find so many."""
+        n, width = len(unit), min(prefix, len(self.vectors))
+        near = unit @ self.heads.T
+        size = np.diff(self.starts)
+        shelves = min(NEAR_SHELVES, len(size))
+        by_rank = np.argsort(-near, axis=1)
+        held = np.cumsum(size[by_rank], axis=1)
+        reach = np.maximum((held < width).sum(axis=1) + 1, shelves)
+        best = np.full((n, width), -np.inf, np.float32)
+        who = np.zeros((n, width), np.int32)
+        wanted = np.zeros((n, len(size)), bool)
+        np.put_along_axis(wanted, by_rank, np.arange(len(size))[None, :] < reach[:, None], 1)
+        for s in np.flatnonzero(size):
+            rows = np.flatnonzero(wanted[:, s])
+            if len(rows):
+                lo, hi = self.starts[s], self.starts[s + 1]
+                value = np.concatenate([best[rows], unit[rows] @ self.vectors[lo:hi].T], axis=1)
+                names = np.concatenate([who[rows], np.broadcast_to(np.arange(lo, hi, dtype=np.int32), (len(rows), hi - lo))], axis=1)
+                top = np.argpartition(-value, width - 1, axis=1)[:, :width]
+                best[rows], who[rows] = np.take_along_axis(value, top, 1), np.take_along_axis(names, top, 1)
+        order = np.lexsort((who, -best), axis=1)
+        return np.take_along_axis(who, order, 1)
 
 
 def _copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Which rows are indexed, and the links of the rest. Of equal vectors the k + 1 with the smallest ids are indexed;
+    """The rows that are indexed (id, dims, vector), and the links of the rest. Of equal vectors the k + 1 with the smallest ids are indexed;
     every further copy has the first k of them as its most similar ones. Only those few leave a map task."""
     w = Window.partitionBy("dims", "same").orderBy("id")
     first = rows.select("id", "dims", "same").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
@@ -99,10 +158,39 @@ def _copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     full = first.where(F.col("_r") == k + 1).select("dims", "same", F.col("id").alias("_last"))
     leaders = first.where(F.col("_r") <= k).join(full, ["dims", "same"]).select("dims", "same", F.col("id").alias("other"), "_last")
     rest = rows.select("id", "dims", "same").join(leaders, ["dims", "same"]).where("id > _last")
-    return first.select("id"), rest.select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
+    # Groups of so many copies are few as a rule: the planner sends them to the vectors where they are, if they are.
+    indexed = rows.join(full, ["dims", "same"], "left").where("_last is null or id <= _last")
+    return indexed.select("id", "dims", "vector"), rest.select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
+
+
+def _pivot_tables(rows: DataFrame, prefix: int, pivot_bytes: int, seed: int) -> dict[int, Pivots]:
+    """The pivots of every width, so many that all of them together stay below pivot_bytes, but `prefix` at least."""
+    counts = {r["dims"]: r["n"] for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    wish = {d: max(prefix, math.ceil(8 * math.sqrt(n)), n // 64) for d, n in counts.items()}
+    cut = min(1.0, pivot_bytes / max(1, sum(4 * d * w for d, w in wish.items())))
+    out = {}
+    for dims, n in wish.items():  # few: one round per number of dimensions
+        picked = rows.where(F.col("dims") == dims).dropDuplicates(["same"]).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(prefix, int(n * cut))).select("vector")
+        out[dims] = Pivots(_matrix(picked.toArrow().column("vector").combine_chunks()), seed)
+    return out
+
 
+def _shelf_numbers(pivots: Pivots, counts: np.ndarray, shelf: int) -> np.ndarray:
+    """The shelf of each pivot: those of Pivots, cut where their files hold more than `shelf` vectors together."""
+    out, number = np.zeros(len(counts), np.int64), 0
+    for lo, hi in zip(pivots.starts, pivots.starts[1:]):
+        held = 0
+        for p in range(lo, hi):
+            if held and held + counts[p] > shelf:
+                number, held = number + 1, 0
+            out[p], held = number, held + counts[p]
+        number += 1
+    return out
 
-def similar_vectors(vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank: int = 128, max_pivots: int = MAX_PIVOTS, cell: int = CELL, seed: int = 7) -> DataFrame:
+
+def similar_vectors(
+    vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank: int = 128, pivot_bytes: int = PIVOT_BYTES, cell: int = CELL, shelf: int = SHELF, seed: int = 7,
+) -> DataFrame:
     """(id, other, cosine, rank): for every usable vector its k most similar usable vectors of the same dims.
 
     vectors: (id, dims, vector); see usable_vectors. Approximate: the true neighbours are found with a recall above
@@ -111,72 +199,95 @@ def similar_vectors(vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank
     spark = vectors.sparkSession
     rows = keep(usable_vectors(vectors).withColumn("same", F.xxhash64("vector")), "vectors")
     indexed, copies = _copies(rows, k)
-    counts = {r["dims"]: r["n"] for r in rows.groupBy("dims").agg(F.count("*").alias("n")).collect()}
-    pivots = {}
-    for dims, n in counts.items():  # few: one round per number of dimensions
-        want = min(max_pivots, max(prefix, math.ceil(8 * math.sqrt(n))))
-        picked = rows.where(F.col("dims") == dims).dropDuplicates(["same"]).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(want).select("vector")
-        pivots[dims] = _matrix(picked.toArrow().column("vector").combine_chunks())
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def permute(batches):
+    pivots = spark.sparkContext.broadcast(_pivot_tables(rows, prefix, pivot_bytes, seed))
+
+    def permuted(batches):
         for b in batches:
             dims = b.column(1).to_numpy()
-            for d in np.unique(dims):
+            for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 for lo in range(0, len(at), _BLOCK):
-                    some = at[lo : lo + _BLOCK]
-                    take = pa.array(some)
+                    take = pa.array(at[lo : lo + _BLOCK])
                     unit = _matrix(b.column(2).take(take))
-                    sim, n = unit @ shared.value[d].T, min(prefix, len(shared.value[d]))
-                    near = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1), 1).astype(np.int32)
-                    offsets = pa.array(np.arange(0, near.size + 1, n, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(take), b.column(1).take(take), pa.array([u.tobytes() for u in unit], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(near.ravel()))],
-                        ["id", "dims", "unit", "perm"])
-
-    posts = rows.join(indexed, "id", "left_semi").select("id", "dims", "vector").mapInArrow(permute, "id bigint, dims int, unit binary, perm array<int>")
-    posts = keep(posts, "permutations")
-    filed = posts.select("id", "dims", F.explode("perm").alias("pivot"))
-    large = keep(filed.groupBy("dims", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > cell), "large-files")
-    # A row goes to every pair of blocks with its own block in it; large files are no more than pivots.
-    blocks = F.coalesce(F.ceil(F.col("n") / max(1, cell // 2)), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("_b")).cast("int")
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("_b") - 1), lambda x: (x != F.col("_own")) | (F.col("_b") == 1)),
-        lambda x: F.array(F.col("pivot"), F.least(x, "_own"), F.greatest(x, "_own")))
-    parted = filed.join(F.broadcast(large), ["dims", "pivot"], "left").withColumn("_b", blocks).withColumn("_own", own)
-    placed = parted.select("id", "dims", F.explode(pairs).alias("file"))
+                    yield d, b.column(0).take(take).to_numpy(), unit, pivots.value[d].permutations(unit, prefix)
+
+    def count(batches):
+        sums: dict[int, np.ndarray] = {}
+        for d, _, _, perm in permuted(batches):
+            sums[d] = sums.get(d, 0) + np.bincount(perm.ravel(), minlength=len(pivots.value[d].vectors))
+        for d, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["dims", "pivot", "n"])
+
+    held = {d: np.zeros(len(p.vectors), np.int64) for d, p in pivots.value.items()}
+    for r in indexed.mapInArrow(count, "dims int, pivot int, n bigint").groupBy("dims", "pivot").agg(F.sum("n").alias("n")).collect():  # one row a pivot
+        held[r["dims"]][r["pivot"]] = r["n"]
+    plan = spark.sparkContext.broadcast({d: (_shelf_numbers(p, np.where(held[d] > cell, 0, held[d]), shelf), -(-held[d] // max(1, cell // 2))) for d, p in pivots.value.items()})
+
+    def place(batches):
+        """(place, pivot, id, dims, unit, perm): a row for every shelf of a vector (pivot -1), and for every pair of blocks
+        with its own block in it of each large file (of that pivot)."""
+        for d, ids, unit, perm in permuted(batches):
+            shelf_of, blocks = plan.value[d]
+            large = held[d][perm] > cell
+            shelves = np.where(large, -1, shelf_of[perm])
+            first = ~large
+            for i in range(1, perm.shape[1]):
+                first[:, i] &= ~(shelves[:, i, None] == shelves[:, :i]).any(axis=1)
+            row, col = np.nonzero(first)
+            spots = [(row, shelves[row, col], np.full(len(row), -1))]
+            own = mix(ids.view(np.uint64) + np.uint64(seed))
+            for i, j in zip(*np.nonzero(large)):
+                p, n = int(perm[i, j]), int(blocks[perm[i, j]])
+                mine = int(own[i] % np.uint64(n))
+                pair = np.array([min(x, mine) * n + max(x, mine) for x in range(n) if x != mine or n == 1], np.int64)
+                spots.append((np.full(len(pair), i), pair, np.full(len(pair), p)))
+            row, spot, pivot = (np.concatenate(x) for x in zip(*spots))
+            offsets = pa.array(np.arange(0, len(row) * perm.shape[1] + 1, perm.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spot), pa.array(pivot.astype(np.int32)), pa.array(ids[row]), pa.array(np.full(len(row), d, np.int32)),
+                 pa.array([unit[i].tobytes() for i in row], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(perm[row].ravel()))],
+                ["place", "pivot", "id", "dims", "unit", "perm"])
 
     def link(batches):
-        def close(cell_rows):
-            ids, unit, perm = (np.concatenate(x) for x in zip(*cell_rows))
-            for a, b, c in _best(ids, unit, perm, k, rerank):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.float32))], ["id", "other", "cosine"])
+        def close(parts):
+            (_, pivot, d), (ids, unit, perm) = key, (np.concatenate(x) for x in zip(*parts))
+            if pivot >= 0:
+                files = [np.arange(len(ids))]
+            else:
+                wanted = plan.value[d][0][perm] == key[0]
+                wanted &= held[d][perm] <= cell
+                row, col = np.nonzero(wanted)
+                names = perm[row, col]
+                order = np.argsort(names, kind="stable")
+                files = np.split(row[order], np.flatnonzero(np.diff(names[order])) + 1)
+            links = [[at[x] for x in (a, b)] + [c] for at in files if len(at) > 1 for a, b, c in _best(ids[at], unit[at], perm[at], k, rerank)]
+            if links:
+                a, b, c = _kept(ids, *(np.concatenate(x) for x in zip(*links)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["id", "other", "cosine"])
 
-        held, key = [], None
+        parts, key = [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            files = b.column(0).to_numpy()
-            ids, dims = b.column(1).to_numpy(), b.column(2).to_numpy()
-            edges = np.flatnonzero((np.diff(files) != 0) | (np.diff(dims) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(files)]):
-                if (now := (files[lo], dims[lo])) != key:
-                    if held:
-                        yield from close(held)
-                    held, key = [], now
+            marks = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (0, 1, 3)])
+            edges = np.flatnonzero((np.diff(marks, axis=1) != 0).any(axis=0)) + 1
+            ids = b.column(2).to_numpy()
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
+                now = tuple(marks[:, lo].tolist())
+                if now != key:
+                    if parts:
+                        yield from close(parts)
+                    parts, key = [], now
                 part = b.slice(lo, hi - lo)
-                unit = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float32).reshape(hi - lo, -1)
-                perm = part.column(4).flatten().to_numpy().reshape(hi - lo, -1)
-                held.append((ids[lo:hi], unit, perm))
-        if held:
-            yield from close(held)
-
-    cells = placed.select("id", F.xxhash64("file").alias("file"), F.col("dims").alias("_d")).join(posts, "id")
-    sorted_cells = cells.select("file", "id", "dims", "unit", "perm").repartition("file", "dims").sortWithinPartitions("file", "dims")
-    links = sorted_cells.mapInArrow(link, "id bigint, other bigint, cosine float").unionByName(copies)
+                unit = np.frombuffer(b"".join(part.column(4).to_pylist()), np.float32).reshape(hi - lo, -1)
+                parts.append((ids[lo:hi], unit, part.column(5).flatten().to_numpy().reshape(hi - lo, -1)))
+        if parts:
+            yield from close(parts)
+
+    placed = indexed.mapInArrow(place, "place bigint, pivot int, id bigint, dims int, unit binary, perm array<int>")
+    sorted_places = placed.repartition("place", "pivot", "dims").sortWithinPartitions("dims", "pivot", "place")
+    links = sorted_places.mapInArrow(link, "id bigint, other bigint, cosine float").unionByName(copies).repartition("id")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     once = links.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

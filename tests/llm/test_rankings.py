@@ -130,15 +130,37 @@ def test_dirty_vectors_and_copies(spark):
     assert V.similar_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
-def test_large_files_are_divided(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, 6, rng.normal(size=6).tolist(), 0) for i in range(400)]
-    df = spark.createDataFrame(rows, VECTORS)
-    truth = exact(rows, 5)
-    got = defaultdict(set)
-    for r in V.similar_vectors(df, cell=40, max_pivots=12, rerank=400).collect():
+def recall(spark, rows, **how):
+    truth, got = exact(rows, 5), defaultdict(set)
+    for r in V.similar_vectors(spark.createDataFrame(rows, VECTORS).repartition(3), **how).collect():
         got[r["id"]].add(r["other"])
-    assert sum(len(got[i] & truth[i]) for i in truth) / (5 * len(truth)) >= 0.8
+    return sum(len(got[i] & truth[i]) for i in truth) / (5 * len(truth))
+
+
+def test_recall_of_divided_files_and_few_pivots(spark):
+    """With the shipped settings of prefix and rerank, where the bound on pivots binds, files are parted and shelves cut."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    rows = [(i, 16, (centres[i % 30] + rng.normal(size=16) * 0.5).tolist(), 0) for i in range(1200)]
+    assert recall(spark, rows, pivot_bytes=40 * 16 * 4, cell=60) >= 0.9  # 40 pivots; files of 180 vectors in six blocks
+    assert recall(spark, rows, pivot_bytes=40 * 16 * 4) >= 0.9
+    assert recall(spark, rows, shelf=50) >= 0.9
+    assert recall(spark, rows, pivot_bytes=0, cell=200) >= 0.9  # as few pivots as a permutation has places
+    assert recall(spark, [(i, 6, rng.normal(size=6).tolist(), 0) for i in range(400)], pivot_bytes=288, cell=40) >= 0.9
+
+
+def test_a_vector_travels_once_to_a_shelf():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(50, 16))
+    points = (centres[rng.integers(0, 50, 3000)] + rng.normal(size=(3000, 16)) * 0.4).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    pivots = V.Pivots(points[:400], 1)
+    perm = pivots.permutations(points, 6)
+    near = np.argsort(-(points @ pivots.vectors.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(perm, near)]) >= 0.95
+    shelf = V._shelf_numbers(pivots, np.bincount(perm.ravel(), minlength=400), 1 << 30)
+    assert np.mean([len(set(r)) for r in shelf[perm]]) < 3.5
+    assert len(np.unique(V._shelf_numbers(pivots, np.ones(400, int), 1))) == 400
 
 
 def test_footrule():
