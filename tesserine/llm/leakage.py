@@ -9,33 +9,45 @@ alone, so literal leaks can never be lost by canonicalisation.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.words import Words, hash_words, signed, text_batches
+from tesserine.llm.words import Words, hash_words, mix, signed, text_batches
 
 #: Units of measure that stand for one another.
 UNITS = """b bit bits byte bytes cent cm cpus day days gb gib ghz hour hours hz kb kg khz kib km m mb mhz mib min minute
 minutes mm ms month months ns percent pixels px s sec second seconds tb tib us week weeks year years""".split()
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (11, 12, 13))
-#: Items are hashed into every task if they have at most so many windows (32 bytes each); more are joined by shuffle.
+#: Words of a window that must stay as they are for it to be matched as a template.
+MIN_PLAIN = 5
+#: Items are hashed into every task if they have at most so many windows; more are joined by shuffle, with the same rows.
 BROADCAST_WINDOWS = 2_000_000
+#: The plain vocabulary goes to every task as hashes of 8 bytes; more words than this are refused (128 MB).
+MAX_VOCABULARY = 16_000_000
+#: Matches that are judged at once.
+_MATCHES = 1 << 18
 FIELDS = "doc_id bigint, item_id bigint, literal_windows int, changed_windows int"
 
 
+def plain_words(text: str) -> set[str]:
+    """The words that a text has in plain lower case, digits and units aside."""
+    return {w for w in _split(text) if w.islower() and "_" not in w and not any(map(str.isdigit, w))} - set(UNITS)
+
+
 class Canon:
-    """Which words stay as they are: those that at least two items hold in plain lower case, digits and units aside."""
+    """Which words stay as they are: the vocabulary, hashes of those that at least two items hold in plain lower case."""
 
-    def __init__(self, item_texts: list[list[str]]):
-        plain: dict[str, int] = {}
-        for texts in item_texts:
-            words = {w for t in texts for w in _split(t) if w.islower() and "_" not in w and not any(map(str.isdigit, w))}
-            for w in words:
-                plain[w] = plain.get(w, 0) + 1
-        kept = sorted(w for w, n in plain.items() if n >= 2 and w not in UNITS)
-        self.plain, self.units = np.sort(_hashes(kept)), np.sort(_hashes(UNITS))
+    def __init__(self, vocabulary: np.ndarray):
+        self.plain, self.units = np.sort(vocabulary), np.sort(_hashes(UNITS))
+
+    @staticmethod
+    def of(item_texts: list[list[str]]) -> Canon:
+        held = Counter(w for texts in item_texts for w in set().union(*map(plain_words, texts)))
+        return Canon(_hashes(sorted(w for w, n in held.items() if n >= 2)))
 
     def apply(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Canonical hashes of all words, and which of them are slots."""
@@ -72,38 +84,47 @@ def consistent(doc: np.ndarray, item: np.ndarray, slot: np.ndarray) -> np.ndarra
     return good
 
 
-def _windows(w: Words, canon: Canon, n: int):
+def _windows(w: Words, canon: Canon, n: int, min_plain: int):
     """Template hash, and number of the first word, of every window of n words."""
     codes, slot = canon.apply(w)
     templates, starts = Words(codes, w.starts, w.first, w.size, w.chars).runs(n)
     first = np.repeat(w.starts[:-1] - starts[:-1], np.diff(starts)) + np.arange(len(templates))
+    if len(templates):
+        plain = np.concatenate([[0], np.cumsum(~slot)])
+        bare = plain[first + n] - plain[first] < min_plain
+        templates = np.where(bare, mix(w.runs(n)[0]), templates)
     return templates, starts, first, slot
 
 
 class ItemIndex:
     """The windows of all items, sorted by template hash."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int):
-        self.window, self.canon = window, Canon([t for _, t in items])
+    def __init__(self, items: list[tuple[int, list[str]]], window: int, min_plain: int = MIN_PLAIN):
+        self.window, self.min_plain, self.canon = window, min_plain, Canon.of([t for _, t in items])
         texts = [x for _, part in items for x in part]
         owner = np.array([i for i, part in items for _ in part], np.int64)
         w = hash_words(texts)
-        templates, starts, first, slot = _windows(w, self.canon, window)
+        templates, starts, first, slot = _windows(w, self.canon, window, min_plain)
         order = np.argsort(templates, kind="stable")
         self.templates, self.items = templates[order], np.repeat(owner, np.diff(starts))[order]
         self.words, self.slots = (x[first[order][:, None] + np.arange(window)] if len(order) else np.zeros((0, window), x.dtype) for x in (w.hashes, slot))
 
     def match(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text number, item, literal) of every window of the texts that is a literal or consistent match."""
-        templates, starts, first, _ = _windows(w, self.canon, self.window)
+        templates, starts, first, _ = _windows(w, self.canon, self.window, self.min_plain)
         low, high = np.searchsorted(self.templates, templates, "left"), np.searchsorted(self.templates, templates, "right")
-        hits = high - low
-        at = np.flatnonzero(hits)
-        times = hits[at]
-        mine = np.repeat(low[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        owner = np.repeat((np.searchsorted(starts, at, "right") - 1), times)
-        words = w.hashes[np.repeat(first[at], times)[:, None] + np.arange(self.window)] if len(at) else self.words[:0]
-        return _judge(words, self.words[mine], self.slots[mine], owner, self.items[mine])
+        at = np.flatnonzero(high > low)
+        total = np.cumsum((high - low)[at])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for some in np.split(at, np.searchsorted(total, np.arange(_MATCHES, total[-1], _MATCHES), "right")) if len(at) else []:
+            times = (high - low)[some]
+            for shift in range(0, int(times.max(initial=0)), _MATCHES):  # of a window that very many items hold, a part at a time
+                n = np.clip(times - shift, 0, _MATCHES)
+                mine = np.repeat(low[some] + shift, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                owner = np.repeat((np.searchsorted(starts, some, "right") - 1), n)
+                words = w.hashes[np.repeat(first[some], n)[:, None] + np.arange(self.window)]
+                out.append(_judge(words, self.words[mine], self.slots[mine], owner, self.items[mine]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _judge(doc, item, slot, owner, items):
@@ -120,7 +141,7 @@ def _count(owner, items, literal):
     return pairs[0], pairs[1], np.bincount(at, literal, n).astype(np.int32), np.bincount(at, ~literal, n).astype(np.int32)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, min_plain: int = MIN_PLAIN, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, literal_windows, changed_windows): how many windows of the document match the item.
 
     documents: (doc_id, text); items: (item_id, text), several rows per item for its several texts. Only pairs with a
@@ -130,11 +151,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, broadca
     documents = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     bound = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # a text has fewer windows than characters
     if bound // 2 > broadcast_windows:
-        return _find_by_shuffle(documents, items, window)
+        return _find_by_shuffle(documents, items, window, min_plain)
     texts: dict[int, list[str]] = {}
     for r in items.orderBy("item_id", "text").collect():
         texts.setdefault(r["item_id"], []).append(r["text"])
-    index = documents.sparkSession.sparkContext.broadcast(ItemIndex(list(texts.items()), window))
+    index = documents.sparkSession.sparkContext.broadcast(ItemIndex(list(texts.items()), window, min_plain))
 
     def scan(batches):
         for batch, part in text_batches(batches):
@@ -144,23 +165,31 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, broadca
     return documents.mapInArrow(scan, FIELDS)
 
 
-def _find_by_shuffle(documents: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _vocabulary(items: DataFrame) -> np.ndarray:
+    """Hashes of the plain words of at least two items, told by the same tokeniser as everywhere."""
+
+    def words(batches):
+        for batch, part in text_batches(batches):
+            held = [sorted(plain_words(t or "")) for t in part]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(signed(_hashes([w for h in held for w in h])))], ["item_id", "word"])
+
+    shared = items.mapInArrow(words, "item_id bigint, word bigint").distinct().groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").select("word")
+    found = shared.limit(MAX_VOCABULARY + 1).toArrow().column("word").to_numpy()
+    if len(found) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} plain words in the items")
+    return found.view(np.uint64)
+
+
+def _find_by_shuffle(documents: DataFrame, items: DataFrame, window: int, min_plain: int) -> DataFrame:
     """find_leaks for item sets too large to send to every task: both sides' windows meet by template hash."""
     spark = items.sparkSession
-    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("w")
-    plain = (
-        items.select("item_id", words).where(r"w = lower(w) and not w rlike '[_\\p{N}]' and w rlike '\\p{L}'")
-        .groupBy("w").agg(F.count_distinct("item_id").alias("n")).where("n >= 2")
-    )
-    # A vocabulary grows far slower than its corpus; beyond this bound its rarest words count as names.
-    vocabulary = [r["w"] for r in plain.orderBy(F.desc("n"), "w").limit(1_000_000).collect()]
-    canon = Canon([vocabulary, vocabulary])
-    shared = spark.sparkContext.broadcast(canon)
+    shared = spark.sparkContext.broadcast(Canon(_vocabulary(items)))
 
     def explode(batches):
         for batch, part in text_batches(batches):
             w = hash_words(part)
-            templates, starts, first, slot = _windows(w, shared.value, window)
+            templates, starts, first, slot = _windows(w, shared.value, window, min_plain)
             for a in range(0, len(templates), 100_000):
                 f = first[a : a + 100_000, None] + np.arange(window)
                 owner = np.searchsorted(starts, np.arange(a, a + len(f)), "right") - 1

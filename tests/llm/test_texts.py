@@ -102,6 +102,54 @@ def test_leaks(spark):
     assert L.find_leaks(docs.limit(0), items).count() == 0 and L.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def naive_leaks(docs, items, n=12, least=L.MIN_PLAIN):
+    """find_leaks word by word."""
+    held = defaultdict(set)
+    for i, t in items:
+        for w in re.findall(r"\w+", t):
+            if w == w.lower() and w.upper() != w and "_" not in w and not re.search(r"\d", w) and w not in L.UNITS:
+                held[w].add(i)
+    kind = lambda w: "#" if re.fullmatch("[0-9]+", w) else "u" if w in L.UNITS else w if len(held[w]) >= 2 else "N"
+    slot = lambda w: kind(w) in ("#", "u", "N")
+    out = defaultdict(lambda: [0, 0])
+    for d, t in docs:
+        a = words(t)
+        for i, x in sorted(set(items)):
+            b = words(x)
+            for p in range(len(a) - n + 1):
+                for q in range(len(b) - n + 1):
+                    v, w = a[p : p + n], b[q : q + n]
+                    if v == w:
+                        out[d, i][0] += 1
+                    elif [*map(kind, v)] == [*map(kind, w)] and sum(not slot(y) for y in v) >= least:
+                        places = [(y, z) for y, z in zip(v, w) if slot(y)]
+                        if len({y for y, _ in places}) == len(set(places)) == len({z for _, z in places}):
+                            out[d, i][1] += 1
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_templates_need_words(spark):
+    items = [(1, " ".join(str(900 + i) for i in range(14))), (2, " ".join(f"Item{i}a" for i in range(14))), (3, "alpha beta gamma delta epsilon " * 3), (4, "alpha beta gamma delta epsilon " * 3 + "7 of 9"),
+             (5, "the gamma value of Alice is 17 ms and the beta value of Bob is 23 ms in alpha runs"), (6, "a value of the alpha is in runs and of beta gamma")]
+    docs = [(1, " ".join(str(i * 11) for i in range(1, 14))), (2, " ".join(f"other{i}" for i in range(14))), (3, items[0][1]), (4, items[1][1]),
+            (5, "so the gamma value of Carol is 5 s and the beta value of Dave is 6 s in alpha runs"), (6, "so the gamma value of Carol is 5 s and the beta value of Carol is 6 s in alpha runs")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["literal_windows"], r["changed_windows"]) for r in L.find_leaks(df, it).collect()}
+    assert got == naive_leaks(docs, items)
+    assert (1, 1) not in got and (2, 2) not in got and got[3, 1] == (3, 0) and got[4, 2] == (3, 0) and got[5, 5][1] > 0
+    assert got == {(r["doc_id"], r["item_id"]): (r["literal_windows"], r["changed_windows"]) for r in L.find_leaks(df, it, broadcast_windows=0).collect()}
+
+
+def test_reparameterised_items_are_found(spark, sf):
+    """Items of the test tables with other numbers put in, in documents of their own."""
+    items = [(r["item_id"], r["passage"]) for r in spark.read.parquet(f"{sf}/eval_items.parquet").collect()]
+    changed = [(i, re.sub(r"(?<![\w])[0-9]+(?![\w])", lambda m: str(int(m[0]) * 7 + 3), t)) for i, t in items]
+    planted = [(i, t) for (i, t), (_, old) in zip(changed, items) if words(t) != words(old) and len(words(t)) >= 12]
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in L.find_leaks(spark.createDataFrame(planted, "doc_id long, text string"), it).where("changed_windows > 0").collect()}
+    assert len(planted) >= 10 and sum((i, i) in got for i, _ in planted) >= 0.9 * len(planted)
+
+
 def test_slots_must_be_consistent():
     a = np.array([[1, 2, 1]], np.uint64)
     slot = np.ones((1, 3), bool)
