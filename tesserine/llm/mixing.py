@@ -79,14 +79,21 @@ def horizon(sources: list[tuple[float, int, int, int]], budget: int) -> float:
     return high
 
 
+def reachable_budget(sources: list[tuple[float, int, int, int]]) -> int:
+    """The largest total at which no source runs dry, so that every source with documents has its share of the weights
+    of those that have any. sources: as for horizon."""
+    whole = sum(w for w, *_ in sources)
+    return min((int(t * r * whole / w) for w, t, r, _ in sources), default=0)
+
+
 def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0, tokenizer: str = f"{TOKENIZERS}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     documents: (doc_id, source, text); targets: (source, weight, max_repeats). budget: total tokens, by default as many
-    as the documents with a target have. Mixture: (position, doc_id, copy, source, n_tokens, finish), a row per use, in
+    as all targets can be held at (reachable_budget). Mixture: (position, doc_id, copy, source, n_tokens, finish), a row per use, in
     serving order; the longest prefix that does not exceed the budget. Report: a row per source of either table with
-    target and actual shares. A source runs dry when its documents have been used max_repeats times; the others then
-    share the rest by their weights. Null sources and sources without a target are not used; documents without a token
+    target and actual shares. With a larger budget a source runs dry when its documents have been used max_repeats times;
+    the others then share the rest by their weights, and the report shows the deviation. Null sources and sources without a target are not used; documents without a token
     take no part. Repeated rows are documents of their own."""
     wanted = _targets(targets)
     if wanted.count() > MAX_SOURCES:
@@ -98,8 +105,9 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     queued = queued.select("doc_id", "source", "n_tokens", "weight", "max_repeats", "cumulative")
     totals = usable.groupBy("source", "weight", "max_repeats").agg(F.sum("n_tokens").alias("total"), F.max("n_tokens").alias("largest"))
     sums = totals.collect()  # at most MAX_SOURCES rows
-    budget = sum(r["total"] for r in sums) if budget is None else budget
-    until = horizon([(r["weight"], r["total"], r["max_repeats"], r["largest"]) for r in sums], budget)
+    sources = [(r["weight"], r["total"], r["max_repeats"], r["largest"]) for r in sums]
+    budget = reachable_budget(sources) if budget is None else budget
+    until = horizon(sources, budget)
     spark = documents.sparkSession
     clock = spark.createDataFrame([(r["source"], r["total"]) for r in sums], "source string, source_total bigint")
     start = F.col("cumulative") / F.col("weight")
@@ -119,12 +127,18 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
 
 
 def _report(docs: DataFrame, wanted: DataFrame, mixture: DataFrame) -> DataFrame:
-    """(source, target_share, available_tokens, used_tokens, uses, max_copy, actual_share)."""
+    """(source, target_share, reachable_share, available_tokens, used_tokens, uses, max_copy, actual_share, deviation).
+
+    reachable_share: the target among the sources that have documents; deviation: the actual share less that one."""
     have = docs.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     got = mixture.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.count("*").alias("uses"), F.max("copy").alias("max_copy"))
-    whole = wanted.agg(F.sum("weight").alias("_w")).join(got.agg(F.sum("used_tokens").alias("_t")))
-    rows = have.where("source is not null").join(wanted, "source", "full").join(got, "source", "left").join(whole)
+    rows = have.where("source is not null").join(wanted, "source", "full").join(got, "source", "left")
+    reach = F.when(F.col("available_tokens") > 0, F.col("weight"))
+    whole = rows.agg(F.sum("weight").alias("_w"), F.sum(reach).alias("_r"), F.sum("used_tokens").alias("_t"))
+    rows = rows.crossJoin(F.broadcast(whole))  # one row
+    share = lambda a, b: F.coalesce(a / F.col(b), F.lit(0.0))
+    reached, actual = share(reach, "_r"), share(F.col("used_tokens"), "_t")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return rows.select(
-        "source", F.coalesce(F.col("weight") / F.col("_w"), F.lit(0.0)).alias("target_share"), zero("available_tokens"), zero("used_tokens"),
-        zero("uses"), zero("max_copy"), F.coalesce(F.col("used_tokens") / F.col("_t"), F.lit(0.0)).alias("actual_share"))
+        "source", share(F.col("weight"), "_w").alias("target_share"), reached.alias("reachable_share"), zero("available_tokens"), zero("used_tokens"),
+        zero("uses"), zero("max_copy"), actual.alias("actual_share"), (actual - reached).alias("deviation"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserine.llm import generated_files as G
 from tesserine.llm import leakage as L
 from tesserine.llm import mixing as M
+from tesserine.llm import queries
 from tesserine.llm import repetition as R
 from tesserine.llm import secrets as S
 from tesserine.llm.trigrams import TrigramIndex, grams_of, required_trigrams
@@ -284,6 +285,34 @@ def test_mix(spark, tokenizer):
     whole, _ = M.mix(df, targets, 10**9, tokenizer=tokenizer)  # more than there is: everything, max_repeats times
     assert whole.groupBy("source").agg(F.max("copy")).orderBy("source").collect()[1][1] == 3 and whole.count() == 330
     assert M.mix(df.limit(0), targets, tokenizer=tokenizer)[0].count() == 0
+    # By default the total is the largest one that holds all targets: here what three uses of `small` allow.
+    held, report = M.mix(df, targets, tokenizer=tokenizer)
+    total, shares = held.agg(F.sum("n_tokens")).first()[0], {r["source"]: r for r in report.collect()}
+    assert abs(total - 3 * small * 0.75 / 0.25) <= 2 * max(n.values())
+    assert shares["small"]["reachable_share"] == pytest.approx(1 / 3) and shares["absent"]["reachable_share"] == 0 and shares["absent"]["target_share"] == 0.25
+    assert all(abs(r["deviation"]) * total <= 2 * max(n.values()) for r in shares.values())
+
+
+def test_shares_reach_the_targets(spark, sf):
+    """On the test tables, against counts of the same tokens in plain Python."""
+    rows = queries.p9_shares(spark, sf).collect()
+    docs = defaultdict(int)
+    encode = M.encoder(f"{M.TOKENIZERS}/{M.VOCABULARY}").encode_ordinary
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "text").collect():
+        if r["source"] is not None:
+            docs[r["source"].strip().lower()] += len(encode(r["text"] or ""))
+    weights = defaultdict(float)
+    for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect():
+        weights[r["source"].strip().lower()] += r["weight"]
+    assert {r["source"]: r["available_tokens"] for r in rows} == {s: docs.get(s, 0) for s in {*docs, *weights}}
+    whole, reach = sum(weights.values()), sum(w for s, w in weights.items() if docs.get(s))
+    total = sum(r["used_tokens"] for r in rows)
+    longest = 20_000
+    for r in rows:
+        w = weights.get(r["source"], 0)
+        assert r["target_share"] == pytest.approx(w / whole) and r["reachable_share"] == pytest.approx(w / reach if docs.get(r["source"]) else 0)
+        assert abs(r["used_tokens"] - r["reachable_share"] * total) <= longest
+    assert total > 0 and sum(abs(r["deviation"]) for r in rows) * total <= longest
 
 
 def test_tokens_round_trip(tokenizer):
