@@ -8,11 +8,11 @@ k over its files are kept. Every vector is indexed and every vector is a query.
 * Pivots are a sample of the vectors, max(8 sqrt(n), n / 64) of them, so that the files of a large collection hold a
   constant number of vectors. Pivots stand on shelves of similar ones; a vector is compared with the pivots of its
   nearest shelves alone, so finding its permutation costs about the square root of the number of pivots.
-* What travels is the vector, once for every shelf that holds one of its pivots (its nearest pivots are mostly
-  neighbours of each other), not once for every pivot. A shelf's task opens the files of all its pivots.
+* What travels is the vector, in 16 bits a component, once for every room that holds one of its pivots, not once for
+  every pivot. Rooms are clusters of pivots with about `room` vectors in their files; a room's task opens all of them.
 * Pivots are sent to every task, so their bytes are bounded (`pivot_bytes`). Beyond that bound files grow; a file of more
-  than `cell` vectors is worked off by pairs of blocks, so that all its members still meet. Shelves are cut by the number
-  of vectors in their files.
+  than `cell` vectors is worked off by pairs of blocks, so that all its members still meet. Rooms are cut where their
+  files hold too many vectors.
 """
 
 from __future__ import annotations
@@ -30,12 +30,17 @@ from tesserine.sources.durable import keep
 #: The pivots of all widths together take so many bytes at most where they are sent to every task.
 PIVOT_BYTES = 64 << 20
 PREFIX = 6
-#: Files of more vectors are parted, shelves of more vectors are cut.
+#: Files of more vectors are parted.
 CELL = 8_192
-SHELF = 16_384
+#: About so many vectors meet in a room.
+ROOM = 65_536
+#: Components of unit vectors travel as whole multiples of 1 / _SCALE; cosines are good to about 1e-5.
+_SCALE = 32_767.0
 #: Of the shelves nearest to a vector so many are searched for its pivots.
 NEAR_SHELVES = 12
 _BLOCK = 1_024
+#: Groups of copies that are sent to every task (20 bytes each); more are joined by shuffle.
+_FEW_GROUPS = 500_000
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
@@ -158,8 +163,9 @@ def _copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     full = first.where(F.col("_r") == k + 1).select("dims", "same", F.col("id").alias("_last"))
     leaders = first.where(F.col("_r") <= k).join(full, ["dims", "same"]).select("dims", "same", F.col("id").alias("other"), "_last")
     rest = rows.select("id", "dims", "same").join(leaders, ["dims", "same"]).where("id > _last")
-    # Groups of so many copies are few as a rule: the planner sends them to the vectors where they are, if they are.
-    indexed = rows.join(full, ["dims", "same"], "left").where("_last is null or id <= _last")
+    # Groups of so many copies are few as a rule; then they are sent to the vectors, which stay where they are.
+    few = full.count() <= _FEW_GROUPS
+    indexed = rows.join(F.broadcast(full) if few else full, ["dims", "same"], "left").where("_last is null or id <= _last")
     return indexed.select("id", "dims", "vector"), rest.select("id", "other", F.lit(1.0).cast("float").alias("cosine"))
 
 
@@ -170,26 +176,36 @@ def _pivot_tables(rows: DataFrame, prefix: int, pivot_bytes: int, seed: int) ->
     cut = min(1.0, pivot_bytes / max(1, sum(4 * d * w for d, w in wish.items())))
     out = {}
     for dims, n in wish.items():  # few: one round per number of dimensions
-        picked = rows.where(F.col("dims") == dims).dropDuplicates(["same"]).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(prefix, int(n * cut))).select("vector")
+        once = rows.where(F.col("dims") == dims).groupBy("same").agg(F.min("id").alias("id"))
+        names = once.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(prefix, int(n * cut))).select("id")
+        picked = rows.where(F.col("dims") == dims).join(F.broadcast(names), "id", "left_semi").orderBy("id").select("vector")
         out[dims] = Pivots(_matrix(picked.toArrow().column("vector").combine_chunks()), seed)
     return out
 
 
-def _shelf_numbers(pivots: Pivots, counts: np.ndarray, shelf: int) -> np.ndarray:
-    """The shelf of each pivot: those of Pivots, cut where their files hold more than `shelf` vectors together."""
-    out, number = np.zeros(len(counts), np.int64), 0
-    for lo, hi in zip(pivots.starts, pivots.starts[1:]):
-        held = 0
-        for p in range(lo, hi):
-            if held and held + counts[p] > shelf:
-                number, held = number + 1, 0
-            out[p], held = number, held + counts[p]
-        number += 1
+def _rooms(pivots: Pivots, counts: np.ndarray, room: int, seed: int) -> np.ndarray:
+    """The room of each pivot: clusters of pivots (some rounds of k-means), cut where their files hold more than four
+    times `room` entries, as a vector stands in several files of a room."""
+    want = min(len(counts), max(1, -(-int(counts.sum()) // (2 * room))))
+    centres = pivots.vectors[np.random.default_rng(seed).permutation(len(counts))[:want]]
+    near = np.zeros(len(counts), np.int64)
+    for _ in range(6 if want > 1 else 0):
+        near = np.concatenate([(pivots.vectors[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(counts), 4096)])
+        order = np.argsort(near, kind="stable")
+        heads = np.flatnonzero(np.diff(near[order], prepend=-1))
+        centres[near[order][heads]] = np.add.reduceat(pivots.vectors[order], heads, axis=0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+    order = np.argsort(near, kind="stable")
+    out, number, held, last = np.zeros(len(counts), np.int64), -1, 0, -1
+    for p, r in zip(order.tolist(), near[order].tolist()):
+        if r != last or held and held + counts[p] > 4 * room:
+            number, held, last = number + 1, 0, r
+        out[p], held = number, held + counts[p]
     return out
 
 
 def similar_vectors(
-    vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank: int = 128, pivot_bytes: int = PIVOT_BYTES, cell: int = CELL, shelf: int = SHELF, seed: int = 7,
+    vectors: DataFrame, k: int = 5, prefix: int = PREFIX, rerank: int = 128, pivot_bytes: int = PIVOT_BYTES, cell: int = CELL, room: int = ROOM, seed: int = 7,
 ) -> DataFrame:
     """(id, other, cosine, rank): for every usable vector its k most similar usable vectors of the same dims.
 
@@ -222,20 +238,20 @@ def similar_vectors(
     held = {d: np.zeros(len(p.vectors), np.int64) for d, p in pivots.value.items()}
     for r in indexed.mapInArrow(count, "dims int, pivot int, n bigint").groupBy("dims", "pivot").agg(F.sum("n").alias("n")).collect():  # one row a pivot
         held[r["dims"]][r["pivot"]] = r["n"]
-    plan = spark.sparkContext.broadcast({d: (_shelf_numbers(p, np.where(held[d] > cell, 0, held[d]), shelf), -(-held[d] // max(1, cell // 2))) for d, p in pivots.value.items()})
+    plan = spark.sparkContext.broadcast({d: (_rooms(p, np.where(held[d] > cell, 0, held[d]), room, seed), -(-held[d] // max(1, cell // 2))) for d, p in pivots.value.items()})
 
     def place(batches):
-        """(place, pivot, id, dims, unit, perm): a row for every shelf of a vector (pivot -1), and for every pair of blocks
+        """(place, pivot, id, dims, unit, perm): a row for every room of a vector (pivot -1), and for every pair of blocks
         with its own block in it of each large file (of that pivot)."""
         for d, ids, unit, perm in permuted(batches):
-            shelf_of, blocks = plan.value[d]
+            room_of, blocks = plan.value[d]
             large = held[d][perm] > cell
-            shelves = np.where(large, -1, shelf_of[perm])
+            rooms = np.where(large, -1, room_of[perm])
             first = ~large
             for i in range(1, perm.shape[1]):
-                first[:, i] &= ~(shelves[:, i, None] == shelves[:, :i]).any(axis=1)
+                first[:, i] &= ~(rooms[:, i, None] == rooms[:, :i]).any(axis=1)
             row, col = np.nonzero(first)
-            spots = [(row, shelves[row, col], np.full(len(row), -1))]
+            spots = [(row, rooms[row, col], np.full(len(row), -1))]
             own = mix(ids.view(np.uint64) + np.uint64(seed))
             for i, j in zip(*np.nonzero(large)):
                 p, n = int(perm[i, j]), int(blocks[perm[i, j]])
@@ -243,15 +259,17 @@ def similar_vectors(
                 pair = np.array([min(x, mine) * n + max(x, mine) for x in range(n) if x != mine or n == 1], np.int64)
                 spots.append((np.full(len(pair), i), pair, np.full(len(pair), p)))
             row, spot, pivot = (np.concatenate(x) for x in zip(*spots))
+            short = np.rint(unit * _SCALE).astype("<i2")
             offsets = pa.array(np.arange(0, len(row) * perm.shape[1] + 1, perm.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(spot), pa.array(pivot.astype(np.int32)), pa.array(ids[row]), pa.array(np.full(len(row), d, np.int32)),
-                 pa.array([unit[i].tobytes() for i in row], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(perm[row].ravel()))],
+                 pa.array([short[i].tobytes() for i in row], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(perm[row].ravel()))],
                 ["place", "pivot", "id", "dims", "unit", "perm"])
 
     def link(batches):
         def close(parts):
             (_, pivot, d), (ids, unit, perm) = key, (np.concatenate(x) for x in zip(*parts))
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             if pivot >= 0:
                 files = [np.arange(len(ids))]
             else:
@@ -280,7 +298,7 @@ def similar_vectors(
                         yield from close(parts)
                     parts, key = [], now
                 part = b.slice(lo, hi - lo)
-                unit = np.frombuffer(b"".join(part.column(4).to_pylist()), np.float32).reshape(hi - lo, -1)
+                unit = np.frombuffer(b"".join(part.column(4).to_pylist()), "<i2").reshape(hi - lo, -1).astype(np.float32)
                 parts.append((ids[lo:hi], unit, part.column(5).flatten().to_numpy().reshape(hi - lo, -1)))
         if parts:
             yield from close(parts)

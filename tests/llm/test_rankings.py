@@ -12,7 +12,6 @@ from tesserine.operators.ordered import ordered, with_rank, with_running_sum
 
 T0 = dt.datetime(2026, 1, 1)
 SCORED = "query_id long, chunk_rowid long, arm string, score double, tier int, scored_at timestamp_ntz, rank string"
-NAMES = [f"s_{a}" for a in R.ARMS] + ["s_tier"]
 
 
 def random_scores(seed, queries=12, most=30):
@@ -51,8 +50,38 @@ def brute_winners(rows):
 def test_winners(spark):
     for seed in range(3):
         rows = random_scores(seed)
-        ranked = R.ranking(spark.createDataFrame(rows, SCORED))
-        assert {tuple(r) for r in R.pairwise_winners(ranked, NAMES).collect()} == brute_winners(rows)
+        assert {tuple(r) for r in R.winners(spark.createDataFrame(rows, SCORED)).collect()} == brute_winners(rows)
+
+
+def test_medians_are_exact(spark, monkeypatch):
+    """Also where the sketch is far too coarse to know them."""
+    rng = np.random.default_rng(6)
+    rows = [(q, i, float(v) if rng.random() < 0.9 else None, float(rng.integers(0, 3))) for q, n in ((1, 3000), (2, 1), (3, 40), (4, 41)) for i, v in enumerate(rng.normal(size=n))]
+    rows += [(5, 1, None, 2.0), (5, 2, None, float("inf"))]
+    for accuracy in (10_000, 20):
+        monkeypatch.setattr(R, "ACCURACY", accuracy)
+        df = spark.createDataFrame(rows, "query_id long, chunk_rowid long, x double, y double").withColumn("_salt", (F.col("chunk_rowid") % R.SALTS).cast("int"))
+        got = {r["query_id"]: (r["x"], r["y"]) for r in R.exact_medians(df, {"x": F.col("x"), "y": F.col("y")}).collect()}
+        for q in range(1, 6):
+            for k in (0, 1):
+                v = sorted(r[2 + k] for r in rows if r[0] == q and r[2 + k] is not None)
+                assert got[q][k] == (v[(len(v) + 1) // 2 - 1] if v else None)
+
+
+def test_planted_order(spark):
+    """Candidates of a known quality, seen through four scores on unlike scales, come out in the order of it."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(60):
+        q = c / 60
+        for arm, s in (("lexical", -1e-6 * (1 + q)), ("vector", 0.5 + 0.4 * q), ("anchor", 10.0 ** (9 * q)), ("usage", float(int(50 * q)))):
+            rows.append((1, c, arm, s * (1 + 1e-3 * rng.normal()) if arm != "usage" else s, 1, T0, "x"))
+    rank = {r["chunk_rowid"]: r["rank"] for r in R.ranking(spark.createDataFrame(rows, SCORED)).collect()}
+    places = np.array([rank[c] for c in range(60)])
+    assert np.corrcoef(places, np.arange(60))[0, 1] < -0.99
+    # A candidate far out on one score does not rise above the rest by it.
+    rows += [(1, 100, "anchor", 1e30, 1, T0, "x"), (1, 100, "vector", 0.51, 1, T0, "x"), (1, 100, "usage", 0.0, 1, T0, "x"), (1, 100, "lexical", -1e-6, 1, T0, "x")]
+    assert {r["chunk_rowid"]: r["rank"] for r in R.ranking(spark.createDataFrame(rows, SCORED)).collect()}[100] > 20
 
 
 def test_no_score_rules_by_its_range(spark):
@@ -73,7 +102,7 @@ def test_ties_and_empty(spark):
     got = [(r["chunk_rowid"], r["rank"], r["fused"]) for r in R.ranking(spark.createDataFrame(rows, SCORED)).orderBy("rank").collect()]
     assert got == [(2, 1, 0.5), (5, 2, 0.5), (9, 3, 0.5)]
     empty = R.ranking(spark.createDataFrame([], SCORED))
-    assert empty.count() == 0 and R.pairwise_winners(empty, NAMES).count() == 0
+    assert empty.count() == 0 and R.winners(spark.createDataFrame([], SCORED)).count() == 0
 
 
 def test_positions(spark):
@@ -138,18 +167,18 @@ def recall(spark, rows, **how):
 
 
 def test_recall_of_divided_files_and_few_pivots(spark):
-    """With the shipped settings of prefix and rerank, where the bound on pivots binds, files are parted and shelves cut."""
+    """With the shipped settings of prefix and rerank, where the bound on pivots binds, files are parted and rooms cut."""
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 16))
     rows = [(i, 16, (centres[i % 30] + rng.normal(size=16) * 0.5).tolist(), 0) for i in range(1200)]
     assert recall(spark, rows, pivot_bytes=40 * 16 * 4, cell=60) >= 0.9  # 40 pivots; files of 180 vectors in six blocks
     assert recall(spark, rows, pivot_bytes=40 * 16 * 4) >= 0.9
-    assert recall(spark, rows, shelf=50) >= 0.9
+    assert recall(spark, rows, room=50) >= 0.9
     assert recall(spark, rows, pivot_bytes=0, cell=200) >= 0.9  # as few pivots as a permutation has places
     assert recall(spark, [(i, 6, rng.normal(size=6).tolist(), 0) for i in range(400)], pivot_bytes=288, cell=40) >= 0.9
 
 
-def test_a_vector_travels_once_to_a_shelf():
+def test_a_vector_travels_once_to_a_room():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(50, 16))
     points = (centres[rng.integers(0, 50, 3000)] + rng.normal(size=(3000, 16)) * 0.4).astype(np.float32)
@@ -158,9 +187,11 @@ def test_a_vector_travels_once_to_a_shelf():
     perm = pivots.permutations(points, 6)
     near = np.argsort(-(points @ pivots.vectors.T), axis=1)[:, :6]
     assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(perm, near)]) >= 0.95
-    shelf = V._shelf_numbers(pivots, np.bincount(perm.ravel(), minlength=400), 1 << 30)
-    assert np.mean([len(set(r)) for r in shelf[perm]]) < 3.5
-    assert len(np.unique(V._shelf_numbers(pivots, np.ones(400, int), 1))) == 400
+    counts = np.bincount(perm.ravel(), minlength=400)
+    room = V._rooms(pivots, counts, 1000, 1)
+    assert np.mean([len(set(r)) for r in room[perm]]) < 3 and np.bincount(room, counts).max() <= 4000
+    assert set(V._rooms(pivots, counts, 1 << 30, 1)) == {0}
+    assert np.bincount(V._rooms(pivots, np.ones(400, int), 1, 1)).max() <= 4
 
 
 def test_footrule():
