@@ -2,19 +2,24 @@
 
 Within each query every score is standardised robustly, (x - median) / (1.4826 * median absolute deviation), squashed
 by the logistic function, so that an outlier cannot reach beyond (0, 1), and the bounded values are combined by a
-weighted geometric mean over the scores that a candidate has. Medians are percentile_approx with relative rank error
-1 / ACCURACY: exact for queries of up to some thousand candidates, mergeable and of bounded size for any.
+weighted geometric mean over the scores that a candidate has.
+
+Medians are exact at any size: a quantile sketch, mergeable and small, brackets the median between two values; what
+stands below the bracket is counted and the few values inside it are put in order over the cluster. Candidates are laid
+out once by (query, salt), so a hot query is spread over tasks; all passes reuse that layout.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.operators.ordered import ordered, with_rank
+from tesserine.operators.ordered import ordered, with_rank, with_running_sum
+from tesserine.sources.durable import keep
 
+#: The sketch's rank error is the number of values over this; the bracket is twice as wide to either side.
 ACCURACY = 10_000
 SALTS = 32
 #: The arms of the test tables: 1 if larger is better, -1 if smaller is.
@@ -22,7 +27,8 @@ ARMS = {"lexical": -1, "vector": 1, "anchor": 1, "usage": 1}
 
 
 def candidate_scores(scored: DataFrame, arms: dict[str, int] = ARMS) -> DataFrame:
-    """(query_id, chunk_rowid, s_<arm> ..., s_tier): one row per candidate, every score turned so that larger is better.
+    """(query_id, chunk_rowid, s_<arm> ..., s_tier, _salt): one row per candidate, every score turned so that larger is
+    better, laid out by query and salt.
 
     Of several rows of one arm the latest scored_at counts (null is the earliest; on a tie the larger score); a null
     or NaN score, or a missing arm, is null here. tier: the largest one given. Other arms make a candidate but give it
@@ -30,25 +36,47 @@ def candidate_scores(scored: DataFrame, arms: dict[str, int] = ARMS) -> DataFram
     rows = scored.where("query_id is not null and chunk_rowid is not null")
     latest = [F.max(F.when(F.col("arm") == a, F.struct("scored_at", "score"))).getField("score").alias(f"_{a}") for a in arms]
     wide = rows.groupBy("query_id", "chunk_rowid").agg(*latest, F.max("tier").cast("double").alias("s_tier"))
+    wide = wide.withColumn("_salt", F.pmod(F.xxhash64("chunk_rowid"), F.lit(SALTS)).cast("int")).repartition("query_id", "_salt")
     turned = [F.when(~F.isnan(f"_{a}"), F.col(f"_{a}") * sign + F.lit(0.0)).alias(f"s_{a}") for a, sign in arms.items()]
-    return wide.select("query_id", "chunk_rowid", *turned, "s_tier")
+    return wide.select("query_id", "chunk_rowid", *turned, "s_tier", "_salt")
+
+
+def _salted(per_query: DataFrame) -> DataFrame:
+    """A row per query and salt."""
+    return per_query.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+
+
+def exact_medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(query_id, a column for each of values): the exact lower medians of the values that are not null, null where there
+    are none. rows: laid out by (query_id, _salt)."""
+    names, width = list(values), 2.0 / ACCURACY
+    base = rows.select("query_id", "_salt", *(v.alias(n) for n, v in values.items()))
+    bracket = base.groupBy("query_id").agg(*(F.percentile_approx(n, F.array(F.lit(0.5 - width), F.lit(0.5 + width)), ACCURACY).alias(f"_b_{n}") for n in names))
+    met = base.join(_salted(bracket), ["query_id", "_salt"])
+    below = met.groupBy("query_id").agg(*(F.struct(F.count(n).alias("n"), F.count_if(F.col(n) < F.col(f"_b_{n}")[0]).alias("below")).alias(n) for n in names))
+    below = below.select("query_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}.n"), F.col(f"{n}.below")) for n in names))).alias("_c"))
+    below = below.select("query_id", "_c.name", (F.ceil(F.col("_c.n") / 2) - F.col("_c.below")).alias("_place"))
+    inside = F.filter(F.array(*(F.when((F.col(n) >= F.col(f"_b_{n}")[0]) & (F.col(n) <= F.col(f"_b_{n}")[1]), F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))) for n in names)), lambda x: x.isNotNull())
+    within = met.select("query_id", F.explode(inside).alias("_v")).groupBy("query_id", "_v.name", "_v.value").agg(F.count("*").alias("times"))
+    ranked = with_running_sum(ordered(within, ["query_id", "name"], [F.col("value")], "medians"), ["query_id", "name"], "times", "upto")
+    middle = ranked.join(below, ["query_id", "name"]).where("upto >= _place and upto - times < _place")
+    return middle.groupBy("query_id").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
 
 
 def fuse(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Adds `fused` in (0, 1), null for a candidate without any score. weights: by score column.
+    """Adds `fused` in (0, 1), null for a candidate without any score. weights: by score column; candidates: as from
+    candidate_scores.
 
     A score whose deviations have the median 0 is scaled by 1.2533 times their mean instead; if all are equal it is
-    neutral (0.5). Infinite scores are squashed to the ends. Salted by candidate: a hot query is spread over tasks."""
+    neutral (0.5). Infinite scores are squashed to the ends."""
     names = list(weights)
-    rows = candidates.withColumn("_salt", F.pmod(F.xxhash64("chunk_rowid"), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt")
-    mid = rows.groupBy("query_id").agg(*(F.percentile_approx(n, 0.5, ACCURACY).alias(f"_m_{n}") for n in names))
-    with_mid = rows.join(mid.select("*", salts), ["query_id", "_salt"])
+    mid = exact_medians(candidates, {n: F.col(n) for n in names}).withColumnsRenamed({n: f"_m_{n}" for n in names})
+    with_mid = candidates.join(_salted(mid), ["query_id", "_salt"], "left")
     away = {n: F.abs(F.col(n) - F.col(f"_m_{n}")) for n in names}
-    spread = with_mid.groupBy("query_id").agg(
-        *(F.percentile_approx(away[n], 0.5, ACCURACY).alias(f"_d_{n}") for n in names),
-        *(F.avg(F.when(away[n] < float("inf"), away[n])).alias(f"_a_{n}") for n in names))
-    full = with_mid.join(spread.select("*", salts), ["query_id", "_salt"])
+    away = {n: F.when(~F.isnan(x), x) for n, x in away.items()}  # from an infinite median an infinite score is 0 away
+    spread = exact_medians(with_mid, away).withColumnsRenamed({n: f"_d_{n}" for n in names})
+    means = with_mid.groupBy("query_id").agg(*(F.avg(F.when(away[n] < float("inf"), away[n])).alias(f"_a_{n}") for n in names))
+    full = with_mid.join(_salted(means.join(spread, "query_id", "left")), ["query_id", "_salt"])
     log, weight = F.lit(0.0), F.lit(0.0)
     for n, w in weights.items():
         scale = F.when(F.col(f"_d_{n}") > 0, 1.4826 * F.col(f"_d_{n}")).when(F.col(f"_a_{n}") > 0, 1.2533 * F.col(f"_a_{n}"))
@@ -60,11 +88,14 @@ def fuse(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
     return full.select(*candidates.columns, F.when(weight > 0, F.round(F.exp(log / weight), 12)).alias("fused"))
 
 
+def _weights(arms: dict[str, int], weights: dict[str, float] | None) -> dict[str, float]:
+    return weights or {**{f"s_{a}": 1.0 for a in arms}, "s_tier": 1.0}
+
+
 def ranking(scored: DataFrame, arms: dict[str, int] = ARMS, weights: dict[str, float] | None = None) -> DataFrame:
     """candidate_scores with `fused` and `rank` (1 is best) within each query; ties go to the smaller chunk_rowid,
     candidates without a score come last. An empty table gives an empty ranking."""
-    weights = weights or {**{f"s_{a}": 1.0 for a in arms}, "s_tier": 1.0}
-    fused = fuse(candidate_scores(scored, arms), weights)
+    fused = fuse(candidate_scores(scored, arms), _weights(arms, weights)).drop("_salt")
     rows = ordered(fused, ["query_id"], [F.col("fused").desc_nulls_last(), F.col("chunk_rowid")], "ranking")
     return with_rank(rows, ["query_id"])
 
@@ -105,21 +136,24 @@ def _champions(batches, names: list[str]):
         yield row(champion)
 
 
-def pairwise_winners(ranked: DataFrame, names: list[str]) -> DataFrame:
+def winners(scored: DataFrame, arms: dict[str, int] = ARMS, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, chunk_rowid) of the candidates that beat every other candidate of their query; none where there is
-    no such one, the only candidate where there is just one. Linear in the candidates: a knock-out in ranking order per
-    partition, one among the partitions' champions, then the last one is checked against all candidates."""
+    no such one, the only candidate where there is just one. Linear in the candidates: in every part of a query the
+    candidates are knocked out in the order of their fused value, then the parts' champions are, and the last one is
+    checked against all candidates."""
+    names = [f"s_{a}" for a in arms] + ["s_tier"]
     kind = "query_id bigint, chunk_rowid bigint, " + ", ".join(f"{n} double" for n in names)
-    plain = ranked.select("query_id", "chunk_rowid", *names, "_part")
+    fused = fuse(candidate_scores(scored, arms), _weights(arms, weights))
+    plain = keep(fused.select("query_id", "chunk_rowid", *names, "fused", "_salt"), "fused")
 
     def knock_out(batches):
         yield from _champions(batches, names)
 
-    local = plain.drop("_part").mapInArrow(knock_out, kind)
+    first = [F.col("query_id"), F.col("fused").desc_nulls_last(), F.col("chunk_rowid")]
+    local = plain.sortWithinPartitions(*first).drop("fused", "_salt").mapInArrow(knock_out, kind)
     last = local.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(knock_out, kind)
-    spread = plain.select("query_id", "_part").distinct()
     champion = last.select("query_id", F.col("chunk_rowid").alias("_c"), *(F.col(n).alias(f"_c_{n}") for n in names))
-    met = plain.join(champion.join(spread, "query_id"), ["query_id", "_part"])
+    met = plain.join(_salted(champion), ["query_id", "_salt"])
     sign = F.lit(0)
     for n in names:
         sign = sign + F.coalesce(F.when(F.col(f"_c_{n}") > F.col(n), 1).when(F.col(f"_c_{n}") < F.col(n), -1), F.lit(0))
