@@ -15,7 +15,7 @@ from tesserine.sources.tables import table
 P2_WORDS, P2_THRESHOLD, P2_MIN_WORDS = 3, "0.6", 20
 P3_K = 5
 P8_WINDOW = 12
-P10_RUN, P10_MIN_WORDS = 5, 20
+P10_RUN, P10_MIN_WORDS, P10_SHARE = 5, 20, 0.3
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,8 +62,7 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = rank_fusion.ranking(table(spark, sf, "scored"))
-    return rank_fusion.pairwise_winners(ranked, [f"s_{a}" for a in rank_fusion.ARMS] + ["s_tier"])
+    return rank_fusion.winners(table(spark, sf, "scored"))
 
 
 def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,11 +87,24 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
-def _measured(spark: SparkSession, sf: str) -> DataFrame:
+def _scored_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its measures, stratum, score and label."""
     docs = table(spark, sf, "documents")
     measures = repetition.measure_repetition(docs.select("doc_id", "text"), run=P10_RUN)
     strata = docs.select("doc_id", repetition.stratum_of(F.col("lang")).alias("stratum")).dropDuplicates(["doc_id"])
-    return keep(measures.join(strata, "doc_id", "left"), "repetition")
+    rows = measures.join(strata, "doc_id", "left").select("*", F.col("doc_id").alias("key"), F.col("run_share").alias("score"))
+    return keep(rows.withColumn("label", F.when(F.col("n_words") >= P10_MIN_WORDS, repetition.segment_label())), "repetition")
+
+
+def p10_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.cutoff_report(_scored_repetition(spark, sf))
+
+
+def p10_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that the certified cutoffs reject, by whatever cutoff came out."""
+    scored = _scored_repetition(spark, sf)
+    rejected = repetition.repetitive_documents(scored.where(F.col("n_words") >= P10_MIN_WORDS), repetition.cutoff_report(scored))
+    return rejected.select("doc_id", "stratum", F.round("score", 9).alias("score"), "cutoff", "certified").distinct()
 
 
 def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,10 +119,9 @@ def _repetitive() -> Column:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    measured = _measured(spark, sf)
-    scored = measured.select(F.col("doc_id").alias("key"), "stratum", F.col("run_share").alias("score"), _repetitive().alias("label"))
-    limits = repetition.cutoffs_by_stratum(scored)
-    candidates = repetition.repetitive_documents(measured.withColumn("score", F.col("run_share")), limits)
+    """Candidates by the certified cutoffs, none stricter than the definition, which is then checked exactly."""
+    scored = _scored_repetition(spark, sf)
+    candidates = repetition.repetitive_documents(scored, repetition.cutoff_report(scored), strictest=P10_SHARE)
     return candidates.where(_repetitive()).select("doc_id").distinct()
 
 
@@ -118,12 +129,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_kinds, p2_found, p2_classes, p3_found, p3_search, p4_found, p4_redacted, p6_found, p6_ranking,
-        p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_shares,
+        p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_shares, p10_cutoffs, p10_rejected,
     )
 }
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 
+#: CTEs that end in wide (query_id, chunk_rowid, scores a to d and tier e), larger being better.
+_WIDE = """latest as (select query_id, chunk_rowid, arm, max_by(coalesce(score, 'nan'::double), scored_at) as s, max(tier) as tier from scored group by 1, 2, 3),
+wide as (select query_id, chunk_rowid,
+    max(case when arm = 'lexical' and not isnan(s) then -s end) as a, max(case when arm = 'vector' and not isnan(s) then s end) as b,
+    max(case when arm = 'anchor' and not isnan(s) then s end) as c, max(case when arm = 'usage' and not isnan(s) then s end) as d, max(tier) as e
+  from latest group by 1, 2)"""
+
 #: CTEs from sets (id, s) to pairs (a, b, sizes n and m, both_have) of those that share an element and are near in size.
 _ALIKE = """bits as (select id, len(s) as n, unnest(s) as b from sets),
 shared as (select b from bits group by b having count(*) > 1),
@@ -151,22 +169,41 @@ classes as (select r.id, min(k.chunk) as class_id from reached r join keyed k on
 degrees as (select a as id, count(*) as links from links group by 1),
 copies as (select id, count(*) as copies from keyed group by 1)
 select chunk as chunk_id, class_id, coalesce(links, 0) as links, copies from keyed join classes using (id) join copies using (id) left join degrees using (id)""",
-    "p6_found": """
-with latest as (select query_id, chunk_rowid, arm, max_by(coalesce(score, 'nan'::double), scored_at) as s, max(tier) as tier from scored group by 1, 2, 3),
-wide as (select query_id, chunk_rowid,
-    max(case when arm = 'lexical' and not isnan(s) then -s end) as a, max(case when arm = 'vector' and not isnan(s) then s end) as b,
-    max(case when arm = 'anchor' and not isnan(s) then s end) as c, max(case when arm = 'usage' and not isnan(s) then s end) as d, max(tier) as e
-  from latest group by 1, 2),
+    "p6_found": f"""
+with {_WIDE},
 duels as (select x.query_id, x.chunk_rowid,
     coalesce(sign(x.a - y.a), 0) + coalesce(sign(x.b - y.b), 0) + coalesce(sign(x.c - y.c), 0) + coalesce(sign(x.d - y.d), 0) + coalesce(sign(x.e - y.e), 0) as lead
   from wide x join wide y on x.query_id = y.query_id and x.chunk_rowid <> y.chunk_rowid)
 select query_id, chunk_rowid from wide anti join (select query_id, chunk_rowid from duels where lead <= 0) using (query_id, chunk_rowid)""",
+    "p6_ranking": f"""
+with {_WIDE},
+mid as (select query_id, {", ".join(f"quantile_disc({c}, 0.5) as m{c}" for c in "abcde")} from wide group by 1),
+away as (select w.*, {", ".join(f"m{c}, case when not isnan({c} - m{c}) then abs({c} - m{c}) end as w{c}" for c in "abcde")} from wide w join mid using (query_id)),
+spread as (select query_id, {", ".join(f"quantile_disc(w{c}, 0.5) as d{c}, avg(w{c}) filter (where not isinf(w{c})) as v{c}" for c in "abcde")} from away group by 1),
+z as (select query_id, chunk_rowid, {", ".join(f"case when {c} = m{c} then 0 when {c} is not null then coalesce(({c} - m{c}) / case when d{c} > 0 then 1.4826 * d{c} when v{c} > 0 then 1.2533 * v{c} end, 0) end as {c}" for c in "abcde")}
+  from away join spread using (query_id)),
+f as (select query_id, chunk_rowid, round(exp(({" + ".join(f"coalesce(-ln(1 + exp(-greatest(-30, least(30, {c})))), 0)" for c in "abcde")})
+  / nullif({" + ".join(f"({c} is not null)::int" for c in "abcde")}, 0)), 12) as fused from z)
+select query_id, chunk_rowid, row_number() over (partition by query_id order by fused desc nulls last, chunk_rowid) as rank, round(fused, 9) as fused from f""",
     "p8_found": rf"""
 with item_words as (select item_id, {_WORDS} as w from (select item_id, query_text as text from eval_items union all select item_id, passage from eval_items)),
 item_windows as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) as x from item_words),
 doc_words as (select doc_id, {_WORDS} as w from documents),
 doc_windows as (select doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) as x from doc_words)
 select distinct doc_id, item_id from doc_windows join item_windows using (x)""",
+    "p10_shares": rf"""
+with w as (select doc_id, {_WORDS} as w from documents),
+r as (select doc_id, w, list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) as r from w),
+cut as (select doc_id, 'line' as k, unnest(regexp_split_to_array(coalesce(text, ''), '[\n\r]')) as text from documents
+  union all select doc_id, 'sentence', unnest(regexp_split_to_array(coalesce(text, ''), '[.!?。](?:[\t\r\n ]|$)|\n')) from documents
+  union all select doc_id, 'paragraph', unnest(regexp_split_to_array(coalesce(text, ''), '[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*')) from documents),
+segments as (select doc_id, k, {_WORDS} as w from cut),
+repeats as (select doc_id, k, sum((c - 1) * len(w)) as n from (select doc_id, k, w, count(*) as c from segments where len(w) > 0 group by all) group by 1, 2),
+shares as (select doc_id, max(case when k = 'line' then n end) as l, max(case when k = 'sentence' then n end) as s, max(case when k = 'paragraph' then n end) as p from repeats group by 1)
+select doc_id, len(w) as n_words, len(r) as n_runs, len(list_distinct(r)) as distinct_runs, round((len(r) - len(list_distinct(r))) / greatest(len(r), 1), 9) as run_share,
+  round(coalesce(l, 0) / greatest(len(w), 1), 9) as line_share, round(coalesce(s, 0) / greatest(len(w), 1), 9) as sentence_share,
+  round(coalesce(p, 0) / greatest(len(w), 1), 9) as paragraph_share
+from r left join shares using (doc_id)""",
     "p10_found": rf"""
 with w as (select doc_id, {_WORDS} as w from documents),
 r as (select doc_id, list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) as r from w where len(w) >= 20)

@@ -55,13 +55,30 @@ def test_calibration_bounds_the_risk():
         cutoff, certified = R.calibrate(counts, {"en": 400}, R.CUTOFFS, alpha, delta)["en"]
         bad += certified and (1 - cutoff) ** 8 > alpha
     assert bad <= 200 * delta
-    assert R.calibrate({}, {"de": 5}, R.CUTOFFS, alpha, delta)["de"] == (0.3, False)  # too few labels to certify anything
+    assert R.calibrate({}, {"de": 5}, R.CUTOFFS, alpha, delta)["de"] == (max(R.CUTOFFS), False)  # too few labels to certify anything
+
+
+def test_cutoffs_follow_the_labels(spark):
+    """Rows are decided by what the holdout shows: the same scores under other labels give other cutoffs."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "ab"[i % 2], float(s), False) for i, s in enumerate(rng.uniform(0, 0.5, 3000))]
+    rows = [(i, g, s / 5 if g == "b" else s, lab) for i, g, s, lab in rows] + [(9000 + i, g, 0.7, True) for i in range(50) for g in "ab"] + [(1, "c", 0.1, False), (2, "d", 0.9, True), (3, "a", 0.9, None)]
+    df = spark.createDataFrame(rows, "key long, stratum string, score double, label boolean")
+    report = {r["stratum"]: r for r in R.cutoff_report(df).collect()}
+    assert set(report) == {"a", "b", "c"} and not report["c"]["certified"]
+    for g, top in (("a", 0.5), ("b", 0.1)):
+        r = report[g]
+        assert r["certified"] and top - 0.02 <= r["cutoff"] <= top and r["clean"] == 1500 and r["missed"] == 0
+        assert r["rejected"] == sum(x[1] == g and x[3] is False and x[2] >= r["cutoff"] for x in rows) and r["rejected"] / 1500 < r["risk_bound"] <= 0.01
+    none = R.cutoff_report(df.limit(0))
+    assert none.count() == 0 and none.columns == R.cutoff_report(df).columns
 
 
 def test_flagging_by_stratum(spark):
     df = spark.createDataFrame([("en", 0.2), ("de", 0.2), ("de", 0.3), ("xx", 0.1)], "stratum string, score double")
-    got = sorted(tuple(r) for r in R.repetitive_documents(df, {"en": (0.1, True)}).select("stratum", "score", "certified").collect())
-    assert got == [("de", 0.3, False), ("en", 0.2, True)]
+    report = spark.createDataFrame([("en", 0.1, True), ("de", 0.2, False)], "stratum string, cutoff double, certified boolean")
+    flagged = lambda **k: sorted(tuple(r) for r in R.repetitive_documents(df, report, **k).select("stratum", "score", "certified").collect())
+    assert flagged(strictest=0.3) == [("de", 0.3, False), ("en", 0.2, True)] and flagged() == [("en", 0.2, True)]
     langs = spark.createDataFrame([("EN-us",), (" de ",), (None,), ("",)], "lang string").select(R.stratum_of(F.col("lang")))
     assert [r[0] for r in langs.collect()] == ["en", "de", "und", "und"]
 
