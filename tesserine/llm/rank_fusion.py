@@ -5,8 +5,8 @@ by the logistic function, so that an outlier cannot reach beyond (0, 1), and the
 weighted geometric mean over the scores that a candidate has.
 
 Medians are exact at any size: a quantile sketch, mergeable and small, brackets the median between two values; what
-stands below the bracket is counted and the few values inside it are put in order over the cluster. Candidates are laid
-out once by (query, salt), so a hot query is spread over tasks; all passes reuse that layout.
+stands below the bracket is counted and the few values inside it are put in order over the cluster. Whatever is known of
+a query joins its candidates by (query, salt), so a hot query is spread over tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ ARMS = {"lexical": -1, "vector": 1, "anchor": 1, "usage": 1}
 
 def candidate_scores(scored: DataFrame, arms: dict[str, int] = ARMS) -> DataFrame:
     """(query_id, chunk_rowid, s_<arm> ..., s_tier, _salt): one row per candidate, every score turned so that larger is
-    better, laid out by query and salt.
+    better, written once. The salt parts the candidates of a query.
 
     Of several rows of one arm the latest scored_at counts (null is the earliest; on a tie the larger score); a null
     or NaN score, or a missing arm, is null here. tier: the largest one given. Other arms make a candidate but give it
@@ -36,9 +36,9 @@ def candidate_scores(scored: DataFrame, arms: dict[str, int] = ARMS) -> DataFram
     rows = scored.where("query_id is not null and chunk_rowid is not null")
     latest = [F.max(F.when(F.col("arm") == a, F.struct("scored_at", "score"))).getField("score").alias(f"_{a}") for a in arms]
     wide = rows.groupBy("query_id", "chunk_rowid").agg(*latest, F.max("tier").cast("double").alias("s_tier"))
-    wide = wide.withColumn("_salt", F.pmod(F.xxhash64("chunk_rowid"), F.lit(SALTS)).cast("int")).repartition("query_id", "_salt")
+    wide = wide.withColumn("_salt", F.pmod(F.xxhash64("chunk_rowid"), F.lit(SALTS)).cast("int"))
     turned = [F.when(~F.isnan(f"_{a}"), F.col(f"_{a}") * sign + F.lit(0.0)).alias(f"s_{a}") for a, sign in arms.items()]
-    return wide.select("query_id", "chunk_rowid", *turned, "s_tier", "_salt")
+    return keep(wide.select("query_id", "chunk_rowid", *turned, "s_tier", "_salt"), "candidates")
 
 
 def _salted(per_query: DataFrame) -> DataFrame:
@@ -48,19 +48,24 @@ def _salted(per_query: DataFrame) -> DataFrame:
 
 def exact_medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     """(query_id, a column for each of values): the exact lower medians of the values that are not null, null where there
-    are none. rows: laid out by (query_id, _salt)."""
+    are none. rows: with (query_id, _salt)."""
     names, width = list(values), 2.0 / ACCURACY
     base = rows.select("query_id", "_salt", *(v.alias(n) for n, v in values.items()))
     bracket = base.groupBy("query_id").agg(*(F.percentile_approx(n, F.array(F.lit(0.5 - width), F.lit(0.5 + width)), ACCURACY).alias(f"_b_{n}") for n in names))
     met = base.join(_salted(bracket), ["query_id", "_salt"])
-    below = met.groupBy("query_id").agg(*(F.struct(F.count(n).alias("n"), F.count_if(F.col(n) < F.col(f"_b_{n}")[0]).alias("below")).alias(n) for n in names))
-    below = below.select("query_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}.n"), F.col(f"{n}.below")) for n in names))).alias("_c"))
-    below = below.select("query_id", "_c.name", (F.ceil(F.col("_c.n") / 2) - F.col("_c.below")).alias("_place"))
-    inside = F.filter(F.array(*(F.when((F.col(n) >= F.col(f"_b_{n}")[0]) & (F.col(n) <= F.col(f"_b_{n}")[1]), F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))) for n in names)), lambda x: x.isNotNull())
-    within = met.select("query_id", F.explode(inside).alias("_v")).groupBy("query_id", "_v.name", "_v.value").agg(F.count("*").alias("times"))
-    ranked = with_running_sum(ordered(within, ["query_id", "name"], [F.col("value")], "medians"), ["query_id", "name"], "times", "upto")
-    middle = ranked.join(below, ["query_id", "name"]).where("upto >= _place and upto - times < _place")
-    return middle.groupBy("query_id").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
+
+    def entry(n: str) -> Column:
+        """Below the bracket, in it with the value, or above."""
+        x, b = F.col(n), F.col(f"_b_{n}")
+        side = F.when(x < b[0], 0).when(x <= b[1], 1).otherwise(2)
+        return F.when(x.isNotNull(), F.struct(F.lit(n).alias("name"), side.alias("side"), F.when(side == 1, x).alias("value")))
+
+    entries = F.explode(F.filter(F.array(*map(entry, names)), lambda e: e.isNotNull())).alias("_e")
+    counted = met.select("query_id", entries).groupBy("query_id", "_e.name", "_e.side", "_e.value").agg(F.count("*").alias("times"))
+    group = ["query_id", "name"]
+    ranked = with_running_sum(ordered(counted, group, [F.col("side"), F.col("value")], "medians"), group, "times", "upto")
+    middle = ranked.join(ranked.groupBy(*group).agg(F.ceil(F.max("upto") / 2).alias("_place")), group).where("upto >= _place and upto - times < _place")
+    return keep(middle.groupBy("query_id").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names)), "medians")
 
 
 def fuse(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -150,7 +155,7 @@ def winners(scored: DataFrame, arms: dict[str, int] = ARMS, weights: dict[str, f
         yield from _champions(batches, names)
 
     first = [F.col("query_id"), F.col("fused").desc_nulls_last(), F.col("chunk_rowid")]
-    local = plain.sortWithinPartitions(*first).drop("fused", "_salt").mapInArrow(knock_out, kind)
+    local = plain.repartition("query_id", "_salt").sortWithinPartitions(*first).drop("fused", "_salt").mapInArrow(knock_out, kind)
     last = local.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(knock_out, kind)
     champion = last.select("query_id", F.col("chunk_rowid").alias("_c"), *(F.col(n).alias(f"_c_{n}") for n in names))
     met = plain.join(_salted(champion), ["query_id", "_salt"])
