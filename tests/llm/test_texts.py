@@ -242,25 +242,44 @@ def code(n, seed=0):
     return "def f(x):\n" + "\n".join(rng.choice(shapes).format(*rng.choice(names, 3), rng.integers(9)) for _ in range(n)) + "\n"
 
 
-def test_generated_files(spark):
+def corpus():
+    """(path -> text) of a small project, and what its files are."""
     rng = np.random.default_rng(2)
     mangled = "".join(f"function {a}{b}({b},{a}){{return {b}.x?{a}[{i}]:{b}{a}({b})}}" for i, (a, b) in enumerate(rng.choice(list("abcdefghijk"), (60, 2))))
-    files = {
-        "src/hand.py": code(40), "src/hand2.py": code(30, 3) + "# skip files marked @generated or vendored by us\n",
-        "src/mention.py": "# the emitter below writes the DO NOT EDIT banner for x\n" + code(30, 4), "src/vendor_portal/generated_x.py": code(30, 5),
+    stub = lambda k: "\n".join(f"_{x}_{k} = _Desc_{k}.Field_{x}('{x}', {i})" for i, x in enumerate("abcdefghijklmnopqrstuvwxyz"))
+    banner = "# Produced without hands by kit {}; all changes go astray.\n"
+    hand = {f"src/hand{i}.py": code(12 + 3 * i, i) for i in range(24)}
+    hand |= {
+        "src/mention.py": code(9, 40) + "# the emitter below is produced without hands\n" + code(20, 4), "src/dist_portal/generated_x.py": code(30, 5),
         "src/table.py": code(30, 6) + "T = [1, 2, 3, 4, 5, 6]\n", "app/conf.yaml": "a: 1\nb: two\nc: [x]\n# note\n", "empty.py": "",
-        "gen/banner.py": "# Code generated by toolc; DO NOT EDIT.\n" + code(30, 7), "gen/template.py": "\n".join(f"_{x}X = _d.Field(name='n{x}', index={i}, number={i})" for i, x in enumerate("abcdefghijklmnopqrstuvw")),
-        "web/app.js": mangled, "data/rom.py": "ROM = [\n" + "".join("    " + ", ".join(f"0x{v:02x}" for v in rng.integers(0, 256, 16)) + ",\n" for _ in range(30)) + "]\n",
-        "lib/copied.py": "# Copyright the foo authors. All rights reserved.\n" + code(30, 8), "node_modules/x/dist/y.py": code(30, 9),
-    }
+        "src/about.py": code(8, 41) + "# Copyright the foo authors is what our scanner looks for\n" + code(30, 42)}
+    found = {f"gen/stub{k}.py": (banner.format(k) + stub(k), "generated") for k in range(4)}
+    found |= {"gen/bare.py": (stub(9), "generated"), "gen/banner.py": (banner.format("x") + code(30, 7), "generated"), "web/app.js": (mangled, "minified"),
+              "data/rom.py": ("ROM = [\n" + "".join("    " + ", ".join(f"0x{v:02x}" for v in rng.integers(0, 256, 16)) + ",\n" for _ in range(30)) + "]\n", "data")}
+    found |= {f"shelf/mod{k}/y.py": ("# Copyright the foo authors. All rights reserved.\n" + code(30, 8 + k), "vendored") for k in range(4)}
+    found |= {"shelf/mod7/y.py": (code(30, 9), "vendored")}
+    return {**hand, **{p: t for p, (t, _) in found.items()}}, {p: k for p, (_, k) in found.items()}
+
+
+def test_generated_files(spark, monkeypatch):
+    files, kinds = corpus()
     rows = [(i, 1, p, "python" if p.endswith("py") else None, 1, t, "clash") for i, (p, t) in enumerate(files.items())]
-    rows += [rows[0], (99, 1, None, None, None, "x", ""), (98, 1, "src/hand.py", None, None, None, ""), (97, 2, "other.py", None, 1, code(3), "")]
+    rows += [rows[0], (9999, 1, None, None, None, "x", ""), (9998, 1, "src/hand0.py", None, None, None, ""), (9997, 2, "other.py", None, 1, code(3), "")]
     chunks = spark.createDataFrame(rows, "id long, project_id long, path string, language string, line_start int, text string, lines string")
     known = spark.createDataFrame([(1, p) for p in files], "project_id long, path string")
-    got = {r["path"]: r["kind"] for r in G.not_handwritten(known, chunks).collect()}
-    assert got == {
-        "gen/banner.py": "generated", "gen/template.py": "generated", "web/app.js": "minified", "data/rom.py": "data", "lib/copied.py": "vendored", "node_modules/x/dist/y.py": "vendored"}
+    found = lambda: {r["path"]: r["kind"] for r in G.not_handwritten(known, chunks).collect()}
+    assert found() == kinds
     assert G.not_handwritten(known, chunks.limit(0)).count() == 0
+    # Without the verdict on names, neither the stubs nor the banners that they teach are found.
+    monkeypatch.setattr(G, "foreign_names", lambda: F.lit(False))
+    monkeypatch.setattr(G, "TEMPLATE_SHARE", 9.0)
+    assert set(kinds) - set(found()) == {*(f"gen/stub{k}.py" for k in range(4)), "gen/bare.py", "gen/banner.py"}
+
+
+def test_name_habits():
+    texts = ["fooBar foo_bar FOO _x Pascal lower 7up \"quoted names here\" fooBar\n# comment words\n", None, "", "x" * 3 + " Größe"]
+    styles, n, d = G._habits(texts)
+    assert styles[0].tolist() == [1, 1, 0, 1, 1, 1, 2] and n[0] == 7 and d[0] == 6 and n[1] == n[2] == 0 and d[3] == n[3]
 
 
 # --- mixing
