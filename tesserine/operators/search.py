@@ -169,9 +169,10 @@ def collapse(rows: DataFrame, order: list[Column]) -> DataFrame:
 def rank_rows(fused: DataFrame, chunks: DataFrame, projects: DataFrame, limit: int | None = None, collapse_windows: bool = True) -> DataFrame:
     """The page: fused rows weighted by authority, best first, ties by chunk id, windows collapsed, limited, with rank.
 
-    Chunks are joined to at most twice DEPTH fused rows; the wide columns are read for those alone."""
+    Chunks are joined to at most twice DEPTH fused rows, which are sent to where the chunks are read; only what they hit
+    goes on, so repeated rows are told apart among those alone."""
     behavior = projects.select(F.col("id").alias("project_id"), F.col("authority_behavior").alias("behavior"))
-    once = chunks.dropDuplicates(["id"]).join(fused, "id").join(behavior, "project_id", "left")
+    once = chunks.join(F.broadcast(fused), "id").dropDuplicates(["id"]).join(behavior, "project_id", "left")
     scored = once.withColumn("score", F.round(F.col("rrf") * authority_weight(F.col("effective_tier"), F.col("behavior")), 12))
     order = [F.desc("score"), F.col("chunk_id")]
     page = collapse(scored, order) if collapse_windows else scored

@@ -24,7 +24,9 @@ SETTINGS = {
 
 def local_session(cpus: int = 8, memory: str = "8g", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster, pass the cluster's own session to the operators."""
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName("tesserine")
+    folder = tempfile.mkdtemp(prefix="tesserine-")
+    atexit.register(shutil.rmtree, folder, True)
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("tesserine").config("spark.checkpoint.dir", folder)
     conf = SETTINGS | {"spark.driver.memory": memory, "spark.sql.shuffle.partitions": str(shuffle_partitions)} | extra
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -18,9 +18,12 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only where none is set, as in tests, a temporary one is made and set."""
+    """The session's checkpoint folder. Where none is set, a local session gets a temporary one, as in tests; on a cluster
+    that would part the tables among machines, so there it is an error."""
     folder = spark.conf.get(_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tesserine-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set(_KEY, folder)
@@ -28,8 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; what is written there is removed when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +61,14 @@ class ChunkStore:
     def current(self) -> Commit:
         """The latest published commit. One of another schema version counts as none: everything is derived data and is
         rebuilt from its sources."""
-        known = self.generations()
-        if not known:
-            return Commit()
-        raw = self.spark.read.option("wholetext", True).text(f"{self.folder}/commits/{known[-1]:010d}.json").first()[0]
-        c = Commit(**json.loads(raw))
-        return c if c.schema_version == SCHEMA_VERSION else Commit(generation=c.generation)
+        for number in reversed(self.generations()):
+            raw = self.spark.read.option("wholetext", True).text(f"{self.folder}/commits/{number:010d}.json").first()
+            try:
+                c = Commit(**json.loads(raw[0] if raw else ""))
+            except ValueError:  # still being written
+                continue
+            return c if c.schema_version == SCHEMA_VERSION else Commit(generation=c.generation)
+        return Commit()
 
     def table(self, name: str, commit: Commit | None = None) -> DataFrame:
         c = commit or self.current()
@@ -93,14 +96,14 @@ class ChunkStore:
         return new
 
     def _create(self, path: str, text: str) -> None:
-        temporary = self._path(f"{self.folder}/commits/.{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, False)
+        """Creates a file that must not exist: of two writers the file system lets one through. A record is a few hundred
+        bytes, written in one call; a reader that comes in between sees no whole record and takes the one before."""
+        try:
+            out = self._fs.create(self._path(path), False)
+        except Py4JJavaError as e:
+            raise StaleWriter(f"{path} is taken") from e
         out.write(bytearray(text.encode()))
         out.close()
-        final = self._path(path)
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
-            raise StaleWriter(f"{path} is taken")
 
     # -- leases
 
@@ -192,6 +195,7 @@ class ChunkStore:
         files, chunks = self.table("files", c), self.table("chunks", c)
         mine = files.where(F.col("project_id") == project_id)
         seen = observed.select(F.lit(project_id).cast("long").alias("project_id"), "path", "content", F.concat(F.lit("s1-"), F.sha2("content", 256)).alias("content_hash"))
+        seen = keep(seen, "observed")  # stamps and chunks must come from one reading of the files
         listed = seen.select("project_id", "path", "content_hash")
         state = classify(listed if unchanged is None else listed.unionByName(unchanged), mine, scope, unreadable)
         state = keep(state, "index-pass")
