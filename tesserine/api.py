@@ -21,8 +21,9 @@ from tesserine.operators.chunking import Plugin
 from tesserine.operators.filters import nearest_root, request_filter, resolve_project
 from tesserine.session import ship_package
 from tesserine.sources.embedding import Embedder, due, embed, poison
-from tesserine.sources.store import ChunkStore, StaleWriter
+from tesserine.sources.store import ChunkStore, Commit, StaleWriter
 from tesserine.sources.walk import observe
+from tesserine.streaming.changes import all_projects
 
 SETTINGS_FILE = ".index.toml"
 BEHAVIORS = ("off", "annotate", "rank")
@@ -98,6 +99,7 @@ class Engine:
         ship_package(spark)
         self.spark, self.store, self.plugins, self.clock = spark, ChunkStore(spark, folder), plugins, clock
         self.sessions: dict[str, PushSession] = {}
+        self._indexed: tuple[str, str] | None = None
 
     # -- projects
 
@@ -141,8 +143,9 @@ class Engine:
     def handle_changes(self, spark: SparkSession, work: DataFrame, number: int) -> None:
         """The handler for streaming.changes.run_stream: a pass per project that the batch names. The work has one row per
         project and at most MAX_PATHS paths a row; a batch that comes again finds nothing changed."""
-        known = self.store.table("projects").select(F.col("id").alias("project_id"))
-        for r in work.join(known, "project_id", "left_semi").orderBy("project_id").collect():
+        known = self.store.table("projects")
+        spread = all_projects(work, known)  # lost events without a project are everyone's
+        for r in spread.join(known.select(F.col("id").alias("project_id")), "project_id", "left_semi").orderBy("project_id").collect():
             name = self.store.table("projects").where(F.col("id") == r["project_id"]).first()["project_key"]
             self.index(name, r["paths"], bool(r["override"]))
 
@@ -247,17 +250,20 @@ class Engine:
         if s.needed:
             raise ValueError(f"{len(s.needed)} files are outstanding")
         listing = self.spark.createDataFrame([(p, h) for p, h, _ in s.manifest], "path string, digest string")
-        staged = self.spark.read.format("binaryFile").load(f"{self.store.folder}/staging/*") if self.store._fs.exists(self.store._path(f"{self.store.folder}/staging")) else None
         stored = self.store.table("files").where(F.col("project_id") == s.project_id).select("path", F.col("content_hash").alias("_h"))
         rows = listing.join(stored, "path", "left")
         same = rows.where(F.col("_h") == F.concat(F.lit("s1-"), "digest")).select("path")
         fresh = rows.join(same, "path", "left_anti").select("path", "digest")
-        if staged is not None:
-            sent = staged.select(F.element_at(F.split("path", "/"), -1).alias("digest"), "content")
+        names = [self._staged(r["digest"]) for r in fresh.select("digest").distinct().collect()]  # of one listing, which its sender holds as well
+        if names:
+            sent = self.spark.read.format("binaryFile").load(names).select(F.element_at(F.split("path", "/"), -1).alias("digest"), "content")
             fresh = fresh.join(sent, "digest").select("path", "content")
         else:
             fresh = fresh.select("path", F.lit(None).cast("binary").alias("content"))
-        return self.store.index_listing(s.project_id, fresh, same, int(self.clock()), override, (s.key, s.epoch))
+        counts = self.store.index_listing(s.project_id, fresh, same, int(self.clock()), override, (s.key, s.epoch))
+        for n in names:
+            self.store._fs.delete(self.store._path(n), False)
+        return counts
 
     # -- embedding
 
@@ -283,7 +289,25 @@ class Engine:
         c = self.store.current()
         projects = self.store.table("projects", c)
         f = request_filter(resolve_project(projects, project) if project else None, path_prefix, language, statuses, sources)
-        return search.search(self.store.table("chunks", c), projects, query, self.store.table("chunk_vectors", c), query_vector, f, limit)
+        return search.search(self.store.table("chunks", c), projects, query, self.store.table("chunk_vectors", c), query_vector, f, limit, self._full_text(c))
+
+    def _full_text(self, commit: Commit) -> search.StoredIndex | None:
+        """The full-text index of a generation's chunks. The first search after a pass brings it up to date: postings of
+        chunks that are gone go, those of new ones come, and all others are taken over."""
+        path = commit.tables.get("chunks")
+        if path is None:
+            return None
+        folder = f"{self.store.folder}/index/{path.rsplit('/', 1)[-1]}"
+        if not self.store._fs.exists(self.store._path(f"{folder}/totals/_SUCCESS")):
+            chunks = self.store.table("chunks", commit)
+            entries = search.postings(chunks)
+            if self._indexed:
+                old = self.spark.read.schema(chunks.schema).parquet(self._indexed[0])
+                inserted, deleted = chunks.join(old.select("id"), "id", "left_anti"), old.join(chunks.select("id"), "id", "left_anti")
+                entries = search.maintain_postings(search.read_index(self.spark, self._indexed[1]).postings.drop("bucket"), inserted, deleted)
+            search.write_index(entries, chunks, folder)
+        self._indexed = (path, folder)
+        return search.read_index(self.spark, folder)
 
     def expand(self, project: str, prefix: str, context: int = 20) -> tuple[str, list]:
         """A chunk by the beginning of its id, with lines around it from its file as it is now, else its stored text."""

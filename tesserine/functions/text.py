@@ -20,12 +20,12 @@ SHORT_ID = 12
 
 @lru_cache(maxsize=1)
 def accents() -> tuple[str, str]:
-    """Lower-case Latin letters with a diacritic, and the letters without it, by Unicode decomposition."""
+    """Lower-case Latin, Greek and Cyrillic letters with diacritics, and the letters without them, by Unicode decomposition."""
     pairs = []
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
         letter = chr(code).lower()
         base = unicodedata.normalize("NFD", letter)[0]
-        if len(letter) == 1 and base != letter and base.isascii() and base.isalpha():
+        if len(letter) == 1 and base != letter and base.isalpha():
             pairs.append((letter, base))
     unique = dict(pairs)
     return "".join(unique), "".join(unique.values())

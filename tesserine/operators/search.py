@@ -7,9 +7,11 @@ a cluster adds numbers up; ties go to the smaller id.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions.text import Term, clamp_limit, excerpt, query_terms, tokens, truncated
@@ -48,6 +50,51 @@ def maintain_postings(index: DataFrame, inserted: DataFrame, deleted: DataFrame)
     return index.join(deleted.select("id").distinct(), "id", "left_anti").unionByName(postings(inserted))
 
 
+#: Postings lie in so many folders by the first two letters of their term, so a term, or a prefix of two letters, is read
+#: from one of them. Within a folder they are spread over files by chunk, and sorted by term.
+BUCKETS, SPREAD = 64, 8
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """A full-text index in a folder of shared storage: postings, and one row about all chunks (n, mean length)."""
+
+    postings: DataFrame
+    totals: DataFrame
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(entries: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """Store postings, as from `postings` or `maintain_postings`, of chunks (one row per id)."""
+    placed = entries.withColumn("bucket", _bucket(F.col("term"))).withColumn("_s", F.pmod("id", F.lit(SPREAD)))
+    placed.repartition("bucket", "_s").sortWithinPartitions("bucket", "term").drop("_s").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    length = sum((F.size(tokens(F.col(c))) for c in WEIGHTS), F.lit(0))
+    chunks.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def read_index(spark: SparkSession, folder: str) -> StoredIndex:
+    kind = "id long, project_id long, term string, weight double, length int, bucket int"
+    return StoredIndex(spark.read.schema(kind).parquet(f"{folder}/postings"), spark.read.schema("n long, mean double").parquet(f"{folder}/totals"))
+
+
+def _stored_hits(index: StoredIndex, terms: list[Term]) -> DataFrame:
+    """As _term_hits, for the chunks that hold any term, from the folders of the terms alone."""
+    def test(t: Term) -> Column:
+        return F.startswith("term", F.lit(t.text)) if t.prefix else F.col("term") == t.text
+
+    any_term = F.lit(False)
+    for t in terms:
+        near = F.lit(True) if t.prefix and len(t.text) < 2 else F.col("bucket") == _bucket(F.lit(t.text))
+        any_term = any_term | (near & test(t))
+    which = F.array_compact(F.array(*(F.when(test(t), F.lit(i)) for i, t in enumerate(terms))))
+    per_term = index.postings.where(any_term).select("id", "project_id", "length", "weight", F.explode(which).alias("q"))
+    summed = per_term.groupBy("id", "project_id", "length", "q").agg(F.sum("weight").alias("weight"))
+    return summed.groupBy("id", "project_id", "length").agg(F.array_sort(F.collect_list(F.struct("q", "weight"))).alias("hits"))  # at most MAX_TERMS
+
+
 def _term_hits(chunks: DataFrame, terms: list[Term]) -> DataFrame:
     """(id, project_id, length, hits): per chunk an array of (q, weight), the weight of the occurrences of query term
     number q, for the terms it holds.
@@ -68,8 +115,8 @@ def _term_hits(chunks: DataFrame, terms: list[Term]) -> DataFrame:
         "id", "project_id", "length", F.filter("_f", lambda s: s["weight"] > 0).alias("hits"))
 
 
-def lexical(chunks: DataFrame, query: str, f: SearchFilter = SearchFilter(), projects: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
-    """The lexical arm: (id, score, rank), best first, at most `depth` rows.
+def lexical(chunks: DataFrame, query: str, f: SearchFilter = SearchFilter(), projects: DataFrame | None = None, depth: int = DEPTH, index: StoredIndex | None = None) -> DataFrame:
+    """The lexical arm: (id, score, rank), best first, at most `depth` rows. With a stored index no text is read.
 
     A chunk must hold every term in some column; only if no filtered chunk does, and there are at least two terms,
     chunks with any term count. Numbers of chunks, of chunks with a term, and the mean length are those of all chunks,
@@ -77,13 +124,16 @@ def lexical(chunks: DataFrame, query: str, f: SearchFilter = SearchFilter(), pro
     terms = query_terms(query)
     if not terms:
         return chunks.sparkSession.createDataFrame([], "id long, score double, rank int")
-    hits = _term_hits(chunks, terms)
+    hits = _stored_hits(index, terms) if index else _term_hits(chunks, terms)
 
     def holders(i: int) -> Column:
         return F.count_if(F.exists("hits", lambda s: s["q"] == i)).alias(f"n{i}")
 
     counts = [holders(i) for i in range(len(terms))]
-    stats = hits.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *counts)
+    if index:
+        stats = hits.agg(*counts).crossJoin(F.broadcast(index.totals))  # one row each
+    else:
+        stats = hits.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *counts)
     idf = [F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)) for i in range(len(terms))]
     stats = stats.select("mean", F.array(*(F.when(x > 0, x).otherwise(MIN_IDF) for x in idf)).alias("idf"))
     rows = filter_chunks(chunks, f, projects).select("id", "project_id").distinct() if f != SearchFilter() else None
@@ -169,15 +219,19 @@ def collapse(rows: DataFrame, order: list[Column]) -> DataFrame:
 def rank_rows(fused: DataFrame, chunks: DataFrame, projects: DataFrame, limit: int | None = None, collapse_windows: bool = True) -> DataFrame:
     """The page: fused rows weighted by authority, best first, ties by chunk id, windows collapsed, limited, with rank.
 
-    Chunks are joined to at most twice DEPTH fused rows, which are sent to where the chunks are read; only what they hit
-    goes on, so repeated rows are told apart among those alone."""
+    At most twice DEPTH fused rows are sent to where the chunks are read; only what they hit goes on, so repeated rows are
+    told apart among those alone, and texts are read for the page only."""
     behavior = projects.select(F.col("id").alias("project_id"), F.col("authority_behavior").alias("behavior"))
-    once = chunks.join(F.broadcast(fused), "id").dropDuplicates(["id"]).join(behavior, "project_id", "left")
+    narrow = [c for c in chunks.columns if c not in ("text", "vault")]
+    once = chunks.select(*narrow).join(F.broadcast(fused), "id").dropDuplicates(["id"]).join(behavior, "project_id", "left")
     scored = once.withColumn("score", F.round(F.col("rrf") * authority_weight(F.col("effective_tier"), F.col("behavior")), 12))
     order = [F.desc("score"), F.col("chunk_id")]
     page = collapse(scored, order) if collapse_windows else scored
     page = page.orderBy(*order).limit(clamp_limit(limit))
-    return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    # Texts are read for the page alone.
+    texts = chunks.select("id", *(c for c in chunks.columns if c not in narrow)).join(F.broadcast(page.select("id")), "id", "left_semi").dropDuplicates(["id"])
+    return page.join(texts, "id")
 
 
 def result_rows(page: DataFrame) -> DataFrame:
@@ -194,14 +248,14 @@ def result_rows(page: DataFrame) -> DataFrame:
 
 def search(
     chunks: DataFrame, projects: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
-    f: SearchFilter = SearchFilter(), limit: int | None = None,
+    f: SearchFilter = SearchFilter(), limit: int | None = None, index: StoredIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """A whole search: (result rows, one row with `lexical_only`).
 
     Without vectors or a query vector, or if the vector arm finds nothing, the answer rests on the lexical arm alone
     and says so; that never fails a search. Both arms go DEPTH deep once, where an interactive engine would deepen
     them step by step; the page is that of the deepest step."""
-    arms = [lexical(chunks, query, f, projects)]
+    arms = [lexical(chunks, query, f, projects, index=index)]
     flag = chunks.sparkSession.range(1).select(F.lit(True).alias("lexical_only"))
     if vectors is not None and query_vector:
         arms.append(vector(chunks, vectors, query_vector, f, projects))

@@ -420,3 +420,23 @@ def test_metrics(spark):
     hashes = spark.createDataFrame([("a.rs", "h"), ("b", "h")], "path string, content_hash string")
     done = spark.createDataFrame([(1, "a.rs", "h"), (1, "b", "old")], "query_id long, path string, content_hash string")
     assert [tuple(r) for r in E.judging_pool(runs, done, hashes).collect()] == [(1, "b", "h")]
+
+
+def test_stored_index_answers_as_the_scan_does(spark, sf, tmp_path):
+    from tesserine.operators import search as S
+    from tesserine.operators.filters import SearchFilter
+
+    chunks = spark.read.parquet(f"{sf}/chunks.parquet").dropDuplicates(["id"])
+    old = chunks.where("id % 3 <> 0")
+    S.write_index(S.postings(old), old, f"file://{tmp_path}/a")
+    # The index after a pass: some chunks go, some come.
+    new = chunks.where("id % 5 <> 0")
+    entries = S.maintain_postings(S.read_index(spark, f"file://{tmp_path}/a").postings.drop("bucket"), new.where("id % 3 = 0"), old.where("id % 5 = 0"))
+    S.write_index(entries, new, f"file://{tmp_path}/b")
+    index = S.read_index(spark, f"file://{tmp_path}/b")
+    for query in ("index snapshot", "zzqx snapshot", "snap* the", "s* index", "the the", "ÍNDEX", "", "* AND"):
+        for f in (SearchFilter(), SearchFilter(language="rust")):
+            scan = [tuple(r) for r in S.lexical(new, query, f).orderBy("rank").collect()]
+            assert [tuple(r) for r in S.lexical(new, query, f, index=index).orderBy("rank").collect()] == scan
+    plan = S.lexical(new, "index", index=index)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "PartitionFilters: [isnotnull(bucket" in plan
