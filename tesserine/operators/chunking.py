@@ -449,7 +449,40 @@ _DECLARATIONS: dict[str, list[tuple[str, re.Pattern, bool]]] = {
     ],
 }
 _DECLARATIONS["typescript"] = _DECLARATIONS["javascript"]
-_TOKEN = re.compile(rb"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`|[{};]", re.S)
+_COMMENTS = rb"//[^\n]*|/\*.*?\*/"
+#: What the scanner steps over or stops at, by language: comments, strings of every kind, braces and ends of statements.
+_TOKENS = {
+    "csharp": re.compile(
+        _COMMENTS + rb"|(\"{3,}).*?\1|(?:\$@|@\$?)\"(?:\"\"|[^\"])*\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{1,4}|.)|[^'\\\n])'|[{};]", re.S),
+    "rust": re.compile(
+        rb"//[^\n]*|/\*|b?r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.)|[^'\\\n])'|[{};]", re.S),
+    "javascript": re.compile(
+        _COMMENTS + rb"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|\$\{(?:[^{}`]|`(?:\\.|[^`\\])*`|\{(?:[^{}`]|`(?:\\.|[^`\\])*`)*\})*\}|[^`\\])*`|[{};/]", re.S),
+}
+_TOKENS["typescript"] = _TOKENS["javascript"]
+#: A regular expression literal stands where a value may begin: at the start, behind these characters or words.
+_REGEX = re.compile(rb"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_BEFORE_VALUE = re.compile(rb"(?:^|[=(,:;!&|?{}\[+\-*%~^<>]|\b(?:return|typeof|case|in|of|do|else|throw|yield|await))\s*\Z")
+
+
+def _marks(src: bytes, language: str) -> Iterator[tuple[bytes, int, int]]:
+    """The braces and semicolons of a source outside of comments and literals: (mark, begin, end)."""
+    at, pattern = 0, _TOKENS[language]
+    while m := pattern.search(src, at):
+        t, at = m[0], m.end()
+        if t == b"/*":  # comments of Rust nest
+            depth = 1
+            while depth and (n := re.compile(rb"/\*|\*/").search(src, at)):
+                depth, at = depth + (1 if n[0] == b"/*" else -1), n.end()
+            at = len(src) if depth else at
+        elif t == b"/":
+            literal = _REGEX.match(src, m.start())
+            if literal and _BEFORE_VALUE.search(src[max(0, m.start() - 80) : m.start()]):
+                at = literal.end()
+        elif t in (b"{", b"}", b";"):
+            yield t, m.start(), at
+
+
 _CONTROL = re.compile(rb"(?:if|for|foreach|while|switch|catch|using|lock|match|loop|else|do|try|return|new)\b")
 
 
@@ -458,30 +491,29 @@ def brace_items(src: bytes, language: str) -> list[Item] | None:
     rules = _DECLARATIONS[language]
     root = Item(0, len(src), "file", "")
     stack: list[tuple[Item | None, int]] = [(root, 0)]  # what is open, and where its current statement began
-    for token in _TOKEN.finditer(src):
-        t = token[0]
+    for t, begin, end in _marks(src, language):
         owner, since = stack[-1]
         if t == b";":
-            stack[-1] = (owner, token.end())
+            stack[-1] = (owner, end)
         elif t == b"{":
             item = None
             if owner is not None and (owner is root or owner.kind in ("namespace", "class", "impl", "trait", "mod")):
-                item = _declared(src, since, token.start(), rules)
+                item = _declared(src, since, begin, rules)
             if item:
                 owner.members.append(item)
                 inside = item if any(k == item.kind and m for k, _, m in rules) else None
-                stack.append((inside, token.end()))
+                stack.append((inside, end))
                 item.end = -1  # until its brace closes
             else:
-                stack.append((None, token.end()))
+                stack.append((None, end))
         elif t == b"}":
             if len(stack) == 1:
                 return None
             stack.pop()
             owner, _ = stack[-1]
             if owner is not None and owner.members and owner.members[-1].end == -1:
-                owner.members[-1].end = token.end()
-            stack[-1] = (owner, token.end())
+                owner.members[-1].end = end
+            stack[-1] = (owner, end)
     return root.members if len(stack) == 1 else None
 
 

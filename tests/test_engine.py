@@ -440,3 +440,21 @@ def test_stored_index_answers_as_the_scan_does(spark, sf, tmp_path):
             assert [tuple(r) for r in S.lexical(new, query, f, index=index).orderBy("rank").collect()] == scan
     plan = S.lexical(new, "index", index=index)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan and "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_scanner_steps_over_literals():
+    from tesserine.operators.chunking import brace_items
+
+    names = lambda src, lang: None if (x := brace_items(src, lang)) is None else [i.name for i in x]
+    js = [b"fetch('https://x.org/a'); }", b"const r = /[{\\/]+/g; }", b"return a / b / c; }", b"x = `a ${ {k: `}`}.k } {`; }", b"if (/}/.test(s)) { y() } }", b'z = "}"; }', b"/* } */ // }\n }", b"w = 'it\\'s }'; }"]
+    for body in js:
+        assert names(b"function one() { " + body + b"\nfunction two(a) { return a; }\n", "javascript") == ["one", "two"], body
+        assert names(b"function one() { " + body + b"\nfunction two(a) { return a; }\n", "typescript") == ["one", "two"]
+    rust = [b'let s = r#"a " } {"#; }', b"let c = '}'; }", b"fn_of::<'a>(x) }", b'let s = "a\n}"; }', b"/* a /* } */ } */ }", b"let b = br\"}\"; }", b"let q = '\\''; }", b"let u = '\\u{7d}'; }"]
+    for body in rust:
+        assert names(b"fn one() { " + body + b"\npub fn two() -> u8 { 1 }\n", "rust") == ["one", "two"], body
+    sharp = [b'var s = @"c:\\"; }', b'var s = @"a "" }"; }', b"var c = '}'; }", b'var s = """ } " {""" ; }', b'var s = $"{x}"; }', b'var s = $@"}}{x}"; }']
+    for body in sharp:
+        (cls,) = brace_items(b"public class C {\n void One() { " + body + b"\n public int Two(int a) { return a; }\n}\n", "csharp")
+        assert [m.name for m in cls.members] == ["One", "Two"], body
+    assert names(b"function broken() { {", "javascript") is None
