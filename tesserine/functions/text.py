@@ -91,6 +91,11 @@ def clamp_limit(limit: int | None) -> int:
     return min(DEFAULT_LIMIT if limit is None else max(0, limit), MAX_LIMIT)
 
 
+def clamped(limit: Column) -> Column:
+    """clamp_limit as an expression."""
+    return F.when(limit.isNull(), DEFAULT_LIMIT).otherwise(F.least(F.greatest(limit, F.lit(0)), F.lit(MAX_LIMIT)))
+
+
 def slug(name: Column, chars: int = 40) -> Column:
     """An ASCII key for a name: lower-case letters and digits joined by `-`, at most `chars` long; `project` if none remain."""
     dashed = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")

@@ -219,6 +219,14 @@ def same_decisions(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def changed_decisions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(project_id, gained, lost) of the projects whose decisions (project_id, id) differ between two sets."""
+    a, b = (df.select("project_id", "id").distinct().withColumn(n, F.lit(True)) for df, n in ((old, "_a"), (new, "_b")))
+    both = a.join(b, ["project_id", "id"], "full")
+    counts = both.groupBy("project_id").agg(F.count_if(F.col("_a").isNull()).alias("gained"), F.count_if(F.col("_b").isNull()).alias("lost"))
+    return counts.where("gained + lost > 0")
+
+
 def cited_in_text(chunks: DataFrame) -> DataFrame:
     """(id, refs): the decisions that chunk texts mention; they carry no weight."""
     return chunks.select("id", decision_refs(F.col("text")).alias("refs")).where(F.size("refs") > 0)

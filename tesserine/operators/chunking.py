@@ -211,6 +211,15 @@ def language_of(path: str) -> str | None:
     return LANGUAGES.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
 
 
+def language_column(path: Column) -> Column:
+    """language_of as an expression."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    out = F.lit(None).cast("string")
+    for e, language in LANGUAGES.items():
+        out = F.when(ext == e, language).otherwise(out)
+    return out
+
+
 @dataclass(frozen=True)
 class Plugin:
     """A declared chunker: a name, the extensions it claims and how its windows are tightened."""
@@ -321,6 +330,17 @@ def headings(src: bytes, start: int) -> Iterator[tuple[int, str, int, int]]:
         at += len(raw)
 
 
+def document_headings(documents: DataFrame) -> DataFrame:
+    """(doc_id, place, level, title) of the headings of documents (doc_id, text)."""
+
+    def scan(batches):
+        for b in batches:
+            rows = [(i, n, h[0], h[1]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for n, h in enumerate(headings(t.encode(), 0), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "place", "level", "title"])
+
+    return documents.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, place int, level int, title string")
+
+
 def markdown(path: str, src: bytes, vault_profile: bool) -> Collector:
     """One section per heading, up to the next heading. The text between a heading and its first subheading is a
     section of its own if it is long enough, else it joins the next section."""

@@ -87,6 +87,18 @@ def resolve_project(projects: DataFrame, given: str) -> int:
     return hit["id"]
 
 
+def resolve_projects(projects: DataFrame, given: DataFrame) -> DataFrame:
+    """(given, project_id) of many names at once, by the rules of resolve_project; null where nothing has the name."""
+    def form(rank: int, tag: str, name: Column) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), F.lit(tag).alias("form"), name.alias("name"))
+
+    forms = F.array(form(0, "k", F.col("project_key")), form(1, "n", F.lower("name")), form(2, "i", F.col("id").cast("string")))
+    known = projects.select("id", F.explode(forms).alias("_f")).select("id", "_f.*")
+    asked = given.select("given").distinct().select("given", F.explode(F.array(*(F.struct(F.lit(f).alias("form"), (F.lower("given") if f == "n" else F.col("given")).alias("name")) for f in "kni"))).alias("_a")).select("given", "_a.*")
+    found = asked.join(known, ["form", "name"], "left").groupBy("given")
+    return found.agg(F.min(F.when(F.col("id").isNotNull(), F.struct("rank", "id"))).getField("id").alias("project_id"))
+
+
 def nearest_root(projects: DataFrame, paths: DataFrame) -> DataFrame:
     """(path, project_id): of the projects whose root holds the path, the one with the longest root.
 

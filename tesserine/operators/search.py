@@ -270,6 +270,23 @@ def lookup(chunks: DataFrame, project_id: int, prefix: str, cap: int = 10) -> tu
     return ("unknown", []) if not rows else ("found", rows) if len(rows) == 1 else ("ambiguous", rows[:cap])
 
 
+def lookups(chunks: DataFrame, wanted: DataFrame, cap: int = 10) -> DataFrame:
+    """(project_id, prefix, outcome, chunk_id, shown) of many lookups (project_id, prefix) of prefixes of one length at
+    once: `found` with the chunk, `ambiguous` with how many of the matches would be shown, or `unknown`."""
+    size = F.char_length("prefix")
+    lengths = [r[0] for r in wanted.select(size).distinct().limit(65).collect()]
+    keys = F.explode(F.array(*(F.left("chunk_id", F.lit(n)) for n in lengths))) if lengths else F.lit(None).cast("string")
+    ids = chunks.select("project_id", "chunk_id").distinct().withColumn("prefix", keys)
+    rows = wanted.distinct().join(ids, ["project_id", "prefix"], "left").groupBy("project_id", "prefix").agg(F.count("chunk_id").alias("n"), F.min("chunk_id").alias("chunk_id"))
+    outcome = F.when(F.col("n") == 0, "unknown").when(F.col("n") == 1, "found").otherwise("ambiguous")
+    return rows.select("project_id", "prefix", outcome.alias("outcome"), F.when(F.col("n") == 1, F.col("chunk_id")).alias("chunk_id"), F.least("n", F.lit(cap)).alias("shown"))
+
+
+def in_file_order(chunks: DataFrame) -> DataFrame:
+    """chunks with `place`, their position in their file."""
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy("project_id", "path").orderBy("byte_start", "id")))
+
+
 def backlog(chunks: DataFrame, vectors: DataFrame, after: int = -1, page: int | None = 512) -> DataFrame:
     """Chunks without a stored vector, by id, beyond the cursor; one page, or all of them."""
     rows = chunks.where(F.col("id") > after).join(vectors.select(F.col("chunk_rowid").alias("id")), "id", "left_anti")

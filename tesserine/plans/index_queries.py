@@ -15,88 +15,61 @@ from tesserine.plans.search_queries import stored_chunks
 from tesserine.sources.store import repair_names
 from tesserine.sources.tables import table
 
-OLD_SNAPSHOT, NEW_SNAPSHOT = 4, 5
 PAIR = ("project_id", "snapshot_no")
 PAIR_KEYS = [*PAIR, "path"]
 
 
 def _listings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two consecutive listings of every project: what is stored and what is observed now."""
-    rows = file_listing(table(spark, sf, "file_snapshots"))
-    pick = lambda n: rows.where(F.col("snapshot_no") == n).select("project_id", "path", "content_hash")
-    return pick(OLD_SNAPSHOT), pick(NEW_SNAPSHOT)
+    """What is stored and observed in every pair of consecutive complete listings of each project."""
+    sequence = complete_sequence(table(spark, sf, "manifests"), "project_id", "snapshot_no", "is_complete")
+    return consecutive_listings(file_listing(table(spark, sf, "file_snapshots")), sequence)
 
 
 def manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
     stored, observed = _listings(spark, sf)
-    return indexing.classify(observed, stored).select("project_id", "path", "state")
+    return indexing.classify(observed, stored, keys=PAIR_KEYS).select(*PAIR_KEYS, "state")
 
 
 def scoped_diff(spark: SparkSession, sf: str) -> DataFrame:
     stored, observed = _listings(spark, sf)
     scope = table(spark, sf, "projects").select(F.col("id").alias("project_id"), F.lit("src").alias("scope"))
-    return indexing.classify(indexing.in_scope(observed, scope), stored, scope).select("project_id", "path", "state")
+    return indexing.classify(indexing.in_scope(observed, scope, PAIR_KEYS), stored, scope, keys=PAIR_KEYS).select(*PAIR_KEYS, "state")
 
 
 def mass_delete_guard(spark: SparkSession, sf: str) -> DataFrame:
     stored, observed = _listings(spark, sf)
-    return indexing.guard(indexing.classify(observed, stored), stored)
+    return indexing.guard(indexing.classify(observed, stored, keys=PAIR_KEYS), stored, PAIR)
 
 
 def pass_summary(spark: SparkSession, sf: str) -> DataFrame:
     stored, observed = _listings(spark, sf)
-    return indexing.pass_summary(indexing.classify(observed, stored))
+    return indexing.pass_summary(indexing.classify(observed, stored, keys=PAIR_KEYS), PAIR)
 
 
 def manifest_needs(spark: SparkSession, sf: str) -> DataFrame:
     stored, observed = _listings(spark, sf)
-    return indexing.negotiate(observed, stored).where("need").select("project_id", "path")
-
-
-def _all_listings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """What is stored and observed in every pair of consecutive complete listings of each project."""
-    sequence = complete_sequence(table(spark, sf, "manifests"), "project_id", "snapshot_no", "is_complete")
-    return consecutive_listings(file_listing(table(spark, sf, "file_snapshots")), sequence)
-
-
-def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    stored, observed = _all_listings(spark, sf)
-    return indexing.classify(observed, stored, keys=PAIR_KEYS).select(*PAIR_KEYS, "state")
-
-
-def snapshot_scoped_diff(spark: SparkSession, sf: str) -> DataFrame:
-    stored, observed = _all_listings(spark, sf)
-    scope = table(spark, sf, "projects").select(F.col("id").alias("project_id"), F.lit("src").alias("scope"))
-    return indexing.classify(indexing.in_scope(observed, scope, PAIR_KEYS), stored, scope, keys=PAIR_KEYS).select(*PAIR_KEYS, "state")
-
-
-def snapshot_delete_guard(spark: SparkSession, sf: str) -> DataFrame:
-    stored, observed = _all_listings(spark, sf)
-    return indexing.guard(indexing.classify(observed, stored, keys=PAIR_KEYS), stored, PAIR)
-
-
-def snapshot_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    stored, observed = _all_listings(spark, sf)
-    return indexing.pass_summary(indexing.classify(observed, stored, keys=PAIR_KEYS), PAIR)
-
-
-def snapshot_needs(spark: SparkSession, sf: str) -> DataFrame:
-    stored, observed = _all_listings(spark, sf)
     return indexing.negotiate(observed, stored, PAIR_KEYS).where("need").select(*PAIR_KEYS)
 
 
 def malformed_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """The paths of the raw listings, whose senders did not all use forward slashes."""
-    raw = table(spark, sf, "file_snapshots").select("project_id", "path").distinct()
+    """The paths of the raw listings, whose senders did not all use forward slashes, with what else can be wrong with a
+    path put in front of it by the number of its snapshot."""
+    wrong = {1: "/", 2: "C:", 3: "a//", 4: "../", 5: ".GIT/", 6: "a/../"}
+    front = F.lit("")
+    for n, x in wrong.items():
+        front = F.when(F.col("snapshot_no") == n, x).otherwise(front)
+    path = F.when((F.col("snapshot_no") == 8) & (F.char_length("path") % 2 == 0), "").otherwise(F.concat(front, "path"))
+    raw = table(spark, sf, "file_snapshots").select("project_id", path.alias("path")).distinct()
     return indexing.malformed(raw).groupBy("reason").agg(F.count("*").alias("paths"))
 
 
 def status_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return status.status_counts(*(table(spark, sf, t) for t in ("projects", "files", "chunks", "chunk_vectors")))
+    return status.status_counts(*(table(spark, sf, t) for t in ("projects", "files", "chunks", "chunk_vectors")), ledger_active(spark, sf))
 
 
 def top_offenders(spark: SparkSession, sf: str) -> DataFrame:
-    return status.top_offenders(table(spark, sf, "chunks"))
+    judged = A.recompute(table(spark, sf, "chunks"), table(spark, sf, "projects"), ledger_active(spark, sf))
+    return status.top_offenders(judged)
 
 
 def fleet_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +86,14 @@ def client_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.lit(1).alias("project_id"), F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    """The documents as files; by the last digit of their ids some have a NUL byte, or a byte that is no UTF-8, or are
+    repeated until they are too large, or stand on one line."""
+    text, digit = F.coalesce("text", F.lit("")), F.col("doc_id") % 100
+    mutated = (
+        F.when(digit == 1, F.concat(text.substr(1, 100), F.lit("\x00"), text).cast("binary")).when(digit == 2, F.concat(text.cast("binary"), F.lit(b"\xff\xfe")))
+        .when(digit == 3, F.repeat(F.concat(text, F.lit("padding")), 300_000).cast("binary")).when(digit == 4, F.repeat(F.translate(text, "\n", " "), 9).cast("binary")).otherwise(text.cast("binary")))
+    kind = F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")
+    docs = table(spark, sf, "documents").select(F.lit(1).alias("project_id"), F.concat(F.lit("d/"), F.col("doc_id"), kind).alias("path"), F.substring(mutated, 1, chunking.MAX_FILE_BYTES + 1).alias("content"))
     return chunking.skipped_files(docs).select("path", "reason")
 
 
@@ -127,37 +107,6 @@ def markdown_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_files(docs).select("path", "anchor", "chunk_id", "byte_start", "byte_end", "line_start", "line_end")
 
 
-def effective_tiers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every chunk's tier, where the decisions with even numbers that a project's chunks cite stand in for its active ones;
-    document_tiers takes those of the project's own ledgers."""
-    chunks = stored_chunks(spark, sf)
-    refs = F.from_json(F.get_json_object("vault", "$.decision_refs"), "array<string>")
-    active = chunks.select("project_id", F.explode(refs).alias("id")).where("cast(substr(id, 3) as int) % 2 = 0").distinct()
-    return A.recompute(chunks, table(spark, sf, "projects"), active).select("id", "tier", "demotion")
-
-
-#: Hand-written ledgers and records for ledger_active and ledger_violations; document_decisions reads real texts.
-LEDGERS = [
-    (1, "design/0_Canon/DECISIONS.md", "# Decisions\n\n## D-0001 — One\n- **Status:** Accepted\n\n## D-0002 — Two\n- **Status:** Accepted\n- **Supersedes:** D-0001.\n\n## D-0003 — Three\n- **Status:** Proposed\n- **Supersedes:** D-0002\n\n## Notes\n- **Status:** Accepted\n"),
-    (1, "design/0_Canon/decisions/D-0004-four.md", "# D-0004 — Four\n\n* **Status**: accepted.\n* **Supersedes:** D-0002's second clause only\n"),
-    (1, "design/0_Canon/decisions/D-0005-five.md", "# D-0006 — Not five\n- **Status:** Accepted\n"),
-    (1, "design/0_Canon/decisions/D-0003-three.md", "# Three\n- **Status:** Accepted\n"),
-    (2, "0_Canon/DECISIONS.md", "## D-0001 — Other\nStatus: Accepted\n## D-0002 — Second\n- Status: Accepted\n- Supersedes: D-0001 and D-0007\n"),
-    (2, "0_Canon/decisions/D-0009-a.md", "# D-0009\n- **Status:** Accepted\n"),
-    (2, "0_Canon/decisions/D-0009-b.md", "# D-0009\n- **Status:** Accepted\n"),
-]
-
-
-def ledger_active(spark: SparkSession, sf: str) -> DataFrame:
-    sources = spark.createDataFrame(LEDGERS, "project_id long, path string, text string")
-    return A.active_decisions(A.resolve(A.decision_entries(sources)))
-
-
-def ledger_violations(spark: SparkSession, sf: str) -> DataFrame:
-    sources = spark.createDataFrame(LEDGERS, "project_id long, path string, text string")
-    return A.resolve(A.decision_entries(sources)).where("violation is not null").select("project_id", "path", "violation")
-
-
 def _document_ledgers(spark: SparkSession, sf: str) -> DataFrame:
     """Every document of a project as a ledger of it. Only texts with the heading of a decision can hold an entry, so the
     others are left out before lines are told apart."""
@@ -165,18 +114,48 @@ def _document_ledgers(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("project_id", F.concat(F.lit("d/"), F.col("doc_id"), F.lit("/0_Canon/DECISIONS.md")).alias("path"), "text")
 
 
-def document_decisions(spark: SparkSession, sf: str) -> DataFrame:
+def ledger_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Every decision in the documents as it resolves."""
     return A.resolve(A.decision_entries(_document_ledgers(spark, sf))).select("project_id", "path", "id", "accepted", "excluded", "violation")
 
 
-def document_active(spark: SparkSession, sf: str) -> DataFrame:
+def ledger_active(spark: SparkSession, sf: str) -> DataFrame:
     return A.active_decisions(A.resolve(A.decision_entries(_document_ledgers(spark, sf))))
 
 
-def document_tiers(spark: SparkSession, sf: str) -> DataFrame:
+def effective_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk's tier under the active decisions of its project's documents."""
-    return A.recompute(stored_chunks(spark, sf), table(spark, sf, "projects"), document_active(spark, sf)).select("id", "tier", "demotion")
+    return A.recompute(stored_chunks(spark, sf), table(spark, sf, "projects"), ledger_active(spark, sf)).select("id", "tier", "demotion")
+
+
+def ledger_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the decision files, where documents with odd ids are records in place of ledgers: each claims the
+    first decision it names, every fifth one the decision after it."""
+    docs = _document_ledgers(spark, sf).withColumn("doc_id", F.regexp_extract("path", "^d/([0-9]+)/", 1).cast("long"))
+    number = F.regexp_extract("text", r"##\s*D-([0-9]{4})", 1).cast("int") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    record = F.format_string("d/%d/0_Canon/decisions/D-%04d-x.md", "doc_id", number)
+    sources = docs.select("project_id", F.when(F.col("doc_id") % 2 == 1, record).otherwise(F.col("path")).alias("path"), "text")
+    return A.resolve(A.decision_entries(sources)).where("violation is not null").select("project_id", "path", "violation").distinct()
+
+
+def namespace_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return A.namespace_warnings(_document_ledgers(spark, sf))
+
+
+def recompute_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return A.recompute_summary(A.recompute(stored_chunks(spark, sf), table(spark, sf, "projects"), ledger_active(spark, sf)))
+
+
+def decision_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Which projects' active decisions differ between the ledgers ingested first and all of them."""
+    ledgers = _document_ledgers(spark, sf)
+    early = ledgers.where(F.regexp_extract("path", "^d/([0-9]+)/", 1).cast("long") % 4 != 0)
+    active = lambda rows: A.active_decisions(A.resolve(A.decision_entries(rows)))
+    return A.changed_decisions(active(early), active(ledgers))
+
+
+def cited_refs(spark: SparkSession, sf: str) -> DataFrame:
+    return A.cited_in_text(stored_chunks(spark, sf)).select("id", F.array_join("refs", ",").alias("refs"))
 
 
 def repaired_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,25 +211,12 @@ def worst_offenders(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_diff, scoped_diff, mass_delete_guard, pass_summary, manifest_needs, snapshot_diff, snapshot_scoped_diff,
-        snapshot_delete_guard, snapshot_summaries, snapshot_needs, malformed_paths, status_counts, top_offenders, fleet_totals,
+        manifest_diff, scoped_diff, mass_delete_guard, pass_summary, manifest_needs, malformed_paths, status_counts, top_offenders, fleet_totals,
         latency_percentiles, client_percentiles, skip_reasons, window_chunks, markdown_chunks, effective_tiers, ledger_active, ledger_violations,
-        document_decisions, document_active, document_tiers, repaired_names, ir_metrics, precision_judged, hit_by_kind, judge_calibration, worst_offenders,
+        ledger_decisions, namespace_warnings, recompute_counts, decision_changes, cited_refs, repaired_names, ir_metrics, precision_judged, hit_by_kind, judge_calibration, worst_offenders,
     )
 }
 
-_LISTINGS = f"""
-with listing as (select project_id, snapshot_no, replace(path, chr(92), '/') as path, nullif(arg_max(coalesce(lower(content_hash), ''), received_at), '') as h
-                 from file_snapshots group by 1, 2, 3),
-a as (select project_id, path, h from listing where snapshot_no = {OLD_SNAPSHOT}),
-b as (select project_id, path, h from listing where snapshot_no = {NEW_SNAPSHOT}),
-diff as (select coalesce(a.project_id, b.project_id) as project_id, coalesce(a.path, b.path) as path,
-         case when a.path is null then 'new' when b.path is null then 'deleted' when a.h is not distinct from b.h then 'unchanged' else 'changed' end as state
-         from a full join b on a.project_id = b.project_id and a.path = b.path),
-guarded as (select project_id, coalesce(deletes, 0) as deletes, coalesce(stored, 0) as stored
-            from (select project_id, count(*) as stored from a group by 1) full join (select project_id, count(*) as deletes from diff where state = 'deleted' group by 1) using (project_id))
-"""
-
 _RUNS = """
 with s as (select distinct query_id, chunk_rowid, arm, score, tier from scored where score is not null and not isnan(score) and arm is not null),
 best as (select arm, query_id, chunk_rowid, max(case when arm = 'lexical' then -score else score end) as s from s group by 1, 2, 3),
@@ -274,24 +240,12 @@ judged as (select t.model, t.query_id, avg(case when label is not null and rank
 _CLIENT = "max(case when i = round_even(p * (n - 1), 0) then value end)"
 
 SQL = {
-    "manifest_diff": _LISTINGS + "select project_id, path, state from diff",
-    "scoped_diff": _LISTINGS + "select project_id, path, state from diff where path = 'src' or starts_with(path, 'src/')",
-    "mass_delete_guard": _LISTINGS + "select *, deletes > 100 and deletes * 2 > stored as refused from guarded",
-    "pass_summary": _LISTINGS + """select count(*) filter (where state <> 'deleted') as seen, count(*) filter (where state = 'new') as n_new,
-count(*) filter (where state = 'changed') as n_changed, count(*) filter (where state = 'unchanged') as n_unchanged,
-count(*) filter (where state = 'deleted') as n_deleted, 0::bigint as n_unreadable from diff""",
-    "manifest_needs": _LISTINGS + "select project_id, path from diff where state in ('new', 'changed')",
-    "malformed_paths": r"""with p as (select distinct project_id, path from file_snapshots),
+    "malformed_paths": r"""with p as (select distinct project_id, case when snapshot_no = 8 and length(path) % 2 = 0 then '' else
+ case snapshot_no when 1 then '/' when 2 then 'C:' when 3 then 'a//' when 4 then '../' when 5 then '.GIT/' when 6 then 'a/../' else '' end || path end as path from file_snapshots),
 r as (select case when path is null or path = '' then 'empty' when contains(path, chr(92)) then 'backslash' when starts_with(path, '/') then 'absolute'
  when regexp_matches(path, '^[A-Za-z]:') then 'drive letter' when contains('/' || path || '/', '//') then 'empty component'
  when contains('/' || path || '/', '/../') then 'parent component' when contains('/' || lower(path) || '/', '/.git/') then 'git metadata' end as reason from p)
 select reason, count(*) as paths from r where reason is not null group by reason""",
-    "status_counts": """select p.id as project_id, coalesce(f.n, 0) as files, coalesce(c.n, 0) as chunks, coalesce(v.n, 0) as embedded, coalesce(c.bad, 0) as violating_files
-from projects p left join (select project_id, count(distinct path) as n from files group by 1) f on f.project_id = p.id
-left join (select project_id, count(distinct id) as n, count(distinct case when demotion = 'uncited_decided' then path end) as bad from chunks group by 1) c on c.project_id = p.id
-left join (select project_id, count(distinct chunk_rowid) as n from chunk_vectors group by 1) v on v.project_id = p.id""",
-    "top_offenders": """with p as (select distinct project_id, path from chunks where demotion = 'uncited_decided')
-select project_id, path, (row_number() over (partition by project_id order by path))::int as place from p qualify place <= 5""",
     "fleet_totals": """with t as (select (select count(distinct id) from chunks where project_id in (select id from projects)) as chunks,
 (select count(distinct chunk_rowid) from chunk_vectors where project_id in (select id from projects)) as embedded)
 select chunks, embedded, case when chunks > 0 then round(embedded * 100.0 / chunks)::int else 0 end as coverage from t""",
@@ -301,25 +255,10 @@ select label, any_value(n_total) as n_total, count(*) as n, quantile_disc(value,
  quantile_disc(value, 0.99) as p99, max(value) as max from r where r <= 4096 group by label""",
     "client_percentiles": f"""with r as (select event_type as label, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
 select label, count(*) as n, round(avg(value), 6) as mean, {_CLIENT.replace("p *", "0.5 *")} as p50, {_CLIENT.replace("p *", "0.95 *")} as p95, max(value) as max from r group by label""",
-    "skip_reasons": """select 'd/' || doc_id || '.txt' as path, case when strlen(text) > 2097152 then 'too large' when contains(left(text, 8192), chr(0)) then 'binary'
- when list_bool_or(list_transform(string_split(text, chr(10)), lambda l: strlen(l) > 4096)) then 'machine text' end as reason from documents where reason is not null""",
-    "effective_tiers": r"""with c as (select distinct * from chunks),
-v as (select *, coalesce(from_json(json_extract(vault, '$.decision_refs'), '["VARCHAR"]'), []) as refs from c),
-active as (select distinct project_id, r as id from (select project_id, unnest(refs) as r from v) where substr(r, 3)::int % 2 = 0),
-p as (select id as project_id, kind as pkind, authority_profile = 'lore-v1' and coalesce(authority_behavior, 'annotate') <> 'off' as is_on from projects),
-k as (select v.*, p.pkind, coalesce(p.is_on, false) as is_on, exists (select 1 from active a where a.project_id = v.project_id and list_contains(v.refs, a.id)) as cited,
-  string_split(path, '/') as seg, case design_status when 'decided' then 3 when 'leaning' then 2 when 'deprecated' then 0 else 1 end as declared from v left join p using (project_id)),
-s as (select *, case when design_status = 'decided' and not cited then 1 else declared end as start, list_contains(seg, '99_Scratch') as scratch, list_contains(seg, '7_Research') as research from k)
-select id, case when not is_on then 1 when regexp_matches(path, '(^|/)0_Canon/DECISIONS\.md$') or regexp_matches(path, '(^|/)0_Canon/decisions/D-[0-9]{4}-[^/]*\.(md|MD)$') then 3
-  else least(start, case when scratch then 0 else 3 end, case when research then 1 else 3 end, case when pkind = 'session' then 1 else 3 end) end as tier,
- case when not is_on then case when pkind = 'session' then 'session_source' end
-  when regexp_matches(path, '(^|/)0_Canon/DECISIONS\.md$') or regexp_matches(path, '(^|/)0_Canon/decisions/D-[0-9]{4}-[^/]*\.(md|MD)$') then null
-  when design_status = 'decided' and not cited then 'uncited_decided' when scratch and start > 0 then 'scratch_path' when research and start > 1 then 'research_path'
-  when pkind = 'session' and start > 1 then 'session_source' end as demotion from s""",
-    "ledger_active": "select project_id::bigint as project_id, id from (values (1, 'D-0002'), (1, 'D-0004'), (2, 'D-0002')) t(project_id, id)",
-    "ledger_violations": """select project_id::bigint as project_id, path, violation from (values (1, 'design/0_Canon/decisions/D-0005-five.md', 'heading names D-0006, file name claims D-0005'),
-(1, 'design/0_Canon/decisions/D-0003-three.md', 'duplicate id: a ledger holds it'), (2, '0_Canon/decisions/D-0009-a.md', 'duplicate id across records'),
-(2, '0_Canon/decisions/D-0009-b.md', 'duplicate id across records')) t(project_id, path, violation)""",
+    "skip_reasons": """with d as (select doc_id, coalesce(text, '') as text, 'd/' || doc_id || case when doc_id % 3 = 0 then '.md' else '.txt' end as path, doc_id % 100 as digit from documents),
+t as (select *, case digit when 4 then repeat(replace(text, chr(10), ' '), 9) else text end as body from d)
+select path, case when digit = 3 then 'too large' when digit = 1 or contains(left(body, 8192), chr(0)) then 'binary' when digit = 2 then 'invalid utf-8'
+ when doc_id % 3 <> 0 and list_bool_or(list_transform(string_split(body, chr(10)), lambda l: strlen(l) > 4096)) then 'machine text' end as reason from t where reason is not null""",
     "repaired_names": """with r as (select root, case when id % 2 = 0 then 'shared' else name end as name, id from projects),
 n as (select *, row_number() over (partition by lower(name) order by id) as p from r)
 select root, case when p > 1 then name || ' (' || p || ')' else name end as name from n""",
@@ -345,13 +284,60 @@ entries as (select project_id, doc_id, block, max(named) as id, coalesce(arg_max
 active as (select distinct project_id, id from entries where accepted except select project_id, unnest(supersedes) from entries where accepted)
 """
 
+#: CTEs that end in tiers (id, project_id, path, tier, demotion, effective_tier, old).
+_TIERS = _DECISIONS + r""",
+c as (select distinct * from chunks),
+v as (select *, coalesce(from_json(json_extract(vault, '$.decision_refs'), '["VARCHAR"]'), []) as refs from c),
+p as (select id as project_id, kind as pkind, authority_profile = 'lore-v1' and coalesce(authority_behavior, 'annotate') <> 'off' as is_on from projects),
+k as (select v.*, p.pkind, coalesce(p.is_on, false) as is_on, exists (select 1 from active a where a.project_id = v.project_id and list_contains(v.refs, a.id)) as cited,
+  string_split(path, '/') as seg, case design_status when 'decided' then 3 when 'leaning' then 2 when 'deprecated' then 0 else 1 end as declared from v left join p using (project_id)),
+s as (select *, case when design_status = 'decided' and not cited then 1 else declared end as start, list_contains(seg, '99_Scratch') as scratch, list_contains(seg, '7_Research') as research from k),
+tiers as (select id, project_id, path, effective_tier, demotion as old, case when not is_on then 1 when regexp_matches(path, '(^|/)0_Canon/DECISIONS\.md$') or regexp_matches(path, '(^|/)0_Canon/decisions/D-[0-9]{4}-[^/]*\.(md|MD)$') then 3
+  else least(start, case when scratch then 0 else 3 end, case when research then 1 else 3 end, case when pkind = 'session' then 1 else 3 end) end as tier,
+ case when not is_on then case when pkind = 'session' then 'session_source' end
+  when regexp_matches(path, '(^|/)0_Canon/DECISIONS\.md$') or regexp_matches(path, '(^|/)0_Canon/decisions/D-[0-9]{4}-[^/]*\.(md|MD)$') then null
+  when design_status = 'decided' and not cited then 'uncited_decided' when scratch and start > 0 then 'scratch_path' when research and start > 1 then 'research_path'
+  when pkind = 'session' and start > 1 then 'session_source' end as demotion from s)
+"""
+
 SQL |= {
-    "document_decisions": _DECISIONS + "select project_id, 'd/' || doc_id || '/0_Canon/DECISIONS.md' as path, id, accepted, false as excluded, null::varchar as violation from entries",
-    "document_active": _DECISIONS + "select project_id, id from active",
-    "document_tiers": re.sub(r"(?m)^active as .*\n", "", SQL["effective_tiers"]).replace("with c as", _DECISIONS + ", c as", 1),
+    "ledger_decisions": _DECISIONS + "select project_id, 'd/' || doc_id || '/0_Canon/DECISIONS.md' as path, id, accepted, false as excluded, null::varchar as violation from entries",
+    "ledger_active": _DECISIONS + "select project_id, id from active",
+    "effective_tiers": _TIERS + "select id, tier, demotion from tiers",
+    "top_offenders": _TIERS + """, bad as (select distinct project_id, path from tiers where demotion = 'uncited_decided')
+select project_id, path, (row_number() over (partition by project_id order by path))::int as place from bad qualify place <= 5""",
+    "recompute_counts": _TIERS + """, f as (select project_id, path, count(*) filter (where tier is distinct from effective_tier or demotion is distinct from old) as c,
+  count(*) filter (where demotion = 'uncited_decided') as v from tiers group by 1, 2)
+select count(*) as files, count(*) filter (where c > 0) as files_changed, coalesce(sum(c), 0)::bigint as chunks_changed, coalesce(sum(v), 0)::bigint as violations from f""",
+    "status_counts": _DECISIONS + """, f as (select project_id, count(distinct path) as n from files group by 1),
+k as (select project_id, count(distinct id) as n, count(distinct case when demotion = 'uncited_decided' then path end) as bad from chunks group by 1),
+v as (select project_id, count(distinct chunk_rowid) as n from chunk_vectors group by 1), d as (select project_id, count(distinct id) as n from active group by 1)
+select p.id as project_id, coalesce(f.n, 0) as files, coalesce(k.n, 0) as chunks, coalesce(v.n, 0) as embedded, coalesce(k.bad, 0) as violating_files, coalesce(d.n, 0) as active_decisions
+from projects p left join f on f.project_id = p.id left join k on k.project_id = p.id left join v on v.project_id = p.id left join d on d.project_id = p.id""",
+    "namespace_warnings": _DECISIONS + """, roots as (select distinct project_id, 'd/' || doc_id || '/0_Canon' as root from documents where project_id is not null and regexp_matches(text, '##\\s*D-[0-9]{4}'))
+select project_id, root, min(root) over (partition by project_id) as first_root from roots qualify root > first_root""",
+    "decision_changes": _DECISIONS + """, early as (select * from entries where doc_id % 4 <> 0),
+old as (select distinct project_id, id from early where accepted except select project_id, unnest(supersedes) from early where accepted),
+both_sets as (select coalesce(o.project_id, a.project_id) as project_id, o.id as was_id, a.id as now_id from old o full join active a on o.project_id = a.project_id and o.id = a.id)
+select project_id, count(*) filter (where was_id is null) as gained, count(*) filter (where now_id is null) as lost from both_sets group by 1 having gained + lost > 0""",
+    "ledger_violations": _DECISIONS + """, recs as (select project_id, doc_id, printf('D-%04d', regexp_extract(text, '##\\s*D-([0-9]{4})', 1)::int + case when doc_id % 5 = 0 then 1 else 0 end) as rid
+  from documents where project_id is not null and doc_id % 2 = 1 and regexp_matches(text, '##\\s*D-[0-9]{4}')),
+firsts as (select project_id, doc_id, arg_min(nullif(regexp_extract(line, '^#+\\s*(D-[0-9]{4})(?:[^A-Za-z0-9_]|$)', 1), ''), n) as f
+  from (select project_id, doc_id, n, line, row_number() over (partition by project_id, doc_id order by n) as k from lines where starts_with(line, '#')) where k = 1 group by 1, 2),
+judged as (select r.*, case when f.f is not null and f.f <> r.rid then 'heading names ' || f.f || ', file name claims ' || r.rid end as v from recs r left join firsts f using (project_id, doc_id)),
+held as (select distinct project_id, id from entries where doc_id % 2 = 0),
+clean as (select project_id, rid, count(*) as n from judged where v is null group by 1, 2)
+select j.project_id, 'd/' || doc_id || '/0_Canon/decisions/' || j.rid || '-x.md' as path,
+  coalesce(v, case when h.id is not null then 'duplicate id: a ledger holds it' else 'duplicate id across records' end) as violation
+from judged j left join held h on h.project_id = j.project_id and h.id = j.rid left join clean c on c.project_id = j.project_id and c.rid = j.rid
+where v is not null or h.id is not null or c.n > 1""",
+    "cited_refs": r"""with c as (select distinct id, text from chunks), w as (select id, regexp_extract_all(text, '[A-Za-z0-9_-]+') as w from c),
+r as (select id, list_filter(w, lambda x: regexp_full_match(x, 'D-[0-9]{4}([^A-Za-z0-9_].*)?')) as r from w),
+o as (select id, list_transform(r, lambda x: left(x, 6)) as r from r where len(r) > 0)
+select id, array_to_string(list_filter(list_transform(r, lambda x, i: case when list_position(r, x) = i then x end), lambda x: x is not null), ',') as refs from o""",
 }
 
-_ALL_LISTINGS = """
+_LISTINGS = """
 with listing as (select project_id, snapshot_no, replace(path, chr(92), '/') as path, nullif(arg_max(coalesce(lower(content_hash), ''), (received_at, coalesce(lower(content_hash), ''))), '') as h
                  from file_snapshots where project_id is not null and snapshot_no is not null and path is not null group by 1, 2, 3),
 sequence as (select project_id, snapshot_no, row_number() over (partition by project_id order by snapshot_no) as seq, lead(snapshot_no) over (partition by project_id order by snapshot_no) as nxt
@@ -369,11 +355,11 @@ bad as (select distinct project_id, snapshot_no from b where path = '' or starts
 """
 
 SQL |= {
-    "snapshot_diff": _ALL_LISTINGS + "select project_id, snapshot_no, path, state from diff",
-    "snapshot_scoped_diff": _ALL_LISTINGS + "select project_id, snapshot_no, path, state from diff where (path = 'src' or starts_with(path, 'src/')) and project_id in (select id from projects)",
-    "snapshot_delete_guard": _ALL_LISTINGS + "select *, deletes > 100 and deletes * 2 > stored as refused from guarded",
-    "snapshot_summaries": _ALL_LISTINGS + """select project_id, snapshot_no, count(*) filter (where state <> 'deleted') as seen, count(*) filter (where state = 'new') as n_new,
+    "manifest_diff": _LISTINGS + "select project_id, snapshot_no, path, state from diff",
+    "scoped_diff": _LISTINGS + "select project_id, snapshot_no, path, state from diff where (path = 'src' or starts_with(path, 'src/')) and project_id in (select id from projects)",
+    "mass_delete_guard": _LISTINGS + "select *, deletes > 100 and deletes * 2 > stored as refused from guarded",
+    "pass_summary": _LISTINGS + """select project_id, snapshot_no, count(*) filter (where state <> 'deleted') as seen, count(*) filter (where state = 'new') as n_new,
 count(*) filter (where state = 'changed') as n_changed, count(*) filter (where state = 'unchanged') as n_unchanged,
 count(*) filter (where state = 'deleted') as n_deleted, 0::bigint as n_unreadable from diff group by 1, 2""",
-    "snapshot_needs": _ALL_LISTINGS + "select project_id, snapshot_no, path from diff anti join bad using (project_id, snapshot_no) where state in ('new', 'changed')",
+    "manifest_needs": _LISTINGS + "select project_id, snapshot_no, path from diff anti join bad using (project_id, snapshot_no) where state in ('new', 'changed')",
 }

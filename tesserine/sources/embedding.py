@@ -124,7 +124,7 @@ def embed(backlog: DataFrame, embedder: Embedder, partitions: int = 8) -> DataFr
 
 def poison(known: DataFrame, failures: DataFrame, now: int) -> DataFrame:
     """(chunk_rowid, strikes, retry_at) after some failures (chunk_rowid, failed): one strike waits a minute, two or an
-    unusable vector count as given up for twelve; the longest waiting beyond POISON_CAP are forgotten."""
+    unusable vector count as given up for twelve minutes; the longest waiting beyond POISON_CAP are forgotten."""
     hit = failures.select("chunk_rowid", F.when(F.col("failed") == "unusable vector", 2).otherwise(1).alias("more"))
     rows = known.join(hit, "chunk_rowid", "full").select(
         "chunk_rowid", (F.coalesce("strikes", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("strikes"), "more", "retry_at")

@@ -1,6 +1,5 @@
 """Queries that must take in their whole tables, over small hand-made ones."""
 
-import numpy as np
 import pytest
 
 from tesserine.plans import index_queries as Q
@@ -19,7 +18,7 @@ def folder(spark, tmp_path):
     return write
 
 
-def test_document_decisions(spark, folder):
+def test_decisions(spark, folder):
     docs = [
         (1, 7, "intro\r\n## D-0001 — a\r\n\r\n- **Status:** Accepted\r\n## D-0002 — b\r\n- **Status:** Proposed\r\n"),
         (2, 7, "## D-0003\n- **Status:** Accepted.\n- **Supersedes:** D-0001, and D-0002\n"),
@@ -30,9 +29,9 @@ def test_document_decisions(spark, folder):
     sf = folder(
         documents=(docs, DOCUMENTS), projects=([(p, "repo", "lore-v1", "rank") for p in (7, 8)], "id long, kind string, authority_profile string, authority_behavior string"),
         chunks=(chunks, "id long, project_id long, path string, design_status string, vault string, effective_tier int, demotion string"))
-    assert sorted(map(tuple, Q.document_active(spark, sf).collect())) == [(7, "D-0003"), (8, "D-0001")]
-    assert sorted((r.id, r.accepted) for r in Q.document_decisions(spark, sf).collect()) == [("D-0001", True), ("D-0001", True), ("D-0002", False), ("D-0003", True)]
-    assert sorted((r.id, r.tier) for r in Q.document_tiers(spark, sf).collect()) == [(1, 1), (2, 3), (3, 3), (4, 1)]
+    assert sorted(map(tuple, Q.ledger_active(spark, sf).collect())) == [(7, "D-0003"), (8, "D-0001")]
+    assert sorted((r.id, r.accepted) for r in Q.ledger_decisions(spark, sf).collect()) == [("D-0001", True), ("D-0001", True), ("D-0002", False), ("D-0003", True)]
+    assert sorted((r.id, r.tier) for r in Q.effective_tiers(spark, sf).collect()) == [(1, 1), (2, 3), (3, 3), (4, 1)]
     import duckdb
 
     con = duckdb.connect()
@@ -40,7 +39,7 @@ def test_document_decisions(spark, folder):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet/*.parquet'")
     from tests.oracle import rows_of_sql
 
-    for name in ("document_active", "document_decisions", "document_tiers"):
+    for name in ("ledger_active", "ledger_decisions", "effective_tiers"):
         assert rows_of(Q.QUERIES[name](spark, sf)) == rows_of_sql(con, Q.SQL[name])
 
 
@@ -52,48 +51,13 @@ def test_snapshot_pairs(spark, folder):
         file_snapshots=(rows, "project_id long, snapshot_no int, path string, content_hash string, received_at string"),
         manifests=([(5, n, n != 3) for n in (1, 2, 3, 4, 6)] + [(5, 7, True)], "project_id long, snapshot_no int, is_complete boolean"),
         projects=([(5,)], "id long"))
-    got = {(r.snapshot_no, r.path): r.state for r in Q.snapshot_diff(spark, sf).collect()}
+    got = {(r.snapshot_no, r.path): r.state for r in Q.manifest_diff(spark, sf).collect()}
     assert {k for k, s in got.items() if s == "deleted"} == {(4, "src/c"), (7, "a"), (7, "b"), (7, "src/d")}
     assert {k for k, s in got.items() if s == "changed"} == {(2, "a"), (6, "b"), (6, "src/d")} and {k for k, s in got.items() if s == "new"} == {(4, "src/d")}
-    assert {(r.snapshot_no, r.path) for r in Q.snapshot_scoped_diff(spark, sf).collect()} == {k for k in got if k[1].startswith("src/")}
-    assert {(r.snapshot_no, r.path) for r in Q.snapshot_needs(spark, sf).collect()} == {k for k, s in got.items() if s in ("new", "changed")}
-    assert {(r.snapshot_no, r.deletes, r.stored, r.refused) for r in Q.snapshot_delete_guard(spark, sf).collect()} == {(2, 0, 3, False), (4, 1, 3, False), (6, 0, 3, False), (7, 3, 3, False)}
-    assert {(r.snapshot_no, r.seen, r.n_new, r.n_changed, r.n_deleted) for r in Q.snapshot_summaries(spark, sf).collect()} == {(2, 3, 0, 1, 0), (4, 3, 1, 0, 1), (6, 3, 0, 2, 0), (7, 0, 0, 0, 3)}
-
-
-DATA = [
-    "{1.0f, 2.5f, 3.5f, 4.0f, 5.5f}", "{10u, 20u, 30u, 40u, 50u}", "0xaf, 0xbe, 0xcd, 0xff, 0xaa,", "0XAFuL ,-1.5 , 2F,\n-3l,4",
-    '{"a": 1}\n{"a": 2}\n{"a": 3}', '"' + r"\x1f\x8b" * 8 + '"', "1,2,3,4,5", '[{"a": 1}, {"b": 2}]', "'" + "Ab9+" * 10 + "'",
-]
-
-
-@pytest.mark.parametrize("text", DATA)
-def test_data_measure_has_no_gap(text):
-    from tesserine.llm import generated_files as G
-
-    m = G._DATA.search(text)
-    measured = G.measure([text, "no data"], ["c", "c"], [1, 1], {G.OTHER: G._bits(np.ones(G.CELLS, np.int64))})
-    assert m and measured["data_chars"] == [sum(len(x[0]) for x in G._DATA.finditer(text)), 0]
-
-
-def test_rare_languages_share_their_own_model(spark, monkeypatch):
-    from tesserine.llm import generated_files as G
-
-    monkeypatch.setattr(G, "MAX_LANGUAGES", 1)
-    rows = [("a", "abc abd"), ("a", "abc"), ("b", "qzx qzx"), ("c", "qzy"), (G.OTHER, "qzz")]
-    models = G.train(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
-    assert set(models) == {"a", G.OTHER}
-    same = G.train(spark.createDataFrame([("x", "qzx qzx"), ("x", "qzy"), ("x", "qzz")], "lang string, text string").coalesce(1))["x"]
-    assert np.array_equal(models[G.OTHER], same)
-
-
-def test_large_files_lose_no_link(spark):
-    from tesserine.llm import similar_vectors as V
-
-    rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(i, 6, rng.normal(size=6).tolist()) for i in range(400)], "id long, dims int, vector array<float>")
-    whole, parted = ({(r.id, r.other, r["rank"]) for r in V.similar_vectors(df, cell=c, max_pivots=12, rerank=400).collect()} for c in (1000, 40))
-    assert whole == parted
+    assert {(r.snapshot_no, r.path) for r in Q.scoped_diff(spark, sf).collect()} == {k for k in got if k[1].startswith("src/")}
+    assert {(r.snapshot_no, r.path) for r in Q.manifest_needs(spark, sf).collect()} == {k for k, s in got.items() if s in ("new", "changed")}
+    assert {(r.snapshot_no, r.deletes, r.stored, r.refused) for r in Q.mass_delete_guard(spark, sf).collect()} == {(2, 0, 3, False), (4, 1, 3, False), (6, 0, 3, False), (7, 3, 3, False)}
+    assert {(r.snapshot_no, r.seen, r.n_new, r.n_changed, r.n_deleted) for r in Q.pass_summary(spark, sf).collect()} == {(2, 3, 0, 1, 0), (4, 3, 1, 0, 1), (6, 3, 0, 2, 0), (7, 0, 0, 0, 3)}
 
 
 def test_active_decisions_are_counted(spark):
