@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import generated_files, leakage, mixing, near_duplicates, rank_fusion, repetition, secrets, similar_vectors
-from tesserine.sources.durable import keep
+from tesserine.llm import generated_files, leakage, mixing, near_duplicates, rank_fusion, repetition, secrets, similar_vectors, trigrams
+from tesserine.sources.durable import fresh_path, keep
 from tesserine.sources.tables import table
 
 #: TESTDATA.md's definition of alike chunks.
@@ -56,6 +56,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("chunk_rowid"), "line_no").distinct()
 
 
+def p4_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """p4_found through a stored index of the chunk table."""
+    chunks = table(spark, sf, "chunks").select("id", "text").dropDuplicates(["id"])
+    folder = fresh_path(spark, "trigrams")
+    trigrams.store_index(chunks, folder)
+    return secrets.find_secrets_indexed(chunks, folder).select(F.col("id").alias("chunk_rowid"), "line_no").distinct()
+
+
 def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     clean = secrets.redact_secrets(table(spark, sf, "chunks").select("id", "text"))
     return clean.where("n_secrets > 0").select(F.col("id").alias("chunk_rowid"), "text", "n_secrets").distinct()
@@ -128,7 +136,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_kinds, p2_found, p2_classes, p3_found, p3_search, p4_found, p4_redacted, p6_found, p6_ranking,
+        p1_found, p1_kinds, p2_found, p2_classes, p3_found, p3_search, p4_found, p4_indexed, p4_redacted, p6_found, p6_ranking,
         p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_shares, p10_cutoffs, p10_rejected,
     )
 }

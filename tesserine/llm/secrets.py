@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.trigrams import TrigramIndex, grams_of, required_trigrams
+from tesserine.llm.trigrams import TrigramIndex, candidates, grams_of, required_trigrams
 from tesserine.llm.words import text_batches
 
 #: The later pieces of a secret that is put together from several strings: redacted, but not a secret of their own.
@@ -184,6 +184,28 @@ def find_secrets(texts: DataFrame, id_column: str = "id", text: str = "text") ->
     return rows.mapInArrow(find, f"id {kind}, line_no int, start int, length int, detector string").withColumnRenamed("id", id_column)
 
 
+def find_secrets_indexed(texts: DataFrame, folder: str) -> DataFrame:
+    """find_secrets of texts (id, text) through the index that trigrams.store_index wrote of them: postings are intersected
+    first, and only the candidates' texts are looked at. For runs with new or few detectors over texts that stay; a single
+    run over everything reads the texts anyway, and find_secrets does that without moving them."""
+    rules, _ = _compiled()
+    chosen = candidates(texts.sparkSession, folder, {k: q for k, (_, q) in rules.items()})
+
+    def verify(batches):
+        for batch in batches:
+            rows = []
+            for i, text, kinds in zip(*(c.to_pylist() for c in batch.columns)):
+                for s, e, k in secrets_in(text, kinds):
+                    if k != CONTINUED:
+                        begin = text.rfind("-----BEGIN", 0, s) if k == "private-key" else s
+                        rows.append((i, text.count("\n", 0, begin) + 1, s, e - s, k))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], ["id", "line_no", "start", "length", "detector"])
+
+    rows = texts.where("text is not null").select("id", "text").join(chosen, "id").select("id", "text", "names")
+    return rows.mapInArrow(verify, "id bigint, line_no int, start int, length int, detector string")
+
+
 def redact(text: str, secrets: list[tuple[int, int, str]], mark: str = "*") -> str:
     """The text with the characters of the secrets replaced by `mark`; line ends, and comment marks and blanks at the
     beginning of the lines of a key body, stay."""

@@ -37,3 +37,21 @@ def test_large_files_lose_no_link(spark):
     df = spark.createDataFrame([(i, 6, rng.normal(size=6).tolist()) for i in range(400)], "id long, dims int, vector array<float>")
     whole, parted = ({(r.id, r.other, r["rank"]) for r in V.similar_vectors(df, cell=c, pivot_bytes=288, rerank=400).collect()} for c in (1000, 40))
     assert whole == parted
+
+
+def test_stored_trigrams_give_the_same_secrets(spark, sf, tmp_path):
+    from tesserine.llm import secrets as S
+    from tesserine.llm import trigrams as T
+
+    texts = spark.read.parquet(f"{sf}/chunks.parquet").select("id", "text").dropDuplicates(["id"]).repartition(3)
+    folder = f"file://{tmp_path}/index"
+    T.store_index(texts, folder)
+    plain = {tuple(r) for r in S.find_secrets(texts).collect()}
+    assert {tuple(r) for r in S.find_secrets_indexed(texts, folder).collect()} == plain and plain
+    # Any query over the stored index is a test of containment.
+    rows = texts.collect()
+    queries = {"and": ("and", ("ret", "urn")), "or": ("or", ("xyz", "qua")), "one": "def"}
+    got = {(r["id"], k) for r in T.candidates(spark, folder, queries).collect() for k in r["names"]}
+    low = {r["id"]: (r["text"] or "").lower() for r in rows}
+    assert got == {(i, "and") for i, t in low.items() if "ret" in t and "urn" in t} | {(i, "or") for i, t in low.items() if "xyz" in t or "qua" in t} | {(i, "one") for i, t in low.items() if "def" in t}
+    T.store_index(texts.limit(0), f"file://{tmp_path}/none")
