@@ -25,36 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.operators.ordered import ordered, with_rank
-from tesserine.sources.durable import fresh_path
+from tesserine.sources.durable import Folder, fresh_path
 
 LOG_PARTITIONS = 64
 #: Plans that may follow the compacted state before it is written anew.
 COMPACT = 16
 
 
-class _Folder:
-    """Names of whole entries below a folder of shared storage; an entry is whole once its _SUCCESS is there."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def names(self, kind: str, inside: str = "") -> list[str]:
-        where = self._path(f"{self.folder}/{kind}")
-        if not self._fs.exists(where):
-            return []
-        whole = [s for s in self._fs.listStatus(where) if self._fs.exists(self._path(s.getPath(), f"{inside}_SUCCESS"))]
-        return sorted(s.getPath().getName() for s in whole)
-
-    def read(self, kind: str, names: list[str], schema: T.StructType | str, inside: str = "") -> DataFrame:
-        """The entries as one table, in one scan however many they are."""
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{kind}/{n}{inside}" for n in names))
-
-
-class ChangeLog(_Folder):
+class ChangeLog(Folder):
     """A log in one folder: `segments/<n>` holds what one capture appended.
 
     keys: columns of the key with their types, as `project_id bigint, path string`."""
@@ -98,7 +76,7 @@ def committed_state(handled: DataFrame, runs: DataFrame, keys: list[str], stamp:
         F.max(F.struct("finished_at", "run_id", F.col(stamp).alias("stamp"))).getField("stamp").alias("done_stamp"))
 
 
-class BatchLog(_Folder):
+class BatchLog(Folder):
     """Plans and commits of the runs over one log: `plans/<id>` (entries, then how far the log was read) is written
     before any work, `commits/<id>` after it, `states/<id>` is the compacted state up to a commit."""
 
@@ -192,7 +170,7 @@ def pending(batches: BatchLog, incomplete: DataFrame | None = None) -> tuple[Dat
     return todo.where(F.col("reason").isNotNull() | ~late).select(*(c.split()[0] for c in batches.schema.split(", "))), heads
 
 
-class DedupSink(_Folder):
+class DedupSink(Folder):
     """Outputs by plan; of one (key, offset) the output of the latest plan counts, however often a batch is written."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str]):

@@ -5,24 +5,29 @@ forward pass that looks at a row and at its neighbours (the two pointers of a me
 types every change. Spark runs that pass as window functions that reuse the range exchange and its sort: no
 second shuffle, no buffer larger than the snapshots of one key, and hot projects are spread over many ranges
 because the range key is (group, key), not the group.
+
+Where snapshots are delivered one at a time, `SnapshotStore` keeps the last complete listing of every group,
+range-partitioned and sorted; a delivery is merged with that one alone, whatever the length of the history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserine.sources.durable import keep
+from tesserine.sources.durable import Folder, keep
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
 
-def latest_listing(rows: DataFrame, keys: list[str], content: str, received: str) -> DataFrame:
+def latest_listing(rows: DataFrame, keys: list[str], content: str | list[str], received: str) -> DataFrame:
     """One row per key: the last received one. Combined on the map side, so a key with very many rows costs one
     row per task. Equal `received`: the larger content wins, null being the smallest; null `received` is oldest.
     Rows with a null in a key are left out: they name nothing that could be compared."""
+    columns = [content] if isinstance(content, str) else content
     present = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
-    return present.groupBy(*keys).agg(F.max(F.struct(F.col(received), F.col(content))).getField(content).alias(content))
+    last = present.groupBy(*keys).agg(F.max(F.struct(F.col(received), *map(F.col, columns))).alias("_v"))
+    return last.select(*keys, *(F.col("_v").getField(c).alias(c) for c in columns))
 
 
 def complete_sequence(manifests: DataFrame, group: str, number: str, complete: str) -> DataFrame:
@@ -42,17 +47,19 @@ def complete_sequence(manifests: DataFrame, group: str, number: str, complete: s
 
 def snapshot_changes(
     listing: DataFrame, sequence: DataFrame, group: str = "project_id", key: str = "path",
-    number: str = "snapshot_no", content: str = "content_hash",
+    number: str = "snapshot_no", content: str | list[str] = "content_hash",
 ) -> DataFrame:
     """Changes between each complete snapshot and the group's preceding complete one.
 
     listing: one row per (group, number, key), as from latest_listing. sequence: as from complete_sequence.
-    Returns (group, key, number, change_type). Rules: a group's first complete snapshot yields nothing; a null
+    Returns (group, key, number, change_type) and, where content is a list of columns, changed_columns: those that
+    differ, empty for what was added or removed. Rules: a group's first complete snapshot yields nothing; a null
     content means "present, with the content of the preceding complete snapshot", and stays unknown where the key
     was absent there; from unknown to a known content counts as changed, from anything to unknown does not.
     Empty tables give an empty result; further columns of the inputs are ignored.
     """
-    rows = listing.select(group, number, key, content).join(sequence, [group, number])
+    columns = [content] if isinstance(content, str) else content
+    rows = listing.select(group, number, key, *columns).join(sequence, [group, number])
     ranged = rows.repartitionByRange(group, key).sortWithinPartitions(group, key, "_seq")
     merge = Window.partitionBy(group, key).orderBy("_seq")
 
@@ -62,31 +69,68 @@ def snapshot_changes(
     paired = ranged.select(
         "*", F.lag("_seq").over(merge).alias("_before"), F.lead("_seq").over(merge).alias("_after"))
     # A run is a stretch of consecutive snapshots that hold the key; its content is the last one given in it.
+    given = [so_far(F.when(F.col(c).isNotNull(), F.struct(F.col("_seq").alias("at"), F.col(c).alias("as")))).alias(f"_given_{c}") for c in columns]
     runs = paired.select(
-        "*",
-        so_far(F.when(F.col("_before").isNull() | (F.col("_before") < F.col("_seq") - 1), F.col("_seq"))).alias("_run"),
-        so_far(F.when(F.col(content).isNotNull(), F.struct(F.col("_seq").alias("at"), F.col(content).alias("as")))).alias("_given"),
-    ).withColumn("_content", F.when(F.col("_given.at") >= F.col("_run"), F.col("_given.as")))
-    typed = runs.select(
-        "*", F.lag("_content").over(merge).alias("_old")
-    ).select(
-        group, key, number, "_next",
-        F.when((F.col("_run") == F.col("_seq")) & (F.col("_seq") > 1), F.lit(ADDED))
-        .when((F.col("_run") < F.col("_seq")) & F.col("_content").isNotNull() & ~F.col("_content").eqNullSafe(F.col("_old")), F.lit(CHANGED))
-        .alias("_here"),
+        "*", so_far(F.when(F.col("_before").isNull() | (F.col("_before") < F.col("_seq") - 1), F.col("_seq"))).alias("_run"), *given)
+    runs = runs.select("*", *(F.when(F.col(f"_given_{c}.at") >= F.col("_run"), F.col(f"_given_{c}.as")).alias(f"_now_{c}") for c in columns))
+    old = runs.select("*", *(F.lag(f"_now_{c}").over(merge).alias(f"_old_{c}") for c in columns))
+    stays = F.col("_run") < F.col("_seq")
+    differs = {c: stays & F.col(f"_now_{c}").isNotNull() & ~F.col(f"_now_{c}").eqNullSafe(F.col(f"_old_{c}")) for c in columns}
+    changed = F.array_compact(F.array(*(F.when(d, F.lit(c)) for c, d in differs.items())))
+    typed = old.select(
+        group, key, number, "_next", changed.alias("_changed"),
+        F.when((F.col("_run") == F.col("_seq")) & (F.col("_seq") > 1), F.lit(ADDED)).when(F.size(changed) > 0, F.lit(CHANGED)).alias("_here"),
         F.when((F.col("_seq") < F.col("_last")) & (F.col("_after").isNull() | (F.col("_after") > F.col("_seq") + 1)), F.lit(REMOVED))
         .alias("_gone"),
     )
+    none = F.array().cast("array<string>")
     events = F.array(
-        F.struct(F.col(number).alias("n"), F.col("_here").alias("change_type")),
-        F.struct(F.col("_next").alias("n"), F.col("_gone").alias("change_type")),
+        F.struct(F.col(number).alias("n"), F.col("_here").alias("change_type"), F.col("_changed").alias("changed_columns")),
+        F.struct(F.col("_next").alias("n"), F.col("_gone").alias("change_type"), none.alias("changed_columns")),
     )
-    return (
+    out = (
         typed.where(F.col("_here").isNotNull() | F.col("_gone").isNotNull())
         .select(group, key, F.explode(events).alias("_e"))
         .where(F.col("_e.change_type").isNotNull())
-        .select(group, key, F.col("_e.n").alias(number), F.col("_e.change_type").alias("change_type"))
+        .select(group, key, F.col("_e.n").alias(number), F.col("_e.change_type").alias("change_type"), F.col("_e.changed_columns").alias("changed_columns"))
     )
+    return out.drop("changed_columns") if isinstance(content, str) else out
+
+
+class SnapshotStore(Folder):
+    """The last complete listing of every group in one folder: `listings/<n>`, range-partitioned and sorted by key.
+
+    keys: the group and the key with their types, as `project_id bigint, path string`; columns: what is compared."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: str, columns: str):
+        super().__init__(spark, folder)
+        self.schema = f"{keys}, {columns}"
+        self.keys, self.columns = ([c.split()[0] for c in x.split(", ")] for x in (keys, columns))
+
+    def latest(self) -> DataFrame:
+        return self.read("listings", self.names("listings")[-1:], self.schema)
+
+    def deliver(self, listing: DataFrame) -> DataFrame:
+        """Merge complete listings, one row per key, with the last ones of their groups, store them in their place, and
+        return the changes (keys, change_type, changed_columns).
+
+        Groups that are not in the delivery stay as they are; a group's first listing yields no changes. A null means
+        the content of the listing before. A delivery that fails leaves the store as it was."""
+        group, listing = self.keys[0], listing.select(*self.keys, *self.columns)
+        delivered = listing.select(group).distinct()
+        before = self.latest()
+        old = before.join(delivered, group, "left_semi").select(*self.keys, *(F.col(c).alias(f"_{c}") for c in self.columns), F.lit(True).alias("_b"))
+        known = before.select(group).distinct().withColumn("_k", F.lit(True))
+        both = keep(listing.withColumn("_a", F.lit(True)).join(old, self.keys, "full"), "merged")
+        filled = both.where("_a").select(*self.keys, *(F.coalesce(c, f"_{c}").alias(c) for c in self.columns))
+        rest = before.join(delivered, group, "left_anti")
+        number = len(self.names("listings"))
+        filled.unionByName(rest).repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.folder}/listings/{number:08d}")
+        changed = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in self.columns)))
+        changed = F.when(F.col("_a") & F.col("_b"), changed).otherwise(F.array().cast("array<string>"))
+        kind = F.when(F.col("_b").isNull(), ADDED).when(F.col("_a").isNull(), REMOVED).when(F.size("changed_columns") > 0, CHANGED)
+        typed = both.join(known, group).select(*self.keys, "_a", "_b", changed.alias("changed_columns")).withColumn("change_type", kind)
+        return typed.where("change_type is not null").select(*self.keys, "change_type", "changed_columns")
 
 
 def consecutive_listings(listing: DataFrame, sequence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,16 +147,22 @@ def consecutive_listings(listing: DataFrame, sequence: DataFrame) -> tuple[DataF
     return stored, whole.where("_seq > 1").select("project_id", "snapshot_no", "path", "content_hash")
 
 
-def file_listing(snapshots: DataFrame) -> DataFrame:
+def file_listing(snapshots: DataFrame, further: tuple[str, ...] = ()) -> DataFrame:
     """file_snapshots with `/` for the other path separator and hashes in lower case, one row per key."""
     rows = snapshots.select(
         "project_id", "snapshot_no", F.translate("path", "\\", "/").alias("path"),
-        F.lower("content_hash").alias("content_hash"), "received_at",
+        F.lower("content_hash").alias("content_hash"), "received_at", *further,
     )
-    return latest_listing(rows, ["project_id", "snapshot_no", "path"], "content_hash", "received_at")
+    return latest_listing(rows, ["project_id", "snapshot_no", "path"], ["content_hash", *further], "received_at")
 
 
 def file_changes(snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
     """(project_id, path, snapshot_no, change_type) between consecutive complete listings of each project."""
     sequence = complete_sequence(manifests, "project_id", "snapshot_no", "is_complete")
     return snapshot_changes(file_listing(snapshots), sequence)
+
+
+def file_column_changes(snapshots: DataFrame, manifests: DataFrame) -> DataFrame:
+    """As file_changes, for content and size, with the columns that differ."""
+    sequence = complete_sequence(manifests, "project_id", "snapshot_no", "is_complete")
+    return snapshot_changes(file_listing(snapshots, ("size_bytes",)), sequence, content=["content_hash", "size_bytes"])

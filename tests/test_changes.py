@@ -74,6 +74,17 @@ def test_one_range_shuffle(spark):
     assert "Exchange" not in above and above.count("+- Sort") == 1 and "rangepartitioning" not in below
 
 
+def test_delivered_listings(spark, tmp_path):
+    store = S.SnapshotStore(spark, f"file://{tmp_path}", "g bigint, k string", "h string, n int")
+    give = lambda *rows: sorted((r["g"], r["k"], r["change_type"], r["changed_columns"]) for r in store.deliver(spark.createDataFrame([(*r, "x") for r in rows], "g long, k string, h string, n int, _a string")).collect())
+    assert give((1, "a", "x", 1), (1, "b", "y", 2), (2, "a", "q", None)) == []
+    assert give((1, "a", None, 3), (1, "c", "z", None)) == [(1, "a", "changed", ["n"]), (1, "b", "removed", []), (1, "c", "added", [])]
+    assert give((1, "a", "x", None), (1, "c", "w", 9), (3, "z", "z", 0)) == [(1, "c", "changed", ["h", "n"])]
+    assert give((2, "a", None, None), (2, "b", None, None)) == [(2, "b", "added", [])]
+    assert sorted((r["g"], r["k"], r["h"], r["n"]) for r in store.latest().collect()) == [(1, "a", "x", 3), (1, "c", "w", 9), (2, "a", "q", None), (2, "b", None, None), (3, "z", "z", 0)]
+    assert give() == [] and store.latest().count() == 5
+
+
 ROWS = "k long, h string, at long, extra string"
 
 
