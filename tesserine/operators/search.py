@@ -7,6 +7,7 @@ a cluster adds numbers up; ties go to the smaller id.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -250,17 +251,29 @@ def search(
     chunks: DataFrame, projects: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
     f: SearchFilter = SearchFilter(), limit: int | None = None, index: StoredIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """A whole search: (result rows, one row with `lexical_only`).
-
-    Without vectors or a query vector, or if the vector arm finds nothing, the answer rests on the lexical arm alone
-    and says so; that never fails a search. Both arms go DEPTH deep once, where an interactive engine would deepen
-    them step by step; the page is that of the deepest step."""
-    arms = [lexical(chunks, query, f, projects, index=index)]
-    flag = chunks.sparkSession.range(1).select(F.lit(True).alias("lexical_only"))
+    """A whole search: (result rows, one row with `lexical_only` and `at_depth`).
+
+    Without vectors or a query vector, or if the vector arm finds nothing or fails, the answer rests on the lexical arm
+    alone and says so; that never fails a search. Both arms go DEPTH deep once, where an interactive engine would deepen
+    them step by step; the page is that of the deepest step. at_depth: an arm was cut there, so rows beyond it could have
+    scored as well. An arm is at most DEPTH rows of id, score and rank; they are held by the driver."""
+    spark = chunks.sparkSession
+    words = _held(lexical(chunks, query, f, projects, DEPTH, index))
+    arms, full = [words], len(words) >= DEPTH
     if vectors is not None and query_vector:
-        arms.append(vector(chunks, vectors, query_vector, f, projects))
-        flag = arms[1].agg((F.count("*") == 0).alias("lexical_only"))
-    return result_rows(rank_rows(fuse(*arms), chunks, projects, limit)), flag
+        try:
+            arms.append(_held(vector(chunks, vectors, query_vector, f, projects, DEPTH)))
+            full = full or len(arms[1]) >= DEPTH
+        except Exception as e:  # noqa: BLE001 whatever became of it, words still answer
+            logging.getLogger(__name__).warning("vector arm failed: %s", e)
+    kind = "id long, score double, rank int"
+    fused = fuse(*(spark.createDataFrame(a, kind) for a in arms))
+    flags = spark.createDataFrame([(len(arms) < 2 or not arms[1], full)], "lexical_only boolean, at_depth boolean")
+    return result_rows(rank_rows(fused, chunks, projects, limit)), flags
+
+
+def _held(arm: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in arm.collect()]
 
 
 def lookup(chunks: DataFrame, project_id: int, prefix: str, cap: int = 10) -> tuple[str, list]:

@@ -291,6 +291,7 @@ def session_uptake(spark: SparkSession, sf: str) -> DataFrame:
 def pooled_for_judging(spark: SparkSession, sf: str) -> DataFrame:
     """Results that wait for a judgment: those whose content has changed since, or that nobody judged."""
     runs, _, judged = _runs(spark, sf)
+    runs = runs.withColumn("model", F.concat_ws("/", "model", "run_set"))  # of any run
     hashes = table(spark, sf, "scored").select(F.concat(F.lit("c/"), F.col("chunk_rowid")).alias("path"), F.sha2((F.col("chunk_rowid") % 5).cast("string"), 256).alias("content_hash")).distinct()
     done = judged.select("query_id", "path", F.sha2((F.regexp_extract("path", "[0-9]+", 0).cast("long") % 4).cast("string"), 256).alias("content_hash"))
     return evaluation.judging_pool(runs, done, hashes)
@@ -319,7 +320,7 @@ routed as (select project_id, override, case when kind = 'rescan' then 'full' wh
   from events where kind <> 'access' and (kind = 'rescan' or not contains('/' || lower(path) || '/', '/.git/')))"""
 _RANKED = """s as (select distinct query_id, chunk_rowid, arm, score, tier, scored_at from scored where score is not null and not isnan(score) and arm is not null),
 best as (select arm, query_id, chunk_rowid, max(case when arm = 'lexical' then -score else score end) as s from s group by 1, 2, 3),
-runs as (select query_id, chunk_rowid, row_number() over (partition by arm, query_id order by s desc, chunk_rowid) as rank from best)"""
+runs as (select query_id, chunk_rowid, least(row_number() over (partition by arm, query_id order by s desc, chunk_rowid), row_number() over (partition by arm, query_id order by s, chunk_rowid)) as rank from best)"""
 
 SQL = {
     "symbol_names": rf"""with {_C}, n as (select id, json_extract_string(kind, '$.symbol_path') || ['', '#w1', '#d2', '#s3', '.#s0#w12', '#d1#w3', '#x1'][id % 7 + 1] as name from c)

@@ -175,10 +175,14 @@ def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
 
     rank = F.row_number().over(Window.partitionBy("arm", "query_id").orderBy(F.desc("s"), "chunk_rowid"))
     path = F.concat(F.lit("c/"), F.col("chunk_rowid")).alias("path")
-    runs = best.select(F.col("arm").alias("model"), F.lit(1).alias("run_set"), "query_id", rank.alias("rank"), path)
+    # An older run of every model had its results the wrong way round; an older label of every result was another one.
+    worst = F.row_number().over(Window.partitionBy("arm", "query_id").orderBy("s", "chunk_rowid"))
+    model = F.col("arm").alias("model")
+    runs = best.select(model, F.lit(2).alias("run_set"), "query_id", rank.alias("rank"), path).unionByName(best.select(model, F.lit(1).alias("run_set"), "query_id", worst.alias("rank"), path))
     cand = s.where("tier is not null").select("query_id", path, "tier").distinct()
     keys = cand.where("tier >= 2").select("query_id", F.when(F.col("query_id") % 2 == 0, "symbol").otherwise("semantic").alias("kind"), "path")
-    judged = cand.where("tier >= 1").select("query_id", "path", (F.col("tier") - 1).alias("label"), F.lit(1).alias("at"))
+    label = F.explode(F.array(F.struct((F.col("tier") - 1).alias("label"), F.lit(20).alias("at")), F.struct((3 - F.col("tier")).alias("label"), F.lit(10).alias("at")))).alias("_l")
+    judged = cand.where("tier >= 1").select("query_id", "path", label).select("query_id", "path", "_l.label", "_l.at")
     return runs, keys, judged
 
 
@@ -190,12 +194,12 @@ def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def precision_judged(spark: SparkSession, sf: str) -> DataFrame:
     runs, _, judged = _runs(spark, sf)
-    return evaluation.macro(evaluation.judged_metrics(runs, judged), ["model"], ["p5", "p10", "strict_p5", "coverage", "graded_ndcg"])
+    return evaluation.macro(evaluation.judged_metrics(evaluation.latest_runs(runs), judged), ["model"], ["p5", "p10", "strict_p5", "coverage", "graded_ndcg"])
 
 
 def hit_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     runs, keys, _ = _runs(spark, sf)
-    return evaluation.by_kind(evaluation.key_metrics(runs, keys))
+    return evaluation.by_kind(evaluation.key_metrics(evaluation.latest_runs(runs), keys))
 
 
 def judge_calibration(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +209,8 @@ def judge_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def worst_offenders(spark: SparkSession, sf: str) -> DataFrame:
     runs, keys, judged = _runs(spark, sf)
-    return evaluation.offenders(evaluation.key_metrics(runs, keys), evaluation.judged_metrics(runs, judged))
+    last = evaluation.latest_runs(runs)
+    return evaluation.offenders(evaluation.key_metrics(last, keys), evaluation.judged_metrics(last, judged))
 
 
 QUERIES = {
@@ -300,7 +305,24 @@ tiers as (select id, project_id, path, effective_tier, demotion as old, case whe
   when pkind = 'session' and start > 1 then 'session_source' end as demotion from s)
 """
 
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 SQL |= {
+    "window_chunks": rf"""
+with recursive docs as (select doc_id, text, string_split(text, chr(10)) as l from documents where text <> '' and strlen(text) <= 2097152 and not contains(left(text, 8192), chr(0))),
+files as (select doc_id, l, len(l) - case when len(l) > 1 and l[-1] = '' then 1 else 0 end as n, strlen(text) as size, list_transform(l, lambda x: strlen(x) + 1) as w
+  from docs where list_max(list_transform(l, lambda x: strlen(x))) <= 4096),
+ends as (select doc_id, l, n, list_transform(range(1, n + 1), lambda i: least(list_sum(list_slice(w, 1, i::bigint)), size)::bigint) as e from files),
+cut(doc_id, i, a, b) as (
+  select doc_id, 0, 1::bigint, greatest(1, len(list_filter(list_slice(e, 1, least(n, 80)), lambda x: x <= 8000)))::bigint from ends
+  union all
+  select doc_id, i, a, greatest(a, a - 1 + len(list_filter(list_slice(e, a, least(n, a + 79)), lambda x: x - case when a > 1 then e[a - 1] else 0 end <= 8000)))::bigint
+  from (select c.doc_id, c.i + 1 as i, greatest(c.a + 1, c.b + 1 - 10) as a, x.e, x.n from cut c join ends x using (doc_id) where c.b < x.n)),
+spans as (select doc_id, i, a, case when a > 1 then e[a - 1] else 0 end as begin, array_to_string(list_slice(l, a, b), chr(10)) as t from cut join ends using (doc_id)),
+trimmed as (select *, regexp_extract(t, '^{_SPACE}*') as lead, regexp_replace(regexp_replace(t, '^{_SPACE}+', ''), '{_SPACE}+$', '') as body from spans)
+select 'd/' || doc_id || '.txt' as path, 'win:' || i as anchor, sha256('d/' || doc_id || '.txt' || chr(0) || 'win:' || i || chr(0) || body) as chunk_id,
+  (begin + strlen(lead))::int as byte_start, (begin + strlen(lead) + strlen(body))::int as byte_end, (a + length(lead) - length(replace(lead, chr(10), '')))::int as line_start,
+  (a + length(lead) - length(replace(lead, chr(10), '')) + length(body) - length(replace(body, chr(10), '')))::int as line_end from trimmed where body <> ''""",
     "ledger_decisions": _DECISIONS + "select project_id, 'd/' || doc_id || '/0_Canon/DECISIONS.md' as path, id, accepted, false as excluded, null::varchar as violation from entries",
     "ledger_active": _DECISIONS + "select project_id, id from active",
     "effective_tiers": _TIERS + "select id, tier, demotion from tiers",

@@ -95,7 +95,7 @@ def lexical_only(spark: SparkSession, sf: str) -> DataFrame:
     one that cannot be used, and with a usable one."""
     chunks, projects, vectors, good = table(spark, sf, "chunks"), table(spark, sf, "projects"), table(spark, sf, "chunk_vectors"), query_vector(spark, sf)
     flags = [
-        S.search(chunks, projects, HYBRID, vectors, q, index=stored_index(spark, sf))[1].withColumn("vector", F.lit(name))
+        S.search(chunks, projects, HYBRID, vectors, q, index=stored_index(spark, sf))[1].select("lexical_only", F.lit(name).alias("vector"))
         for name, q in (("none", None), ("width", [1.0, 2.0, 3.0]), ("zero", [0.0] * 64), ("nan", [float("nan")] * 64), ("good", good))]
     return reduce(DataFrame.unionByName, flags)
 
@@ -285,5 +285,9 @@ words as (select id, regexp_extract_all(text, '[A-Za-z0-9_-]+') as w from c),
 refs as (select id, list_filter(flatten(list_transform(w, lambda x: case when regexp_full_match(x, 'D-[0-9]{{4}}([^A-Za-z0-9_].*)?') then [left(x, 6)] else [] end)), lambda x: true) as r from words)
 select id, array_to_string(list_transform(list_filter(list_transform(r, lambda x, i: case when list_position(r, x) = i then x end), lambda x: x is not null), lambda x: x), ',') as refs
 from refs where len(r) > 0""",
+    "embed_texts": rf"""with {_C}, h as (select id, coalesce(language, '') as l, path, text, json_extract_string(kind, '$.kind') as k, json_extract_string(kind, '$.symbol_path') as s,
+  list_filter(coalesce(from_json(json_extract(kind, '$.heading_path'), '["VARCHAR"]'), []), lambda x: not regexp_full_match(x, '#[wds][0-9]+')) as h from c),
+p as (select *, case k when 'code' then regexp_replace(s, '(\.*#[wds][0-9]+)+$', '') when 'section' then array_to_string(h, ' > ') else '' end as phrase from h)
+select id, array_to_string(list_filter([l, path, phrase], lambda x: x is not null and x <> ''), ' ') || chr(10) || text as embedded from p""".replace("\\\\", "\\"),
     "project_slugs": """select id, coalesce(nullif(rtrim(left(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), 40), '-'), ''), 'project') as slug from projects""",
 }

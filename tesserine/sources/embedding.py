@@ -1,15 +1,21 @@
 """Embedding a backlog through any embedder: bounded requests, classified retries, a poison list.
 
-An embedder is a callable that takes a list of texts and returns a list of vectors, on an executor. Anything that speaks to a
-server is built on it; nothing here opens a connection by itself.
+An embedder is a callable that takes a list of texts and returns a list of vectors, or of (index, vector) pairs in any
+order, on an executor. `HttpEmbedder` is one for servers of the common `/embeddings` form.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +25,7 @@ MAX_ITEMS, MAX_BYTES = 32, 256 * 1024
 RETRY_AFTER_CAP = 60.0
 #: How long a text is left alone after its first failure, and after its second; how many are remembered.
 STRIKE_SECONDS, ABANDON_SECONDS, POISON_CAP = 60, 720, 10_000
-Embedder = Callable[[list[str]], list[list[float]]]
+Embedder = Callable[[list[str]], list]
 
 
 class RequestError(Exception):
@@ -30,12 +36,62 @@ class RequestError(Exception):
         self.status, self.body, self.retry_after = status, body, retry_after
 
 
+@dataclass(frozen=True)
+class HttpEmbedder:
+    """POST {base}/embeddings with a model and a list of inputs; the answer's `data` holds an index and an embedding per
+    input. Travels to executors as it is; the key is read there, from the environment variable it is kept in."""
+
+    base: str
+    model: str
+    key_variable: str | None = None
+    dims: int | None = None
+    timeout: float = 60.0
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, list[float]]]:
+        body = {"model": self.model, "input": texts} | ({"dimensions": self.dims} if self.dims else {})
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable and (key := os.environ.get(self.key_variable)):
+            headers["Authorization"] = f"Bearer {key}"
+        request = urllib.request.Request(f"{self.base.rstrip('/')}/embeddings", json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                rows = json.load(answer)["data"]
+        except urllib.error.HTTPError as e:
+            raise RequestError(e.code, e.read(4096).decode(errors="replace"), wait_seconds(e.headers.get("Retry-After"))) from e
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+            raise RequestError(503, str(e)) from e
+        except (ValueError, KeyError, TypeError) as e:
+            raise ValueError(f"not an answer with embeddings: {e}") from e
+        pairs = [(r["index"], [float(x) for x in r["embedding"]]) for r in rows]
+        if self.dims is not None and any(len(v) != self.dims for _, v in pairs):
+            raise ValueError("a vector of another width")
+        return pairs
+
+
+def wait_seconds(header: str | None, now: float | None = None) -> float | None:
+    """What a Retry-After header asks for: seconds, or the time until a date; None if it says neither."""
+    if header is None:
+        return None
+    try:
+        return max(0.0, float(header))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(header).timestamp() - (time.time() if now is None else now))
+    except (ValueError, TypeError):
+        return None
+
+
+#: What a gateway writes about a connection that it could not make.
+_TRANSPORT = ("dial", "connectex", "bind", "timeout")
+
+
 def retryable(error: RequestError) -> bool:
     """Timeouts, throttling and server errors pass; another refusal stays one, unless its body tells of a connection that a
     gateway could not make."""
     if error.status in (408, 429) or error.status >= 500:
         return True
-    return any(w in error.body.lower() for w in ("dial", "connectex", "bind", "timeout"))
+    return any(w in error.body.lower() for w in _TRANSPORT)
 
 
 def backoff(attempt: int, rng: random.Random, base: float = 0.5, cap: float = 30.0) -> float:
@@ -76,7 +132,8 @@ def call(embedder: Embedder, texts: list[str], attempts: int = 5, sleep: Callabl
     rng = random.Random(len(texts))
     for attempt in range(attempts):
         try:
-            return ordered_answer(list(enumerate(embedder(texts))), len(texts))
+            answer = embedder(texts)
+            return ordered_answer(answer if answer and isinstance(answer[0], tuple) else list(enumerate(answer)), len(texts))
         except RequestError as e:
             if not retryable(e) or attempt == attempts - 1:
                 raise

@@ -6,7 +6,8 @@ above it, and in one folder `.indexignore` beats `.gitignore`; a list of user pa
 entered, at any depth and in any case; a folder that is a repository of its own is only entered if the root's
 `.indexignore` takes it in again. Hidden files are listed, links are listed with where they point to but not followed,
 names that are not UTF-8 are left out. Each folder below the root is a partition of its own, so that a large tree is read
-by many tasks; only the root's own listing is read while planning.
+by many tasks, and so are FILES_A_TASK files of the root each; only the root's own listing is read while planning. With
+the option `scope` only the named paths are listed and read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructType
 
 IGNORE_FILES = (".gitignore", ".indexignore")
 OWN_IGNORE = IGNORE_FILES[1]
+#: Files of one folder, or named one by one, that a task reads.
+FILES_A_TASK = 1000
 SCHEMA = "path string, size long, modified long, sha256 string, content binary, link string, error string"
 
 
@@ -154,6 +157,25 @@ class Walker:
             rules += self.own_rules(at)
         return rules
 
+    def named(self, scope: list[str]) -> list[_Part]:
+        """Partitions for some paths and what lies below them, as far as a whole walk would come to them; nothing else is
+        listed. Paths that another one covers, or that are gone, have none."""
+        names = sorted({s.strip("/") for s in scope})
+        names = [n for n in names if n and not any(n.startswith(a + "/") for a in names)] if "" not in names else [""]
+        if names == [""]:
+            return [_Part("", False), *(_Part(f, True) for f in self.listing("", self.rules_for(""))[0])]
+        parts, files = [], []
+        for n in names:
+            above = n.split("/")[:-1]
+            if any(p in ("..", ".", "") for p in n.split("/")) or not all(self.enters("/".join(above[: i + 1]), self.rules_for("/".join(above[:i]))) for i in range(len(above))):
+                continue
+            full, rules = os.path.join(self.root, n), self.rules_for("/".join(above))
+            if os.path.isdir(full) and not os.path.islink(full):
+                parts += [_Part(n, True)] if self.enters(n, rules) else []
+            elif os.path.lexists(full) and not verdict(rules, n, False) and n.rsplit("/", 1)[-1].lower() != ".git":
+                files.append(n)
+        return parts + [_Part("", False, files[i : i + FILES_A_TASK]) for i in range(0, len(files), FILES_A_TASK)] or [_Part("", False, [])]
+
     def walk(self, folder: str) -> Iterator[tuple[str, str | None]]:
         stack = [(folder, self.rules_for(folder))]
         while stack:
@@ -164,9 +186,11 @@ class Walker:
 
 
 class _Part(InputPartition):
-    def __init__(self, folder: str, deep: bool):
+    """A folder, with what lies below it or without, or some files by name."""
+
+    def __init__(self, folder: str, deep: bool, files: list[str] | None = None):
         super().__init__((folder, deep))
-        self.folder, self.deep = folder, deep
+        self.folder, self.deep, self.files = folder, deep, files
 
 
 class _Reader(DataSourceReader):
@@ -174,14 +198,21 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.content = options.get("content", "true").lower() == "true"
         self.walker = Walker(self.root, parse_rules(options.get("ignore", ""), ""), options.get("skip"))
+        self.scope = options["scope"].split("\n") if "scope" in options else None
 
     def partitions(self):
-        folders, _ = self.walker.listing("", self.walker.rules_for(""))
-        return [_Part("", False), *(_Part(f, True) for f in folders)]
+        if self.scope is not None:
+            return self.walker.named(self.scope)
+        folders, files = self.walker.listing("", self.walker.rules_for(""))
+        flat = [f for f, _ in files]
+        return [*(_Part("", False, flat[i : i + FILES_A_TASK]) for i in range(0, len(flat), FILES_A_TASK)), *(_Part(f, True) for f in folders)] or [_Part("", False)]
 
     def read(self, partition):
         w = self.walker
-        entries = w.walk(partition.folder) if partition.deep else w.listing("", w.rules_for(""))[1]
+        if partition.files is not None:
+            entries = [(f, os.readlink(full) if os.path.islink(full := os.path.join(self.root, f)) else None) for f in partition.files]
+        else:
+            entries = w.walk(partition.folder) if partition.deep else w.listing("", w.rules_for(""))[1]
         for path, link in entries:
             if link is not None:
                 yield (path, None, None, None, None, link, None)
@@ -198,7 +229,7 @@ class _Reader(DataSourceReader):
 
 
 class TreeDataSource(DataSource):
-    """Options: path (required), ignore (user patterns, one per line), content (false: hashes only), skip (a folder)."""
+    """Options: path (required), scope (paths, one per line), ignore (user patterns, one per line), content (false: hashes only), skip (a folder)."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,12 +252,7 @@ def read_tree(spark, path: str, **options: str):
 
 def observe(spark, path: str, scope: list[str] | None = None, **options: str):
     """(observed, unreadable): what a project's tree holds, restricted to some paths and what lies below them if given."""
-    from pyspark.sql import functions as F
-
-    rows = read_tree(spark, path, **options).where("link is null")
     if scope is not None:
-        hit = F.lit(False)
-        for s in scope:
-            hit = hit | (F.col("path") == s) | F.startswith("path", F.lit(s.rstrip("/") + "/"))
-        rows = rows.where(hit)
+        options = {**options, "scope": "\n".join(scope) or ".."}  # nothing named is nothing seen
+    rows = read_tree(spark, path, **options).where("link is null")
     return rows.where("error is null").drop("error", "link"), rows.where("error is not null").select("path", "error")

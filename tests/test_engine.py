@@ -458,3 +458,47 @@ def test_scanner_steps_over_literals():
         (cls,) = brace_items(b"public class C {\n void One() { " + body + b"\n public int Two(int a) { return a; }\n}\n", "csharp")
         assert [m.name for m in cls.members] == ["One", "Two"], body
     assert names(b"function broken() { {", "javascript") is None
+
+
+def test_a_failing_vector_arm_leaves_the_words(spark, sf, monkeypatch):
+    from tesserine.operators import search as S
+
+    chunks, projects = spark.read.parquet(f"{sf}/chunks.parquet"), spark.read.parquet(f"{sf}/projects.parquet")
+
+    def broken(*_, **__):
+        raise RuntimeError("no vectors today")
+
+    words = S.search(chunks, projects, "index snapshot", limit=20)
+    monkeypatch.setattr(S, "vector", broken)
+    rows, flags = S.search(chunks, projects, "index snapshot", spark.read.parquet(f"{sf}/chunk_vectors.parquet"), [1.0] * 64, limit=20)
+    assert flags.first()["lexical_only"] and [r["chunk_id"] for r in rows.collect()] == [r["chunk_id"] for r in words[0].collect()]
+    monkeypatch.setattr(S, "DEPTH", 1)
+    assert S.search(chunks, projects, "s*")[1].first()["at_depth"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=40, unique=True), st.lists(st.integers(0, 40), max_size=40, unique=True), st.integers(1, 8))
+def test_a_page_is_final_once_no_unseen_row_can_reach_it(first, second, page):
+    """Reciprocal ranks, deepened step by step: the page of the first depth at which the bound on unseen rows lies below
+    its last row is that of the full depth."""
+    def fused(depth):
+        out = {}
+        for arm in (first, second):
+            for r, i in enumerate(arm[:depth], 1):
+                out[i] = out.get(i, 0) + 1 / (60 + r)
+        return sorted(((-s, i) for i, s in out.items()))
+
+    full = fused(1000)[:page]
+    for depth in range(1, 42):
+        seen = fused(depth)
+        # What a row can still gain in an arm that has not shown it: the rank behind the depth, unless the arm is at its end.
+        gain = sum(1 / (60 + depth + 1) for arm in (first, second) if len(arm) > depth)
+        last = -seen[page - 1][0] if len(seen) >= page else 0
+        if gain == 0 or (len(seen) >= page and all(-s + gain < last for s, i in seen[page:]) and gain < last and _settled(seen, first, second, depth, page)):
+            assert seen[:page] == full
+            break
+
+
+def _settled(seen, first, second, depth, page):
+    """Whether the page's own rows are seen by both arms as far as they can be."""
+    return all(all(i in arm[:depth] or len(arm) <= depth for arm in (first, second)) for _, i in seen[:page])

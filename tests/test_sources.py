@@ -178,3 +178,63 @@ def test_reports(spark):
     chunks = spark.createDataFrame([(f"{i:03d}", 1, "é" * 10) for i in range(10)], "chunk_id string, project_id long, text string")
     got = status.sample_fixture(chunks, 3, 5).collect()
     assert sorted(r["chunk_id"] for r in got) == ["000", "003", "006"] and got[0]["text"] == "éé"
+
+
+def test_scope_lists_what_is_named_alone(spark, tmp_path, monkeypatch):
+    from tesserine.sources import walk as W
+
+    for name in ("a/x.txt", "a/b/y.txt", "a/skip/z.txt", "c/w.txt", "c/.git/HEAD", "top.txt", "other.log", "sub/.git/HEAD", "sub/in.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / ".gitignore").write_text("skip/\n*.log\n")
+    whole = {r["path"] for r in W.observe(spark, str(tmp_path))[0].collect()}
+    assert whole == {".gitignore", "a/x.txt", "a/b/y.txt", "top.txt"}
+    for scope in (["a"], ["a/b", "a"], ["top.txt", "a/x.txt"], ["a/skip", "other.log", "sub/in.txt", "gone", "../x", "a/skip/z.txt", "c/.git/HEAD"], ["", "a"], []):
+        got = [r["path"] for r in W.observe(spark, str(tmp_path), scope)[0].collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in whole if any(s == "" or p == s or p.startswith(s + "/") for s in scope)}
+    read = []
+    monkeypatch.setattr(W.Walker, "listing", lambda self, folder, rules: read.append(folder) or ([], []))
+    assert len(W._Reader({"path": str(tmp_path), "scope": "a\ntop.txt"}).partitions()) == 2 and read == []
+
+
+def test_http_embedder(spark):
+    import http.server
+    import json
+    import threading
+
+    from tesserine.sources import embedding as E
+
+    seen = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body["model"])
+            if len(seen) == 1:
+                self.send_response(429)
+                self.send_header("Retry-After", "0")
+                self.end_headers()
+                return
+            data = [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])]
+            raw = json.dumps({"data": data[::-1]} if body["model"] != "broken" else {"oops": 1}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    assert E.call(E.HttpEmbedder(base, "m"), ["a", "bbb"], sleep=lambda s: None) == [[1.0, 1.0], [3.0, 1.0]]
+    with pytest.raises(ValueError):
+        E.call(E.HttpEmbedder(base, "broken"), ["a"])
+    with pytest.raises(ValueError):
+        E.call(E.HttpEmbedder(base, "m", dims=3), ["a"])
+    rows = spark.createDataFrame([(1, 7, "ab"), (2, 7, "abc")], "id long, project_id long, text string")
+    assert {r["chunk_rowid"]: r["failed"] for r in E.embed(rows, E.HttpEmbedder(base, "m"), 1).collect()} == {1: None, 2: None}
+    server.shutdown()
+    with pytest.raises(E.RequestError):
+        E.call(E.HttpEmbedder("http://127.0.0.1:9", "m"), ["a"], attempts=1)
+    assert E.wait_seconds("7") == 7 and E.wait_seconds("Thu, 01 Jan 1970 00:01:00 GMT", 50.0) == 10 and E.wait_seconds("soon") is None
