@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.operators.authority import UNCITED
+from tesserine.operators.ordered import ordered, with_rank
 
 #: Latency percentiles rest on so many of the latest samples.
 LATENCY_WINDOW = 4096
@@ -62,12 +63,13 @@ def latency_percentiles(samples: DataFrame, label: str, at: str, value: str, win
 def client_percentiles(samples: DataFrame, label: str, value: str) -> DataFrame:
     """(label, n, mean, p50, p95, max) by the other common rule: the sample at index round(p (n - 1)) in order.
 
-    Two window passes number the samples; no list of a label's samples is built."""
+    The samples are put in order over ranges of (label, value), so a label with a third of them is no single task."""
     rows = samples.where(F.col(value).isNotNull()).select(F.col(label).alias("label"), F.col(value).alias("value"))
-    group = Window.partitionBy("label")
-    numbered = rows.withColumn("_i", F.row_number().over(group.orderBy("value")) - 1).withColumn("_n", F.count("*").over(group))
-    at = lambda p: F.max(F.when(F.col("_i") == F.bround(F.lit(p) * (F.col("_n") - 1)), F.col("value")))
-    return numbered.groupBy("label").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("max"))
+    numbered = with_rank(ordered(rows, ["label"], [F.col("value")], "samples"), ["label"])
+    totals = numbered.groupBy("label").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    at = lambda p: F.max(F.when(F.col("rank") - 1 == F.bround(F.lit(p) * (F.col("n") - 1)), F.col("value")))
+    picked = numbered.join(totals.select("label", "n"), "label").groupBy("label").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return totals.join(picked, "label").select("label", "n", "mean", "p50", "p95", "max")
 
 
 def throughput(batches: DataFrame) -> DataFrame:
@@ -97,7 +99,6 @@ def sample_fixture(chunks: DataFrame, n: int, clip_bytes: int) -> DataFrame:
     """Every k-th chunk in id order, n of them at most, with texts clipped to whole characters: a sampling operator for
     benchmarks. Positions come from a range sort, not from one task."""
     from tesserine.functions.text import truncate_utf8
-    from tesserine.operators.ordered import ordered, with_rank
 
     rows = with_rank(ordered(chunks.select("chunk_id", "project_id", "text"), [], [F.col("chunk_id")], "fixture"), [])
     step = max(1, rows.count() // max(1, n))
