@@ -6,6 +6,7 @@ Every call reads the latest published generation and either publishes the next o
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import time
 import tomllib
@@ -99,7 +100,7 @@ class Engine:
         ship_package(spark)
         self.spark, self.store, self.plugins, self.clock = spark, ChunkStore(spark, folder), plugins, clock
         self.sessions: dict[str, PushSession] = {}
-        self._indexed: tuple[str, str] | None = None
+        self._indexed: tuple[dict[str, list[str]], str] | None = None
 
     # -- projects
 
@@ -130,7 +131,7 @@ class Engine:
             seen, unreadable = seen.unionByName(placed(more)), unreadable.unionByName(placed(bad))
         scope = None if paths is None else self.spark.createDataFrame([(row["id"], p) for p in paths], "project_id long, scope string")
         bad = unreadable.select(F.lit(row["id"]).cast("long").alias("project_id"), "path")
-        before = self.store.table("files").where(F.col("project_id") == row["id"]).select("path")
+        before = self.store.table("files", project=row["id"]).select("path")
         counts = self.store.index(
             row["id"], seen.select("path", "content"), int(self.clock()), override, scope, bad, profiled=settings.profile is not None and settings.behavior != "off",
             plugins=tuple(p for p in self.plugins if p.name in settings.plugins))
@@ -163,20 +164,19 @@ class Engine:
         c = self.store.current()
         sources = seen.select(F.lit(project_id).cast("long").alias("project_id"), "path", F.col("content").cast("string").alias("text"))
         decided = authority.active_decisions(authority.resolve(authority.decision_entries(sources)))
-        known = self.store.table("decisions", c)
-        mine = known.where(F.col("project_id") == project_id)
+        mine = self.store.table("decisions", c, project_id)
         if not _decision_files(unreadable).isEmpty():
             decided = decided.union(mine).distinct()
-        chunks = self.store.table("chunks", c)
-        tiers = authority.recompute(chunks.where(F.col("project_id") == project_id), self.store.table("projects", c), decided)
+        chunks = self.store.table("chunks", c, project_id)
+        tiers = authority.recompute(chunks, self.store.table("projects", c), decided)
         changed = tiers.where("changed").select("id", F.col("tier").alias("_tier"), F.col("demotion").alias("_demotion"), F.lit(True).alias("_hit"))
         out = {}
         if not authority.same_decisions(decided, mine):
-            out["decisions"] = known.where(F.col("project_id") != project_id).unionByName(decided)
+            out["decisions"] = {project_id: decided}
         if not changed.isEmpty():
             put = lambda new, old: F.when(F.col("_hit"), F.col(new)).otherwise(F.col(old))
             joined = chunks.join(changed, "id", "left")
-            out["chunks"] = joined.withColumn("effective_tier", put("_tier", "effective_tier")).withColumn("demotion", put("_demotion", "demotion")).select(*chunks.columns)
+            out["chunks"] = {project_id: joined.withColumn("effective_tier", put("_tier", "effective_tier")).withColumn("demotion", put("_demotion", "demotion")).select(*chunks.columns)}
         if out:
             self.store.publish(c, out)
         return bool(out)
@@ -222,7 +222,7 @@ class Engine:
         summed = indexing.manifest_checksum(m).first()
         if (summed["checksum"] if summed else hashlib.sha256(b"").hexdigest()) != checksum:
             raise ValueError("checksum mismatch")
-        stored = self.store.table("files").where(F.col("project_id") == s.project_id)
+        stored = self.store.table("files", project=s.project_id)
         stamped = m.withColumn("content_hash", F.concat(F.lit("s1-"), "content_hash"))
         need = {r["path"] for r in indexing.negotiate(stamped, stored).where("need").collect()}
         deletes = stored.join(m.select("project_id", "path"), ["project_id", "path"], "left_anti").count()
@@ -250,7 +250,7 @@ class Engine:
         if s.needed:
             raise ValueError(f"{len(s.needed)} files are outstanding")
         listing = self.spark.createDataFrame([(p, h) for p, h, _ in s.manifest], "path string, digest string")
-        stored = self.store.table("files").where(F.col("project_id") == s.project_id).select("path", F.col("content_hash").alias("_h"))
+        stored = self.store.table("files", project=s.project_id).select("path", F.col("content_hash").alias("_h"))
         rows = listing.join(stored, "path", "left")
         same = rows.where(F.col("_h") == F.concat(F.lit("s1-"), "digest")).select("path")
         fresh = rows.join(same, "path", "left_anti").select("path", "digest")
@@ -279,7 +279,9 @@ class Engine:
         good = made.where("failed is null").drop("failed")
         stored = good.count()
         if stored:
-            self.store.publish(c, {"chunk_vectors": indexing.store_vectors(self.store.table("chunk_vectors", c), good, self.store.table("chunks", c))})
+            # The backlog has no vectors yet, so they are added; what was stored stays where it is.
+            none = self.spark.createDataFrame([], good.schema)
+            self.store.publish(c, {}, added={"chunk_vectors": indexing.store_vectors(none, good, self.store.table("chunks", c))})
         return stored, poison(poisoned, made.where("failed is not null"), now)
 
     # -- reading
@@ -293,20 +295,24 @@ class Engine:
 
     def _full_text(self, commit: Commit) -> search.StoredIndex | None:
         """The full-text index of a generation's chunks. The first search after a pass brings it up to date: postings of
-        chunks that are gone go, those of new ones come, and all others are taken over."""
-        path = commit.tables.get("chunks")
-        if path is None:
+        chunks that are gone go, those of new ones come, and all others are taken over. Only the projects whose parts
+        changed are compared."""
+        parts = commit.tables.get("chunks")
+        if not parts:
             return None
-        folder = f"{self.store.folder}/index/{path.rsplit('/', 1)[-1]}"
+        folder = f"{self.store.folder}/index/{hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:32]}"
         if not self.store._fs.exists(self.store._path(f"{folder}/totals/_SUCCESS")):
             chunks = self.store.table("chunks", commit)
-            entries = search.postings(chunks)
             if self._indexed:
-                old = self.spark.read.schema(chunks.schema).parquet(self._indexed[0])
-                inserted, deleted = chunks.join(old.select("id"), "id", "left_anti"), old.join(chunks.select("id"), "id", "left_anti")
-                entries = search.maintain_postings(search.read_index(self.spark, self._indexed[1]).postings.drop("bucket"), inserted, deleted)
+                old_parts, old_folder = self._indexed
+                read = lambda held, other: self.spark.read.schema(chunks.schema).parquet(*paths) if (paths := [p for n, ps in held.items() for p in ps if other.get(n) != ps]) else chunks.limit(0)
+                new, old = read(parts, old_parts), read(old_parts, parts)
+                inserted, deleted = new.join(old.select("id"), "id", "left_anti"), old.join(new.select("id"), "id", "left_anti")
+                entries = search.maintain_postings(search.read_index(self.spark, old_folder).postings.drop("bucket"), inserted, deleted)
+            else:
+                entries = search.postings(chunks)
             search.write_index(entries, chunks, folder)
-        self._indexed = (path, folder)
+        self._indexed = (parts, folder)
         return search.read_index(self.spark, folder)
 
     def expand(self, project: str, prefix: str, context: int = 20) -> tuple[str, list]:
@@ -315,7 +321,7 @@ class Engine:
             raise ValueError("at least 8 hex digits")
         projects = self.store.table("projects")
         ident = resolve_project(projects, project)
-        kind, rows = search.lookup(self.store.table("chunks"), ident, prefix.lower())
+        kind, rows = search.lookup(self.store.table("chunks", project=ident), ident, prefix.lower())
         if kind != "found":
             return kind, [r["chunk_id"] for r in rows]
         r = rows[0]
@@ -330,12 +336,12 @@ class Engine:
     def files(self, project: str) -> DataFrame:
         """A project's files in path order."""
         ident = resolve_project(self.store.table("projects"), project)
-        return self.store.table("files").where(F.col("project_id") == ident).orderBy("path")
+        return self.store.table("files", project=ident).orderBy("path")
 
     def chunks(self, project: str, path: str) -> DataFrame:
         """The chunks of one file in the order in which they stand in it."""
         ident = resolve_project(self.store.table("projects"), project)
-        return self.store.table("chunks").where((F.col("project_id") == ident) & (F.col("path") == path)).orderBy("byte_start", "id")
+        return self.store.table("chunks", project=ident).where(F.col("path") == path).orderBy("byte_start", "id")
 
     def status(self) -> DataFrame:
         c = self.store.current()

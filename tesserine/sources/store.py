@@ -1,9 +1,10 @@
 """The store: Parquet tables under generations, published whole, with a fence against stale writers.
 
-Layout: `data/<table>/<id>` holds a version of a table, `commits/<generation>` one JSON record that names the version of
-every table, the writers' epochs, the schema version and the embedding fingerprint. A pass writes new versions of the
-tables it changes and then creates the next record; creation fails if the record exists, so of two writers of one
-generation one is refused, and readers see all of a pass or nothing. Unchanged tables are shared between generations.
+Layout: `data/<table>/<id>` holds files of a table, `commits/<generation>` one JSON record that names the parts of every
+table, the writers' epochs, the schema version and the embedding fingerprint. Tables of a project's data are parted by
+project: a pass writes new parts of its own project only, and removing a project just forgets its parts. A pass then creates
+the next record; creation fails if the record exists, so of two writers of one generation one is refused, and readers see
+all of a pass or nothing. Parts that did not change are shared between generations.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ TABLES = {
     "chunk_vectors": "chunk_rowid long, project_id long, dims int, vector array<float>",
     "decisions": "project_id long, id string",
 }
+#: Those that are parted by project, and how many additions a part may have before it is written anew.
+PARTED = ("files", "chunks", "chunk_vectors", "decisions")
+MAX_ADDITIONS = 16
 
 
 class StaleWriter(Exception):
@@ -36,7 +40,7 @@ class StaleWriter(Exception):
 class Commit:
     generation: int = 0
     schema_version: int = SCHEMA_VERSION
-    tables: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, str | dict[str, list[str]]] = field(default_factory=dict)
     epochs: dict[str, int] = field(default_factory=dict)
     fingerprint: dict | None = None
     next_project: int = 1
@@ -70,30 +74,64 @@ class ChunkStore:
             return c if c.schema_version == SCHEMA_VERSION else Commit(generation=c.generation)
         return Commit()
 
-    def table(self, name: str, commit: Commit | None = None) -> DataFrame:
+    def table(self, name: str, commit: Commit | None = None, project: int | None = None) -> DataFrame:
+        """A table, or one project's part of it."""
         c = commit or self.current()
-        if name not in c.tables:
+        held = c.tables.get(name)
+        if name in PARTED:
+            parts = held or {}
+            paths = [p for n, ps in sorted(parts.items()) if project is None or n == str(project) for p in ps]
+        else:
+            paths = [held] if held else []
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(c.tables[name])
-
-    def publish(self, base: Commit, changed: dict[str, DataFrame], epoch: tuple[str, int] | None = None, **meta) -> Commit:
+        return self.spark.read.schema(TABLES[name]).parquet(*paths)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = f"{self.folder}/data/{name}/{uuid.uuid4().hex}"
+        keys = [c for c in ("project_id", "path", "id") if c in df.columns]
+        rows = df.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", ")))
+        rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        if name in PARTED:
+            rows.withColumn("_part", F.col("project_id")).write.partitionBy("_part").parquet(path)
+        else:
+            rows.write.parquet(path)
+        return path
+
+    def _parts(self, path: str) -> dict[str, list[str]]:
+        folders = [s.getPath() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        return {f.getName().partition("=")[2]: [f.toString()] for f in folders if f.getName().startswith("_part=")}
+
+    def publish(self, base: Commit, changed: dict[str, DataFrame | dict[int, DataFrame | None]], epoch: tuple[str, int] | None = None, added: dict[str, DataFrame] | None = None, **meta) -> Commit:
         """Write the changed tables and publish the generation after `base`.
 
-        epoch: (project key, epoch) of the writer; refused if the store knows a later one. Files of a version are sorted
-        by project and path, so that reads of one project or prefix skip the rest."""
+        changed: a whole table, or for tables parted by project new parts by project (None: no part). added: rows that
+        come to a table's parts. epoch: (project key, epoch) of the writer; refused if the store knows a later one. Files
+        are sorted by project and path, so that reads of one prefix skip the rest."""
         if epoch is not None and base.epochs.get(epoch[0], 0) > epoch[1]:
             raise StaleWriter(f"epoch {epoch[1]} of {epoch[0]} is over")
         tables = dict(base.tables)
-        for name, df in changed.items():
-            path = f"{self.folder}/data/{name}/{uuid.uuid4().hex}"
-            keys = [c for c in ("project_id", "path", "id") if c in df.columns]
-            rows = df.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in TABLES[name].split(", ")))
-            rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
-            tables[name] = path
+        for name, new in changed.items():
+            if isinstance(new, DataFrame):
+                path = self._write(name, new)
+                tables[name] = self._parts(path) if name in PARTED else path
+                continue
+            parts = {n: ps for n, ps in tables.get(name, {}).items() if int(n) not in new}
+            for df in new.values():
+                parts |= self._parts(self._write(name, df)) if df is not None else {}
+            tables[name] = parts
+        for name, rows in (added or {}).items():
+            parts = dict(tables.get(name, {}))
+            for n, ps in self._parts(self._write(name, rows)).items():
+                ps = [*parts.get(n, []), *ps]
+                if len(ps) > MAX_ADDITIONS:
+                    ps = self._parts(self._write(name, self.spark.read.schema(TABLES[name]).parquet(*ps)))[n]
+                parts[n] = ps
+            tables[name] = parts
         epochs = dict(base.epochs) | ({epoch[0]: epoch[1]} if epoch else {})
-        new = Commit(**(asdict(base) | {"generation": base.generation + 1, "tables": tables, "epochs": epochs} | meta))
-        self._create(f"{self.folder}/commits/{new.generation:010d}.json", json.dumps(asdict(new)))
-        return new
+        new_commit = Commit(**(asdict(base) | {"generation": base.generation + 1, "tables": tables, "epochs": epochs} | meta))
+        self._create(f"{self.folder}/commits/{new_commit.generation:010d}.json", json.dumps(asdict(new_commit)))
+        return new_commit
 
     def _create(self, path: str, text: str) -> None:
         """Creates a file that must not exist: of two writers the file system lets one through. A record is a few hundred
@@ -139,8 +177,8 @@ class ChunkStore:
     def remove(self, project_id: int) -> None:
         """Remove a project with its chunks, vectors, files and decisions."""
         c = self.current()
-        keep = {n: self.table(n, c).where(F.col("project_id") != project_id) for n in ("files", "chunks", "chunk_vectors", "decisions")}
-        self.publish(c, {**keep, "projects": self.table("projects", c).where(F.col("id") != project_id)})
+        gone = {n: {project_id: None} for n in PARTED}
+        self.publish(c, {**gone, "projects": self.table("projects", c).where(F.col("id") != project_id)})
 
     def apply_projects(self, wanted: list[dict]) -> None:
         """Make the projects those of a list (root, name, kind): others are removed, known roots keep id and key."""
@@ -158,9 +196,9 @@ class ChunkStore:
                 keys.add(key)
             out.append((ident, r["root"], r["name"], key, r["kind"], r["authority_profile"], r["authority_behavior"], r["created_at"]))
         table = self.spark.createDataFrame(out, TABLES["projects"])
-        ids = table.select(F.col("id").alias("project_id"))
-        keep = {n: self.table(n, c).join(ids, "project_id", "left_semi") for n in ("files", "chunks", "chunk_vectors", "decisions")}
-        self.publish(c, {**keep, "projects": table}, next_project=nxt)
+        ids = {r[0] for r in out}
+        gone = {n: {int(p): None for p in c.tables.get(n, {}) if int(p) not in ids} for n in PARTED}
+        self.publish(c, {**gone, "projects": table}, next_project=nxt)
 
     def set_profile(self, project_id: int, profile: str | None, behavior: str | None) -> bool:
         """Set a project's authority profile; whether anything changed. Nothing is written if not."""
@@ -176,8 +214,8 @@ class ChunkStore:
 
     def set_source_time(self, project_id: int, path: str, source_ts: int) -> None:
         c = self.current()
-        hit = (F.col("project_id") == project_id) & (F.col("path") == path)
-        self.publish(c, {"files": self.table("files", c).withColumn("source_ts", F.when(hit, F.lit(source_ts)).otherwise(F.col("source_ts")))})
+        mine = self.table("files", c, project_id)
+        self.publish(c, {"files": {project_id: mine.withColumn("source_ts", F.when(F.col("path") == path, F.lit(source_ts)).otherwise(F.col("source_ts")))}})
 
     # -- indexing
 
@@ -192,8 +230,7 @@ class ChunkStore:
         from tesserine.sources.durable import keep
 
         c = self.current()
-        files, chunks = self.table("files", c), self.table("chunks", c)
-        mine = files.where(F.col("project_id") == project_id)
+        mine, chunks = self.table("files", c, project_id), self.table("chunks", c, project_id)
         seen = observed.select(F.lit(project_id).cast("long").alias("project_id"), "path", "content", F.concat(F.lit("s1-"), F.sha2("content", 256)).alias("content_hash"))
         seen = keep(seen, "observed")  # stamps and chunks must come from one reading of the files
         listed = seen.select("project_id", "path", "content_hash")
@@ -215,16 +252,17 @@ class ChunkStore:
         written = replace_chunks(chunks, made.join(numbered.select("project_id", "chunk_id", "id", "effective_tier", "demotion"), ["project_id", "chunk_id"], "left"), touched)
         table = remove_files(written.table, gone)
         table = keep(table, "chunk-table")
-        others = files.join(touched.union(gone), ["project_id", "path"], "left_anti")
+        others = mine.join(touched.union(gone), ["project_id", "path"], "left_anti")
         stamped = state.join(touched, ["project_id", "path"], "left_semi").select("project_id", "path", F.col("stamp").alias("content_hash"), F.lit(now).cast("long").alias("indexed_at"), F.lit(None).cast("long").alias("source_ts"))
         live = table.select(F.col("id").alias("chunk_rowid"))
-        vectors = self.table("chunk_vectors", c).join(live, "chunk_rowid", "left_semi")
-        self.publish(c, {"files": others.unionByName(stamped), "chunks": table, "chunk_vectors": vectors}, epoch, next_chunk=c.next_chunk + made.count())
+        vectors = self.table("chunk_vectors", c, project_id).join(live, "chunk_rowid", "left_semi")
+        parts = {"files": others.unionByName(stamped), "chunks": table, "chunk_vectors": vectors}
+        self.publish(c, {n: {project_id: df} for n, df in parts.items()}, epoch, next_chunk=c.next_chunk + made.count())
         return counts
 
     def index_listing(self, project_id: int, sent: DataFrame, same: DataFrame, now: int, override: bool, epoch: tuple[str, int]) -> dict[str, int]:
         """As index, for a pushed listing: `sent` (path, content) came with it, `same` (path) are unchanged and did not."""
-        stored = self.table("files").where(F.col("project_id") == project_id)
+        stored = self.table("files", project=project_id)
         kept = stored.join(same.select("path").distinct(), "path", "left_semi").select("project_id", "path", "content_hash")
         return self.index(project_id, sent, now, override, epoch=epoch, unchanged=kept)
 

@@ -123,3 +123,44 @@ def test_push(spark, tmp_path):
     now[0] += 31
     with pytest.raises(StaleWriter):
         e.renew(t)
+
+
+def test_a_pass_writes_its_own_project_alone(spark, tmp_path, monkeypatch):
+    from tesserine.sources import store as S
+
+    for name, text in (("one", "leases in one\n"), ("two", "leases in two\n"), ("three", "leases in three\n")):
+        write(tmp_path / name, {"a.txt": text, "b.txt": f"more of {name}\n"})
+    e = Engine(spark, f"file://{tmp_path}/store")
+    ids = [e.add(str(tmp_path / n), n.title()) for n in ("one", "two", "three")]
+    for n in ("one", "two", "three"):
+        e.index(n)
+    paths = lambda query: sorted((r["project_id"], r["path"]) for r in e.search(query)[0].collect())
+    assert paths("leases") == [(i, "a.txt") for i in ids]
+    before = e.store.current().tables
+    write(tmp_path / "one", {"a.txt": "claims in one\n"})
+    assert e.index("one")["changed"] == 1
+    after = e.store.current().tables
+    assert all(after[t][str(i)] == before[t][str(i)] for t in ("files", "chunks") for i in ids[1:]) and after["chunks"][str(ids[0])] != before["chunks"][str(ids[0])]
+    # The full-text index follows, by the postings of what came and went.
+    monkeypatch.setattr("tesserine.operators.search.postings", lambda chunks, real=__import__("tesserine.operators.search", fromlist=["x"]).postings: real(chunks.where("text like '%claims%'")))
+    assert paths("leases") == [(i, "a.txt") for i in ids[1:]] and paths("claims") == [(ids[0], "a.txt")] and paths("more") == [(i, "b.txt") for i in ids]
+    # Vectors are added to the parts; a part of many additions is written anew.
+    monkeypatch.setattr(S, "MAX_ADDITIONS", 2)
+    space = {"model": "m", "dims": 2}
+    counts = [e.embed(lambda texts: [[float(len(t)), 1.0] for t in texts], space, page=1)[0] for _ in range(7)]
+    assert counts == [1] * 6 + [0] and e.store.table("chunk_vectors").count() == 6
+    assert all(len(p) <= 2 for p in e.store.current().tables["chunk_vectors"].values())
+    e.remove("two")
+    left = e.store.current()
+    assert all(str(ids[1]) not in left.tables[t] for t in ("files", "chunks", "chunk_vectors")) and left.tables["chunks"][str(ids[2])] == before["chunks"][str(ids[2])]
+    assert e.store.table("chunk_vectors").count() == 4
+
+
+def test_lost_events_reach_all_projects(spark, tmp_path):
+    for n in ("one", "two"):
+        write(tmp_path / n, {"a.txt": f"text of {n}\n"})
+    e = Engine(spark, f"file://{tmp_path}/store")
+    ids = [e.add(str(tmp_path / n), n) for n in ("one", "two")]
+    work = C.coalesce(C.route(spark.createDataFrame([(None, None, "rescan", None), (ids[0], "a.txt", "modify", None)], C.EVENT_FIELDS)))
+    e.handle_changes(spark, work, 0)
+    assert e.store.table("files").count() == 2
