@@ -175,15 +175,18 @@ def train(chunks: DataFrame) -> dict[str, Model]:
     def count(batches):
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch, texts in text_batches(batches):
-            langs = batch.column(0).to_pylist()
-            for lang in set(langs):
-                some = [t for t, x in zip(texts, langs) if x == lang]
-                codes, _ = _trigrams(_bytes(some)[0])
-                styles, n, d = _habits(some)
-                at, size = n > 0, np.minimum(np.log2(np.maximum(n, 1)).round().astype(int), _SIZES - 1)
-                more = np.concatenate([styles.sum(axis=0), np.bincount(size[at], minlength=_SIZES), np.bincount(size[at], np.log(d[at] / n[at]), _SIZES)])
+            langs, of = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
+            b, ends = _bytes(["\n\n" + (t or "") for t in texts])  # every text begins anew
+            codes, at = _trigrams(b)
+            trigrams = np.bincount(of[np.searchsorted(ends, at, "right")] * CELLS + codes, minlength=len(langs) * CELLS).reshape(-1, CELLS)
+            styles, n, d = _habits(texts)
+            size = np.minimum(np.log2(np.maximum(n, 1)).round().astype(int), _SIZES - 1)
+            for i, lang in enumerate(langs.tolist()):
+                mine = of == i
+                some = mine & (n > 0)
+                more = np.concatenate([styles[mine].sum(axis=0), np.bincount(size[some], minlength=_SIZES), np.bincount(size[some], np.log(d[some] / n[some]), _SIZES)])
                 old = sums.get(lang, (np.zeros(CELLS, np.int64), np.zeros(habits)))
-                sums[lang] = old[0] + np.bincount(codes, minlength=CELLS), old[1] + more
+                sums[lang] = old[0] + trigrams[i], old[1] + more
         for lang, (trigrams, more) in sums.items():
             yield from rows([*(((lang, i), part) for i, part in enumerate(np.split(trigrams.astype(float), _CLASSES))), ((lang, _CLASSES), more)])
 
