@@ -52,8 +52,11 @@ def maintain_postings(index: DataFrame, inserted: DataFrame, deleted: DataFrame)
 
 
 #: Postings lie in so many folders by the first two letters of their term, so a term, or a prefix of two letters, is read
-#: from one of them. Within a folder they are spread over files by chunk, and sorted by term.
-BUCKETS, SPREAD = 64, 8
+#: from one of them. Within a folder they are spread over as many files as the session has shuffle partitions for it, and sorted by term.
+BUCKETS = 64
+
+
+_POSTINGS = "id long, project_id long, term string, weight double, length int, bucket int"
 
 
 @dataclass(frozen=True)
@@ -70,15 +73,18 @@ def _bucket(term: Column) -> Column:
 
 def write_index(entries: DataFrame, chunks: DataFrame, folder: str) -> None:
     """Store postings, as from `postings` or `maintain_postings`, of chunks (one row per id)."""
-    placed = entries.withColumn("bucket", _bucket(F.col("term"))).withColumn("_s", F.pmod("id", F.lit(SPREAD)))
+    spark = chunks.sparkSession
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    placed = entries.withColumn("bucket", _bucket(F.col("term"))).withColumn("_s", F.pmod("id", F.lit(spread)))
     placed.repartition("bucket", "_s").sortWithinPartitions("bucket", "term").drop("_s").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    length = sum((F.size(tokens(F.col(c))) for c in WEIGHTS), F.lit(0))
-    chunks.agg(F.count("*").alias("n"), F.avg(length).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    stored = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings")
+    tokens_of = stored.groupBy("id").agg(F.max("length").alias("length")).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("_l"))
+    totals = chunks.agg(F.count("*").alias("n")).crossJoin(tokens_of)  # one row each
+    totals.select("n", (F.col("_l") / F.greatest("n", F.lit(1))).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
 
 
 def read_index(spark: SparkSession, folder: str) -> StoredIndex:
-    kind = "id long, project_id long, term string, weight double, length int, bucket int"
-    return StoredIndex(spark.read.schema(kind).parquet(f"{folder}/postings"), spark.read.schema("n long, mean double").parquet(f"{folder}/totals"))
+    return StoredIndex(spark.read.schema(_POSTINGS).parquet(f"{folder}/postings"), spark.read.schema("n long, mean double").parquet(f"{folder}/totals"))
 
 
 def _stored_hits(index: StoredIndex, terms: list[Term]) -> DataFrame:
@@ -230,9 +236,10 @@ def rank_rows(fused: DataFrame, chunks: DataFrame, projects: DataFrame, limit: i
     page = collapse(scored, order) if collapse_windows else scored
     page = page.orderBy(*order).limit(clamp_limit(limit))
     page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    # Texts are read for the page alone.
-    texts = chunks.select("id", *(c for c in chunks.columns if c not in narrow)).join(F.broadcast(page.select("id")), "id", "left_semi").dropDuplicates(["id"])
-    return page.join(texts, "id")
+    # Texts are read for the page alone, which is at most MAX_LIMIT rows.
+    held = page.collect()
+    texts = chunks.select("id", *(c for c in chunks.columns if c not in narrow)).where(F.col("id").isin([r["id"] for r in held])).dropDuplicates(["id"])
+    return texts.join(F.broadcast(chunks.sparkSession.createDataFrame(held, page.schema)), "id")
 
 
 def result_rows(page: DataFrame) -> DataFrame:
@@ -269,7 +276,7 @@ def search(
     kind = "id long, score double, rank int"
     fused = fuse(*(spark.createDataFrame(a, kind) for a in arms))
     flags = spark.createDataFrame([(len(arms) < 2 or not arms[1], full)], "lexical_only boolean, at_depth boolean")
-    return result_rows(rank_rows(fused, chunks, projects, limit)), flags
+    return result_rows(rank_rows(fused, chunks, projects, limit)).orderBy("rank"), flags
 
 
 def _held(arm: DataFrame) -> list[tuple]:
