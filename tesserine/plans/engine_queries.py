@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from tesserine.functions import text as T
 from tesserine.functions.vectors import normalise, usable
 from tesserine.operators import chunking, evaluation, indexing, search, status
 from tesserine.operators.filters import SearchFilter, filter_chunks, resolve_projects
-from tesserine.plans.index_queries import _listings, _runs
+from tesserine.plans.index_queries import _LISTINGS, _SPACE, _listings, _runs, windows_sql
 from tesserine.plans.search_queries import stored_chunks
+from tesserine.sources import walk
 from tesserine.sources.durable import fresh_path, keep
 from tesserine.sources.embedding import due, latest_health, poison
 from tesserine.sources.store import ChunkStore
@@ -203,6 +206,58 @@ def fixture_sample(spark: SparkSession, sf: str) -> DataFrame:
     return status.sample_fixture(stored_chunks(spark, sf), 100, 80)
 
 
+def _document_tree(spark: SparkSession, sf: str) -> str:
+    """The documents as files of a tree, by the last digit of their ids some in ignored, hidden or foreign folders."""
+    root = fresh_path(spark, "tree").removeprefix("file://").removeprefix("file:")
+    digit, name = F.col("doc_id") % 10, F.col("doc_id").cast("string")
+    path = (
+        F.when(digit == 3, F.concat(F.lit("skip/"), name, F.lit(".txt"))).when(digit == 4, F.concat(F.lit("keep/"), name, F.lit(".log"))).when(digit == 5, F.concat(F.lit(".git/"), name))
+        .when(digit == 6, F.concat(F.lit("nested/"), name, F.lit(".txt"))).when(digit == 7, F.concat(F.lit(".hidden/"), name, F.lit(".txt")))
+        .otherwise(F.concat(F.lit("keep/a"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), name, F.lit(".txt"))))
+
+    def write(batches):
+        for b in batches:
+            for where, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                full = os.path.join(root, where)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(text)
+            yield b.select([0])
+
+    docs = table(spark, sf, "documents").where("text is not null").select(path.alias("path"), F.col("text").cast("binary").alias("text"))
+    docs.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    os.makedirs(os.path.join(root, "nested/.git"), exist_ok=True)
+    with open(os.path.join(root, ".gitignore"), "w", encoding="utf-8") as f:
+        f.write("skip/\n*.log\n!keep/*4.log\nkeep/*04.log\n")
+    return root
+
+
+def tree_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What a walk of the documents' tree comes to."""
+    seen, _ = walk.observe(spark, _document_tree(spark, sf))
+    return seen.where("path <> '.gitignore'").select("path", "size", "sha256")
+
+
+def tree_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for a few named paths, of which some are ignored or missing."""
+    seen, _ = walk.observe(spark, _document_tree(spark, sf), ["keep/a1", "keep/a3/", "skip", ".hidden", "nested", "keep/14.log", "keep/4.log", "none"])
+    return seen.select("path", "sha256")
+
+
+def index_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """What two passes over a project find, and what is stored after them: between them every seventh document goes, of the
+    others every fifth changes, and some come."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
+    store = ChunkStore(spark, fresh_path(spark, "passes"))
+    project = store.register("/srv/docs", "docs")
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("changed "), "text")).otherwise(F.col("text"))
+    passes = docs.where("doc_id % 11 <> 0"), docs.where("doc_id % 7 <> 0").withColumn("text", text)
+    found = [store.index(project, df.select("path", F.col("text").cast("binary").alias("content")), number) for number, df in enumerate(passes, 1)]
+    rows = [(n, state, c) for n, counts in enumerate(found, 1) for state, c in counts.items()]
+    rows += [(3, f"at {r['indexed_at']}", r["count"]) for r in store.table("files").groupBy("indexed_at").count().collect()]
+    return spark.createDataFrame(rows, "pass int, state string, files long")
+
+
 # --- events -----------------------------------------------------------------------------------------------------------------
 
 
@@ -303,7 +358,7 @@ QUERIES = {
         symbol_names, heading_paths, utf8_beginnings, reference_merges, id_prefixes, relative_paths, git_paths, vector_lengths, event_dates, file_languages,
         headings_found, code_chunks, vault_chunks, plugin_windows, filter_project, resolved_projects, prefix_lookups, page_limits, file_order, postings_maintained,
         chunks_replaced, files_removed, vectors_stored, manifest_checksums, registry_steps, fixture_sample, change_routes, change_work, rescan_spread,
-        containing_roots, embed_due, poison_list, latest_states, tool_times, run_throughput, session_uptake, pooled_for_judging,
+        containing_roots, tree_files, tree_scope, index_passes, embed_due, poison_list, latest_states, tool_times, run_throughput, session_uptake, pooled_for_judging,
     )
 }
 
@@ -396,3 +451,40 @@ select v.session, count(*) as returned, count(*) filter (where seen > shown) as
 done as (select distinct query_id, chunk_rowid from s where tier >= 1 and chunk_rowid % 4 = chunk_rowid % 5)
 select query_id, 'c/' || chunk_rowid as path, sha256((chunk_rowid % 5)::varchar) as content_hash from top anti join done using (query_id, chunk_rowid)""",
 }
+
+SQL |= {
+    "registry_steps": """with r as (select root, name, kind, row_number() over (order by id) as n from projects)
+select case when n = 1 then 61 else n end as id, root, name, kind, case when n = 11 then 'lore-v1' end as authority_profile, case when n = 11 then 'rank' end as authority_behavior
+from r where n = 1 or (n > 10 and n <> 12)""",
+    "manifest_checksums": _LISTINGS + """select project_id * 1000 + snapshot_no as project_id,
+  sha256(string_agg(concat_ws(chr(0), path, h, length(path)::varchar), chr(10) order by path)) as checksum from b group by 1""",
+    "plugin_windows": windows_sql(20, 5) + """select 'd/' || doc_id || '.note' as path, count(*) as windows, min(a + length(lead) - length(replace(lead, chr(10), '')))::int as first_line,
+  max(a + length(lead) - length(replace(lead, chr(10), '')) + length(body) - length(replace(body, chr(10), '')))::int as last_line from trimmed where body <> '' group by doc_id""",
+    "vault_chunks": f"""select 'd/' || doc_id || '.md' as path, case doc_id % 5 when 0 then 'decided' when 1 then 'leaning' when 2 then 'exploration' when 3 then 'deprecated' end as design_status,
+  case doc_id % 5 when 0 then 3 when 1 then 2 when 3 then 0 else 1 end as authority_tier, 'D-0001,D-0002' as refs from documents where not regexp_full_match(text, '{_SPACE}*')""",
+    "headings_found": rf"""
+with recursive lines as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null),
+marked as (select doc_id, n, regexp_replace(raw, '^{_SPACE}+', '') as line, regexp_extract(regexp_replace(raw, '^{_SPACE}+', ''), '^(`+|~+|#+)') as run from lines),
+read as (select doc_id, n, left(run, 1) as mark, length(run) as k, substr(line, length(run) + 1) as rest, regexp_full_match(substr(line, length(run) + 1), '{_SPACE}*') as bare from marked),
+walk(doc_id, n, fence, width, level, rest) as (
+  select distinct doc_id, 0::bigint, '', 0::bigint, 0::bigint, '' from read
+  union all
+  select r.doc_id, r.n::bigint, case when w.fence <> '' then case when r.mark = w.fence and r.k >= w.width and r.bare then '' else w.fence end when r.mark in ('`', '~') and r.k >= 3 then r.mark else '' end,
+    case when w.fence <> '' then w.width when r.mark in ('`', '~') then r.k else 0 end::bigint,
+    case when w.fence = '' and r.mark = '#' and r.k <= 6 and (r.bare or left(r.rest, 1) in (' ', chr(9))) then r.k else 0 end::bigint, r.rest
+  from walk w join read r on r.doc_id = w.doc_id and r.n = w.n + 1)
+select doc_id, (row_number() over (partition by doc_id order by n))::int as place, level::int as level,
+  regexp_replace(regexp_replace(regexp_replace(rest, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '(?:^|[ \t]+)#+$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as title from walk where level > 0""",
+}
+
+_TREE = """t as (select doc_id, text, case doc_id % 10 when 4 then 'keep/' || doc_id || '.log' when 7 then '.hidden/' || doc_id || '.txt' else 'keep/a' || doc_id % 7 || '/' || doc_id || '.txt' end as path
+  from documents where text is not null and doc_id % 10 not in (3, 5, 6) and not (doc_id % 10 = 4 and doc_id % 100 = 4 and doc_id >= 100))"""
+
+SQL |= {
+    "tree_files": f"with {_TREE} select path, strlen(text) as size, sha256(text) as sha256 from t",
+    "tree_scope": f"with {_TREE} select path, sha256(text) as sha256 from t where starts_with(path, 'keep/a1/') or starts_with(path, 'keep/a3/') or starts_with(path, '.hidden/') or path in ('keep/14.log', 'keep/4.log')",
+    "index_passes": """with d as (select doc_id, doc_id % 11 <> 0 as old, doc_id % 7 <> 0 as now, doc_id % 5 = 0 as other from documents where text is not null),
+s as (select 1 as pass, 'new' as state from d where old union all select 2, case when not old then 'new' when not now then 'deleted' when other then 'changed' else 'unchanged' end from d where old or now
+  union all select 3, case when old and not other then 'at 1' else 'at 2' end from d where now)
+select pass, state, count(*) as files from s group by 1, 2""",
+}

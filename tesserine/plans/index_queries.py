@@ -307,20 +307,26 @@ tiers as (select id, project_id, path, effective_tier, demotion as old, case whe
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-SQL |= {
-    "window_chunks": rf"""
-with recursive docs as (select doc_id, text, string_split(text, chr(10)) as l from documents where text <> '' and strlen(text) <= 2097152 and not contains(left(text, 8192), chr(0))),
+
+
+def windows_sql(lines: int = 80, overlap: int = 10) -> str:
+    """CTEs that end in trimmed (doc_id, i, a, begin, lead, body): the line windows of the documents."""
+    return rf"""with recursive docs as (select doc_id, text, string_split(text, chr(10)) as l from documents where text <> '' and strlen(text) <= 2097152 and not contains(left(text, 8192), chr(0))),
 files as (select doc_id, l, len(l) - case when len(l) > 1 and l[-1] = '' then 1 else 0 end as n, strlen(text) as size, list_transform(l, lambda x: strlen(x) + 1) as w
   from docs where list_max(list_transform(l, lambda x: strlen(x))) <= 4096),
 ends as (select doc_id, l, n, list_transform(range(1, n + 1), lambda i: least(list_sum(list_slice(w, 1, i::bigint)), size)::bigint) as e from files),
 cut(doc_id, i, a, b) as (
-  select doc_id, 0, 1::bigint, greatest(1, len(list_filter(list_slice(e, 1, least(n, 80)), lambda x: x <= 8000)))::bigint from ends
+  select doc_id, 0, 1::bigint, greatest(1, len(list_filter(list_slice(e, 1, least(n, {lines})), lambda x: x <= 8000)))::bigint from ends
   union all
-  select doc_id, i, a, greatest(a, a - 1 + len(list_filter(list_slice(e, a, least(n, a + 79)), lambda x: x - case when a > 1 then e[a - 1] else 0 end <= 8000)))::bigint
-  from (select c.doc_id, c.i + 1 as i, greatest(c.a + 1, c.b + 1 - 10) as a, x.e, x.n from cut c join ends x using (doc_id) where c.b < x.n)),
+  select doc_id, i, a, greatest(a, a - 1 + len(list_filter(list_slice(e, a, least(n, a + {lines} - 1)), lambda x: x - case when a > 1 then e[a - 1] else 0 end <= 8000)))::bigint
+  from (select c.doc_id, c.i + 1 as i, greatest(c.a + 1, c.b + 1 - {overlap}) as a, x.e, x.n from cut c join ends x using (doc_id) where c.b < x.n)),
 spans as (select doc_id, i, a, case when a > 1 then e[a - 1] else 0 end as begin, array_to_string(list_slice(l, a, b), chr(10)) as t from cut join ends using (doc_id)),
 trimmed as (select *, regexp_extract(t, '^{_SPACE}*') as lead, regexp_replace(regexp_replace(t, '^{_SPACE}+', ''), '{_SPACE}+$', '') as body from spans)
-select 'd/' || doc_id || '.txt' as path, 'win:' || i as anchor, sha256('d/' || doc_id || '.txt' || chr(0) || 'win:' || i || chr(0) || body) as chunk_id,
+"""
+
+
+SQL |= {
+    "window_chunks": windows_sql() + """select 'd/' || doc_id || '.txt' as path, 'win:' || i as anchor, sha256('d/' || doc_id || '.txt' || chr(0) || 'win:' || i || chr(0) || body) as chunk_id,
   (begin + strlen(lead))::int as byte_start, (begin + strlen(lead) + strlen(body))::int as byte_end, (a + length(lead) - length(replace(lead, chr(10), '')))::int as line_start,
   (a + length(lead) - length(replace(lead, chr(10), '')) + length(body) - length(replace(body, chr(10), '')))::int as line_end from trimmed where body <> ''""",
     "ledger_decisions": _DECISIONS + "select project_id, 'd/' || doc_id || '/0_Canon/DECISIONS.md' as path, id, accepted, false as excluded, null::varchar as violation from entries",
