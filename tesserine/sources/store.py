@@ -181,8 +181,10 @@ class ChunkStore:
         self.publish(c, {**gone, "projects": self.table("projects", c).where(F.col("id") != project_id)})
 
     def apply_projects(self, wanted: list[dict]) -> None:
-        """Make the projects those of a list (root, name, kind): others are removed, known roots keep id and key."""
+        """Make the projects those of a list (root, name, kind, and a key for new ones, if it is free): others are removed,
+        known roots keep id and key."""
         rows = self.spark.createDataFrame([(w["root"], w["name"], w.get("kind", "repo"), i) for i, w in enumerate(wanted)], "root string, name string, kind string, n int")
+        asked = {w["root"]: w["key"] for w in reversed(wanted) if w.get("key")}
         c = self.current()
         known = self.table("projects", c)
         repaired = repair_names(rows)
@@ -192,7 +194,7 @@ class ChunkStore:
             ident, key = r["id"], r["project_key"]
             if ident is None:
                 ident, nxt = nxt, nxt + 1
-                key = _unused(_slug(r["name"]), keys)
+                key = _unused(asked.get(r["root"]) or _slug(r["name"]), keys)
                 keys.add(key)
             out.append((ident, r["root"], r["name"], key, r["kind"], r["authority_profile"], r["authority_behavior"], r["created_at"]))
         table = self.spark.createDataFrame(out, TABLES["projects"])

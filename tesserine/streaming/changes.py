@@ -7,6 +7,7 @@ one batch.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,27 @@ def run_stream(events: DataFrame, handle: Callable[[SparkSession, DataFrame, int
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def keep_running(start: Callable[[], StreamingQuery], attempts: int = 0, sleep: Callable[[float], None] = time.sleep, first: float = 1.0, cap: float = 60.0) -> int:
+    """Run a stream and start it again when it fails, after a wait that doubles with every failure in a row up to `cap`.
+
+    The checkpoint brings the interrupted batch again. Ends when the stream is stopped, or raises its error after
+    `attempts` failures in a row (0: never). A stream that has made a batch since its start counts as recovered. Returns the
+    number of restarts."""
+    restarts = failures = 0
+    while True:
+        query = None
+        try:
+            query = start()
+            query.awaitTermination()
+            return restarts
+        except Exception:
+            failures = 1 if query is not None and query.lastProgress else failures + 1
+            if attempts and failures >= attempts:
+                raise
+            sleep(min(cap, first * 2 ** (failures - 1)))
+            restarts += 1
+
+
 def tool_events(lines: DataFrame) -> DataFrame:
     """(tool, seconds, at) of an event log, one JSON object per line: uses of tools that have a beginning and an end."""
     parsed = lines.select(F.from_json("value", "tool string, started double, ended double").alias("e")).select("e.*")

@@ -238,3 +238,43 @@ def test_http_embedder(spark):
     with pytest.raises(E.RequestError):
         E.call(E.HttpEmbedder("http://127.0.0.1:9", "m"), ["a"], attempts=1)
     assert E.wait_seconds("7") == 7 and E.wait_seconds("Thu, 01 Jan 1970 00:01:00 GMT", 50.0) == 10 and E.wait_seconds("soon") is None
+
+
+def test_registry_file(spark, tmp_path):
+    from tesserine.sources.registry import Registry, parse_registry, render_registry
+    from tesserine.sources.store import ChunkStore
+
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    store.register("/a", "Alpha")
+    store.register("/b", 'Be"ta\\', "session")
+    registry, file = Registry(store), tmp_path / "store" / "projects.toml"
+    assert registry.reconcile().bootstrapped
+    held = parse_registry(file.read_text())
+    assert [(p["root"], p["name"], p["kind"], p["key"]) for p in held] == [("/a", "Alpha", "repo", "alpha"), ("/b", 'Be"ta\\', "session", "be-ta")]
+    file.write_text(render_registry([{**held[1], "name": "Beta"}, {"name": "beta", "root": "/c", "key": "third"}]))
+    done = registry.reconcile()
+    assert (done.bootstrapped, done.inserted, done.updated, done.removed) == (False, 1, 1, 1)
+    rows = {r["root"]: (r["id"], r["name"], r["project_key"]) for r in store.projects().collect()}
+    assert rows == {"/b": (2, "Beta", "be-ta"), "/c": (3, "beta (2)", "third")}
+    for bad in ("[[project]]\nname = 'x'\n", "[[project]]\nname = 'x'\nroot = '/x'\ncolour = 'red'\n", "[other]\n", "not toml", "[[project]]\nname = 'x'\nroot = '/x'\nkind = 'odd'\n"):
+        file.write_text(bad)
+        assert registry.reconcile().quarantined and file.with_suffix(".toml.damaged").read_text() == bad
+        assert len(parse_registry(file.read_text())) == 2 and store.projects().count() == 2
+
+
+def test_streams_start_again():
+    from tesserine.streaming import changes as C
+
+    class Query:
+        def __init__(self, fails, progress):
+            self.fails, self.lastProgress = fails, progress
+
+        def awaitTermination(self):
+            if self.fails:
+                raise RuntimeError("lost")
+
+    waits = []
+    runs = iter([Query(True, None), Query(True, None), Query(True, {"batchId": 4}), Query(True, None), Query(False, None)])
+    assert C.keep_running(lambda: next(runs), sleep=waits.append, first=1, cap=3) == 4 and waits == [1, 2, 1, 2]
+    with pytest.raises(RuntimeError):
+        C.keep_running(lambda: Query(True, None), attempts=3, sleep=waits.append)
