@@ -42,6 +42,8 @@ from tesserine.sources.durable import keep
 
 #: Bits that one range should hold, and how many bits beyond tau + 1 a text may choose its probes from: tau / _SLACK.
 _RANGE_BITS = 1 << 21
+#: Bits that so many sets of a block hold travel as one entry.
+_COMMON_SETS = 32
 _SLACK = 2
 CODE_WORDS = 4
 
@@ -156,9 +158,26 @@ def _expected_bits(texts: DataFrame) -> int:
     return (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 7
 
 
+def _holders(block: int, owner: np.ndarray) -> np.ndarray:
+    """A hash of each set of a block, by its number there."""
+    return mix(mix(np.array([block + 1], np.uint64)) + owner.astype(np.uint64))
+
+
+_ROW = "range int, block bigint, kind int, n int, payload binary"
+#: Kinds of rows: bits of single sets, bits that many sets of the block hold, and, for the block itself, its sets, how many
+#: sets hold each of its common bits, and which.
+_SINGLE, _COMMON, _SETS, _COUNTS, _OWNERS = range(5)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["range", "block", "kind", "n", "payload"])
+
+
 def _posted(records: DataFrame, words: int, min_words: int, ranges: int) -> DataFrame:
-    """(range, block, n, payload) of blocks of texts. n > 0: so many (bit, number of the set in its block) of one range
-    of bits. n < 0: the table of the block's sets, (set_key, size, distinct bits); it rides along with some range."""
+    """The bits of blocks of texts, by ranges of bits: (bit, number of the set in its block), and for a bit that _COMMON_SETS
+    sets of the block hold one entry with their number and the sum of their hashes, so that a bit of very many texts makes
+    an entry a block. What only the block itself needs afterwards rides along with some range."""
 
     def post(batches):
         task = TaskContext.get().partitionId()
@@ -177,52 +196,73 @@ def _posted(records: DataFrame, words: int, min_words: int, ranges: int) -> Data
             fresh = np.ones(len(codes), bool)
             fresh[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
             codes, owner = codes[fresh], owner[fresh]
-            where = ((codes >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
             block = (task << 32) | number
-            rows = [(int(where[a]), block, int(z - a), _pack((np.diff(codes[a:z], prepend=np.uint64(0)), 6), (owner[a:z], 4))) for a, z in zip(edges, edges[1:])]
             distinct = np.bincount(owner, minlength=len(at))
-            rows.append((block % ranges, block, -len(at), _pack((key[at], 8), (size[at], 4), (distinct, 4))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["range", "block", "n", "payload"])
-
-    return records.select("text").mapInArrow(post, "range int, block bigint, n int, payload binary")
+            own = (block % ranges, block)
+            rows = [(*own, _SETS, len(at), _pack((key[at], 8), (size[at], 4), (distinct, 4)))]
+            heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            count = np.diff(np.append(heads, len(codes)))
+            hot = count >= _COMMON_SETS
+            if hot.any():
+                many = np.repeat(hot, count)
+                sums = np.add.reduceat(_holders(block, owner), heads)[hot]
+                rows.append((*own, _COUNTS, int(hot.sum()), _pack((count[hot], 4))))
+                rows.append((*own, _OWNERS, int(many.sum()), _pack((owner[many], 4))))
+                common, count = codes[heads[hot]], count[hot]
+                for r, a, z in _by_range(common, ranges):
+                    rows.append((r, block, _COMMON, z - a, _pack((np.diff(common[a:z], prepend=np.uint64(0)), 6), (count[a:z], 4), (sums[a:z], 8), (np.arange(a, z), 4))))
+                codes, owner = codes[~many], owner[~many]
+            for r, a, z in _by_range(codes, ranges):
+                rows.append((r, block, _SINGLE, z - a, _pack((np.diff(codes[a:z], prepend=np.uint64(0)), 6), (owner[a:z], 4))))
+            yield _rows(rows)
+
+    return records.select("text").mapInArrow(post, _ROW)
+
+
+def _by_range(codes: np.ndarray, ranges: int):
+    """(range, begin, end) of the stretches of sorted codes that fall into one range."""
+    where = ((codes >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]).tolist()
+    return [(int(where[a]), a, z) for a, z in zip(edges, edges[1:])] if len(codes) else []
 
 
 def _held_by_others(batches):
-    """For the rows of _posted of one range: (block, n, payload) with the bits that several sets hold, as (set number,
-    level and signature of the holders, number of such bits). The tables of sets pass through."""
-    blocks, codes, owners = [], [], []
-
-    def row(block, n, payload):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int32()), pa.array([payload], pa.binary())], ["block", "n", "payload"])
-
+    """For the rows of _posted of one range: the bits that several sets hold, as (set number, level and signature of the
+    holders, number of such bits) or, for common ones, (number of the bit, level, signature). Other rows pass through."""
+    blocks, kinds, codes, named, counts, sums = [], [], [], [], [], []
     for b in batches:
-        for block, n, payload in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-            if n < 0:
-                yield row(block, n, payload)
+        for r, block, kind, n, payload in zip(*(c.to_pylist() for c in b.columns)):
+            if kind == _SINGLE:
+                deltas, name = _unpack(payload, n, 6, 4)
+                count, total = np.ones(n, np.int64), _holders(block, name)
+            elif kind == _COMMON:
+                deltas, count, total, name = _unpack(payload, n, 6, 4, 8, 4)
             else:
-                deltas, owner = _unpack(payload, n, 6, 4)
-                blocks.append(block)
-                codes.append(np.cumsum(deltas, dtype=np.uint64))
-                owners.append(owner)
+                yield _rows([(r, block, kind, n, payload)])
+                continue
+            for held, x in ((blocks, block), (kinds, kind), (codes, np.cumsum(deltas, dtype=np.uint64)), (named, name.astype(np.int64)), (counts, count.astype(np.int64)), (sums, total)):
+                held.append(x)
     if not blocks:
         return
     sizes = np.array([len(c) for c in codes])
-    code, owner, block = np.concatenate(codes), np.concatenate(owners), np.repeat(np.array(blocks, np.uint64), sizes)
+    code = np.concatenate(codes)
     order = np.argsort(code, kind="stable")
-    fresh = np.ones(len(code), bool)
-    fresh[1:] = code[order][1:] != code[order][:-1]
-    heads = np.flatnonzero(fresh)
-    count = np.diff(np.append(heads, len(code)))
-    holder = mix(mix(block + np.uint64(1)) + owner)[order]
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
+    times = np.diff(np.append(heads, len(code)))
+    count = np.add.reduceat(np.concatenate(counts)[order], heads)
     sign, level = np.empty(len(code), np.uint64), np.empty(len(code), np.int64)
-    sign[order] = np.repeat(np.add.reduceat(holder, heads), count)
-    level[order] = np.repeat(np.floor(4 * np.log2(count)).astype(np.int64), count)
-    for block, lo, hi in zip(blocks, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+    sign[order] = np.repeat(np.add.reduceat(np.concatenate(sums)[order], heads), times)
+    level[order] = np.repeat(np.floor(4 * np.log2(count)).astype(np.int64), times)
+    for block, kind, name, lo, hi in zip(blocks, kinds, named, np.cumsum(sizes) - sizes, np.cumsum(sizes)):
         at = lo + np.flatnonzero(level[lo:hi])
-        if len(at):
-            o, v, s, n = _collapsed(owner[at].astype(np.int64), level[at], sign[at], np.ones(len(at), np.int64))
-            yield row(block, len(o), _pack((o, 4), (v, 1), (s, 8), (n, 4)))
+        if not len(at):
+            continue
+        name = name[at - lo]
+        if kind == _COMMON:
+            yield _rows([(0, block, kind, len(at), _pack((name, 4), (level[at], 1), (sign[at], 8)))])
+        else:
+            o, v, s, n = _collapsed(name, level[at], sign[at], np.ones(len(at), np.int64))
+            yield _rows([(0, block, kind, len(o), _pack((o, 4), (v, 1), (s, 8), (n, 4)))])
 
 
 def _collapsed(owner, level, sign, n):
@@ -276,12 +316,20 @@ def probes(records: DataFrame, words: int, threshold: Fraction, min_words: int)
     spark = records.sparkSession
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_expected_bits(records) // _RANGE_BITS))
     posted = _posted(records, words, min_words, ranges).repartitionById(ranges, F.col("range"))
-    shared = posted.mapInArrow(_held_by_others, "block bigint, n int, payload binary")
+    shared = posted.mapInArrow(_held_by_others, _ROW)
 
     def decide(block):
-        key, size, distinct = _unpack(next(p for n, p in block if n < 0), -next(n for n, p in block if n < 0), 8, 4, 4)
+        get = lambda kind, *widths: [_unpack(p, n, *widths) for k, n, p in block if k == kind]
+        ((key, size, distinct),) = get(_SETS, 8, 4, 4)
         size, distinct = size.astype(np.int64), distinct.astype(np.int64)
-        parts = [_unpack(p, n, 4, 1, 8, 4) for n, p in block if n > 0]
+        parts = get(_SINGLE, 4, 1, 8, 4)
+        if common := get(_COMMON, 4, 1, 8):
+            name, v, s = (np.concatenate(x) for x in zip(*common))
+            ((counts,),), ((owners,),) = get(_COUNTS, 4), get(_OWNERS, 4)
+            counts, name = counts.astype(np.int64), name.astype(np.int64)
+            starts, times = np.concatenate([[0], np.cumsum(counts)]), counts[name]
+            mine = np.repeat(starts[name] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            parts.append([owners[mine], np.repeat(v, times), np.repeat(s, times), np.ones(len(mine), np.uint64)])
         if not parts:
             return
         o, v, s, n = (np.concatenate(x) for x in zip(*parts))
@@ -297,17 +345,17 @@ def probes(records: DataFrame, words: int, threshold: Fraction, min_words: int)
     def choose(batches):
         held, key = [], None
         for b in batches:
-            for block, n, payload in zip(*(c.to_pylist() for c in b.columns)):
+            for block, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if block != key:
                     if held:
                         yield from decide(held)
                     held, key = [], block
-                held.append((n, payload))
+                held.append(row)
         if held:
             yield from decide(held)
 
     kind = "sign bigint, class int, set_key bigint, size int, probe boolean"
-    return shared.repartition("block").sortWithinPartitions("block").mapInArrow(choose, kind)
+    return shared.select("block", "kind", "n", "payload").repartition("block").sortWithinPartitions("block").mapInArrow(choose, kind)
 
 
 def candidate_pairs(records: DataFrame, words: int, threshold: Fraction, min_words: int) -> DataFrame:

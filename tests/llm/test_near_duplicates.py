@@ -8,6 +8,7 @@ from fractions import Fraction
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesserine.llm import near_duplicates as N
 from tesserine.llm.words import hash_words, pieces
@@ -147,6 +148,23 @@ def test_candidates_stay_few_whatever_the_blocks_and_ranges(spark, monkeypatch):
     assert N.candidate_pairs(df, 3, t, 1).count() > 10 * plain
 
 
+def test_common_bits_travel_once_a_block(spark, monkeypatch):
+    rng = random.Random(8)
+    head = " ".join(f"licence{i}" for i in range(30))
+    rows = [(i, f"{head} " + " ".join(f"b{rng.randrange(400)}" for _ in range(12))) for i in range(300)] + [(1000 + i, " ".join(f"c{rng.randrange(900)}" for _ in range(30))) for i in range(100)]
+    rows += [(2000 + i, rows[i][1] + " tail") for i in range(15)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    truth = brute(rows, 3, "0.8", 1)
+    links = N.candidate_pairs(df, 3, Fraction("0.8"), 1).collect()
+    assert found(N.near_duplicate_pairs(df, 3, "0.8", 1)) == truth
+    entries = lambda kind: N._posted(df, 3, 1, 4).where(F.col("kind") == kind).agg(F.sum("n")).first()[0] or 0
+    few = entries(N._SINGLE) + entries(N._COMMON)
+    assert 56 <= entries(N._COMMON) <= 200
+    monkeypatch.setattr(N, "_COMMON_SETS", 1 << 30)
+    assert entries(N._COMMON) == 0 and entries(N._SINGLE) > few + 28 * 280  # what the licence costs otherwise
+    assert {tuple(sorted(r)) for r in N.candidate_pairs(df, 3, Fraction("0.8"), 1).collect()} == {tuple(sorted(r)) for r in links}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 14), min_size=1, max_size=14), min_size=2, max_size=14), st.sampled_from(["0.5", "0.6", "0.8", "1"]))
 def test_probes_lose_no_pair(lists, threshold):
