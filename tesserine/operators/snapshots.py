@@ -110,21 +110,23 @@ class SnapshotStore(Folder):
     def latest(self) -> DataFrame:
         return self.read("listings", self.names("listings")[-1:], self.schema)
 
-    def deliver(self, listing: DataFrame) -> DataFrame:
+    def deliver(self, listing: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         """Merge complete listings, one row per key, with the last ones of their groups, store them in their place, and
         return the changes (keys, change_type, changed_columns).
 
-        Groups that are not in the delivery stay as they are; a group's first listing yields no changes. A null means
-        the content of the listing before. A delivery that fails leaves the store as it was."""
+        groups: those that are delivered, as a listing may be empty; by default those that have rows. Groups that are not
+        in the delivery stay as they are; a group's first listing yields no changes. A null means the content of the
+        listing before. A delivery that fails leaves the store as it was."""
         group, listing = self.keys[0], listing.select(*self.keys, *self.columns)
-        delivered = listing.select(group).distinct()
-        before = self.latest()
+        delivered = (listing if groups is None else groups).select(group).distinct()
+        number, kind = len(self.names("listings")), self.schema.split(", ")[0]
+        before, seen = self.latest(), self.read("groups", self.names("groups")[:number][-1:], kind)
         old = before.join(delivered, group, "left_semi").select(*self.keys, *(F.col(c).alias(f"_{c}") for c in self.columns), F.lit(True).alias("_b"))
-        known = before.select(group).distinct().withColumn("_k", F.lit(True))
+        seen.union(delivered).distinct().write.mode("overwrite").parquet(f"{self.folder}/groups/{number:08d}")
+        known = seen.withColumn("_k", F.lit(True))
         both = keep(listing.withColumn("_a", F.lit(True)).join(old, self.keys, "full"), "merged")
         filled = both.where("_a").select(*self.keys, *(F.coalesce(c, f"_{c}").alias(c) for c in self.columns))
         rest = before.join(delivered, group, "left_anti")
-        number = len(self.names("listings"))
         filled.unionByName(rest).repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.folder}/listings/{number:08d}")
         changed = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in self.columns)))
         changed = F.when(F.col("_a") & F.col("_b"), changed).otherwise(F.array().cast("array<string>"))

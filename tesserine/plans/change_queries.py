@@ -24,11 +24,11 @@ def p5_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_delivered(spark: SparkSession, sf: str) -> DataFrame:
     """The changes of p5_found from complete listings that are delivered one after the other to a store."""
-    sequence = complete_sequence(table(spark, sf, "manifests"), "project_id", "snapshot_no", "is_complete")
-    listing = keep(file_listing(table(spark, sf, "file_snapshots")).join(sequence.select("project_id", "snapshot_no"), ["project_id", "snapshot_no"]), "complete-listings")
+    sequence = complete_sequence(table(spark, sf, "manifests"), "project_id", "snapshot_no", "is_complete").select("project_id", "snapshot_no")
+    listing = keep(file_listing(table(spark, sf, "file_snapshots")).join(sequence, ["project_id", "snapshot_no"]), "complete-listings")
     store = SnapshotStore(spark, fresh_path(spark, "snapshots"), "project_id bigint, path string", "content_hash string")
-    numbers = [r[0] for r in listing.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # of snapshots
-    out = [keep(store.deliver(listing.where(F.col("snapshot_no") == n)), "changes").withColumn("snapshot_no", F.lit(n)) for n in numbers]
+    numbers = [r[0] for r in sequence.select("snapshot_no").distinct().orderBy("snapshot_no").collect()]  # of snapshots
+    out = [keep(store.deliver(listing.where(F.col("snapshot_no") == n), sequence.where(F.col("snapshot_no") == n)), "changes").withColumn("snapshot_no", F.lit(n)) for n in numbers]
     return reduce(DataFrame.unionByName, out).select("project_id", "path", "snapshot_no", "change_type")
 
 

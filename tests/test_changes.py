@@ -83,6 +83,9 @@ def test_delivered_listings(spark, tmp_path):
     assert give((2, "a", None, None), (2, "b", None, None)) == [(2, "b", "added", [])]
     assert sorted((r["g"], r["k"], r["h"], r["n"]) for r in store.latest().collect()) == [(1, "a", "x", 3), (1, "c", "w", 9), (2, "a", "q", None), (2, "b", None, None), (3, "z", "z", 0)]
     assert give() == [] and store.latest().count() == 5
+    none, groups = spark.createDataFrame([], "g long, k string, h string, n int"), spark.createDataFrame([(3,), (4,)], "g long")
+    assert [(r["g"], r["k"], r["change_type"]) for r in store.deliver(none, groups).collect()] == [(3, "z", "removed")]
+    assert give((4, "a", "x", 1)) == [(4, "a", "added", [])]  # after an empty first listing
 
 
 ROWS = "k long, h string, at long, extra string"
