@@ -452,6 +452,23 @@ done as (select distinct query_id, chunk_rowid from s where tier >= 1 and chunk_
 select query_id, 'c/' || chunk_rowid as path, sha256((chunk_rowid % 5)::varchar) as content_hash from top anti join done using (query_id, chunk_rowid)""",
 }
 
+#: CTEs that end in headings (doc_id, n, place, level, title): the headings of the documents outside of fences.
+_HEADINGS = rf"""
+with recursive lines as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null),
+marked as (select doc_id, n, regexp_replace(raw, '^{_SPACE}+', '') as line, regexp_extract(regexp_replace(raw, '^{_SPACE}+', ''), '^(`+|~+|#+)') as run from lines),
+read as (select doc_id, n, left(run, 1) as mark, length(run) as k, substr(line, length(run) + 1) as rest, regexp_full_match(substr(line, length(run) + 1), '{_SPACE}*') as bare from marked),
+walk(doc_id, n, fence, width, level, rest) as (
+  select distinct doc_id, 0::bigint, '', 0::bigint, 0::bigint, '' from read
+  union all
+  select r.doc_id, r.n::bigint, case when w.fence <> '' then case when r.mark = w.fence and r.k >= w.width and r.bare then '' else w.fence end when r.mark in ('`', '~') and r.k >= 3 then r.mark else '' end,
+    case when w.fence <> '' then w.width when r.mark in ('`', '~') then r.k else 0 end::bigint,
+    case when w.fence = '' and r.mark = '#' and r.k <= 6 and (r.bare or left(r.rest, 1) in (' ', chr(9))) then r.k else 0 end::bigint, r.rest
+  from walk w join read r on r.doc_id = w.doc_id and r.n = w.n + 1),
+headings as (select doc_id, n, (row_number() over (partition by doc_id order by n))::int as place, level::int as level,
+  regexp_replace(regexp_replace(regexp_replace(rest, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '(?:^|[ \t]+)#+$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as title from walk where level > 0)
+"""
+
+
 SQL |= {
     "registry_steps": """with r as (select root, name, kind, row_number() over (order by id) as n from projects)
 select case when n = 1 then 61 else n end as id, root, name, kind, case when n = 11 then 'lore-v1' end as authority_profile, case when n = 11 then 'rank' end as authority_behavior
@@ -462,19 +479,7 @@ from r where n = 1 or (n > 10 and n <> 12)""",
   max(a + length(lead) - length(replace(lead, chr(10), '')) + length(body) - length(replace(body, chr(10), '')))::int as last_line from trimmed where body <> '' group by doc_id""",
     "vault_chunks": f"""select 'd/' || doc_id || '.md' as path, case doc_id % 5 when 0 then 'decided' when 1 then 'leaning' when 2 then 'exploration' when 3 then 'deprecated' end as design_status,
   case doc_id % 5 when 0 then 3 when 1 then 2 when 3 then 0 else 1 end as authority_tier, 'D-0001,D-0002' as refs from documents where not regexp_full_match(text, '{_SPACE}*')""",
-    "headings_found": rf"""
-with recursive lines as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as n from documents where text is not null),
-marked as (select doc_id, n, regexp_replace(raw, '^{_SPACE}+', '') as line, regexp_extract(regexp_replace(raw, '^{_SPACE}+', ''), '^(`+|~+|#+)') as run from lines),
-read as (select doc_id, n, left(run, 1) as mark, length(run) as k, substr(line, length(run) + 1) as rest, regexp_full_match(substr(line, length(run) + 1), '{_SPACE}*') as bare from marked),
-walk(doc_id, n, fence, width, level, rest) as (
-  select distinct doc_id, 0::bigint, '', 0::bigint, 0::bigint, '' from read
-  union all
-  select r.doc_id, r.n::bigint, case when w.fence <> '' then case when r.mark = w.fence and r.k >= w.width and r.bare then '' else w.fence end when r.mark in ('`', '~') and r.k >= 3 then r.mark else '' end,
-    case when w.fence <> '' then w.width when r.mark in ('`', '~') then r.k else 0 end::bigint,
-    case when w.fence = '' and r.mark = '#' and r.k <= 6 and (r.bare or left(r.rest, 1) in (' ', chr(9))) then r.k else 0 end::bigint, r.rest
-  from walk w join read r on r.doc_id = w.doc_id and r.n = w.n + 1)
-select doc_id, (row_number() over (partition by doc_id order by n))::int as place, level::int as level,
-  regexp_replace(regexp_replace(regexp_replace(rest, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '(?:^|[ \t]+)#+$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') as title from walk where level > 0""",
+    "headings_found": _HEADINGS + "select doc_id, place, level, title from headings",
 }
 
 _TREE = """t as (select doc_id, text, case doc_id % 10 when 4 then 'keep/' || doc_id || '.log' when 7 then '.hidden/' || doc_id || '.txt' else 'keep/a' || doc_id % 7 || '/' || doc_id || '.txt' end as path
@@ -488,3 +493,33 @@ s as (select 1 as pass, 'new' as state from d where old union all select 2, case
   union all select 3, case when old and not other then 'at 1' else 'at 2' end from d where now)
 select pass, state, count(*) as files from s group by 1, 2""",
 }
+
+SQL["markdown_chunks"] = _HEADINGS + rf""",
+d as (select doc_id, string_split(text, chr(10)) as l, strlen(text) as size from documents where text <> ''),
+f as (select doc_id, l, size, len(l) - case when len(l) > 1 and l[-1] = '' then 1 else 0 end as total, list_transform(l, lambda x: strlen(x) + 1) as w from d),
+e as (select doc_id, l, total, [0] || list_transform(range(1, total + 1), lambda i: least(list_sum(list_slice(w, 1, i::bigint)), size)::bigint) as e from f),
+h as (select h.*, x.total, x.l, lead(n) over g as next_line, lead(level) over g as next_level from headings h join e x using (doc_id) window g as (partition by h.doc_id order by n)),
+k as (select *, coalesce(next_level > level and strlen(regexp_replace(array_to_string(list_slice(l, n + 1, next_line - 1), chr(10)), '^{_SPACE}+|{_SPACE}+$', '', 'g')) < 24, false) as waits from h),
+c as (select *, coalesce(max(case when not waits then place end) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding), 0) + 1 as chain from k),
+spans as (select c.doc_id, c.place, case when c.chain < c.place then j.n + 1 else c.n end as a, coalesce(c.next_line - 1, c.total) as b,
+    (select list(t.title order by t.place) from k t where t.doc_id = c.doc_id and t.place < c.place and t.level < c.level
+       and not exists (select 1 from k u where u.doc_id = c.doc_id and u.place > t.place and u.place < c.place and u.level <= t.level)) as above, c.title
+  from c join c j on j.doc_id = c.doc_id and j.place = c.chain where not c.waits
+  union all select x.doc_id, 0, 1, coalesce(m.n - 1, x.total), null, null from e x left join (select doc_id, min(n) as n from headings group by 1) m using (doc_id)),
+texts as (select s.doc_id, s.place, s.a, x.e[s.a] as begin, case when s.place = 0 then [] else coalesce(s.above, []) || [s.title] end as path, array_to_string(list_slice(x.l, s.a, s.b), chr(10)) as t from spans s join e x using (doc_id)),
+bodies as (select *, regexp_extract(t, '^{_SPACE}*') as lead, regexp_replace(t, '^{_SPACE}+|{_SPACE}+$', '', 'g') as body from texts),
+whole as (select doc_id, place, path, body, begin + strlen(lead) as first, begin + strlen(lead) + strlen(body) as last, a + length(lead) - length(replace(lead, chr(10), '')) as line,
+  a + length(lead) - length(replace(lead, chr(10), '')) + length(body) - length(replace(body, chr(10), '')) as until from bodies where body <> ''),
+cut(doc_id, place, i, a, b) as (
+  select w.doc_id, place, 0, line, greatest(line, line - 1 + len(list_filter(list_slice(x.e, line + 1, until + 1), lambda y: y - x.e[line] <= 4000))) from whole w join e x using (doc_id) where strlen(body) > 4000
+  union all
+  select doc_id, place, i, a, greatest(a, a - 1 + len(list_filter(list_slice(e, a + 1, until + 1), lambda y: y - e[a] <= 4000)))
+  from (select c.doc_id, c.place, c.i + 1 as i, greatest(c.a + 1, c.b + 1 - 10) as a, w.until, x.e from cut c join whole w on w.doc_id = c.doc_id and w.place = c.place join e x on x.doc_id = c.doc_id where c.b < w.until)),
+pieces as (select w.doc_id, w.place, c.i, w.path || ['#w' || c.i] as path, greatest(x.e[c.a], w.first) as begin,
+    encode(w.body)[greatest(x.e[c.a], w.first) - w.first + 1 : least(x.e[c.b + 1], w.last) - w.first] as raw from cut c join whole w on w.doc_id = c.doc_id and w.place = c.place join e x on x.doc_id = c.doc_id),
+parts as (select doc_id, place, i, path, begin, regexp_extract(decode(raw), '^{_SPACE}*') as lead, regexp_replace(decode(raw), '^{_SPACE}+|{_SPACE}+$', '', 'g') as body from pieces),
+chunks_ as (select doc_id, place, -1 as i, path, body, first from whole where strlen(body) <= 4000 union all select doc_id, place, i, path, body, begin + strlen(lead) from parts where body <> ''),
+numbered as (select *, row_number() over (partition by doc_id, path, body order by place, i) as twin from chunks_),
+named as (select *, 'd/' || doc_id || '.md' as file, 'md:' || array_to_string(path || list_transform(range(1, twin), lambda y: '#d' || y), ' > ') as anchor from numbered)
+select file as path, anchor, sha256(file || chr(0) || anchor || chr(0) || body) as chunk_id, first::int as byte_start, (first + strlen(body))::int as byte_end,
+  len(list_filter(x.e, lambda y: y <= first))::int as line_start, len(list_filter(x.e, lambda y: y <= first + strlen(body) - 1))::int as line_end from named join e x using (doc_id)"""
