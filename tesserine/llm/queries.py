@@ -95,6 +95,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p9_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What p9_shares measures the shares against."""
+    share = [F.round(c, 9).alias(c) for c in ("target_share", "reachable_share")]
+    return p9_shares(spark, sf).select("source", *share, (F.col("available_tokens") > 0).alias("available"))
+
+
 def _scored_repetition(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with its measures, stratum, score and label."""
     docs = table(spark, sf, "documents")
@@ -137,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_kinds, p2_found, p2_classes, p3_found, p3_search, p4_found, p4_indexed, p4_redacted, p6_found, p6_ranking,
-        p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_shares, p10_cutoffs, p10_rejected,
+        p8_found, p8_leaks, p9_mix, p9_shares, p9_targets, p10_found, p10_shares, p10_cutoffs, p10_rejected,
     )
 }
 
@@ -199,6 +205,30 @@ item_windows as (select distinct item_id, unnest(list_transform(range(1, greates
 doc_words as (select doc_id, {_WORDS} as w from documents),
 doc_windows as (select doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) as x from doc_words)
 select distinct doc_id, item_id from doc_windows join item_windows using (x)""",
+    "p8_leaks": rf"""
+with items as (select distinct item_id, text from (select item_id, query_text as text from eval_items union all select item_id, passage from eval_items) where text is not null and item_id is not null),
+units as (select unnest(string_split('{" ".join(leakage.UNITS)}', ' ')) as w),
+plain as (select w from (select item_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) as w from items)
+  where w = lower(w) and w <> upper(w) and not regexp_matches(w, '[\p{{N}}_]') and w not in (select w from units) group by w having count(distinct item_id) >= 2),
+texts as (select 'd' as side, doc_id as id, 0 as part, lower(text) as text from documents where text is not null union all
+  select 'i', item_id, row_number() over (), lower(text) from items),
+words as (select side, id, part, unnest(w) as w, generate_subscripts(w, 1) as n from (select *, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') as w from texts)),
+kinds as (select x.*, case when regexp_full_match(x.w, '[0-9]+') then chr(1) when u.w is not null then chr(2) when p.w is not null then x.w else chr(3) end as k, p.w is null or u.w is not null or regexp_full_match(x.w, '[0-9]+') as slot
+  from words x left join units u on u.w = x.w left join plain p on p.w = x.w),
+lists as (select side, id, part, list(w order by n) as w, list(k order by n) as k, list(slot order by n) as s from kinds group by 1, 2, 3 having count(*) >= 12),
+windows as (select side, id, part, unnest(list_transform(range(1, len(w) - 10), lambda i: {{'w': w[i:i + 11], 'k': k[i:i + 11], 's': s[i:i + 11]}})) as x from lists),
+keyed as (select side, id, x.w as w, x.s as s, case when len(list_filter(x.s, lambda y: not y)) >= 5 then 'T ' || array_to_string(x.k, ' ') else 'L ' || array_to_string(x.w, ' ') end as key from windows),
+met as (select d.id as doc_id, i.id as item_id, d.w = i.w as literal,
+    list_filter(list_transform(i.s, lambda y, j: case when y then d.w[j] || ' ' || i.w[j] end), lambda y: y is not null) as both_, list_filter(list_transform(i.s, lambda y, j: case when y then d.w[j] end), lambda y: y is not null) as a,
+    list_filter(list_transform(i.s, lambda y, j: case when y then i.w[j] end), lambda y: y is not null) as b
+  from keyed d join keyed i on d.side = 'd' and i.side = 'i' and d.key = i.key)
+select doc_id, item_id, count(*) filter (where literal) as literal_windows, count(*) filter (where not literal) as changed_windows
+from met where literal or (len(list_distinct(both_)) = len(list_distinct(a)) and len(list_distinct(both_)) = len(list_distinct(b))) group by 1, 2""",
+    "p9_targets": """
+with t as (select lower(trim(source)) as source, sum(weight) as w from mix_targets where source is not null and weight > 0 and coalesce(max_repeats, 1) > 0 group by 1),
+d as (select lower(trim(source)) as source, max(text is not null and text <> '') as has from documents where source is not null group by 1),
+j as (select coalesce(t.source, d.source) as source, t.w, coalesce(d.has, false) as available from t full join d on d.source = t.source)
+select source, round(coalesce(w / (select sum(w) from j), 0), 9) as target_share, round(coalesce(case when available then w end / (select sum(w) from j where available), 0), 9) as reachable_share, available from j""",
     "p10_shares": rf"""
 with w as (select doc_id, {_WORDS} as w from documents),
 r as (select doc_id, w, list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i + 4], ' ')) as r from w),
