@@ -37,7 +37,7 @@ ROOM = 65_536
 #: Components of unit vectors travel as whole multiples of 1 / _SCALE; cosines are good to about 1e-5.
 _SCALE = 32_767.0
 #: Of the shelves nearest to a vector so many are searched for its pivots.
-NEAR_SHELVES = 12
+NEAR_SHELVES = 24
 _BLOCK = 1_024
 #: Groups of copies that are sent to every task (20 bytes each); more are joined by shuffle.
 _FEW_GROUPS = 500_000
