@@ -276,7 +276,7 @@ def search(
     kind = "id long, score double, rank int"
     fused = fuse(*(spark.createDataFrame(a, kind) for a in arms))
     flags = spark.createDataFrame([(len(arms) < 2 or not arms[1], full)], "lexical_only boolean, at_depth boolean")
-    return result_rows(rank_rows(fused, chunks, projects, limit)).orderBy("rank"), flags
+    return result_rows(rank_rows(fused, chunks, projects, limit)).coalesce(1).sortWithinPartitions("rank"), flags  # one page
 
 
 def _held(arm: DataFrame) -> list[tuple]:
