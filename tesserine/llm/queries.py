@@ -106,7 +106,7 @@ def _scored_repetition(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     measures = repetition.measure_repetition(docs.select("doc_id", "text"), run=P10_RUN)
     strata = docs.select("doc_id", repetition.stratum_of(F.col("lang")).alias("stratum")).dropDuplicates(["doc_id"])
-    rows = measures.join(strata, "doc_id", "left").select("*", F.col("doc_id").alias("key"), F.col("run_share").alias("score"))
+    rows = measures.join(strata, "doc_id", "left").select("*", F.col("run_share").alias("score"))
     return keep(rows.withColumn("label", F.when(F.col("n_words") >= P10_MIN_WORDS, repetition.segment_label())), "repetition")
 
 

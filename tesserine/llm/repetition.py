@@ -11,7 +11,9 @@ document is labelled by its repeated lines, sentences and paragraphs, or by labe
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.words import Words, hash_words, mix, text_batches
+from tesserine.sources.durable import keep
 
 MEASURES = "n_words bigint, n_runs bigint, distinct_runs bigint, run_share double, line_share double, sentence_share double, paragraph_share double"
+REPORT = pa.schema({"stratum": pa.string(), "cutoff": pa.float64(), "certified": pa.bool_(), "clean": pa.int64(), "rejected": pa.int64(), "risk_bound": pa.float64(), "missed": pa.int64()})
 #: Cutoffs that calibration may choose from.
 CUTOFFS = [i / 100 for i in range(5, 100)]
 #: A document is labelled repetitive if so much of it stands in repeated lines, sentences or paragraphs, and clean if at
@@ -101,18 +105,46 @@ def measure_repetition(documents: DataFrame, id_column: str = "doc_id", text: st
     return rows.mapInArrow(measure, f"id {kind}, {MEASURES}").withColumnRenamed("id", id_column)
 
 
+def _stirling_error(n: int) -> float:
+    """log n! less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    m = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * m)) / m) / m) / n
+
+
+def _log_chance(k: int, n: int, p: float) -> float:
+    """log P(X = k) for X ~ Binomial(n, p), by deviances: factorials of large n would cancel to few digits."""
+    if k in (0, n):
+        return n * (math.log(p) if k else math.log1p(-p))
+    low, high = n * p, n * (1 - p)
+    deviance = k * math.log1p((k - low) / low) + (n - k) * math.log1p((low - k) / high)
+    return 0.5 * math.log(n / (2 * math.pi * k * (n - k))) + _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - deviance
+
+
+def _falling_sum(ratio: Callable[[np.ndarray], np.ndarray], n: int, block: int = 1024) -> float:
+    """1 + r(0) + r(0) r(1) + ..., of n falling ratios below 1, as far as doubles can tell the sum."""
+    total, last, at = 1.0, 1.0, 0
+    while at < n and last > 1e-18 * total:
+        terms = last * np.cumprod(ratio(np.arange(at, min(at + block, n), dtype=float)))
+        total, last, at = total + float(terms.sum()), float(terms[-1]), at + len(terms)
+    return total
+
+
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), by exact summation in logarithms."""
+    """P(X <= k) for X ~ Binomial(n, p), by exact summation away from the mean, over some sqrt(n) terms at most."""
     if k >= n or p <= 0:
         return 1.0
     if p >= 1:
         return 0.0
-    base = math.lgamma(n + 1)
-    terms = [base - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
+    q = 1 - p
+    if k < n * p:
+        return min(1.0, math.exp(_log_chance(k, n, p)) * _falling_sum(lambda i: (k - i) * q / ((n - k + 1 + i) * p), k))
+    above = math.exp(_log_chance(k + 1, n, p)) * _falling_sum(lambda i: (n - k - 1 - i) * p / ((k + 2 + i) * q), n - k - 1)
+    return max(0.0, 1 - above)
 
 
+@functools.lru_cache(10_000)
 def risk_bound(k: int, n: int, level: float) -> float:
     """The exact upper bound, at this level, of the chance of an event that happened k times in n."""
     low, high = 0.0, 1.0
@@ -153,34 +185,37 @@ def segment_label() -> Column:
     return F.when(share >= LABEL_REPETITIVE, True).when(share <= LABEL_CLEAN, False)
 
 
-def cutoff_report(scored: DataFrame, alpha: float = 0.01, delta: float = 0.05, max_labels: int = 20_000, cutoffs: list[float] = CUTOFFS) -> DataFrame:
+def cutoff_report(scored: DataFrame, alpha: float = 0.01, delta: float = 0.05, cutoffs: list[float] = CUTOFFS) -> DataFrame:
     """(stratum, cutoff, certified, clean, rejected, risk_bound, missed), a row per stratum of the labelled holdout.
 
-    scored: (key, stratum, score, label), label null where unlabelled; true means repetitive. The holdout is a hash
-    sample by key of at most about max_labels labelled rows. clean: its clean documents; rejected: those of them that
-    the cutoff rejects; risk_bound: the exact bound of the share of clean documents that are; missed: repetitive
-    documents of the holdout that the cutoff lets pass."""
-    labelled = scored.where("label is not null")
-    share = min(1.0, max_labels / max(1, labelled.count()))
-    held = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000))
+    scored: (stratum, score, label), label null where unlabelled; true means repetitive. The holdout is every labelled
+    row. clean: its clean documents; rejected: those of them that the cutoff rejects; risk_bound: the exact bound of the
+    share of clean documents that are; missed: repetitive documents of the holdout that the cutoff lets pass."""
     steps = sorted(cutoffs)
     passed = F.size(F.filter(F.array(*map(F.lit, steps)), lambda c: c <= F.col("score"))).alias("passed")
-    rows = held.groupBy("stratum", "label", passed).count().collect()  # strata and steps, not documents
-    at = {label: {r["stratum"]: np.zeros(len(steps) + 1, int) for r in rows if r["label"] == label} for label in (False, True)}
-    for r in rows:
-        at[r["label"]][r["stratum"]][r["passed"]] += r["count"]
-    totals = {s: int(n.sum()) for s, n in at[False].items()}
-    clean = {s: {c: int(n[i + 1 :].sum()) for i, c in enumerate(steps)} for s, n in at[False].items()}
-    low = {s: {c: int(n[: i + 1].sum()) for i, c in enumerate(steps)} for s, n in at[True].items()}
-    limits = calibrate(clean, totals, cutoffs, alpha, delta)
-    level = delta / max(1, len(totals))
-    out = [(s, c, ok, totals[s], clean[s][c], risk_bound(clean[s][c], totals[s], level), low.get(s, {}).get(c, 0)) for s, (c, ok) in sorted(limits.items())]
-    return scored.sparkSession.createDataFrame(out, "stratum string, cutoff double, certified boolean, clean bigint, rejected bigint, risk_bound double, missed bigint")
+    counts = scored.where("label is not null").groupBy("stratum", "label", passed).count()
+    listed = counts.groupBy("stratum").agg(F.collect_list(F.struct("label", "passed", "count")).alias("counts"))  # at most two for each step
+    strata = keep(listed.where(F.exists("counts", lambda c: ~c["label"])), "strata")
+    level = delta / max(1, strata.count())
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for s, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = {label: np.zeros(len(steps) + 1, np.int64) for label in (False, True)}
+                for x in found:
+                    at[x["label"]][x["passed"]] += x["count"]
+                n, clean = int(at[False].sum()), {c: int(at[False][i + 1 :].sum()) for i, c in enumerate(steps)}
+                c, certified = calibrate({s: clean}, {s: n}, steps, alpha, level)[s]
+                rows.append((s, c, certified, n, clean[c], risk_bound(clean[c], n, level), int(at[True][: steps.index(c) + 1].sum())))
+            yield pa.RecordBatch.from_pylist([dict(zip(REPORT.names, r)) for r in rows], REPORT)
+
+    return strata.mapInArrow(judge, "stratum string, cutoff double, certified boolean, clean bigint, rejected bigint, risk_bound double, missed bigint")
 
 
 def repetitive_documents(measured: DataFrame, report: DataFrame, strictest: float = max(CUTOFFS)) -> DataFrame:
     """The rows whose score reaches their stratum's cutoff, with `cutoff` and `certified`. A stratum without a certified
     cutoff, or without any, gets the strictest one. measured: has `stratum` and `score`."""
-    table = report.select("stratum", F.when(F.col("certified"), F.least("cutoff", F.lit(strictest))).alias("cutoff"), "certified")
-    joined = measured.join(F.broadcast(table), "stratum", "left").fillna({"cutoff": strictest, "certified": False})  # one row a stratum
+    table = report.where("certified").select("stratum", F.least("cutoff", F.lit(strictest)).alias("cutoff"), "certified")
+    joined = measured.join(F.broadcast(table), "stratum", "left").fillna({"cutoff": strictest, "certified": False})  # hundreds of documents certify one row
     return joined.where("score >= cutoff")
