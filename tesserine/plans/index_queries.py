@@ -89,11 +89,13 @@ def skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as files; by the last digit of their ids some have a NUL byte, or a byte that is no UTF-8, or are
     repeated until they are too large, or stand on one line."""
     text, digit = F.coalesce("text", F.lit("")), F.col("doc_id") % 100
+    padded = F.concat(text, F.lit("padding"))
+    times = (F.floor(F.lit(chunking.MAX_FILE_BYTES) / F.octet_length(padded)) + 1).cast("int")  # no more than it takes, as one file lies in memory
     mutated = (
         F.when(digit == 1, F.concat(text.substr(1, 100), F.lit("\x00"), text).cast("binary")).when(digit == 2, F.concat(text.cast("binary"), F.lit(b"\xff\xfe")))
-        .when(digit == 3, F.repeat(F.concat(text, F.lit("padding")), 300_000).cast("binary")).when(digit == 4, F.repeat(F.translate(text, "\n", " "), 9).cast("binary")).otherwise(text.cast("binary")))
+        .when(digit == 3, F.repeat(padded, times).cast("binary")).when(digit == 4, F.repeat(F.translate(text, "\n", " "), 9).cast("binary")).otherwise(text.cast("binary")))
     kind = F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt")
-    docs = table(spark, sf, "documents").select(F.lit(1).alias("project_id"), F.concat(F.lit("d/"), F.col("doc_id"), kind).alias("path"), F.substring(mutated, 1, chunking.MAX_FILE_BYTES + 1).alias("content"))
+    docs = table(spark, sf, "documents").select(F.lit(1).alias("project_id"), F.concat(F.lit("d/"), F.col("doc_id"), kind).alias("path"), mutated.alias("content"))
     return chunking.skipped_files(docs).select("path", "reason")
 
 

@@ -76,3 +76,20 @@ def test_containing_projects(spark):
     paths = spark.createDataFrame([("/a/b/x.md",), ("/a/b",), ("/ab/y",), ("/c",)], "path string")
     assert sorted(map(tuple, containing_projects(paths, projects).collect())) == [
         ("/a/b", 1), ("/a/b", 2), ("/a/b", 4), ("/a/b/x.md", 1), ("/a/b/x.md", 2), ("/a/b/x.md", 4), ("/ab/y", 3), ("/ab/y", 4), ("/c", 4)]
+
+
+def test_large_files_are_skipped(spark, folder):
+    """Documents that are repeated until they are too large, also where a fixed number of repetitions would be gigabytes.
+    2041 bytes and the padding are a divisor of the limit."""
+    from tests.oracle import rows_of_sql
+
+    texts = {103: "x" * 8000, 203: "y" * 2041, 303: "", 403: None, 503: "\u00e9" * 5000, 603: "z" * 2_200_000, 101: "a", 102: "b", 104: "c\n" * 600, 204: "c\n" * 6, 5: "d", 7: "e" * 4097}
+    sf = folder(documents=([(i, 1, t) for i, t in texts.items()], DOCUMENTS))
+    got = {r.path: r.reason for r in Q.skip_reasons(spark, sf).collect()}
+    assert {p for p, why in got.items() if why == "too large"} == {f"d/{i}{'.md' if i % 3 == 0 else '.txt'}" for i in texts if i % 100 == 3}
+    assert {p: why for p, why in got.items() if why != "too large"} == {"d/101.txt": "binary", "d/102.md": "invalid utf-8", "d/104.txt": "machine text", "d/7.txt": "machine text"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet/*.parquet'")
+    assert rows_of(Q.skip_reasons(spark, sf)) == rows_of_sql(con, Q.SQL["skip_reasons"])
